@@ -101,9 +101,14 @@ def naive_canonical(phrase: Column) -> Column:
     return F.array_join(kept, " ")
 
 
+def pytrim(c: Column) -> Column:
+    """Strip leading and trailing whitespace of any kind (``trim`` only drops spaces)."""
+    return F.regexp_replace(_ne(c), r"^\s+|\s+$", "")
+
+
 def split_lines(c: Column) -> Column:
     """Lines with trailing whitespace removed (CRLF, CR and LF all break)."""
-    return F.transform(F.split(_ne(c), r"\r\n|\r|\n"), lambda x: F.rtrim(x))
+    return F.transform(F.split(_ne(c), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"\s+$", ""))
 
 
 def head_text(lines: Column, n: int) -> Column:
@@ -133,7 +138,7 @@ def name_guess(lines: Column) -> Column:
     """First of the first 10 lines with 2-6 words, at most one not capitalised,
     and no e-mail, URL or phone."""
     def ok(ln: Column) -> Column:
-        s = F.trim(ln)
+        s = pytrim(ln)
         words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
         caps = F.size(F.filter(words, lambda w: (F.upper(F.substring(w, 1, 1)) == F.substring(w, 1, 1))
                                & (F.lower(F.substring(w, 1, 1)) != F.substring(w, 1, 1))))
@@ -141,7 +146,7 @@ def name_guess(lines: Column) -> Column:
                 & (F.size(words) > 1) & (F.size(words) <= 6) & (caps >= F.size(words) - 1))
 
     cands = F.filter(F.slice(lines, 1, 10), ok)
-    return F.try_element_at(F.transform(cands, lambda x: F.trim(x)), F.lit(1))
+    return F.try_element_at(F.transform(cands, lambda x: pytrim(x)), F.lit(1))
 
 
 def section_alias_map() -> Column:
@@ -151,7 +156,7 @@ def section_alias_map() -> Column:
 
 def detect_section(line: Column) -> Column:
     """Canonical section of a heading line, else NULL."""
-    cleaned = F.regexp_replace(F.lower(F.trim(_ne(line))), r":+$", "")
+    cleaned = F.regexp_replace(F.lower(pytrim(line)), r":+$", "")
     return F.when(F.length(cleaned) <= 40, F.try_element_at(section_alias_map(), cleaned))
 
 
@@ -170,11 +175,11 @@ def split_skills(c: Column) -> Column:
 
 def is_bullet(line: Column) -> Column:
     """R11."""
-    return F.trim(_ne(line)).rlike("^[" + BULLET_MARKS.replace("-", "\\-") + "]")
+    return pytrim(line).rlike("^[" + BULLET_MARKS.replace("-", "\\-") + "]")
 
 
 def strip_bullet(line: Column) -> Column:
-    return F.trim(strip_chars(F.trim(_ne(line)), " " + BULLET_MARKS))
+    return pytrim(strip_chars(pytrim(line), " " + BULLET_MARKS))
 
 
 def date_range(line: Column) -> Column:
@@ -183,8 +188,7 @@ def date_range(line: Column) -> Column:
     has = s.rlike(DATE_RANGE_PATTERN)
     start = F.regexp_extract(s, DATE_RANGE_PATTERN, 1)
     end = F.regexp_extract(s, DATE_RANGE_PATTERN, 3)
-    whole = F.regexp_extract(s, DATE_RANGE_PATTERN, 0)
-    prefix = F.substring_index(s, whole, 1)
+    prefix = F.regexp_extract(s, "(?is)^(.*?)" + DATE_RANGE_PATTERN[len("(?i)"):], 1)
     return F.struct(has.alias("has_range"), start.alias("start"), end.alias("end"),
                     prefix.alias("prefix"))
 

@@ -137,3 +137,255 @@ def floor_salary(spark, sf_dir):
     mid = floor_mid_lpa(F.col("job_min_salary"), F.col("job_max_salary"),
                         F.col("job_salary_currency"), F.col("job_salary_period"))
     return p.select("job_id", mid.alias("floor_mid_lpa"))
+
+
+# ------------------------------------------------------ links, merge, landing ----
+
+from ..functions import text as tx  # noqa: E402
+from ..operators import ats, documents, keywords  # noqa: E402
+from ..sources import landing  # noqa: E402
+
+LINK_TTL_SECONDS = 7 * 86400
+ROLE_DOMAIN = "analytics"
+
+
+def link_status(spark, sf_dir):
+    """Landed probe results derived from pages (one row per URL)."""
+    pg = T.read(spark, sf_dir, "pages")
+    head = (F.when(F.col("page_id") % 7 == 0, 404).when(F.col("page_id") % 7 == 1, 405)
+            .when(F.col("page_id") % 7 == 2, 301).otherwise(200))
+    get = F.when(F.col("page_id") % 3 == 0, 200).otherwise(503)
+    return pg.select("url", head.alias("head_status"), get.alias("get_status"))
+
+
+@query("dead_links")
+def dead_links(spark, sf_dir):
+    pg = T.read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("job_apply_link"))
+    out = filters.drop_dead_links(pg, link_status(spark, sf_dir))
+    return out.select("page_id", F.col("job_apply_link").alias("url"), "link_alive")
+
+
+def _part_pool(spark, sf_dir, cond):
+    pt = T.read(spark, sf_dir, "part").filter(cond)
+    return pt.select(F.when(F.col("p_size") > 45, F.lit(None)).otherwise(F.col("p_partkey").cast("string"))
+                     .alias("job_id"), F.col("p_name").alias("job_title"),
+                     F.col("p_brand").alias("employer_name"), F.col("p_type").alias("job_city"),
+                     F.col("p_partkey").alias("_ord"))
+
+
+@query("merge_sources")
+def merge_sources(spark, sf_dir):
+    """Two overlapping boards (parts of size <= 30 and >= 20); ids blank for
+    the largest sizes so the U4 key decides for them."""
+    a = _part_pool(spark, sf_dir, F.col("p_size") <= 30)
+    b = _part_pool(spark, sf_dir, F.col("p_size") >= 20)
+    m = filters.merge_sources([a, b], payload=["_pool_ord", "job_id", "_ord"])
+    return m.select(F.col("_mkey").alias("merge_key"), F.col("_pool_ord").alias("source_ord"),
+                    "job_id", F.col("_ord").alias("part_key"))
+
+
+def _role_locations(spark, sf_dir):
+    r = T.read(spark, sf_dir, "region")
+    n = T.read(spark, sf_dir, "nation")
+    return (r.join(n, r.r_regionkey == n.n_regionkey)
+            .select(F.col("r_name").alias("role"), F.lit(ROLE_DOMAIN).alias("domain"),
+                    F.col("n_name").alias("location")))
+
+
+@query("request_manifest")
+def request_manifest(spark, sf_dir):
+    m = landing.request_manifest(_role_locations(spark, sf_dir), num_pages=2)
+    return m.select("request_key", "role", "location", "page", "query_text")
+
+
+def _landing(spark, sf_dir):
+    """Landed snapshots derived from orders: the customer's region/nation and page
+    1 + o_orderkey % 2 name the request; pending orders land corrupt payloads."""
+    o = T.read(spark, sf_dir, "orders")
+    c = T.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = F.broadcast(T.read(spark, sf_dir, "nation"))
+    r = F.broadcast(T.read(spark, sf_dir, "region"))
+    j = (o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+         .join(r, F.col("n_regionkey") == F.col("r_regionkey")))
+    q = F.trim(F.concat_ws(" ", F.col("r_name"), F.lit(ROLE_DOMAIN), F.lit("in"), F.col("n_name")))
+    page = (F.col("o_orderkey") % 2 + 1).cast("int")
+    payload = F.when(F.col("o_orderstatus") == "P", F.lit("{\"data\": [")).otherwise(
+        F.concat(F.lit("{\"data\": [{\"job_id\": \""), F.col("o_orderkey").cast("string"), F.lit("\"}]}")))
+    return j.select(landing.request_key(q, F.col("n_name"), page).alias("request_key"),
+                    F.col("o_orderdate").alias("fetched_at"), payload.alias("payload"))
+
+
+@query("pending_requests")
+def pending_requests(spark, sf_dir):
+    m = landing.request_manifest(_role_locations(spark, sf_dir), num_pages=2)
+    p = landing.pending_requests(m, _landing(spark, sf_dir), as_of=T.AS_OF, ttl_seconds=LINK_TTL_SECONDS)
+    return p.select("request_key", "role", "location", "page", "query_text")
+
+
+# ----------------------------------------------------------- document text ----
+
+@query("doc_clean")
+def doc_clean(spark, sf_dir):
+    d = T.read(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.clean_posting_text(F.col("text")).alias("clean_text"))
+
+
+@query("doc_tokens")
+def doc_tokens(spark, sf_dir):
+    d = T.read(spark, sf_dir, "documents")
+    toks = tx.resume_tokens(F.col("text"))
+    return d.select("doc_id", F.size(toks).cast("long").alias("n_tokens"),
+                    F.array_join(F.array_sort(toks), " ").alias("tokens"))
+
+
+@query("doc_contacts")
+def doc_contacts(spark, sf_dir):
+    return documents.contacts_and_name(T.read(spark, sf_dir, "documents"))
+
+
+@query("html_text")
+def html_text(spark, sf_dir):
+    pg = T.read(spark, sf_dir, "pages")
+    return pg.select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+
+
+def _short_line_heading(line):
+    """Binding heading rule: an alias heading, else any line of at most two words
+    (lower-cased, surrounding ``.:`` removed) opens a section."""
+    alias = tx.detect_section(line)
+    short = F.when((tx.word_count(line) >= 1) & (tx.word_count(line) <= 2),
+                   F.lower(tx.strip_chars(tx.pytrim(line), " .:")))
+    return F.coalesce(alias, short)
+
+
+@query("line_sections")
+def line_sections(spark, sf_dir):
+    ln = documents.lines(T.read(spark, sf_dir, "documents"))
+    return documents.label_sections(ln, _short_line_heading(F.col("line"))).withColumn(
+        "line_no", F.col("line_no").cast("long"))
+
+
+@query("entry_groups")
+def entry_groups(spark, sf_dir):
+    s = line_sections(spark, sf_dir)
+    g = documents.group_entries(s)
+    return g.select("doc_id", "section", "entry_id", "title", "company", "start_date", "end_date", "n_bullets")
+
+
+# --------------------------------------------------------------- keywords ----
+
+TOP_PER_DOC = 30
+
+
+def _docs_by_source(spark, sf_dir):
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("pool"), "text")
+
+
+@query("phrase_topn")
+def phrase_topn(spark, sf_dir):
+    return keywords.top_phrases(_docs_by_source(spark, sf_dir), top_per_doc=TOP_PER_DOC)
+
+
+@query("doc_frequency")
+def doc_frequency(spark, sf_dir):
+    return keywords.document_frequency(keywords.top_phrases(_docs_by_source(spark, sf_dir),
+                                                            top_per_doc=TOP_PER_DOC))
+
+
+@query("market_keywords")
+def market_keywords(spark, sf_dir):
+    d = _docs_by_source(spark, sf_dir)
+    ph = keywords.top_phrases(d, top_per_doc=TOP_PER_DOC)
+    return keywords.market_keywords(ph, keywords.docs_per_pool(d))
+
+
+def benchmark_keywords(spark, sf_dir):
+    """Keyword records mined from the benchmark items (one pool)."""
+    b = T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"),
+                                                   F.lit("benchmark").alias("pool"), "text")
+    ph = keywords.top_phrases(b, top_per_doc=TOP_PER_DOC)
+    return keywords.market_keywords(ph, keywords.docs_per_pool(b))
+
+
+def _coverage(spark, sf_dir):
+    d = T.read(spark, sf_dir, "documents").withColumn("pool", F.lit("benchmark"))
+    return ats.keyword_coverage(d, benchmark_keywords(spark, sf_dir))
+
+
+@query("keyword_coverage")
+def keyword_coverage(spark, sf_dir):
+    c = _coverage(spark, sf_dir)
+    return c.select("doc_id", "tier", F.col("n_terms").cast("long").alias("n_terms"),
+                    F.col("n_hits").cast("long").alias("n_hits"), "coverage",
+                    F.array_join(F.array_sort("hits"), "|").alias("hits"))
+
+
+@query("coverage_rollup")
+def coverage_rollup(spark, sf_dir):
+    """A6 roll-up with GROUPING SETS: per (source, tier), per source, overall."""
+    c = _coverage(spark, sf_dir).filter(F.col("tier") != "all")
+    src = T.read(spark, sf_dir, "documents").select("doc_id", "source")
+    j = c.join(src, "doc_id")
+    rate = F.sum("n_hits") / F.nullif(F.sum("n_terms"), F.lit(0))
+    return (j.rollup("source", "tier")
+            .agg(F.grouping_id().alias("level"), F.countDistinct("doc_id").alias("n_docs"),
+                 F.sum("n_hits").cast("long").alias("n_hits"), F.sum("n_terms").cast("long").alias("n_terms"),
+                 F.round(rate, 6).alias("hit_rate")))
+
+
+@query("keyword_gap")
+def keyword_gap(spark, sf_dir):
+    """Each conversation's user turns as a résumé against benchmark keywords."""
+    cv = T.read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    blob = (cv.groupBy("conv_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s.getField("text")), " ").alias("blob")))
+    cands = blob.select(F.lit("benchmark").alias("pool"), F.col("conv_id").alias("candidate_id"),
+                        tx.resume_tokens(F.col("blob")).alias("tokens"))
+    g = keywords.gap_analysis(cands, benchmark_keywords(spark, sf_dir))
+
+    def n(b):
+        return F.size(F.filter("gap", lambda x: x.getField("bucket") == b)).cast("long")
+    must = F.transform(F.filter("gap", lambda x: x.getField("bucket") == "must_add"), lambda x: x.getField("keyword"))
+    return g.select(F.col("candidate_id").alias("conv_id"), n("already_have").alias("n_already_have"),
+                    n("must_add").alias("n_must_add"), n("should_emphasize").alias("n_should_emphasize"),
+                    F.array_join(F.array_sort(must), "|").alias("must_add"))
+
+
+# ---------------------------------------------------------------- ATS ----
+
+@query("format_checks")
+def format_checks(spark, sf_dir):
+    lay = documents.layout_from_html(T.read(spark, sf_dir, "pages"))
+    f = ats.format_checks(lay)
+    return f.select(F.col("doc_id").alias("page_id"), *ats.CHECKS,
+                    F.size("format_notes").cast("long").alias("n_notes"), F.round("format_score", 6).alias("format_score"))
+
+
+def _doc_reports(spark, sf_dir, text_expr=None):
+    d = T.read(spark, sf_dir, "documents").withColumn("pool", F.lit("benchmark"))
+    if text_expr is not None:
+        d = d.withColumn("text", text_expr(d))
+    return ats.score_documents(d, documents.layout_from_text(d), benchmark_keywords(spark, sf_dir))
+
+
+@query("doc_overall")
+def doc_overall(spark, sf_dir):
+    r = _doc_reports(spark, sf_dir)
+    return r.select("doc_id", F.round("keyword_score", 6).alias("keyword_score"),
+                    F.round("format_score", 6).alias("format_score"), "overall")
+
+
+@query("before_after")
+def before_after(spark, sf_dir):
+    """Each document before and after appending its missed keywords as a
+    ``Skills:`` line."""
+    d = T.read(spark, sf_dir, "documents").withColumn("pool", F.lit("benchmark"))
+    cov = ats.keyword_coverage(d, benchmark_keywords(spark, sf_dir)).filter(F.col("tier") == "all")
+    add = cov.select("doc_id", F.array_join(F.array_sort("misses"), ", ").alias("_add"))
+    d2 = (d.join(add, "doc_id", "left")
+          .withColumn("text", F.concat(F.col("text"), F.lit("\nSkills: "), F.coalesce(F.col("_add"), F.lit(""))))
+          .drop("_add"))
+    kw = benchmark_keywords(spark, sf_dir)
+    b = ats.score_documents(d, documents.layout_from_text(d), kw)
+    a = ats.score_documents(d2, documents.layout_from_text(d2), kw)
+    return ats.before_after(b, a)

@@ -199,3 +199,361 @@ SELECT dkey AS dedupe_key, job_id FROM (
 
 ORACLE["floor_salary"] = "WITH " + POSTINGS_CTE + "," + FILTER_CTE + """
 SELECT job_id, floor_mid AS floor_mid_lpa FROM fc2"""
+
+
+# ============================================================ batch 2 =========
+from ..functions import stopwords as _sw  # noqa: E402
+from ..functions import text as _tx  # noqa: E402
+from ..functions.numeric import sql_round_half_up as _rhu  # noqa: E402
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _list(items) -> str:
+    return "[" + ", ".join(_q(x) for x in items) + "]"
+
+
+def _clean(e: str) -> str:
+    t = f"regexp_replace(coalesce({e}, ''), 'https?://\\S+', ' ', 'g')"
+    t = f"regexp_replace({t}, '\\S+@\\S+', ' ', 'g')"
+    t = f"regexp_replace({t}, '[^A-Za-z0-9 \\-/\\+\\.#]', ' ', 'g')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+def _pytrim(e: str) -> str:
+    return f"regexp_replace(coalesce({e}, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+def _lines(e: str) -> str:
+    return (f"list_transform(string_split_regex(coalesce({e}, ''), '\\r\\n|\\r|\\n'), "
+            f"lambda x: regexp_replace(x, '\\s+$', ''))")
+
+
+def _strip_chars(e: str, chars: str) -> str:
+    cls = "[" + "".join("\\" + ch if ch in "-]\\^[" else ch for ch in chars) + "]+"
+    return f"regexp_replace(regexp_replace({e}, {_q('^' + cls)}, ''), {_q(cls + '$')}, '')"
+
+
+def _word_count(e: str) -> str:
+    return f"len(list_filter(string_split_regex(trim(coalesce({e}, '')), '\\s+'), lambda w: w <> ''))"
+
+
+def _section(e: str) -> str:
+    cleaned = f"regexp_replace(lower({_pytrim(e)}), ':+$', '')"
+    cases = " ".join(f"WHEN {_q(a)} THEN {_q(c)}" for c, al in _tx.SECTION_ALIASES.items() for a in al)
+    return f"(CASE WHEN length({cleaned}) <= 40 THEN (CASE {cleaned} {cases} END) END)"
+
+
+ORACLE["dead_links"] = """
+WITH ls AS (
+  SELECT url, CASE WHEN page_id % 7 = 0 THEN 404 WHEN page_id % 7 = 1 THEN 405 WHEN page_id % 7 = 2 THEN 301
+                   ELSE 200 END AS head_status,
+              CASE WHEN page_id % 3 = 0 THEN 200 ELSE 503 END AS get_status FROM pages)
+SELECT p.page_id, p.url,
+       coalesce(p.url, '') = '' OR coalesce(CASE WHEN ls.head_status = 405 THEN ls.get_status ELSE ls.head_status END, 999)
+         BETWEEN 200 AND 399 AS link_alive
+FROM pages p LEFT JOIN ls ON p.url = ls.url"""
+
+ORACLE["merge_sources"] = """
+WITH u AS (
+  SELECT 0 AS pool_ord, CASE WHEN p_size > 45 THEN NULL ELSE CAST(p_partkey AS VARCHAR) END AS job_id,
+         p_name AS job_title, p_brand AS employer_name, p_type AS job_city, p_partkey AS _ord
+  FROM part WHERE p_size <= 30
+  UNION ALL
+  SELECT 1, CASE WHEN p_size > 45 THEN NULL ELSE CAST(p_partkey AS VARCHAR) END,
+         p_name, p_brand, p_type, p_partkey FROM part WHERE p_size >= 20
+), k AS (
+  SELECT *, CASE WHEN trim(coalesce(job_id, '')) <> '' THEN 'id:' || trim(job_id)
+            ELSE 'k:' || concat_ws('|', lower(trim(coalesce(employer_name, ''))),
+                                   regexp_replace(lower(trim(coalesce(job_title, ''))), '\\s+', ' ', 'g'),
+                                   lower(trim(coalesce(job_city, '')))) END AS mkey
+  FROM u)
+SELECT mkey AS merge_key, pool_ord AS source_ord, job_id, _ord AS part_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY mkey ORDER BY pool_ord, _ord) AS rn FROM k) WHERE rn = 1"""
+
+_MANIFEST = """
+rl AS (SELECT r.r_name AS role, n.n_name AS location,
+              trim(concat_ws(' ', r.r_name, 'analytics', 'in', n.n_name)) AS query_text
+       FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey),
+manifest AS (
+  SELECT substr(sha1(concat_ws('|', query_text, location, CAST(page AS VARCHAR))), 1, 16) AS request_key,
+         role, location, CAST(page AS INTEGER) AS page, query_text
+  FROM rl, (SELECT unnest([1, 2]) AS page))"""
+
+ORACLE["request_manifest"] = "WITH " + _MANIFEST + "\nSELECT * FROM manifest"
+
+ORACLE["pending_requests"] = "WITH " + _MANIFEST + """,
+lnd AS (
+  SELECT substr(sha1(concat_ws('|', trim(concat_ws(' ', r.r_name, 'analytics', 'in', n.n_name)), n.n_name,
+                               CAST(o.o_orderkey % 2 + 1 AS VARCHAR))), 1, 16) AS request_key,
+         o.o_orderdate AS fetched_at,
+         CASE WHEN o.o_orderstatus = 'P' THEN '{"data": ['
+              ELSE '{"data": [{"job_id": "' || CAST(o.o_orderkey AS VARCHAR) || '"}]}' END AS payload
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey),
+latest AS (SELECT request_key, max({'f': fetched_at, 'p': payload}) AS l FROM lnd GROUP BY request_key),
+fresh AS (SELECT request_key FROM latest
+          WHERE """ + str(AS_OF_EPOCH) + """ - epoch(l.f) <= 604800 AND json_valid(l.p))
+SELECT m.* FROM manifest m ANTI JOIN fresh f ON m.request_key = f.request_key"""
+
+ORACLE["doc_clean"] = "SELECT doc_id, " + _clean("text") + " AS clean_text FROM documents"
+
+_TOKS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), " + _q(_tx.TOKEN_PATTERN) + "))"
+ORACLE["doc_tokens"] = ("SELECT doc_id, len(" + _TOKS + ") AS n_tokens, array_to_string(list_sort(" + _TOKS
+                        + "), ' ') AS tokens FROM documents")
+
+_NAME_OK = ("len(list_filter(string_split_regex(" + _pytrim("ln") + ", '\\s+'), lambda w: w <> '')) > 1 AND "
+            "len(list_filter(string_split_regex(" + _pytrim("ln") + ", '\\s+'), lambda w: w <> '')) <= 6 AND "
+            "len(list_filter(list_filter(string_split_regex(" + _pytrim("ln") + ", '\\s+'), lambda w: w <> ''), "
+            "lambda w: upper(w[1]) = w[1] AND lower(w[1]) <> w[1])) >= "
+            "len(list_filter(string_split_regex(" + _pytrim("ln") + ", '\\s+'), lambda w: w <> '')) - 1 AND "
+            + _pytrim("ln") + " <> '' AND NOT regexp_matches(" + _pytrim("ln") + ", " + _q(_tx.EMAIL_PATTERN) + ") AND "
+            "NOT regexp_matches(" + _pytrim("ln") + ", " + _q(_tx.URL_PATTERN) + ") AND "
+            "NOT regexp_matches(" + _pytrim("ln") + ", " + _q(_tx.PHONE_PATTERN) + ")")
+
+ORACLE["doc_contacts"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, """ + _lines("text") + """ AS lines FROM documents),
+h AS (SELECT *, array_to_string(list_slice(lines, 1, 20), chr(10)) AS head FROM d),
+m AS (SELECT *, regexp_extract(head, """ + _q(_tx.PHONE_PATTERN) + """, 0) AS ph FROM h)
+SELECT doc_id, regexp_extract(head, """ + _q(_tx.EMAIL_PATTERN) + """, 0) AS email,
+       CASE WHEN length(regexp_replace(ph, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 THEN trim(ph) ELSE '' END AS phone,
+       regexp_extract(text, """ + _q(_tx.LINKEDIN_PATTERN) + """, 0) AS linkedin,
+       regexp_extract(text, """ + _q(_tx.GITHUB_PATTERN) + """, 0) AS github,
+       coalesce(regexp_replace(list_filter(list_slice(lines, 1, 10), lambda ln: """ + _NAME_OK + """)[1],
+                               '^\\s+|\\s+$', '', 'g'), '') AS name
+FROM m"""
+
+ORACLE["html_text"] = """
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+  '(?i)<script[\\s\\S]*?</script>', ' ', 'g'), '(?i)<style[\\s\\S]*?</style>', ' ', 'g'),
+  '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages"""
+
+_HEAD = ("coalesce(" + _section("line") + ", CASE WHEN " + _word_count("line") + " BETWEEN 1 AND 2 THEN lower("
+         + _strip_chars(_pytrim("line"), " .:") + ") END)")
+_LINE_SECTIONS = """
+d AS (SELECT doc_id, """ + _lines("text") + """ AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM d),
+h AS (SELECT *, """ + _HEAD + """ AS head FROM l),
+s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM h),
+ls AS (SELECT doc_id, line_no, section, regexp_matches(""" + _pytrim("line") + """, '^[\\-*•·◦]') AS is_bullet,
+              """ + _pytrim("line") + """ AS text
+       FROM s WHERE head IS NULL AND section IS NOT NULL AND """ + _pytrim("line") + """ <> '')"""
+
+ORACLE["line_sections"] = "WITH " + _LINE_SECTIONS + "\nSELECT * FROM ls"
+
+_DR = _q(_tx.DATE_RANGE_PATTERN)
+_BEFORE = _strip_chars("trim(substr(text, 1, strpos(text, regexp_extract(text, " + _DR + ", 0)) - 1))", " -–|,")
+ORACLE["entry_groups"] = "WITH " + _LINE_SECTIONS + """,
+e0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY line_no) AS rn,
+              regexp_matches(text, """ + _DR + """) AS has_range FROM ls),
+e1 AS (SELECT *, (rn = 1) OR (NOT is_bullet AND has_range) AS hdr,
+              CASE WHEN regexp_matches(text, """ + _DR + """) THEN """ + _BEFORE + """ END AS bf FROM e0),
+e2 AS (SELECT *, sum(CAST(hdr AS INTEGER)) OVER (PARTITION BY doc_id, section ORDER BY line_no
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS entry_id,
+              contains(bf, ' — ') OR contains(bf, ' - ') AS has_dash, contains(bf, ',') AS has_comma FROM e1),
+e3 AS (SELECT *,
+         CASE WHEN NOT has_range THEN text
+              WHEN has_dash THEN trim(regexp_extract(bf, '^(.*?) [—–-] ', 1))
+              WHEN has_comma THEN trim(split_part(bf, ',', 1))
+              ELSE trim(CASE WHEN contains(bf, ' at ') THEN substr(bf, 1, strpos(bf, ' at ') - 1) ELSE bf END) END AS t,
+         CASE WHEN NOT has_range THEN ''
+              WHEN has_dash THEN trim(regexp_replace(bf, '^.*? [—–-] ', ''))
+              WHEN has_comma THEN trim(substr(bf, strpos(bf, ',') + 1))
+              ELSE trim(CASE WHEN contains(bf, ' at ') THEN substr(bf, strpos(bf, ' at ') + 4) ELSE '' END) END AS c
+       FROM e2)
+SELECT doc_id, section, entry_id, max(CASE WHEN hdr THEN t END) AS title, max(CASE WHEN hdr THEN c END) AS company,
+       max(CASE WHEN hdr AND has_range THEN regexp_extract(text, """ + _DR + """, 1) END) AS start_date,
+       max(CASE WHEN hdr AND has_range THEN regexp_extract(text, """ + _DR + """, 3) END) AS end_date,
+       count(*) FILTER (WHERE NOT hdr) AS n_bullets
+FROM e3 GROUP BY doc_id, section, entry_id"""
+
+
+def _canon(e: str) -> str:
+    words = f"list_filter(string_split_regex(trim(lower(coalesce({e}, ''))), '\\s+'), lambda w: w <> '')"
+    strip = ("list_transform(" + words + ", lambda w: CASE WHEN length(w) > 4 AND suffix(w, 'ing') THEN left(w, length(w) - 3) "
+             "WHEN length(w) > 3 THEN (CASE WHEN suffix(w, 'ies') AND length(w) > 4 THEN left(w, length(w) - 3) "
+             "WHEN suffix(w, 'es') AND length(w) > 3 THEN left(w, length(w) - 2) "
+             "WHEN suffix(w, 's') AND length(w) > 2 THEN left(w, length(w) - 1) ELSE w END) ELSE w END)")
+    return strip
+
+
+def keyword_ctes(src: str, top: int = 30) -> str:
+    """CTEs ``np`` (pool sizes), ``top`` (phrases) and ``mk`` (keyword records) over
+    a source relation ``src(doc_id, pool, text)``."""
+    stop = _list(_sw.load("english"))
+    return f"""
+np AS (SELECT pool, count(*) AS n_docs FROM {src} GROUP BY pool),
+tk AS (SELECT doc_id, pool, list_filter(regexp_extract_all(lower({_clean('text')}), '[a-z0-9]{{2,}}'),
+                                   lambda t: NOT list_contains({stop}, t)) AS toks FROM {src}),
+grams AS (SELECT pool, doc_id, 1 AS n, unnest(toks) AS phrase FROM tk
+          UNION ALL
+          SELECT pool, doc_id, 2 AS n, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))
+          FROM tk),
+cnt AS (SELECT pool, doc_id, n, phrase, count(*) AS tf FROM grams GROUP BY pool, doc_id, n, phrase),
+dfq AS (SELECT pool, phrase, count(*) AS df FROM cnt GROUP BY pool, phrase),
+sc AS (SELECT c.*, round(c.tf * (ln((1.0::DOUBLE + np.n_docs) / (1.0::DOUBLE + dfq.df)) + 1.0::DOUBLE), 9) AS score
+       FROM cnt c JOIN dfq USING (pool, phrase) JOIN np USING (pool)),
+top AS (SELECT pool, doc_id, n, phrase, tf, score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY score DESC, phrase) AS rank FROM sc)
+        WHERE rank <= {top} AND length(phrase) BETWEEN 2 AND 50 AND NOT list_contains({_list(_tx.STOP_PHRASES)}, phrase)),
+cls0 AS (SELECT DISTINCT pool, phrase FROM top),
+cls1 AS (SELECT pool, phrase, {_canon('phrase')} AS st FROM cls0),
+cls AS (SELECT pool, phrase, 'hard_skill' AS category,
+               array_to_string(list_filter(st, lambda x, i: i = 1 OR x <> st[i - 1]), ' ') AS canonical FROM cls1),
+recs AS (SELECT pool, canonical, first(category ORDER BY phrase) AS category,
+                first(phrase ORDER BY length(phrase) DESC, phrase) AS display
+         FROM cls WHERE category <> 'noise' GROUP BY pool, canonical),
+held AS (SELECT DISTINCT t.pool, t.doc_id, t.phrase, c.canonical FROM top t JOIN cls c USING (pool, phrase)),
+mem AS (SELECT pool, doc_id, canonical AS kw FROM held UNION SELECT pool, doc_id, phrase AS kw FROM held),
+share AS (SELECT m.pool, m.kw, count(DISTINCT m.doc_id) AS raw_count FROM mem m
+          SEMI JOIN recs r ON m.pool = r.pool AND m.kw = r.canonical GROUP BY m.pool, m.kw),
+mk AS (SELECT r.pool, r.canonical AS keyword, r.display, r.category,
+              {_rhu('s.raw_count / np.n_docs', 3)} AS frequency, s.raw_count,
+              CASE WHEN s.raw_count / np.n_docs >= 0.6::DOUBLE THEN 'critical'
+                   WHEN s.raw_count / np.n_docs >= 0.3::DOUBLE THEN 'recommended' ELSE 'nice_to_have' END AS tier
+       FROM recs r JOIN share s ON r.pool = s.pool AND r.canonical = s.kw JOIN np ON r.pool = np.pool
+       WHERE s.raw_count / np.n_docs >= 0.1::DOUBLE)"""
+
+
+_DOCS_SRC = "src AS (SELECT doc_id, source AS pool, text FROM documents),"
+_BENCH_SRC = "src AS (SELECT item_id AS doc_id, 'benchmark' AS pool, text FROM benchmark),"
+
+ORACLE["phrase_topn"] = "WITH " + _DOCS_SRC + keyword_ctes("src") + "\nSELECT * FROM top"
+ORACLE["doc_frequency"] = ("WITH " + _DOCS_SRC + keyword_ctes("src")
+                           + "\nSELECT pool, phrase, count(DISTINCT doc_id) AS n_docs FROM top GROUP BY pool, phrase")
+ORACLE["market_keywords"] = "WITH " + _DOCS_SRC + keyword_ctes("src") + "\nSELECT * FROM mk"
+
+
+def _coverage_ctes(text_expr: str = "text") -> str:
+    return ("\ncd AS (SELECT doc_id, source, " + text_expr + " AS text FROM documents),"
+            """
+cm AS (SELECT cd.doc_id, k.tier, k.display,
+              (coalesce(k.keyword, '') <> '' AND contains(regexp_replace(lower(coalesce(cd.text, '')), '\\s+', ' ', 'g'), lower(k.keyword)))
+              OR (coalesce(k.display, '') <> '' AND contains(regexp_replace(lower(coalesce(cd.text, '')), '\\s+', ' ', 'g'), lower(k.display)))
+                AS hit
+       FROM cd, mk k),
+tiers AS (SELECT unnest(['critical', 'recommended', 'nice_to_have', 'all']) AS tier),
+cper AS (SELECT d.doc_id, t.tier, count(cm.display) AS n_terms, count(*) FILTER (WHERE cm.hit) AS n_hits,
+                coalesce(array_to_string(list_sort(list(cm.display) FILTER (WHERE cm.hit)), '|'), '') AS hits,
+                coalesce(array_to_string(list_sort(list(cm.display) FILTER (WHERE NOT cm.hit)), ', '), '') AS misses
+         FROM (SELECT doc_id FROM cd) d CROSS JOIN tiers t
+         LEFT JOIN cm ON cm.doc_id = d.doc_id AND (t.tier = 'all' OR cm.tier = t.tier)
+         GROUP BY d.doc_id, t.tier),
+cov AS (SELECT *, CASE WHEN n_terms = 0 THEN 1.0::DOUBLE ELSE """ + _rhu("n_hits / n_terms", 4) + """ END AS coverage
+        FROM cper)""")
+
+
+ORACLE["keyword_coverage"] = ("WITH " + _BENCH_SRC + keyword_ctes("src") + "," + _coverage_ctes()
+                              + "\nSELECT doc_id, tier, n_terms, n_hits, coverage, hits FROM cov")
+
+ORACLE["coverage_rollup"] = ("WITH " + _BENCH_SRC + keyword_ctes("src") + "," + _coverage_ctes() + """
+SELECT d.source, c.tier, CAST(GROUPING(d.source, c.tier) AS INTEGER) AS level, count(DISTINCT c.doc_id) AS n_docs,
+       sum(c.n_hits) AS n_hits, sum(c.n_terms) AS n_terms,
+       round(sum(c.n_hits) / nullif(sum(c.n_terms), 0), 6) AS hit_rate
+FROM cov c JOIN documents d ON c.doc_id = d.doc_id
+WHERE c.tier <> 'all'
+GROUP BY ROLLUP (d.source, c.tier)""")
+
+ORACLE["keyword_gap"] = "WITH " + _BENCH_SRC + keyword_ctes("src") + """,
+cv AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS blob FROM conversations WHERE role = 'user'
+       GROUP BY conv_id),
+ct AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(coalesce(blob, '')), """ + _q(_tx.TOKEN_PATTERN) + """)) AS tokens
+       FROM cv),
+g AS (SELECT ct.conv_id, k.keyword,
+             CASE WHEN len(list_filter(ct.tokens, lambda t: contains(t, k.keyword) OR contains(t, lower(k.display)))) > 0
+                  THEN 'already_have' WHEN k.tier = 'critical' THEN 'must_add' ELSE 'should_emphasize' END AS bucket
+      FROM ct, mk k)
+SELECT conv_id, count(*) FILTER (WHERE bucket = 'already_have') AS n_already_have,
+       count(*) FILTER (WHERE bucket = 'must_add') AS n_must_add,
+       count(*) FILTER (WHERE bucket = 'should_emphasize') AS n_should_emphasize,
+       coalesce(array_to_string(list_sort(list(keyword) FILTER (WHERE bucket = 'must_add')), '|'), '') AS must_add
+FROM g GROUP BY conv_id"""
+
+
+def _format_sql(paras: str, n_tables: str, n_images: str, header: str, footer: str, n_fonts: str) -> str:
+    heads = _list([h.lower() for h in _tx.STANDARD_HEADINGS])
+    tl = f"lower(array_to_string({paras}, chr(10)))"
+    n_par = f"len(list_filter({paras}, lambda p: {_pytrim('p')} <> ''))"
+    head = f"array_to_string(list_slice({paras}, 1, 6), chr(10))"
+    checks = {
+        "no_tables": f"({n_tables}) = 0",
+        "no_images": f"({n_images}) = 0",
+        "no_headers_footers": f"NOT ({_pytrim(header)} <> '' OR {_pytrim(footer)} <> '')",
+        "standard_headings": f"len(list_filter({heads}, lambda h: contains({tl}, h))) >= 3",
+        "single_font": f"({n_fonts}) <= 1",
+        "reasonable_length": f"({n_par}) BETWEEN 15 AND 120",
+        "has_email": f"regexp_matches({head}, {_q(_tx.EMAIL_PATTERN)})",
+        "has_phone": f"regexp_matches({head}, {_q(_tx.LOOSE_PHONE_PATTERN)})",
+    }
+    return checks
+
+
+_LAY = """
+lay AS (SELECT page_id, coalesce(html, '') AS h,
+               list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<p[^>]*>(.*?)</p>', 1),
+                              lambda p: trim(regexp_replace(regexp_replace(p, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS paras
+        FROM pages),
+lay2 AS (SELECT page_id, paras,
+                len(regexp_extract_all(h, '(?i)<table[\\s>]')) AS n_tables,
+                len(regexp_extract_all(h, '(?i)<img[\\s>/]')) AS n_images,
+                trim(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<header[^>]*>(.*?)</header>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS header_text,
+                trim(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<footer[^>]*>(.*?)</footer>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS footer_text,
+                len(list_distinct(list_transform(regexp_extract_all(h, '(?i)font-family\\s*:\\s*([^;"''}]+)', 1), lambda f: trim(f)))) AS n_fonts
+         FROM lay)"""
+
+_FC = _format_sql("paras", "n_tables", "n_images", "header_text", "footer_text", "n_fonts")
+_NOTES = ("(CASE WHEN NOT (" + _FC["no_tables"] + ") THEN 1 ELSE 0 END + CASE WHEN NOT (" + _FC["no_images"]
+          + ") THEN 1 ELSE 0 END + CASE WHEN NOT (" + _FC["no_headers_footers"] + ") THEN 1 ELSE 0 END"
+          + " + CASE WHEN NOT (" + _FC["standard_headings"] + ") THEN 1 ELSE 0 END + CASE WHEN n_fonts > 1 THEN 1 ELSE 0 END"
+          + " + CASE WHEN NOT (" + _FC["reasonable_length"] + ") THEN 1 ELSE 0 END + CASE WHEN NOT (" + _FC["has_email"]
+          + ") THEN 1 ELSE 0 END + CASE WHEN NOT (" + _FC["has_phone"] + ") THEN 1 ELSE 0 END)")
+ORACLE["format_checks"] = ("WITH " + _LAY + "\nSELECT page_id, " + ", ".join(f"{v} AS {k}" for k, v in _FC.items())
+                           + ", CAST(" + _NOTES + " AS BIGINT) AS n_notes, round((" + " + ".join(
+                               f"CASE WHEN {v} THEN 1 ELSE 0 END" for v in _FC.values()) + ") / 8.0::DOUBLE, 6) AS format_score"
+                           + " FROM lay2")
+
+
+def _doc_report_ctes(text_expr: str, sfx: str) -> str:
+    """Coverage, keyword score, format score and overall per document for the text
+    produced by ``text_expr`` (over ``documents``) — CTE names end with ``sfx``."""
+    fc = _format_sql("paras", "0", "0", "''", "''", "0")
+    fscore = "(" + " + ".join(f"CASE WHEN {v} THEN 1 ELSE 0 END" for v in fc.values()) + ") / 8.0::DOUBLE"
+    cov = _coverage_ctes(text_expr).replace(" cd ", f" cd{sfx} ").replace("cd AS", f"cd{sfx} AS").replace(
+        "FROM cd,", f"FROM cd{sfx},").replace("FROM cd)", f"FROM cd{sfx})").replace("cd.", f"cd{sfx}.").replace(
+        "cm AS", f"cm{sfx} AS").replace("cm.", f"cm{sfx}.").replace("JOIN cm ", f"JOIN cm{sfx} ").replace(
+        "tiers AS", f"tiers{sfx} AS").replace("JOIN tiers ", f"JOIN tiers{sfx} ").replace(
+        "cper AS", f"cper{sfx} AS").replace("FROM cper", f"FROM cper{sfx}").replace("cov AS", f"cov{sfx} AS")
+    return cov + f""",
+ks{sfx} AS (SELECT doc_id, coalesce(sum(CASE WHEN n_terms > 0 THEN (CASE tier WHEN 'critical' THEN 0.6::DOUBLE
+                       WHEN 'recommended' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END) ELSE 0.0::DOUBLE END * coverage)
+                   / sum(CASE WHEN n_terms > 0 THEN (CASE tier WHEN 'critical' THEN 0.6::DOUBLE
+                       WHEN 'recommended' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END) ELSE 0.0::DOUBLE END), 0.0::DOUBLE) AS keyword_score
+        FROM cov{sfx} WHERE tier <> 'all' GROUP BY doc_id),
+fm{sfx} AS (SELECT doc_id, {fscore} AS format_score
+        FROM (SELECT doc_id, {_lines(text_expr)} AS paras FROM documents)),
+rep{sfx} AS (SELECT k.doc_id, k.keyword_score, f.format_score,
+               {_rhu('100.0::DOUBLE * (0.7::DOUBLE * k.keyword_score + 0.3::DOUBLE * f.format_score)', 1)} AS overall
+        FROM ks{sfx} k JOIN fm{sfx} f ON k.doc_id = f.doc_id)"""
+
+
+ORACLE["doc_overall"] = ("WITH " + _BENCH_SRC + keyword_ctes("src") + "," + _doc_report_ctes("text", "")
+                         + "\nSELECT doc_id, round(keyword_score, 6) AS keyword_score, round(format_score, 6) AS format_score,"
+                         + " overall FROM rep")
+
+_AFTER_TEXT = ("(text || chr(10) || 'Skills: ' || coalesce((SELECT misses FROM cov WHERE cov.doc_id = documents.doc_id"
+               " AND cov.tier = 'all'), ''))")
+ORACLE["before_after"] = ("WITH " + _BENCH_SRC + keyword_ctes("src") + "," + _doc_report_ctes("text", "") + ","
+                          + _doc_report_ctes(_AFTER_TEXT, "a") + """,
+mb AS (SELECT r.doc_id, 'Coverage: ' || c.tier AS metric, """ + _rhu("c.coverage * 100.0::DOUBLE", 1) + """ AS v
+       FROM rep r JOIN cov c ON r.doc_id = c.doc_id
+       UNION ALL SELECT doc_id, 'Format checks passed', """ + _rhu("100.0::DOUBLE * format_score", 1) + """ FROM rep
+       UNION ALL SELECT doc_id, 'Overall ATS score', overall FROM rep),
+ma AS (SELECT r.doc_id, 'Coverage: ' || c.tier AS metric, """ + _rhu("c.coverage * 100.0::DOUBLE", 1) + """ AS v
+       FROM repa r JOIN cova c ON r.doc_id = c.doc_id
+       UNION ALL SELECT doc_id, 'Format checks passed', """ + _rhu("100.0::DOUBLE * format_score", 1) + """ FROM repa
+       UNION ALL SELECT doc_id, 'Overall ATS score', overall FROM repa)
+SELECT mb.doc_id, mb.metric, mb.v AS before_pct, ma.v AS after_pct, """ + _rhu("ma.v - mb.v", 1) + """ AS delta
+FROM mb JOIN ma ON mb.doc_id = ma.doc_id AND mb.metric = ma.metric""")
