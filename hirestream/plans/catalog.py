@@ -389,3 +389,206 @@ def before_after(spark, sf_dir):
     b = ats.score_documents(d, documents.layout_from_text(d), kw)
     a = ats.score_documents(d2, documents.layout_from_text(d2), kw)
     return ats.before_after(b, a)
+
+
+# ------------------------------------------------------------ applications ----
+
+from ..functions import mail as mailfn  # noqa: E402
+from ..operators import applications as apps  # noqa: E402
+from ..operators import mail  # noqa: E402
+from ..streaming import status_stream  # noqa: E402
+from ..functions.status import current_status, status_rank  # noqa: E402
+
+AS_OF_TEXT = "2001-08-02 00:00:00"
+SNAPSHOT_BEFORE = "1998-01-01"
+BATCH_FROM = "1997-01-01"
+QUEUE_CAP = 2
+
+
+def _app_rows(spark, sf_dir, batch: bool):
+    """Applications bound to orders: the snapshot holds orders before 1998, the new
+    batch orders from 1997 (overlap = refreshed rows)."""
+    p = T.postings(spark, sf_dir)
+    posted = F.timestamp_seconds(F.col("job_posted_at_timestamp"))
+    day = F.date_format(posted, "yyyy-MM-dd")
+    p = p.filter(day >= BATCH_FROM) if batch else p.filter(day < SNAPSHOT_BEFORE)
+    jid = F.col("job_id")
+    o_status = F.when(F.col("job_salary_period") == "monthly", "applied").when(
+        F.col("job_salary_period") == "yearly", "queued").otherwise("")
+    if batch:
+        title = F.when(jid % 2 == 0, F.concat(F.col("job_title"), F.lit(" II"))).otherwise(F.col("job_title"))
+        link = F.when(jid % 4 == 0, F.lit("")).otherwise(F.concat(F.col("job_apply_link"), F.lit("?v=2")))
+        status, queued_at, applied_at = F.lit("queued"), F.lit(""), F.lit("")
+        art = F.when(jid % 5 == 0, F.concat(F.lit("artifacts/v2/"), jid.cast("string"))).otherwise(F.lit(""))
+    else:
+        title, link, status = F.col("job_title"), F.col("job_apply_link"), o_status
+        queued_at = F.date_format(posted, apps.TIME_FORMAT)
+        applied_at = F.when(o_status == "applied", F.date_format(posted + F.expr("INTERVAL 1 DAY"),
+                                                                 apps.TIME_FORMAT)).otherwise(F.lit(""))
+        art = F.when(jid % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("artifacts/"), jid.cast("string")))
+    days = days_whole(T.AS_OF_EPOCH, F.col("job_posted_at_timestamp")).cast("double")
+    return p.select(jid.cast("string").alias("job_id"), F.lit("orders").alias("source"),
+                    F.col("employer_name").alias("company"), title.alias("title"),
+                    F.col("job_city").alias("location"), days.alias("posted_days_ago"),
+                    F.lit(None).cast("double").alias("salary_mid_lpa"), F.lit(None).cast("double").alias("fit_score"),
+                    F.lit(None).cast("double").alias("composite_score"), link.alias("apply_link"),
+                    status.alias("status"), queued_at.alias("queued_at"), applied_at.alias("applied_at"),
+                    F.lit("").alias("last_response_at"), F.lit("").alias("last_response_summary"),
+                    art.alias("artifact_dir"), F.lit("").alias("notes"))
+
+
+@query("app_upsert")
+def app_upsert(spark, sf_dir):
+    return apps.upsert(_app_rows(spark, sf_dir, False), _app_rows(spark, sf_dir, True), as_of_text=AS_OF_TEXT)
+
+
+@query("app_status_counts")
+def app_status_counts(spark, sf_dir):
+    return apps.status_counts(app_upsert(spark, sf_dir))
+
+
+def _status_updates(spark, sf_dir):
+    """Status changes bound to line items: R -> rejected (with a response), A ->
+    applied, N -> an invalid status (rejected by validation)."""
+    li = T.read(spark, sf_dir, "lineitem")
+    st = (F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "A", "applied")
+          .otherwise("viewd"))
+    resp = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("rejected: line "), F.col("l_linenumber").cast("string")))
+    notes = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("shipped "), F.col("l_linenumber").cast("string"))) \
+        .otherwise(F.lit(""))
+    return li.select(F.col("l_orderkey").cast("string").alias("job_id"), st.alias("status"),
+                     F.col("l_shipdate").alias("at"), resp.alias("response_summary"), notes.alias("notes"),
+                     F.col("l_linenumber").cast("long").alias("seq"))
+
+
+@query("status_update")
+def status_update(spark, sf_dir):
+    out, _ = apps.set_status(app_upsert(spark, sf_dir), _status_updates(spark, sf_dir))
+    return out.select("job_id", "status", "applied_at", "last_response_at", "last_response_summary", "notes")
+
+
+@query("apply_queue")
+def apply_queue(spark, sf_dir):
+    return apps.queue_decisions(app_upsert(spark, sf_dir), daily_cap=QUEUE_CAP)
+
+
+@query("apply_queue_counts")
+def apply_queue_counts(spark, sf_dir):
+    return apps.decision_counts(apps.queue_decisions(app_upsert(spark, sf_dir), daily_cap=QUEUE_CAP))
+
+
+@query("watch_set")
+def watch_set(spark, sf_dir):
+    w = apps.watch_set(app_upsert(spark, sf_dir))
+    return w.select("job_id", "company", "status")
+
+
+# ------------------------------------------------------------------- mail ----
+
+# Binding rule table: evidence words frequent in the test conversations, one per
+# label, so that precedence decides between several matches.
+BINDING_RULES = [("offer", "that", 0.9), ("interviewing", "from", 0.8),
+                 ("screening", "with", 0.7), ("viewed", "this", 0.6),
+                 ("rejected", "tion", 0.5)]
+EVENT_LABELS = {"view": "viewed", "signup": "applied", "click": "screening",
+                "purchase": "offer", "error": "rejected"}
+
+
+@query("mail_labels")
+def mail_labels(spark, sf_dir):
+    cv = T.read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    m = mail.label_messages(cv.select("conv_id", "turn", F.col("text").alias("body")), rules=BINDING_RULES)
+    return m.select("conv_id", "turn", "label", "confidence", "evidence_snippet")
+
+
+@query("company_match")
+def company_match(spark, sf_dir):
+    """Every part's brand as a verdict company against the known brands, ordered
+    by first appearance (lowest part key)."""
+    pt = T.read(spark, sf_dir, "part")
+    verdicts = pt.select(F.col("p_brand").alias("matched_company"))
+    known = pt.select(F.col("p_brand").alias("company"), F.col("p_partkey").alias("company_order"))
+    return mail.match_companies(verdicts, known)
+
+
+def _messages(spark, sf_dir):
+    """Messages bound to conversations: headers (with a duplicate ``from`` whose
+    last value wins) and base64url parts (plain text for even turns, HTML for odd)."""
+    cv = T.read(spark, sf_dir, "conversations")
+    enc = F.translate(F.regexp_replace(F.base64(F.encode(F.col("text"), "UTF-8")), "[\\r\\n=]", ""), "+/", "-_")
+    html = F.translate(F.regexp_replace(F.base64(F.encode(
+        F.concat(F.lit("<html><style>p{}</style><p>"), F.col("text"), F.lit("</p></html>")), "UTF-8")), "[\\r\\n=]", ""),
+        "+/", "-_")
+    parts = F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.lit("text/plain").alias("mime"), enc.alias("data")))) \
+        .otherwise(F.array(F.struct(F.lit("text/html").alias("mime"), html.alias("data"))))
+    headers = F.array(
+        F.struct(F.lit("From").alias("name"), F.lit("first@example.org").alias("value")),
+        F.struct(F.lit("Subject").alias("name"), F.substring(F.col("text"), 1, 30).alias("value")),
+        F.struct(F.lit("FROM").alias("name"), F.concat(F.col("role"), F.lit("@example.org")).alias("value")))
+    return cv.select("conv_id", "turn", headers.alias("headers"), parts.alias("parts"))
+
+
+@query("mail_decode")
+def mail_decode(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    h = mailfn.headers_map(F.col("headers"))
+    return m.select("conv_id", "turn", F.element_at(h, F.lit("from")).alias("from_address"),
+                    F.element_at(h, F.lit("subject")).alias("subject"),
+                    mailfn.body_text(F.col("parts")).alias("body"))
+
+
+def _event_messages(spark, sf_dir):
+    ev = T.read(spark, sf_dir, "events")
+    lab = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_LABELS.items() for x in kv]), F.col("event_type"))
+    return ev.select(F.col("user_id").alias("job_id"), lab.alias("label"), F.col("ts").alias("received_at"),
+                     F.col("event_id").alias("msg_id"))
+
+
+def _event_applications(spark, sf_dir):
+    ev = T.read(spark, sf_dir, "events")
+    return ev.select(F.col("user_id").alias("job_id")).distinct().withColumn(
+        "status", F.when(F.col("job_id") % 4 == 0, "screening").otherwise("applied"))
+
+
+@query("status_fold")
+def status_fold(spark, sf_dir):
+    return mail.fold_statuses(_event_applications(spark, sf_dir), _event_messages(spark, sf_dir))
+
+
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+@query("status_fold_stream")
+def status_fold_stream(spark, sf_dir):
+    """The same fold as ``status_fold`` driven as a stream over the events file."""
+    src = status_stream.message_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
+    lab = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_LABELS.items() for x in kv]), F.col("event_type"))
+    msgs = src.select(F.col("user_id").alias("job_id"), lab.alias("label"), "ts", F.col("event_id").alias("msg_id"))
+    msgs = status_stream.dedupe_messages(msgs, id_col="msg_id", time_col="ts", lookback="7 days")
+    msgs = msgs.observe("poll", F.count(F.lit(1)).alias("checked"))
+    appl = _event_applications(spark, sf_dir)
+    agg = status_stream.fold_stream(msgs, appl, key_col="job_id", label_col="label", id_col="msg_id")
+    sink, _ = status_stream.run_available_now(agg, "status_fold", mode="complete")
+    res = spark.read.parquet(sink)
+    a = appl.select(F.col("job_id").alias("_k"), current_status(F.col("status"), "applied").alias("start_status"))
+    out = a.join(res, "_k", "left")
+    return out.select(
+        F.col("_k").alias("job_id"), "start_status",
+        F.coalesce(F.col("best.status"), F.col("start_status")).alias("status"),
+        F.coalesce(F.col("best.rank"), status_rank(F.col("start_status"))).alias("status_rank"),
+        F.unix_micros(F.col("best.ts")).alias("advanced_at_us"),
+        F.coalesce(F.col("n_messages"), F.lit(0)).cast("long").alias("n_messages"),
+        F.coalesce(F.col("n_candidates"), F.lit(0)).cast("long").alias("n_candidates"))
+
+
+@query("msg_dedup_stream")
+def msg_dedup_stream(spark, sf_dir):
+    """The events file read by two sources (a replay) and de-duplicated on the
+    message id within the watermark; every message survives exactly once."""
+    a = status_stream.message_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
+    b = status_stream.message_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
+    u = a.unionByName(b)
+    d = status_stream.dedupe_messages(u, id_col="event_id", time_col="ts", lookback="7 days")
+    sink, _ = status_stream.run_available_now(d.select("event_id", "user_id", "event_type"), "msg_dedup",
+                                              mode="append")
+    return spark.read.parquet(sink)

@@ -21,7 +21,7 @@ postings AS (
          CAST(o.o_orderkey % 400 AS INTEGER) AS _applicant_count,
          'https://jobs.example.org/' || CAST(o.o_orderkey AS VARCHAR) AS job_apply_link,
          lower(c.c_mktsegment) AS pool,
-         o.o_orderkey AS _ord
+         o.o_orderkey AS _ord, o.o_orderdate AS _posted
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 )"""
@@ -557,3 +557,152 @@ ma AS (SELECT r.doc_id, 'Coverage: ' || c.tier AS metric, """ + _rhu("c.coverage
        UNION ALL SELECT doc_id, 'Overall ATS score', overall FROM repa)
 SELECT mb.doc_id, mb.metric, mb.v AS before_pct, ma.v AS after_pct, """ + _rhu("ma.v - mb.v", 1) + """ AS delta
 FROM mb JOIN ma ON mb.doc_id = ma.doc_id AND mb.metric = ma.metric""")
+
+
+# ============================================================ batch 3 =========
+from ..functions.status import STATUS_RANK as _RANK, VALID_STATUSES as _VALID  # noqa: E402
+from ..operators.applications import APPLICATION_COLUMNS as _APP_COLS  # noqa: E402
+from ..functions.status import PROTECTED_COLUMNS as _PROT  # noqa: E402
+
+_FMT = "'%Y-%m-%d %H:%M:%S'"
+
+
+def _app_rows_sql(batch: bool) -> str:
+    cond = "strftime(_posted, '%Y-%m-%d') >= '1997-01-01'" if batch else "strftime(_posted, '%Y-%m-%d') < '1998-01-01'"
+    o_status = "CASE job_salary_period WHEN 'monthly' THEN 'applied' WHEN 'yearly' THEN 'queued' ELSE '' END"
+    if batch:
+        title = "CASE WHEN job_id % 2 = 0 THEN job_title || ' II' ELSE job_title END"
+        link = "CASE WHEN job_id % 4 = 0 THEN '' ELSE job_apply_link || '?v=2' END"
+        status, qa, aa = "'queued'", "''", "''"
+        art = "CASE WHEN job_id % 5 = 0 THEN 'artifacts/v2/' || CAST(job_id AS VARCHAR) ELSE '' END"
+    else:
+        title, link, status = "job_title", "job_apply_link", o_status
+        qa = f"strftime(_posted, {_FMT})"
+        aa = f"CASE WHEN {o_status} = 'applied' THEN strftime(_posted + INTERVAL 1 DAY, {_FMT}) ELSE '' END"
+        art = "CASE WHEN job_id % 3 = 0 THEN '' ELSE 'artifacts/' || CAST(job_id AS VARCHAR) END"
+    return f"""SELECT CAST(job_id AS VARCHAR) AS job_id, 'orders' AS source, employer_name AS company, {title} AS title,
+         job_city AS location,
+         CAST(floor(({AS_OF_EPOCH} - job_posted_at_timestamp) / 86400.0::DOUBLE) AS DOUBLE) AS posted_days_ago,
+         NULL::DOUBLE AS salary_mid_lpa, NULL::DOUBLE AS fit_score, NULL::DOUBLE AS composite_score,
+         {link} AS apply_link, {status} AS status, {qa} AS queued_at, {aa} AS applied_at,
+         '' AS last_response_at, '' AS last_response_summary, {art} AS artifact_dir, '' AS notes
+  FROM postings WHERE {cond}"""
+
+
+def _upsert_select() -> str:
+    out = []
+    for c in _APP_COLS:
+        if c == "job_id":
+            out.append("coalesce(s.job_id, b.job_id) AS job_id")
+        elif c == "queued_at":
+            out.append("CASE WHEN s.job_id IS NULL THEN coalesce(nullif(b.queued_at, ''), '2001-08-02 00:00:00')"
+                       " ELSE s.queued_at END AS queued_at")
+        elif c in _PROT:
+            out.append(f"CASE WHEN s.job_id IS NULL THEN b.{c} ELSE s.{c} END AS {c}")
+        else:
+            out.append(f"CASE WHEN s.job_id IS NULL THEN b.{c} WHEN b.job_id IS NOT NULL AND NOT (b.{c} IS NULL OR "
+                       f"CAST(b.{c} AS VARCHAR) = '') THEN b.{c} ELSE s.{c} END AS {c}")
+    return ",\n       ".join(out)
+
+
+_UPSERT_CTE = ("WITH " + POSTINGS_CTE + ",\nsnap AS (" + _app_rows_sql(False) + "),\nbat AS (" + _app_rows_sql(True)
+               + "),\nups AS (SELECT " + _upsert_select() + "\n  FROM snap s FULL OUTER JOIN bat b ON s.job_id = b.job_id)")
+_CUR = "coalesce(CASE WHEN trim(status) <> '' THEN lower(trim(status)) END, 'queued')"
+
+ORACLE["app_upsert"] = _UPSERT_CTE + "\nSELECT * FROM ups"
+ORACLE["app_status_counts"] = (_UPSERT_CTE + "\nSELECT " + _CUR + " AS status, count(*) AS n_applications FROM ups"
+                               " GROUP BY 1")
+ORACLE["watch_set"] = (_UPSERT_CTE + "\nSELECT job_id, company, status FROM ups"
+                       " WHERE coalesce(status, '') NOT IN ('', 'queued', 'skipped')")
+
+ORACLE["status_update"] = _UPSERT_CTE + """,
+up AS (SELECT CAST(l_orderkey AS VARCHAR) AS job_id,
+              CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'applied' ELSE 'viewd' END AS status,
+              l_shipdate AS at_ts,
+              CASE WHEN l_returnflag = 'R' THEN 'rejected: line ' || CAST(l_linenumber AS VARCHAR) END AS response_summary,
+              CASE WHEN l_linestatus = 'F' THEN 'shipped ' || CAST(l_linenumber AS VARCHAR) ELSE '' END AS notes,
+              CAST(l_linenumber AS BIGINT) AS seq
+       FROM lineitem),
+v AS (SELECT * FROM up WHERE status IN """ + "(" + ", ".join(_q(x) for x in _VALID) + ")" + """),
+agg AS (SELECT job_id, arg_max(status, {'a': at_ts, 's': seq}) AS u_status,
+               max(CASE WHEN status = 'applied' THEN at_ts END) AS u_applied_at,
+               arg_max(at_ts, {'a': at_ts, 's': seq}) FILTER (WHERE response_summary IS NOT NULL) AS u_resp_at,
+               arg_max(response_summary, {'a': at_ts, 's': seq}) FILTER (WHERE response_summary IS NOT NULL) AS u_resp,
+               arg_max(notes, {'a': at_ts, 's': seq}) FILTER (WHERE NOT (notes IS NULL OR notes = '')) AS u_notes
+        FROM v GROUP BY job_id)
+SELECT u.job_id, CASE WHEN a.u_status IS NOT NULL THEN a.u_status ELSE u.status END AS status,
+       coalesce(strftime(a.u_applied_at, """ + _FMT + """), u.applied_at) AS applied_at,
+       coalesce(strftime(a.u_resp_at, """ + _FMT + """), u.last_response_at) AS last_response_at,
+       coalesce(substr(a.u_resp, 1, 400), u.last_response_summary) AS last_response_summary,
+       coalesce(substr(a.u_notes, 1, 400), u.notes) AS notes
+FROM ups u LEFT JOIN agg a ON u.job_id = a.job_id"""
+
+_QUEUE = _UPSERT_CTE + """,
+q AS (SELECT *, substr(queued_at, 1, 10) AS queue_day FROM ups WHERE """ + _CUR + """ = 'queued'),
+el AS (SELECT * FROM q WHERE NOT (artifact_dir IS NULL OR artifact_dir = '')),
+cap AS (SELECT job_id FROM (SELECT job_id, row_number() OVER (PARTITION BY queue_day ORDER BY queued_at, job_id) AS rn
+                            FROM el) WHERE rn <= 2),
+dec AS (SELECT q.job_id, q.queue_day,
+               CASE WHEN (q.artifact_dir IS NULL OR q.artifact_dir = '') THEN 'skipped_no_artifacts'
+                    WHEN cap.job_id IS NOT NULL THEN 'submitted' ELSE 'deferred' END AS action
+        FROM q LEFT JOIN cap ON q.job_id = cap.job_id)"""
+ORACLE["apply_queue"] = _QUEUE + "\nSELECT * FROM dec"
+ORACLE["apply_queue_counts"] = _QUEUE + "\nSELECT action, count(*) AS n FROM dec GROUP BY action"
+
+
+def _mail_rules_sql(rules, body: str):
+    lab = " ".join(f"WHEN regexp_matches({body}, {_q(p)}) THEN {_q(l)}" for l, p, _ in rules)
+    conf = " ".join(f"WHEN regexp_matches({body}, {_q(p)}) THEN {float(c)}::DOUBLE" for l, p, c in rules)
+    ev = " ".join(f"WHEN regexp_matches({body}, {_q(p)}) THEN substr(regexp_extract({body}, {_q(p)}, 0), 1, 200)"
+                  for l, p, _ in rules)
+    return (f"CASE {lab} ELSE 'irrelevant' END", f"CASE {conf} ELSE 0.0::DOUBLE END", f"CASE {ev} ELSE '' END")
+
+
+def _binding_rules():
+    from .catalog import BINDING_RULES
+    return BINDING_RULES
+
+
+_lab, _conf, _ev = _mail_rules_sql(
+    [("offer", "that", 0.9), ("interviewing", "from", 0.8), ("screening", "with", 0.7),
+     ("viewed", "this", 0.6), ("rejected", "tion", 0.5)], "coalesce(text, '')")
+ORACLE["mail_labels"] = (f"SELECT conv_id, turn, {_lab} AS label, {_conf} AS confidence, {_ev} AS evidence_snippet"
+                         " FROM conversations WHERE role = 'user'")
+
+ORACLE["company_match"] = """
+WITH v AS (SELECT DISTINCT lower(trim(p_brand)) AS verdict FROM part WHERE lower(trim(p_brand)) <> ''),
+k AS (SELECT lower(trim(p_brand)) AS company, min(p_partkey) AS ord FROM part WHERE lower(trim(p_brand)) <> ''
+      GROUP BY 1),
+c AS (SELECT v.verdict, k.company, k.ord FROM v JOIN k ON contains(v.verdict, k.company) OR contains(k.company, v.verdict))
+SELECT verdict, first(company ORDER BY ord, company) AS company FROM c GROUP BY verdict"""
+
+ORACLE["mail_decode"] = """
+SELECT conv_id, turn, role || '@example.org' AS from_address, substr(text, 1, 30) AS subject,
+       CASE WHEN turn % 2 = 0 THEN coalesce(text, '')
+            ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                   '<html><style>p{}</style><p>' || text || '</p></html>',
+                   '(?i)<script[\\s\\S]*?</script>', ' ', 'g'), '(?i)<style[\\s\\S]*?</style>', ' ', 'g'),
+                   '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) END AS body
+FROM conversations"""
+
+_RK = "CASE {x} " + " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in _RANK.items()) + " ELSE -2 END"
+_FOLD = """
+WITH ev AS (SELECT user_id AS job_id,
+                   CASE event_type WHEN 'view' THEN 'viewed' WHEN 'signup' THEN 'applied' WHEN 'click' THEN 'screening'
+                                   WHEN 'purchase' THEN 'offer' WHEN 'error' THEN 'rejected' END AS label,
+                   ts, event_id AS msg_id FROM events),
+ap AS (SELECT DISTINCT user_id AS job_id, CASE WHEN user_id % 4 = 0 THEN 'screening' ELSE 'applied' END AS start_status
+       FROM events),
+j AS (SELECT ev.*, ap.start_status, """ + _RK.format(x="ev.label") + """ AS r, """ + _RK.format(x="ap.start_status") + """ AS r0
+      FROM ev JOIN ap ON ev.job_id = ap.job_id),
+agg AS (SELECT job_id, max(CASE WHEN r > r0 THEN {'r': r, 'nts': -epoch_us(ts), 'nid': -msg_id, 'st': label, 'ts': ts} END) AS best,
+               count(*) AS n_messages, count(CASE WHEN r > r0 THEN 1 END) AS n_candidates
+        FROM j GROUP BY job_id)
+SELECT ap.job_id, ap.start_status, coalesce(agg.best.st, ap.start_status) AS status,
+       coalesce(agg.best.r, """ + _RK.format(x="ap.start_status") + """) AS status_rank,
+       epoch_us(agg.best.ts) AS advanced_at_us, coalesce(agg.n_messages, 0) AS n_messages,
+       coalesce(agg.n_candidates, 0) AS n_candidates
+FROM ap LEFT JOIN agg ON ap.job_id = agg.job_id"""
+ORACLE["status_fold"] = _FOLD
+ORACLE["status_fold_stream"] = _FOLD
+ORACLE["msg_dedup_stream"] = "SELECT event_id, user_id, event_type FROM events"
