@@ -26,11 +26,21 @@ TOKEN_RE = "[a-z0-9]{2,}"
 # -----------------------------------------------------------------------------
 
 
+def stopword_pattern() -> str:
+    """One regex matching any stop word as a whole token (a token is a maximal run of
+    ``[a-z0-9]``), built from the list; longest words first."""
+    words = sorted(stopwords.load("english"), key=lambda w: (-len(w), w))
+    return "(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])"
+
+
 def doc_tokens(docs: DataFrame, text_col: str = "text") -> Column:
-    """K2 tokens: cleaned (R1), lower-cased runs of 2+ alphanumerics, stop words removed."""
-    stop = F.array(*[F.lit(w) for w in stopwords.load("english")])
-    toks = F.regexp_extract_all(F.lower(tx.clean_posting_text(F.col(text_col))), F.lit(TOKEN_RE), 0)
-    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
+    """K2 tokens: cleaned (R1), lower-cased runs of 2+ alphanumerics, stop words removed.
+
+    Stop words are blanked out of the text with one regex before tokenising, so
+    the expression has no lambda functions (plans containing it canonicalise
+    equal, which lets Spark reuse its shuffle output)."""
+    low = F.lower(tx.clean_posting_text(F.col(text_col)))
+    return F.regexp_extract_all(F.regexp_replace(low, stopword_pattern(), " "), F.lit(TOKEN_RE), 0)
 
 
 def phrase_counts(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "pool",
@@ -40,14 +50,13 @@ def phrase_counts(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "p
     toks = doc_tokens(docs, text_col)
     base = docs.select(F.col(pool_col).alias("pool"), F.col(id_col).alias("doc_id"), toks.alias("toks"))
     tail = F.slice(F.col("toks"), 2, F.greatest(F.size("toks"), F.lit(1)))
-    bigrams = F.filter(F.zip_with(F.col("toks"), tail,
-                                  lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))),
-                       lambda x: x.isNotNull())
-    grams = F.concat(F.transform(F.col("toks"), lambda t: F.struct(F.lit(1).alias("n"), t.alias("phrase"))),
-                     F.transform(bigrams, lambda t: F.struct(F.lit(2).alias("n"), t.alias("phrase"))))
-    return (base.select("pool", "doc_id", F.explode(grams).alias("g"))
-            .groupBy("pool", "doc_id", F.col("g.n").alias("n"), F.col("g.phrase").alias("phrase"))
-            .agg(F.count(F.lit(1)).alias("tf")))
+    pairs = base.select("pool", "doc_id", F.explode(F.arrays_zip(F.col("toks").alias("a"), tail.alias("b"))).alias("p"))
+    grams = pairs.select("pool", "doc_id", F.inline(F.array(
+        F.struct(F.lit(1).alias("n"), F.col("p.a").alias("phrase")),
+        F.struct(F.lit(2).alias("n"), F.when(F.col("p.b").isNotNull(),
+                                             F.concat_ws(" ", F.col("p.a"), F.col("p.b"))).alias("phrase")))))
+    return (grams.filter(F.col("phrase").isNotNull())
+            .groupBy("pool", "doc_id", "n", "phrase").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def docs_per_pool(docs: DataFrame, pool_col: str = "pool") -> DataFrame:

@@ -46,3 +46,18 @@ def literal_table(spark, rows: list[tuple], schema: str) -> DataFrame:
 def null_last(c: Column) -> Column:
     """Sort helper: ``(is_null, value)`` as a struct field pair for ``min(struct)``."""
     return F.struct(c.isNull().alias("n"), c.alias("v"))
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a CPU-heavy input over at least ``min_partitions`` tasks (default: the
+    session's default parallelism).
+
+    Large inputs already arrive as many file splits, so this is a no-op at
+    scale; it only fires when a table is stored in fewer splits than there are
+    cores (a single small file or row group), where per-row text work would
+    otherwise run in one task. Counting partitions is a planning step, not a job.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -24,8 +24,16 @@ LINK_BASE = "https://jobs.example.org/"
 # ------------------------------------------------------------------------------
 
 
+# Tables whose rows carry long text: per-row work on them is CPU-bound.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if name in TEXT_TABLES:
+        from ..plans.strategy import ensure_parallelism
+        df = ensure_parallelism(df)
+    return df
 
 
 def postings(spark: SparkSession, sf_dir: str, with_description: bool = False) -> DataFrame:
