@@ -259,7 +259,7 @@ FENCE_PATTERN = r"(?i)```(?:json)?\s*([\s\S]*?)```"
 def strip_code_fences(c: Column) -> Column:
     """Body of the first fenced block, else the trimmed text."""
     s = _ne(c)
-    return F.when(s.rlike(FENCE_PATTERN), F.trim(F.regexp_extract(s, FENCE_PATTERN, 1))).otherwise(F.trim(s))
+    return F.when(s.rlike(FENCE_PATTERN), pytrim(F.regexp_extract(s, FENCE_PATTERN, 1))).otherwise(pytrim(s))
 
 
 def left(c: Column, n: int) -> Column:
