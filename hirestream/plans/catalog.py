@@ -592,3 +592,176 @@ def msg_dedup_stream(spark, sf_dir):
     sink, _ = status_stream.run_available_now(d.select("event_id", "user_id", "event_type"), "msg_dedup",
                                               mode="append")
     return spark.read.parquet(sink)
+
+
+# ------------------------------------------------------- requests, checks ----
+
+from ..operators import checks, embeddings, requests  # noqa: E402
+from ..sources import postings as postings_src  # noqa: E402
+from ..sources import sinks  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+# Our own request template (the reference's prompt texts are not reproduced).
+KEYWORD_REQUEST_TEMPLATE = ("Classify the key phrases of a {role} posting.\n"
+                            "Return JSON {{\"keywords\": [...]}}.\n---\n{job_description}")
+DESCRIPTION_LIMIT = 6000
+
+
+@query("request_rows")
+def request_rows(spark, sf_dir):
+    """One model request per document, description cut to 6000 chars."""
+    d = T.read(spark, sf_dir, "documents")
+    r = requests.request_rows(d, ["doc_id"], KEYWORD_REQUEST_TEMPLATE,
+                              {"role": F.col("source"), "job_description": F.col("text")},
+                              {"job_description": DESCRIPTION_LIMIT})
+    return r.select("doc_id", "request_key", F.length("prompt").cast("long").alias("prompt_chars"))
+
+
+def _responses(spark, sf_dir):
+    """Landed responses bound to events: clicks arrive fenced, errors truncated."""
+    ev = T.read(spark, sf_dir, "events")
+    raw = (F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
+           .when(F.col("event_type") == "error", F.substring(F.col("props"), 1, 6))
+           .otherwise(F.col("props")))
+    return ev.select("event_id", raw.alias("raw"))
+
+
+@query("response_rows")
+def response_rows(spark, sf_dir):
+    """R16 + N3: fenced or bare JSON responses parsed to typed rows; invalid JSON
+    falls back to NULL fields with ``parsed = false``."""
+    r = _responses(spark, sf_dir)
+    p = requests.parse_json_response(F.col("raw"), "k int")
+    return r.select("event_id", p.getField("k").alias("k"), p.isNotNull().alias("parsed"))
+
+
+def _turn_pairs(spark, sf_dir):
+    """Assistant turns with the user turn just before them (equi-join on conv and turn)."""
+    cv = T.read(spark, sf_dir, "conversations")
+    a = cv.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("rewrite"))
+    u = cv.filter(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"),
+                                                  F.col("text").alias("original"))
+    return a.join(u, ["conv_id", "turn"])
+
+
+@query("rewrite_checks")
+def rewrite_checks(spark, sf_dir):
+    """Q6/Q10: each assistant turn as a rewrite of the previous user turn."""
+    p = _turn_pairs(spark, sf_dir)
+    c = checks.rewrite_checks(F.col("original"), F.col("rewrite"))
+    s = checks.summary_checks(F.col("rewrite"))
+    return p.select("conv_id", "turn", c.getField("bullet_count_ok").alias("bullet_count_ok"),
+                    c.getField("word_range_ok").alias("word_range_ok"), c.getField("numbers_ok").alias("numbers_ok"),
+                    c.getField("no_forbidden").alias("no_forbidden"),
+                    c.getField("no_first_person").alias("no_first_person"),
+                    s.getField("length_ok").alias("summary_length_ok"))
+
+
+@query("grounding_checks")
+def grounding_checks(spark, sf_dir):
+    """Q8/Q9: capitalised words of each assistant turn must occur in the user turn
+    before it; the letter must name the first two words of that turn."""
+    p = _turn_pairs(spark, sf_dir)
+    caps = F.array_distinct(F.filter(F.transform(F.split(F.trim(F.col("rewrite")), r"\s+"),
+                                                 lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")),
+                                     lambda w: w.rlike(r"^\p{Lu}")))
+    ow = checks.words(F.col("original"))
+    letter = checks.letter_checks(F.col("rewrite"), F.coalesce(F.get(ow, 0), F.lit("")),
+                                  F.coalesce(F.get(ow, 1), F.lit("")))
+    return p.select("conv_id", "turn", F.size(caps).cast("long").alias("n_items"),
+                    F.size(checks.grounding_violations(caps, F.col("original"))).cast("long").alias("n_violations"),
+                    letter.getField("length_ok").alias("letter_length_ok"),
+                    letter.getField("names_role").alias("names_role"),
+                    letter.getField("names_company").alias("names_company"))
+
+
+@query("keyword_chunks")
+def keyword_chunks(spark, sf_dir):
+    """F8: classification batches of 60 keywords per pool, alphabetical."""
+    d = _docs_by_source(spark, sf_dir)
+    kws = keywords.top_phrases(d, top_per_doc=TOP_PER_DOC).select("pool", "phrase").distinct()
+    c = requests.chunk_ids(kws, "pool", "phrase")
+    return c.groupBy("pool", "chunk_id").agg(F.count(F.lit(1)).alias("n_keywords"),
+                                              F.min("phrase").alias("first_keyword"))
+
+
+# ------------------------------------------------------- sources and sinks ----
+
+def _board_rows(spark, sf_dir):
+    """Second-board rows bound to parts: ids blank for the largest sizes, URLs in
+    one of three aliases, India for even sizes, text dates."""
+    pt = T.read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return pt.select(
+        F.lit("board").alias("site"), F.when(F.col("p_size") <= 45, k.cast("string")).alias("id"),
+        F.col("p_name").alias("title"), F.col("p_brand").alias("company"),
+        F.when(k % 2 == 0, F.col("p_type")).alias("city"), F.col("p_type").alias("location"),
+        F.lit(None).cast("string").alias("state"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("India")).otherwise(F.lit("USA")).alias("country"),
+        (k % 3 == 0).alias("is_remote"), F.col("p_type").alias("description"),
+        F.when(k % 3 == 0, F.concat(F.lit("https://d.example/"), k.cast("string"))).alias("job_url_direct"),
+        F.when(k % 3 == 1, F.concat(F.lit("https://j.example/"), k.cast("string"))).alias("job_url"),
+        F.lit(None).cast("string").alias("url"),
+        F.when(k % 4 == 0, F.lit("2001-07-15")).when(k % 4 == 1, F.lit("2001-07-15T10:30:00"))
+        .when(k % 4 == 2, F.lit("2001-07-15 10:30:00")).otherwise(F.lit("not a date")).alias("date_posted"),
+        (F.col("p_retailprice") * 1000).alias("min_amount"), F.lit(None).cast("double").alias("max_amount"),
+        F.when(k % 5 == 0, F.lit("USD")).alias("currency"),
+        F.when(k % 7 == 0, F.lit("monthly")).alias("interval"),
+        F.when(k % 6 == 0, (k % 300).cast("string")).alias("applicants"),
+        F.lit(None).cast("string").alias("num_applicants"),
+        F.when(k % 6 == 1, F.lit("12.0")).alias("linkedin_applicants"),
+        F.lit(None).cast("string").alias("listing_type"))
+
+
+@query("board_rows")
+def board_rows(spark, sf_dir):
+    """S2/T-1: board rows normalised to postings."""
+    n = postings_src.normalise_board_rows(_board_rows(spark, sf_dir), "board", "Remote")
+    return n.select("job_id", "job_title", "employer_name", "job_city", "job_country", "job_posted_at_timestamp",
+                    "job_min_salary", "job_salary_currency", "job_salary_period", "job_apply_link",
+                    "_applicant_count")
+
+
+@query("postings_roundtrip")
+def postings_roundtrip(spark, sf_dir):
+    """S6 then S1: postings written as JSON artifacts partitioned by pool, read back
+    with the explicit posting schema (``_source_location`` filled where absent)."""
+    p = T.postings(spark, sf_dir).select(
+        F.col("job_id").cast("string").alias("job_id"), "job_title", "employer_name", "job_city",
+        "job_posted_at_timestamp", "job_min_salary", "job_max_salary", "job_salary_currency",
+        "job_salary_period", "job_apply_link", "_applicant_count", "pool")
+    import uuid
+    path = scratch_path(spark, f"artifacts/postings/{uuid.uuid4().hex[:12]}")
+    sinks.write_artifacts(p, path, ["pool"], fmt="json")
+    r = postings_src.read_postings(spark, path, source_location="landed", multi_line=False)
+    return r.select("job_id", "job_title", "employer_name", "job_city", "job_posted_at_timestamp",
+                    "job_min_salary", "job_max_salary", "job_salary_currency", "job_salary_period",
+                    "job_apply_link", "_applicant_count", "_source_location")
+
+
+@query("salary_display")
+def salary_display(spark, sf_dir):
+    """``₹lo-hiL`` / single value / dash, per posting."""
+    p = rank.with_salary(T.postings(spark, sf_dir))
+    from ..functions.numeric import round_half_up
+    lo, hi = round_half_up(F.col("_sal.min_lpa"), 1), round_half_up(F.col("_sal.max_lpa"), 1)
+    txt = (F.when(lo.isNotNull() & hi.isNotNull() & (lo != hi), F.format_string("₹%.1f-%.1fL", lo, hi))
+           .when(F.coalesce(lo, hi).isNotNull(), F.format_string("₹%.1fL", F.coalesce(lo, hi)))
+           .otherwise(F.lit("—")))
+    return p.select("job_id", txt.alias("salary_text"))
+
+
+# ---------------------------------------------------------- rows-only ops ----
+
+@query("phrase_mmr")
+def phrase_mmr(spark, sf_dir):
+    """K4: MMR re-ranking of every scored phrase of each document."""
+    d = _docs_by_source(spark, sf_dir)
+    scored = keywords.phrase_scores(keywords.phrase_counts(d), keywords.docs_per_pool(d))
+    return embeddings.mmr_rerank(scored, top_n=TOP_PER_DOC, diversity=0.3)
+
+
+@query("doc_vectors")
+def doc_vectors(spark, sf_dir):
+    """K1: TF-IDF document vectors (default producer)."""
+    return embeddings.doc_vectors(T.read(spark, sf_dir, "documents"))

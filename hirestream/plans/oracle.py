@@ -706,3 +706,122 @@ FROM ap LEFT JOIN agg ON ap.job_id = agg.job_id"""
 ORACLE["status_fold"] = _FOLD
 ORACLE["status_fold_stream"] = _FOLD
 ORACLE["msg_dedup_stream"] = "SELECT event_id, user_id, event_type FROM events"
+
+
+# ============================================================ batch 4 =========
+from ..operators import checks as _ck  # noqa: E402
+
+
+def _words(e: str) -> str:
+    return (f"list_filter(list_transform(string_split_regex(trim(lower(coalesce({e}, ''))), '\\s+'), "
+            f"lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda w: w <> '')")
+
+
+def _bullets(e: str) -> str:
+    return f"list_filter(list_transform({_lines(e)}, lambda l: {_pytrim('l')}), lambda l: l <> '')"
+
+
+def _nums(e: str) -> str:
+    return f"list_distinct(regexp_extract_all(coalesce({e}, ''), {_q(_ck.NUMBER_PATTERN)}))"
+
+
+def _forbidden(e: str, phrases) -> str:
+    return " OR ".join(f"contains(lower(coalesce({e}, '')), {_q(p)})" for p in phrases)
+
+
+ORACLE["request_rows"] = """
+WITH r AS (SELECT doc_id, 'Classify the key phrases of a ' || coalesce(source, '') || ' posting.' || chr(10)
+                  || 'Return JSON {"keywords": [...]}.' || chr(10) || '---' || chr(10) || substr(coalesce(text, ''), 1, 6000)
+                  AS prompt FROM documents)
+SELECT doc_id, substr(sha1(prompt), 1, 16) AS request_key, CAST(length(prompt) AS BIGINT) AS prompt_chars FROM r"""
+
+_FENCE = "(?i)```(?:json)?\\s*([\\s\\S]*?)```"
+ORACLE["response_rows"] = """
+WITH r AS (SELECT event_id, CASE event_type WHEN 'click' THEN '```json' || chr(10) || props || chr(10) || '```'
+                                      WHEN 'error' THEN substr(props, 1, 6) ELSE props END AS raw FROM events),
+b AS (SELECT event_id, CASE WHEN regexp_matches(coalesce(raw, ''), """ + _q(_FENCE) + """)
+                            THEN """ + _pytrim("regexp_extract(coalesce(raw, ''), " + _q(_FENCE) + ", 1)") + """
+                            ELSE """ + _pytrim("raw") + """ END AS body FROM r)
+SELECT event_id, CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.k') AS INTEGER) END AS k,
+       coalesce(json_valid(body), false) AS parsed FROM b"""
+
+_PAIRS = """
+pairs AS (SELECT a.conv_id, a.turn, a.text AS rewrite, u.text AS original
+          FROM conversations a JOIN conversations u
+            ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' AND u.role = 'user')"""
+
+ORACLE["rewrite_checks"] = "WITH " + _PAIRS + """
+SELECT conv_id, turn,
+       len(""" + _bullets("rewrite") + """) = least(len(""" + _bullets("original") + """), 6) AS bullet_count_ok,
+       len(list_filter(""" + _bullets("rewrite") + """, lambda b: NOT (len(""" + _words("b") + """) BETWEEN 16 AND 28))) = 0
+         AS word_range_ok,
+       len(list_filter(""" + _nums("original") + """, lambda n: NOT list_contains(""" + _nums("rewrite") + """, n))) = 0
+         AS numbers_ok,
+       NOT (""" + _forbidden("rewrite", _ck.BULLET_FORBIDDEN) + """) AS no_forbidden,
+       len(list_filter(""" + _words("rewrite") + ", lambda w: list_contains(" + _list(_ck.FIRST_PERSON) + """, w))) = 0
+         AS no_first_person,
+       len(""" + _words("rewrite") + """) BETWEEN 60 AND 90 AS summary_length_ok
+FROM pairs"""
+
+_CAPS = ("list_distinct(list_filter(list_transform(string_split_regex(trim(rewrite), '\\s+'), "
+         "lambda w: regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), lambda w: regexp_matches(w, '^\\p{Lu}')))")
+ORACLE["grounding_checks"] = "WITH " + _PAIRS + """,
+g AS (SELECT *, """ + _CAPS + """ AS caps, """ + _words("original") + """ AS ow FROM pairs)
+SELECT conv_id, turn, CAST(len(caps) AS BIGINT) AS n_items,
+       CAST(len(list_filter(caps, lambda x: NOT contains(lower(coalesce(original, '')), lower(x)))) AS BIGINT) AS n_violations,
+       len(""" + _words("rewrite") + """) BETWEEN 220 AND 280 AS letter_length_ok,
+       contains(lower(coalesce(rewrite, '')), lower(coalesce(ow[1], ''))) AS names_role,
+       contains(lower(coalesce(rewrite, '')), lower(coalesce(ow[2], ''))) AS names_company
+FROM g"""
+
+ORACLE["keyword_chunks"] = "WITH " + _DOCS_SRC + keyword_ctes("src") + """,
+kd AS (SELECT DISTINCT pool, phrase FROM top),
+kc AS (SELECT pool, phrase, (row_number() OVER (PARTITION BY pool ORDER BY phrase) - 1) // 60 AS chunk_id FROM kd)
+SELECT pool, CAST(chunk_id AS BIGINT) AS chunk_id, count(*) AS n_keywords, min(phrase) AS first_keyword
+FROM kc GROUP BY pool, chunk_id"""
+
+ORACLE["board_rows"] = """
+WITH b AS (
+  SELECT p_name AS title, p_brand AS company, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS city, p_type AS location,
+         CASE WHEN p_size % 2 = 0 THEN 'India' ELSE 'USA' END AS country,
+         CASE WHEN p_size <= 45 THEN CAST(p_partkey AS VARCHAR) END AS id,
+         CASE WHEN p_partkey % 3 = 0 THEN 'https://d.example/' || CAST(p_partkey AS VARCHAR) END AS job_url_direct,
+         CASE WHEN p_partkey % 3 = 1 THEN 'https://j.example/' || CAST(p_partkey AS VARCHAR) END AS job_url,
+         CASE WHEN p_partkey % 4 = 0 THEN '2001-07-15' WHEN p_partkey % 4 = 1 THEN '2001-07-15T10:30:00'
+              WHEN p_partkey % 4 = 2 THEN '2001-07-15 10:30:00' ELSE 'not a date' END AS date_posted,
+         p_retailprice * 1000 AS min_amount,
+         CASE WHEN p_partkey % 5 = 0 THEN 'USD' END AS currency, CASE WHEN p_partkey % 7 = 0 THEN 'monthly' END AS itv,
+         CASE WHEN p_partkey % 6 = 0 THEN CAST(p_partkey % 300 AS VARCHAR) END AS applicants,
+         CASE WHEN p_partkey % 6 = 1 THEN '12.0' END AS linkedin_applicants
+  FROM part),
+n AS (
+  SELECT *, trim(coalesce(title, '')) AS t, trim(coalesce(company, '')) AS e,
+         coalesce(nullif(trim(coalesce(city, '')), ''), trim(coalesce(location, ''))) AS c,
+         coalesce(nullif(trim(coalesce(job_url_direct, '')), ''), nullif(trim(coalesce(job_url, '')), ''), '') AS link
+  FROM b)
+SELECT 'board:board:' || substr(sha1(coalesce(nullif(trim(coalesce(id, '')), ''), nullif(link, ''), concat_ws('|', e, t, c))), 1, 16) AS job_id,
+       t AS job_title, e AS employer_name, c AS job_city, trim(country) AS job_country,
+       CAST(coalesce(CAST(TRY_CAST(date_posted AS DOUBLE) AS BIGINT),
+                epoch(try_strptime(date_posted, '%Y-%m-%dT%H:%M:%S')),
+                epoch(try_strptime(date_posted, '%Y-%m-%d %H:%M:%S')),
+                epoch(try_strptime(date_posted, '%Y-%m-%d'))) AS BIGINT) AS job_posted_at_timestamp,
+       min_amount AS job_min_salary,
+       CASE WHEN trim(coalesce(currency, '')) <> '' THEN trim(currency)
+            WHEN starts_with(lower(trim(country)), 'india') THEN 'INR' ELSE '' END AS job_salary_currency,
+       coalesce(nullif(trim(coalesce(itv, '')), ''), 'yearly') AS job_salary_period,
+       link AS job_apply_link,
+       CAST(coalesce(CAST(trunc(TRY_CAST(applicants AS DOUBLE)) AS BIGINT),
+                     CAST(trunc(TRY_CAST(linkedin_applicants AS DOUBLE)) AS BIGINT)) AS INTEGER) AS _applicant_count
+FROM n"""
+
+ORACLE["postings_roundtrip"] = "WITH " + POSTINGS_CTE + """
+SELECT CAST(job_id AS VARCHAR) AS job_id, job_title, employer_name, job_city, job_posted_at_timestamp, job_min_salary,
+       job_max_salary, job_salary_currency, job_salary_period, job_apply_link, _applicant_count,
+       'landed' AS _source_location
+FROM postings"""
+
+ORACLE["salary_display"] = "WITH " + POSTINGS_CTE + "," + SALARY_CTE.format(src="postings") + """,
+d AS (SELECT job_id, """ + _rhu("salary_min_lpa", 1) + " AS lo, " + _rhu("salary_max_lpa", 1) + """ AS hi FROM sal)
+SELECT job_id, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL AND lo <> hi THEN printf('₹%.1f-%.1fL', lo, hi)
+                    WHEN coalesce(lo, hi) IS NOT NULL THEN printf('₹%.1fL', coalesce(lo, hi)) ELSE '—' END AS salary_text
+FROM d"""
