@@ -765,3 +765,85 @@ def phrase_mmr(spark, sf_dir):
 def doc_vectors(spark, sf_dir):
     """K1: TF-IDF document vectors (default producer)."""
     return embeddings.doc_vectors(T.read(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- résumés ----
+
+from ..operators import resume  # noqa: E402
+
+
+def candidates(spark, sf_dir):
+    """One structured résumé (D4) per order: roles are its line items (part name,
+    supplier, ship month; open lines are current), skills its part types, a
+    degree from its customer's region and nation, a certificate from its
+    priority. Each list is bounded by the line items of one order."""
+    o = T.read(spark, sf_dir, "orders")
+    c = T.read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    n = F.broadcast(T.read(spark, sf_dir, "nation"))
+    r = F.broadcast(T.read(spark, sf_dir, "region"))
+    li = T.read(spark, sf_dir, "lineitem")
+    pt = T.read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    su = T.read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    roles = (li.join(pt, li.l_partkey == pt.p_partkey).join(su, li.l_suppkey == su.s_suppkey)
+             .groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+                 F.array_sort(F.collect_list(F.struct(
+                     "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                     F.struct(F.col("p_name").alias("title"), F.col("s_name").alias("company"),
+                              F.lit("").alias("location"),
+                              F.date_format("l_shipdate", "MMM yyyy").alias("start_date"),
+                              F.when(F.col("l_linestatus") == "O", F.lit("Present")).otherwise(
+                                  F.date_format(F.col("l_shipdate") + F.expr("INTERVAL 30 DAYS"), "MMM yyyy"))
+                              .alias("end_date"),
+                              F.concat(F.array(F.format_string("Shipped %d units at %d%% discount",
+                                                               F.col("l_quantity").cast("int"),
+                                                               F.round(F.col("l_discount") * 100).cast("int"))),
+                                       F.when(F.col("l_returnflag") == "R", F.array(F.lit("Handled a return")))
+                                       .otherwise(F.array().cast("array<string>"))).alias("bullets")).alias("e")))
+                 ).alias("_roles"),
+                 F.array_sort(F.collect_set("p_type")).alias("skills")))
+    base = (o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(roles, "o_orderkey", "left"))
+    year = F.year("o_orderdate")
+    res = F.struct(
+        F.struct(F.concat_ws(" ", "c_mktsegment", "n_name").alias("name"),
+                 F.concat(F.lit("cand"), F.col("o_orderkey").cast("string"), F.lit("@example.org")).alias("email"),
+                 F.concat(F.lit("+91 98"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("phone"),
+                 F.col("n_name").alias("location"), F.lit("").alias("linkedin"), F.lit("").alias("github"),
+                 F.lit("").alias("portfolio")).alias("contact"),
+        F.concat(F.lit("Order "), F.col("o_orderpriority"), F.lit(" placed with status "), F.col("o_orderstatus"),
+                 F.lit(".")).alias("summary"),
+        F.transform(F.coalesce("_roles", F.array()), lambda x: x.getField("e")).alias("experience"),
+        F.coalesce("skills", F.array().cast("array<string>")).alias("skills"),
+        F.array(F.struct(F.concat(F.lit("B.Sc. "), F.col("r_name")).alias("degree"),
+                         F.concat(F.col("n_name"), F.lit(" University")).alias("institution"),
+                         F.lit("").alias("location"), (year - 4).cast("string").alias("start_date"),
+                         year.cast("string").alias("end_date"), F.lit("").alias("details"))).alias("education"),
+        F.array(F.struct(F.concat(F.lit("Priority "), F.col("o_orderpriority")).alias("name"),
+                         F.lit("").alias("issuer"), F.lit("").alias("date"))).alias("certifications"),
+        F.array().cast("array<struct<name:string,description:string,bullets:array<string>>>").alias("projects"),
+        F.array().cast("array<string>").alias("publications"), F.array().cast("array<string>").alias("languages"),
+        F.array().cast("array<string>").alias("awards"))
+    return base.select(F.col("o_orderkey").alias("candidate_id"), res.alias("resume"))
+
+
+@query("resume_roundtrip")
+def resume_roundtrip(spark, sf_dir):
+    """N6 then the heuristic parser: every candidate rendered to text and parsed back."""
+    cand = candidates(spark, sf_dir)
+    docs = cand.select(F.col("candidate_id").alias("doc_id"), resume.render_text(F.col("resume")).alias("text"))
+    p = resume.parse_resumes(docs)
+    r = F.col("resume")
+    exp = r.getField("experience")
+    first = F.get(exp, 0)
+    edu = F.get(r.getField("education"), 0)
+    return p.select(
+        F.col("doc_id").alias("candidate_id"), r.getField("contact").getField("name").alias("name"),
+        r.getField("contact").getField("email").alias("email"), r.getField("contact").getField("phone").alias("phone"),
+        r.getField("summary").alias("summary"), F.size(exp).cast("long").alias("n_roles"),
+        F.aggregate(exp, F.lit(0).cast("long"), lambda acc, e: acc + F.size(e.getField("bullets"))).alias("n_bullets"),
+        first.getField("title").alias("first_title"), first.getField("start_date").alias("first_start"),
+        first.getField("end_date").alias("first_end"),
+        F.array_join(r.getField("skills"), ", ").alias("skills"),
+        F.size(r.getField("education")).cast("long").alias("n_education"), edu.getField("degree").alias("degree"),
+        edu.getField("start_date").alias("edu_start"), edu.getField("end_date").alias("edu_end"),
+        F.size(r.getField("certifications")).cast("long").alias("n_certs"))

@@ -825,3 +825,28 @@ d AS (SELECT job_id, """ + _rhu("salary_min_lpa", 1) + " AS lo, " + _rhu("salary
 SELECT job_id, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL AND lo <> hi THEN printf('₹%.1f-%.1fL', lo, hi)
                     WHEN coalesce(lo, hi) IS NOT NULL THEN printf('₹%.1fL', coalesce(lo, hi)) ELSE '—' END AS salary_text
 FROM d"""
+
+
+# ============================================================ batch 5 =========
+_ROLE_ORDER = "l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+ORACLE["resume_roundtrip"] = """
+WITH li AS (SELECT l.*, p.p_name, p.p_type, s.s_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+            JOIN supplier s ON l.l_suppkey = s.s_suppkey),
+agg AS (SELECT l_orderkey, count(*) AS n_roles, count(*) + count(*) FILTER (WHERE l_returnflag = 'R') AS n_bullets,
+               first(p_name || ' | ' || s_name ORDER BY """ + _ROLE_ORDER + """) AS first_title,
+               first(strftime(l_shipdate, '%b %Y') ORDER BY """ + _ROLE_ORDER + """) AS first_start,
+               first(CASE WHEN l_linestatus = 'O' THEN 'Present' ELSE strftime(l_shipdate + INTERVAL 30 DAY, '%b %Y') END
+                     ORDER BY """ + _ROLE_ORDER + """) AS first_end,
+               string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS skills
+        FROM li GROUP BY l_orderkey)
+SELECT o.o_orderkey AS candidate_id, c.c_mktsegment || ' ' || n.n_name AS name,
+       'cand' || CAST(o.o_orderkey AS VARCHAR) || '@example.org' AS email,
+       '+91 98' || lpad(CAST(o.o_orderkey AS VARCHAR), 8, '0') AS phone,
+       'Order ' || o.o_orderpriority || ' placed with status ' || o.o_orderstatus || '.' AS summary,
+       CAST(coalesce(a.n_roles, 0) AS BIGINT) AS n_roles, CAST(coalesce(a.n_bullets, 0) AS BIGINT) AS n_bullets,
+       a.first_title, a.first_start, a.first_end, coalesce(a.skills, '') AS skills,
+       CAST(1 AS BIGINT) AS n_education, 'B.Sc. ' || r.r_name || ' | ' || n.n_name || ' University' AS degree,
+       CAST(year(o.o_orderdate) - 4 AS VARCHAR) AS edu_start, CAST(year(o.o_orderdate) AS VARCHAR) AS edu_end,
+       CAST(1 AS BIGINT) AS n_certs
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN agg a ON a.l_orderkey = o.o_orderkey"""
