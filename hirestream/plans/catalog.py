@@ -847,3 +847,74 @@ def resume_roundtrip(spark, sf_dir):
         F.size(r.getField("education")).cast("long").alias("n_education"), edu.getField("degree").alias("degree"),
         edu.getField("start_date").alias("edu_start"), edu.getField("end_date").alias("edu_end"),
         F.size(r.getField("certifications")).cast("long").alias("n_certs"))
+
+
+@query("candidate_facts")
+def candidate_facts(spark, sf_dir):
+    """Bounded fact sheets (cover-letter and screening variants) per candidate."""
+    c = candidates(spark, sf_dir)
+    cover = resume.candidate_facts(F.col("resume"))
+    screen = resume.candidate_facts(F.col("resume"), summary_chars=1500, max_skills=80, max_roles=None,
+                                    max_bullets=10, with_education=False)
+
+    def n_bullets(f):
+        return F.aggregate(f.getField("experience"), F.lit(0).cast("long"), lambda a, e: a + F.size(e.getField("bullets")))
+    return c.select("candidate_id", F.size(cover.getField("experience")).cast("long").alias("cover_roles"),
+                    n_bullets(cover).alias("cover_bullets"), F.size(cover.getField("skills")).cast("long").alias("cover_skills"),
+                    F.array_join(cover.getField("education"), "; ").alias("cover_education"),
+                    F.size(screen.getField("experience")).cast("long").alias("screen_roles"),
+                    n_bullets(screen).alias("screen_bullets"), F.length(screen.getField("summary")).cast("long").alias("summary_chars"))
+
+
+@query("resume_text")
+def resume_text(spark, sf_dir):
+    """Each candidate's résumé flattened to the text used for matching."""
+    c = candidates(spark, sf_dir)
+    t = resume.resume_to_text(F.col("resume"))
+    return c.select("candidate_id", F.length(t).cast("long").alias("n_chars"),
+                    F.substring(F.sha1(t), 1, 16).alias("text_hash"))
+
+
+@query("skill_order")
+def skill_order(spark, sf_dir):
+    """each candidate's skills reordered by the benchmark keyword tiers
+    (critical first, then recommended, else original order)."""
+    kw = benchmark_keywords(spark, sf_dir)
+    lists = kw.groupBy("pool").agg(
+        F.array_sort(F.collect_list(F.when(F.col("tier") == "critical", F.col("keyword")))).alias("crit"),
+        F.array_sort(F.collect_list(F.when(F.col("tier") == "recommended", F.col("keyword")))).alias("rec"))
+    c = candidates(spark, sf_dir).withColumn("pool", F.lit("benchmark")).join(lists, "pool", "left")
+    empty = F.array().cast("array<string>")
+    skills = F.transform(F.col("resume.skills"), lambda s: F.lower(s))
+    order = resume.reorder_skills(skills, F.coalesce("crit", empty), F.coalesce("rec", empty))
+    return c.select("candidate_id", F.array_join(order, ", ").alias("skills_ordered"))
+
+
+@query("tailoring_check")
+def tailoring_check(spark, sf_dir):
+    """J10 + P14 + Q7: the first role's bullets overlaid with a rewrite, education
+    entries naming a class dropped; the check reports what changed."""
+    c = candidates(spark, sf_dir)
+    rewrites = F.create_map(F.lit(0), F.array(F.lit("Rewritten bullet"))).cast("map<int,array<string>>")
+    after = resume.drop_class_education(resume.overlay_bullets(F.col("resume"), rewrites))
+    ch = resume.tailoring_changes(F.col("resume"), after)
+    first = F.get(after.getField("experience"), 0)
+    return c.select("candidate_id", F.size(ch.getField("employers_removed")).cast("long").alias("employers_removed"),
+                    F.size(ch.getField("education_removed")).cast("long").alias("education_removed"),
+                    F.size(ch.getField("skills_removed")).cast("long").alias("skills_removed"),
+                    F.array_join(F.coalesce(first.getField("bullets"), F.array().cast("array<string>")), "|")
+                    .alias("first_bullets"))
+
+
+@query("top_jobs_table")
+def top_jobs_table(spark, sf_dir):
+    """The 8 best postings per pool as a 7-column report table."""
+    from ..functions.numeric import round_half_up
+    ranked = rank.rank_postings(T.embedded_postings(spark, sf_dir), T.candidates_per_label(spark, sf_dir), as_of=T.AS_OF)
+    top = rank.top_n_per_candidate(ranked, 8)
+    lo, hi = round_half_up(F.col("salary_min_lpa"), 1), round_half_up(F.col("salary_max_lpa"), 1)
+    sal = (F.when(lo.isNotNull() & hi.isNotNull() & (lo != hi), F.format_string("₹%.1f-%.1fL", lo, hi))
+           .when(F.coalesce(lo, hi).isNotNull(), F.format_string("₹%.1fL", F.coalesce(lo, hi))).otherwise(F.lit("—")))
+    return top.select("pool", "rank", "title", "company", "city", sal.alias("salary"),
+                      F.format_string("%.4f", F.col("composite_score")).alias("score"),
+                      F.when(F.col("remote"), "remote").otherwise("onsite").alias("mode"))

@@ -850,3 +850,68 @@ SELECT o.o_orderkey AS candidate_id, c.c_mktsegment || ' ' || n.n_name AS name,
        CAST(1 AS BIGINT) AS n_certs
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
 JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN agg a ON a.l_orderkey = o.o_orderkey"""
+
+_LI_RANKED = """
+li AS (SELECT l.*, p.p_name, p.p_type, s.s_name,
+              row_number() OVER (PARTITION BY l.l_orderkey ORDER BY """ + _ROLE_ORDER + """) AS role_rank
+       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey)"""
+
+ORACLE["candidate_facts"] = "WITH " + _LI_RANKED + """,
+rb AS (SELECT l_orderkey, role_rank, 1 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS nb FROM li),
+agg AS (SELECT l_orderkey, count(*) AS n_roles, sum(nb) AS n_b, sum(CASE WHEN role_rank <= 6 THEN least(nb, 8) ELSE 0 END) AS cover_b
+        FROM rb GROUP BY l_orderkey),
+sk AS (SELECT l_orderkey, count(DISTINCT p_type) AS n_sk FROM li GROUP BY l_orderkey)
+SELECT o.o_orderkey AS candidate_id, CAST(least(coalesce(a.n_roles, 0), 6) AS BIGINT) AS cover_roles,
+       CAST(coalesce(a.cover_b, 0) AS BIGINT) AS cover_bullets, CAST(least(coalesce(sk.n_sk, 0), 60) AS BIGINT) AS cover_skills,
+       'B.Sc. ' || r.r_name || ' ' || n.n_name || ' University' AS cover_education,
+       CAST(coalesce(a.n_roles, 0) AS BIGINT) AS screen_roles, CAST(coalesce(a.n_b, 0) AS BIGINT) AS screen_bullets,
+       CAST(length('Order ' || o.o_orderpriority || ' placed with status ' || o.o_orderstatus || '.') AS BIGINT) AS summary_chars
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN agg a ON a.l_orderkey = o.o_orderkey
+LEFT JOIN sk ON sk.l_orderkey = o.o_orderkey"""
+
+ORACLE["resume_text"] = "WITH " + _LI_RANKED + """,
+types AS (SELECT DISTINCT l_orderkey, p_type FROM li),
+parts AS (
+  SELECT o_orderkey AS cid, 0 AS sec, 0 AS k1, 0 AS k2, '' AS k3,
+         'Order ' || o_orderpriority || ' placed with status ' || o_orderstatus || '.' AS part FROM orders
+  UNION ALL SELECT l_orderkey, 1, role_rank, 0, '', p_name || ' at ' || s_name FROM li
+  UNION ALL SELECT l_orderkey, 1, role_rank, 1, '',
+                   printf('Shipped %d units at %d%% discount', CAST(l_quantity AS INTEGER), CAST(round(l_discount * 100) AS INTEGER)) FROM li
+  UNION ALL SELECT l_orderkey, 1, role_rank, 2, '', 'Handled a return' FROM li WHERE l_returnflag = 'R'
+  UNION ALL SELECT l_orderkey, 2, 0, 0, p_type, p_type FROM types
+  UNION ALL SELECT o_orderkey, 4, 0, 0, '', 'Priority ' || o_orderpriority FROM orders),
+t AS (SELECT cid, string_agg(part, chr(10) ORDER BY sec, k1, k2, k3) AS txt FROM parts WHERE part <> '' GROUP BY cid)
+SELECT cid AS candidate_id, CAST(length(txt) AS BIGINT) AS n_chars, substr(sha1(txt), 1, 16) AS text_hash FROM t"""
+
+ORACLE["skill_order"] = "WITH " + _BENCH_SRC + keyword_ctes("src") + """,
+kl AS (SELECT coalesce(list_sort(list(keyword) FILTER (WHERE tier = 'critical')), []) AS crit,
+              coalesce(list_sort(list(keyword) FILTER (WHERE tier = 'recommended')), []) AS rec FROM mk),
+sk AS (SELECT l.l_orderkey, list_sort(list(DISTINCT lower(p.p_type))) AS skills
+       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey),
+cs AS (SELECT o.o_orderkey AS candidate_id, coalesce(sk.skills, []) AS skills FROM orders o
+       LEFT JOIN sk ON sk.l_orderkey = o.o_orderkey)
+SELECT candidate_id, array_to_string(list_transform(list_sort(list_transform(skills, lambda s, i: {
+         'b': CASE WHEN len(list_filter(kl.crit, lambda k: contains(s, k) OR contains(k, s))) > 0 THEN 0
+                   WHEN len(list_filter(kl.rec, lambda k: contains(s, k) OR contains(k, s))) > 0 THEN 1 ELSE 2 END,
+         'i': i, 's': s})), lambda x: x.s), ', ') AS skills_ordered
+FROM cs, kl"""
+
+ORACLE["tailoring_check"] = """
+WITH n AS (SELECT l_orderkey, count(*) AS n_roles FROM lineitem JOIN part ON l_partkey = p_partkey
+           JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey)
+SELECT o.o_orderkey AS candidate_id, CAST(0 AS BIGINT) AS employers_removed,
+       CAST(CASE WHEN contains(lower('B.Sc. ' || r.r_name), 'class') THEN 1 ELSE 0 END AS BIGINT) AS education_removed,
+       CAST(0 AS BIGINT) AS skills_removed,
+       CASE WHEN coalesce(n.n_roles, 0) > 0 THEN 'Rewritten bullet' ELSE '' END AS first_bullets
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation na ON c.c_nationkey = na.n_nationkey
+JOIN region r ON na.n_regionkey = r.r_regionkey LEFT JOIN n ON n.l_orderkey = o.o_orderkey"""
+
+ORACLE["top_jobs_table"] = ORACLE["top_per_pool"].replace("WHERE rank <= 3", "WHERE rank <= 8").replace(
+    "SELECT * FROM (SELECT *, row_number()", "tp AS (SELECT * FROM (SELECT *, row_number()", 1) + """)
+SELECT pool, rank, title, company, city,
+       CASE WHEN lo IS NOT NULL AND hi IS NOT NULL AND lo <> hi THEN printf('₹%.1f-%.1fL', lo, hi)
+            WHEN coalesce(lo, hi) IS NOT NULL THEN printf('₹%.1fL', coalesce(lo, hi)) ELSE '—' END AS salary,
+       printf('%.4f', composite_score) AS score, CASE WHEN remote THEN 'remote' ELSE 'onsite' END AS mode
+FROM (SELECT *, """ + _rhu("salary_min_lpa", 1) + " AS lo, " + _rhu("salary_max_lpa", 1) + """ AS hi FROM tp)"""
+ORACLE["top_jobs_table"] = ORACLE["top_jobs_table"].replace("\ntp AS (SELECT", ",\ntp AS (SELECT", 1)
