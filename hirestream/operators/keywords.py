@@ -7,6 +7,7 @@ published rules exactly.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from ..functions import stopwords
 from ..functions import text as tx
 from ..functions.numeric import round_half_up
 from ..plans.strategy import top_n_per_group
+from ..session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------
 TIER_THRESHOLDS = [("critical", 0.60), ("recommended", 0.30), ("nice_to_have", 0.10)]
@@ -26,11 +28,34 @@ TOKEN_RE = "[a-z0-9]{2,}"
 # -----------------------------------------------------------------------------
 
 
+def _trie_regex(words) -> str:
+    """A regex alternation for a word list, factored by common prefixes (a trie), so
+    the engine tries a few branches per position instead of every word."""
+    trie: dict = {}
+    for w in words:
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        end = "" in node
+        kids = sorted(k for k in node if k != "")
+        alts = [re.escape(k) + emit(node[k]) for k in kids]
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+        if end:
+            body = ("(?:" + body + ")" if len(alts) == 1 and len(body) > 1 else body) + "?"
+        return body
+
+    return emit(trie)
+
+
 def stopword_pattern() -> str:
     """One regex matching any stop word as a whole token (a token is a maximal run of
-    ``[a-z0-9]``), built from the list; longest words first."""
-    words = sorted(stopwords.load("english"), key=lambda w: (-len(w), w))
-    return "(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])"
+    ``[a-z0-9]``), built as a prefix trie from the list."""
+    return "(?<![a-z0-9])(?:" + _trie_regex(stopwords.load("english")) + ")(?![a-z0-9])"
 
 
 def doc_tokens(docs: DataFrame, text_col: str = "text") -> Column:
@@ -66,9 +91,14 @@ def docs_per_pool(docs: DataFrame, pool_col: str = "pool") -> DataFrame:
 
 def phrase_scores(counts: DataFrame, pool_sizes: DataFrame) -> DataFrame:
     """K3: tf * (ln((1 + N) / (1 + df)) + 1) with N and df taken within the pool;
-    rounded to 9 places for stable ties. Both joins are on the pool key."""
+    rounded to 9 places for stable ties.
+
+    The document-frequency table is vocabulary-sized (it grows with the data), so it
+    is joined back with a sort-merge join, never broadcast; a phrase present in a
+    large share of documents is a skewed key that AQE's skew join splits. Pool
+    sizes (one row per pool) are small and broadcast."""
     df_ = counts.groupBy("pool", "phrase").agg(F.count(F.lit(1)).alias("df"))
-    j = counts.join(df_, ["pool", "phrase"]).join(pool_sizes, "pool")
+    j = counts.join(df_.hint("merge"), ["pool", "phrase"]).join(F.broadcast(pool_sizes), "pool")
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0
     return j.withColumn("score", F.round(F.col("tf") * idf, 9))
 
@@ -77,7 +107,11 @@ def top_phrases(docs: DataFrame, *, top_per_doc: int = 30, id_col: str = "doc_id
                 pool_col: str = "pool", text_col: str = "text") -> DataFrame:
     """K2+K3+F2+R17+U5: the best ``top_per_doc`` phrases per document and n-gram
     length; phrases of 2..50 chars that are not stop phrases, distinct per doc."""
-    counts = phrase_counts(docs, id_col=id_col, pool_col=pool_col, text_col=text_col)
+    # The counts feed two consumers (document frequency and the scored rows).
+    # Spark does not reuse this shuffle across the two branches, so the counts are
+    # materialised once with a reliable checkpoint (shared checkpoint folder)
+    # instead of tokenising the corpus twice.
+    counts = cut_lineage(phrase_counts(docs, id_col=id_col, pool_col=pool_col, text_col=text_col))
     scored = phrase_scores(counts, docs_per_pool(docs, pool_col))
     top = top_n_per_group(scored, ["doc_id", "n"], [F.col("score").desc(), F.col("phrase").asc()],
                           top_per_doc)
@@ -116,23 +150,39 @@ def market_keywords(phrases: DataFrame, docs_per_pool: DataFrame,
     any phrase whose canonical is the keyword (noise-labelled phrases included,
     T13) or the literal keyword itself; ties on display length go to the
     alphabetically first phrase; category comes from the alphabetically first
-    synonym."""
-    cls = classify(phrases, classification)
-    live = cls.filter(F.col("category") != "noise")
-    recs = (live.groupBy("pool", "canonical").agg(
-        F.min_by("category", "phrase").alias("category"),
-        F.min_by("phrase", F.struct(-F.length("phrase"), F.col("phrase"))).alias("display")))
-    held = phrases.select("pool", "doc_id", "phrase").distinct().join(cls, ["pool", "phrase"])
-    members = (held.select("pool", "doc_id", F.col("canonical").alias("kw"))
-               .unionByName(held.select("pool", "doc_id", F.col("phrase").alias("kw"))))
-    share = (members.join(recs.select("pool", F.col("canonical").alias("kw")), ["pool", "kw"], "left_semi")
-             .groupBy("pool", "kw").agg(F.countDistinct("doc_id").alias("raw_count")))
-    r = (recs.join(share, (recs.pool == share.pool) & (recs.canonical == share.kw))
-         .drop(share.pool).join(docs_per_pool, "pool"))
+    synonym.
+
+    One pass: every held phrase emits a canonical membership and a literal
+    membership, and a single aggregation keyed by (pool, keyword) yields the
+    record (from non-noise canonical rows) and the share (distinct documents over
+    all rows). The phrase table is consumed once."""
+    held = phrases.select("pool", "doc_id", "phrase").distinct()
+    if classification is None:
+        cls = held.select("*", F.lit("hard_skill").alias("category"),
+                          tx.naive_canonical(F.col("phrase")).alias("canonical"))
+    else:
+        c = classification.select(F.lower(F.trim("keyword")).alias("phrase"),
+                                  F.lower(F.trim("category")).alias("_cat"),
+                                  F.lower(F.trim("canonical")).alias("_can"))
+        cls = held.join(F.broadcast(c), "phrase", "left").select(
+            "pool", "doc_id", "phrase", F.coalesce(F.col("_cat"), F.lit("hard_skill")).alias("category"),
+            F.coalesce(F.col("_can"), tx.naive_canonical(F.col("phrase"))).alias("canonical"))
+    m = cls.select("pool", "doc_id", "phrase", "category", F.inline(F.array(
+        F.struct(F.col("canonical").alias("kw"), F.lit(True).alias("is_canon")),
+        F.struct(F.col("phrase").alias("kw"), F.lit(False).alias("is_canon")))))
+    rec = F.col("is_canon") & (F.col("category") != "noise")
+    agg = (m.groupBy("pool", "kw").agg(
+        F.max(rec).alias("_live"),
+        F.min(F.when(rec, F.struct(F.col("phrase"), F.col("category")))).alias("_first"),
+        F.min(F.when(rec, F.struct(-F.length("phrase"), F.col("phrase")))).alias("_disp"),
+        F.countDistinct("doc_id").alias("raw_count"))
+        .filter(F.col("_live")))
+    r = agg.join(docs_per_pool, "pool")
     freq = F.col("raw_count") / F.col("n_docs")
     tier = (F.when(freq >= 0.60, "critical").when(freq >= 0.30, "recommended").otherwise("nice_to_have"))
     return (r.filter(freq >= 0.10)
-            .select("pool", F.col("canonical").alias("keyword"), "display", "category",
+            .select("pool", F.col("kw").alias("keyword"), F.col("_disp").getField("phrase").alias("display"),
+                    F.col("_first").getField("category").alias("category"),
                     round_half_up(freq, 3).alias("frequency"), F.col("raw_count").cast("long").alias("raw_count"),
                     tier.alias("tier")))
 
@@ -160,7 +210,8 @@ def gap_analysis(candidate_tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     """Per candidate, each keyword is ``already_have`` when the keyword or its
     display form is inside any résumé token, else ``must_add`` (critical) or
     ``should_emphasize``. ``candidate_tokens`` = (pool, candidate_id, tokens)."""
-    j = candidate_tokens.join(keyword_array(keywords), "pool")
+    j = candidate_tokens.join(keyword_array(keywords), "pool", "left").withColumn("kws", F.coalesce(
+        F.col("kws"), F.array().cast("array<struct<tier_rank:int,keyword:string,display:string,tier:string>>")))
 
     def present(k: Column) -> Column:
         return (F.exists(F.col("tokens"), lambda t: F.contains(t, k.getField("keyword")))

@@ -304,7 +304,9 @@ def benchmark_keywords(spark, sf_dir):
     b = T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"),
                                                    F.lit("benchmark").alias("pool"), "text")
     ph = keywords.top_phrases(b, top_per_doc=TOP_PER_DOC)
-    return keywords.market_keywords(ph, keywords.docs_per_pool(b))
+    # bounded (each keyword needs a 10% share) and read by several consumers:
+    # materialise once.
+    return cut_lineage(keywords.market_keywords(ph, keywords.docs_per_pool(b)))
 
 
 def _coverage(spark, sf_dir):
@@ -599,7 +601,7 @@ def msg_dedup_stream(spark, sf_dir):
 from ..operators import checks, embeddings, requests  # noqa: E402
 from ..sources import postings as postings_src  # noqa: E402
 from ..sources import sinks  # noqa: E402
-from ..session import scratch_path  # noqa: E402
+from ..session import cut_lineage, scratch_path  # noqa: E402
 
 # Our own request template (the reference's prompt texts are not reproduced).
 KEYWORD_REQUEST_TEMPLATE = ("Classify the key phrases of a {role} posting.\n"
@@ -757,7 +759,7 @@ def salary_display(spark, sf_dir):
 def phrase_mmr(spark, sf_dir):
     """K4: MMR re-ranking of every scored phrase of each document."""
     d = _docs_by_source(spark, sf_dir)
-    scored = keywords.phrase_scores(keywords.phrase_counts(d), keywords.docs_per_pool(d))
+    scored = keywords.phrase_scores(cut_lineage(keywords.phrase_counts(d)), keywords.docs_per_pool(d))
     return embeddings.mmr_rerank(scored, top_n=TOP_PER_DOC, diversity=0.3)
 
 
@@ -770,6 +772,7 @@ def doc_vectors(spark, sf_dir):
 # ---------------------------------------------------------------- résumés ----
 
 from ..operators import resume  # noqa: E402
+from .strategy import top_n_per_group  # noqa: E402
 
 
 def candidates(spark, sf_dir):
@@ -918,3 +921,158 @@ def top_jobs_table(spark, sf_dir):
     return top.select("pool", "rank", "title", "company", "city", sal.alias("salary"),
                       F.format_string("%.4f", F.col("composite_score")).alias("score"),
                       F.when(F.col("remote"), "remote").otherwise("onsite").alias("mode"))
+
+
+# ------------------------------------------------------------ more reports ----
+
+from ..functions.salary import FX_TO_INR  # noqa: E402
+from ..functions.timefn import millis_to_utc_text  # noqa: E402
+from ..sources import documents as docs_src  # noqa: E402
+from ..functions.numeric import round_half_up  # noqa: E402
+
+EVENTS_AS_OF = "2024-01-31 00:00:00"
+LOOKBACK_DAYS = 7
+
+
+@query("poll_counts")
+def poll_counts(spark, sf_dir):
+    """Messages checked, messages that could advance a status, and
+    applications advanced."""
+    f = mail.fold_statuses(_event_applications(spark, sf_dir), _event_messages(spark, sf_dir))
+    return f.agg(F.sum("n_messages").cast("long").alias("checked"),
+                 F.sum("n_candidates").cast("long").alias("classified"),
+                 F.count_if(F.col("status") != F.col("start_status")).cast("long").alias("advanced"))
+
+
+@query("recent_messages")
+def recent_messages(spark, sf_dir):
+    """S10/T-6: messages inside the look-back window, with the received time
+    rendered from epoch milliseconds."""
+    ev = T.read(spark, sf_dir, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    lo = F.unix_millis(F.to_timestamp(F.lit(EVENTS_AS_OF))) - LOOKBACK_DAYS * 86400 * 1000
+    return ev.filter(ms >= lo).select("event_id", "user_id", millis_to_utc_text(ms).alias("received_at"))
+
+
+def _fx(cur):
+    m = F.create_map(*[x for k, v in FX_TO_INR.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(m, F.upper(cur)), F.lit(1.0))
+
+
+@query("salary_overlay")
+def salary_overlay(spark, sf_dir):
+    """Postings without structured pay (pending orders here) take landed
+    extraction results (every third order, in lakh already; never divided again);
+    priority structured > regex > extraction > missing."""
+    p = T.postings(spark, sf_dir)
+    pend = F.col("job_salary_period") == "hourly"
+    p = (p.withColumn("job_min_salary", F.when(pend, None).otherwise(F.col("job_min_salary")))
+          .withColumn("job_max_salary", F.when(pend, None).otherwise(F.col("job_max_salary"))))
+    s = rank.with_salary(p).select("job_id", "_sal")
+    o = T.read(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 == 0)
+    ext = o.select(F.col("o_orderkey").alias("job_id"),
+                   round_half_up(F.col("o_totalprice") / 100000, 2).alias("x_min"), F.lit(None).cast("double").alias("x_max"),
+                   F.when(F.col("o_orderkey") % 2 == 0, "INR").otherwise("USD").alias("x_cur"))
+    j = s.join(ext, "job_id", "left")
+    use = (F.col("_sal.source") == "missing") & F.col("x_min").isNotNull()
+    lo = F.when(use, F.round(F.col("x_min") * _fx(F.col("x_cur")), 2)).otherwise(F.col("_sal.min_lpa"))
+    hi = F.when(use, F.round(F.col("x_max") * _fx(F.col("x_cur")), 2)).otherwise(F.col("_sal.max_lpa"))
+    src = F.when(use, F.lit("llm")).otherwise(F.col("_sal.source"))
+    return j.select("job_id", lo.alias("salary_min_lpa"), hi.alias("salary_max_lpa"),
+                    F.coalesce((lo + hi) / 2, lo, hi).alias("salary_mid_lpa"), src.alias("salary_source"))
+
+
+def render_cell(c, dtype: str):
+    """P5: NULL -> '', list -> ', '-joined, bool -> TRUE/FALSE, else text."""
+    if dtype.startswith("array"):
+        return F.coalesce(F.array_join(c, ", "), F.lit(""))
+    if dtype == "boolean":
+        return F.when(c.isNull(), F.lit("")).when(c, F.lit("TRUE")).otherwise(F.lit("FALSE"))
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+@query("app_export")
+def app_export(spark, sf_dir):
+    """P5: the applications table as sheet cells."""
+    a = app_upsert(spark, sf_dir).withColumn("watched", F.col("status").isin("applied", "screening"))
+    return a.select(*[render_cell(F.col(n), t).alias(n) for n, t in a.dtypes])
+
+
+@query("tier_lists")
+def tier_lists(spark, sf_dir):
+    """Per pool the critical (first 25) and recommended (first 20) keyword
+    displays in report order."""
+    mk = market_keywords(spark, sf_dir)
+
+    def top(tier, n):
+        arr = F.array_sort(F.collect_list(F.when(F.col("tier") == tier, F.struct(
+            (-F.col("frequency")).alias("f"), F.col("keyword").alias("k"), F.col("display").alias("d")))))
+        return F.array_join(F.transform(F.slice(arr, 1, n), lambda x: x.getField("d")), ", ")
+    return mk.groupBy("pool").agg(top("critical", 25).alias("critical"), top("recommended", 20).alias("recommended"))
+
+
+TAILOR_TERMS, TAILOR_THRESHOLD = 25, 0.90
+
+
+@query("tailoring_gate")
+def tailoring_gate(spark, sf_dir):
+    """A document needs tailoring when it covers under 90% of the first 25
+    critical and recommended terms (report order)."""
+    kw = benchmark_keywords(spark, sf_dir).filter(F.col("tier").isin("critical", "recommended"))
+    first = keywords.report_order()
+    kw25 = top_n_per_group(kw, ["pool"], first, TAILOR_TERMS).drop("rank")
+    d = T.read(spark, sf_dir, "documents").withColumn("pool", F.lit("benchmark"))
+    cov = ats.keyword_coverage(d, kw25).filter(F.col("tier") == "all")
+    return cov.select("doc_id", "coverage", (F.col("coverage") < TAILOR_THRESHOLD).alias("needs_tailoring"))
+
+
+@query("best_role")
+def best_role(spark, sf_dir):
+    """the role pool with the best baseline composite (ties: lowest pool id)."""
+    s = role_summary(spark, sf_dir)
+    return s.orderBy(F.col("best_composite").desc(), F.col("pool")).limit(1).select("pool", "best_composite")
+
+
+@query("document_files")
+def document_files(spark, sf_dir):
+    """S6 + S5: documents written as one text file per source, read back whole."""
+    import uuid
+    d = T.read(spark, sf_dir, "documents").select("source", "text")
+    path = scratch_path(spark, f"artifacts/documents/{uuid.uuid4().hex[:12]}")
+    d.repartition("source").write.partitionBy("source").text(path)
+    ok, _ = docs_src.read_documents(spark, path)
+    return ok.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("source"),
+                     F.length("text").cast("long").alias("n_chars"))
+
+
+@query("app_snapshot")
+def app_snapshot(spark, sf_dir):
+    """The upserted table saved as version 1, the status changes as version 2;
+    readers see the current version."""
+    import uuid
+    path = scratch_path(spark, f"tables/applications/{uuid.uuid4().hex[:12]}")
+    sinks.save_snapshot(spark, app_upsert(spark, sf_dir), path)
+    out, _ = apps.set_status(sinks.load_snapshot(spark, path, apps.SCHEMA), _status_updates(spark, sf_dir))
+    sinks.save_snapshot(spark, out, path)
+    cur = sinks.load_snapshot(spark, path, apps.SCHEMA)
+    return cur.select("job_id", "status", "applied_at", "last_response_at", "last_response_summary", "notes")
+
+
+@query("cover_letter_lines")
+def cover_letter_lines(spark, sf_dir):
+    """A dated letter per candidate (header, recipient, salutation, body,
+    sign-off with the first name) as ordered lines."""
+    c = candidates(spark, sf_dir)
+    r = F.col("resume")
+    name = r.getField("contact").getField("name")
+    first_name = F.coalesce(F.try_element_at(F.split(F.trim(name), " "), F.lit(1)), F.lit(""))
+    role = F.get(r.getField("experience"), 0)
+    body = F.concat(F.lit("I am applying for the "), F.coalesce(role.getField("title"), F.lit("open")),
+                    F.lit(" role at "), F.coalesce(role.getField("company"), F.lit("your company")), F.lit(".\n\n"),
+                    r.getField("summary"))
+    paras = F.filter(F.transform(F.split(body, "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
+    lines = F.concat(F.array(name, r.getField("contact").getField("email"), F.lit("02 August 2001"), F.lit(""),
+                             F.lit("Hiring Manager"), F.coalesce(role.getField("company"), F.lit("")), F.lit(""),
+                             F.lit("Dear Hiring Manager,")), paras, F.array(F.lit("Sincerely,"), first_name))
+    return c.select("candidate_id", F.size(lines).cast("long").alias("n_lines"), first_name.alias("first_name"),
+                    F.get(lines, 8).alias("opening"))

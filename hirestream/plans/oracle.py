@@ -463,9 +463,10 @@ cv AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS blob FROM conversa
 ct AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(coalesce(blob, '')), """ + _q(_tx.TOKEN_PATTERN) + """)) AS tokens
        FROM cv),
 g AS (SELECT ct.conv_id, k.keyword,
-             CASE WHEN len(list_filter(ct.tokens, lambda t: contains(t, k.keyword) OR contains(t, lower(k.display)))) > 0
+             CASE WHEN k.keyword IS NULL THEN NULL
+                  WHEN len(list_filter(ct.tokens, lambda t: contains(t, k.keyword) OR contains(t, lower(k.display)))) > 0
                   THEN 'already_have' WHEN k.tier = 'critical' THEN 'must_add' ELSE 'should_emphasize' END AS bucket
-      FROM ct, mk k)
+      FROM ct LEFT JOIN mk k ON true)
 SELECT conv_id, count(*) FILTER (WHERE bucket = 'already_have') AS n_already_have,
        count(*) FILTER (WHERE bucket = 'must_add') AS n_must_add,
        count(*) FILTER (WHERE bucket = 'should_emphasize') AS n_should_emphasize,
@@ -915,3 +916,82 @@ SELECT pool, rank, title, company, city,
        printf('%.4f', composite_score) AS score, CASE WHEN remote THEN 'remote' ELSE 'onsite' END AS mode
 FROM (SELECT *, """ + _rhu("salary_min_lpa", 1) + " AS lo, " + _rhu("salary_max_lpa", 1) + """ AS hi FROM tp)"""
 ORACLE["top_jobs_table"] = ORACLE["top_jobs_table"].replace("\ntp AS (SELECT", ",\ntp AS (SELECT", 1)
+
+
+# ============================================================ batch 6 =========
+ORACLE["poll_counts"] = ("SELECT CAST(sum(n_messages) AS BIGINT) AS checked, CAST(sum(n_candidates) AS BIGINT) AS classified,"
+                         " CAST(count(*) FILTER (WHERE status <> start_status) AS BIGINT) AS advanced FROM (" + _FOLD + ")")
+
+ORACLE["recent_messages"] = """
+SELECT event_id, user_id, strftime(epoch_ms(epoch_us(ts) // 1000), '%Y-%m-%d %H:%M:%S') || ' UTC' AS received_at
+FROM events WHERE epoch_us(ts) // 1000 >= epoch_ms(TIMESTAMP '2024-01-31 00:00:00') - 7 * 86400 * 1000"""
+
+_FX = ("CASE upper({c}) WHEN 'INR' THEN 1.0::DOUBLE WHEN 'USD' THEN 86.0::DOUBLE WHEN 'EUR' THEN 92.0::DOUBLE "
+       "WHEN 'GBP' THEN 108.0::DOUBLE WHEN 'SGD' THEN 64.0::DOUBLE ELSE 1.0::DOUBLE END")
+ORACLE["salary_overlay"] = "WITH " + POSTINGS_CTE + """,
+p2 AS (SELECT * REPLACE (CASE WHEN job_salary_period = 'hourly' THEN NULL ELSE job_min_salary END AS job_min_salary,
+                         CASE WHEN job_salary_period = 'hourly' THEN NULL ELSE job_max_salary END AS job_max_salary)
+       FROM postings),""" + SALARY_CTE.format(src="p2") + """,
+ext AS (SELECT o_orderkey AS job_id, """ + _rhu("o_totalprice / 100000.0::DOUBLE", 2) + """ AS x_min,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'INR' ELSE 'USD' END AS x_cur FROM orders WHERE o_orderkey % 3 = 0),
+j AS (SELECT s.job_id, s.salary_min_lpa, s.salary_max_lpa, s.salary_source, e.x_min, e.x_cur,
+             s.salary_source = 'missing' AND e.x_min IS NOT NULL AS use_x
+      FROM sal s LEFT JOIN ext e ON s.job_id = e.job_id),
+k AS (SELECT job_id, CASE WHEN use_x THEN round(x_min * """ + _FX.format(c="x_cur") + """, 2) ELSE salary_min_lpa END AS lo,
+             CASE WHEN use_x THEN NULL ELSE salary_max_lpa END AS hi,
+             CASE WHEN use_x THEN 'llm' ELSE salary_source END AS src FROM j)
+SELECT job_id, lo AS salary_min_lpa, hi AS salary_max_lpa, coalesce((lo + hi) / 2, lo, hi) AS salary_mid_lpa,
+       src AS salary_source FROM k"""
+
+
+def _cell(c: str, t: str) -> str:
+    if t == "boolean":
+        return f"CASE WHEN {c} IS NULL THEN '' WHEN {c} THEN 'TRUE' ELSE 'FALSE' END AS {c}"
+    return f"coalesce(CAST({c} AS VARCHAR), '') AS {c}"
+
+
+ORACLE["app_export"] = (_UPSERT_CTE + ",\nw AS (SELECT *, status IN ('applied', 'screening') AS watched FROM ups)\nSELECT "
+                        + ", ".join(_cell(c, "string") for c in _APP_COLS) + ", " + _cell("watched", "boolean")
+                        + " FROM w")
+
+ORACLE["tier_lists"] = "WITH " + _DOCS_SRC + keyword_ctes("src") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY pool, tier ORDER BY frequency DESC, keyword) AS rn FROM mk)
+SELECT pool,
+       coalesce(string_agg(display, ', ' ORDER BY frequency DESC, keyword) FILTER (WHERE tier = 'critical' AND rn <= 25), '')
+         AS critical,
+       coalesce(string_agg(display, ', ' ORDER BY frequency DESC, keyword) FILTER (WHERE tier = 'recommended' AND rn <= 20), '')
+         AS recommended
+FROM r GROUP BY pool"""
+
+ORACLE["tailoring_gate"] = "WITH " + _BENCH_SRC + keyword_ctes("src") + """,
+t25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY
+          CASE tier WHEN 'critical' THEN 1 WHEN 'recommended' THEN 2 ELSE 3 END,
+          CASE category WHEN 'hard_skill' THEN 1 WHEN 'tool' THEN 2 WHEN 'certification' THEN 3 WHEN 'domain_term' THEN 4
+                        WHEN 'soft_skill' THEN 5 ELSE 99 END, frequency DESC, keyword) AS rn
+        FROM mk WHERE tier IN ('critical', 'recommended')) WHERE rn <= 25),
+d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') AS hay FROM documents),
+h AS (SELECT d.doc_id, count(t.keyword) AS n,
+             count(*) FILTER (WHERE (coalesce(t.keyword, '') <> '' AND contains(d.hay, lower(t.keyword)))
+                                 OR (coalesce(t.display, '') <> '' AND contains(d.hay, lower(t.display)))) AS hits
+      FROM d LEFT JOIN t25 t ON true GROUP BY d.doc_id)
+SELECT doc_id, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE """ + _rhu("hits / n", 4) + """ END AS coverage,
+       CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE """ + _rhu("hits / n", 4) + """ END < 0.9::DOUBLE AS needs_tailoring
+FROM h"""
+
+ORACLE["best_role"] = ORACLE["role_summary"].replace(
+    "SELECT pool, count(*) AS n_ranked", "rs AS (SELECT pool, count(*) AS n_ranked", 1).replace(
+    "FROM top GROUP BY pool", "FROM top GROUP BY pool)") + """
+SELECT pool, best_composite FROM rs ORDER BY best_composite DESC, pool LIMIT 1"""
+ORACLE["best_role"] = ORACLE["best_role"].replace("\nrs AS (SELECT pool", ",\nrs AS (SELECT pool", 1)
+
+ORACLE["document_files"] = ("SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents"
+                            " GROUP BY source")
+
+ORACLE["app_snapshot"] = ORACLE["status_update"]
+
+ORACLE["cover_letter_lines"] = "WITH " + _LI_RANKED + """,
+f AS (SELECT l_orderkey, p_name, s_name FROM li WHERE role_rank = 1)
+SELECT o.o_orderkey AS candidate_id, CAST(12 AS BIGINT) AS n_lines, c.c_mktsegment AS first_name,
+       'I am applying for the ' || coalesce(f.p_name, 'open') || ' role at ' || coalesce(f.s_name, 'your company') || '.'
+         AS opening
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN f ON f.l_orderkey = o.o_orderkey"""

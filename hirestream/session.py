@@ -18,10 +18,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcast decisions are left to AQE's runtime statistics (actual shuffle
-    # sizes) below this bound; explicit hints are used only for sides whose
-    # size is fixed by construction.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Broadcast decisions for derived tables are left to AQE's runtime statistics
+    # (measured shuffle sizes) under Spark's default threshold; tables that grow
+    # with the data carry a merge hint instead, and explicit broadcast hints are
+    # used only for sides whose size is bounded by construction.
 }
 
 
