@@ -36,7 +36,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def postings(spark: SparkSession, sf_dir: str, with_description: bool = False) -> DataFrame:
+def postings(spark: SparkSession, sf_dir: str, with_description: bool = False,
+             orders: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Standard postings view (D1 columns): one posting per order.
 
     job_id=o_orderkey, employer=c_mktsegment, title=o_orderpriority, city=nation name,
@@ -44,7 +45,7 @@ def postings(spark: SparkSession, sf_dir: str, with_description: bool = False) -
     balance is positive, currency by o_orderkey % 5, period by o_orderstatus,
     applicants=o_orderkey % 400, pool = lower(segment).
     """
-    o = read(spark, sf_dir, "orders")
+    o = read(spark, sf_dir, "orders") if orders is None else orders
     c = read(spark, sf_dir, "customer")
     # nation is a fixed-size dimension (one row per country): broadcast.
     n = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
@@ -75,15 +76,17 @@ def postings(spark: SparkSession, sf_dir: str, with_description: bool = False) -
         d = read(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text").alias("job_description"))
         p = p.join(d, F.col("o_orderkey") == F.col("doc_id"), "left")
         cols.append(F.col("job_description"))
-    return p.select(*cols)
+    return p.select(*cols, *[F.col(k) for k in keep])
 
 
 def embedded_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings that carry an embedding (inner join on vec_id = job_id); pool = label."""
     e = read(spark, sf_dir, "embeddings")
-    return (postings(spark, sf_dir).drop("pool")
-            .join(e, F.col("job_id") == F.col("vec_id"), "inner")
-            .withColumn("pool", F.col("label").cast("string")).drop("vec_id", "label"))
+    # Join the embeddings to orders first (the selective join), then enrich the
+    # survivors with customer and nation; Catalyst keeps the written join order.
+    o = read(spark, sf_dir, "orders").join(e, F.col("o_orderkey") == F.col("vec_id"), "inner")
+    p = postings(spark, sf_dir, orders=o, keep=("embedding", "label"))
+    return p.drop("pool").withColumn("pool", F.col("label").cast("string")).drop("label")
 
 
 def candidates_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
