@@ -164,7 +164,7 @@ def market_keywords(phrases: DataFrame, docs_per_pool: DataFrame,
         c = classification.select(F.lower(F.trim("keyword")).alias("phrase"),
                                   F.lower(F.trim("category")).alias("_cat"),
                                   F.lower(F.trim("canonical")).alias("_can"))
-        cls = held.join(F.broadcast(c), "phrase", "left").select(
+        cls = held.join(c, "phrase", "left").select(
             "pool", "doc_id", "phrase", F.coalesce(F.col("_cat"), F.lit("hard_skill")).alias("category"),
             F.coalesce(F.col("_can"), tx.naive_canonical(F.col("phrase"))).alias("canonical"))
     m = cls.select("pool", "doc_id", "phrase", "category", F.inline(F.array(
@@ -210,7 +210,7 @@ def gap_analysis(candidate_tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     """Per candidate, each keyword is ``already_have`` when the keyword or its
     display form is inside any résumé token, else ``must_add`` (critical) or
     ``should_emphasize``. ``candidate_tokens`` = (pool, candidate_id, tokens)."""
-    j = candidate_tokens.join(keyword_array(keywords), "pool", "left").withColumn("kws", F.coalesce(
+    j = candidate_tokens.join(F.broadcast(keyword_array(keywords)), "pool", "left").withColumn("kws", F.coalesce(
         F.col("kws"), F.array().cast("array<struct<tier_rank:int,keyword:string,display:string,tier:string>>")))
 
     def present(k: Column) -> Column:

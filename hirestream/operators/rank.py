@@ -45,7 +45,10 @@ def score_postings(postings: DataFrame, *, as_of, pool_col: str = "pool") -> Dat
     as_of_s = as_of_epoch(as_of)
     p = with_salary(postings)
     stats = pool_salary_stats(p, pool_col).select(pool_col, "n_known", "median_mid", "std_mid")
-    p = p.join(stats, pool_col, "left")
+    # One row per pool (role pools are a dimension), so the statistics are
+    # broadcast: a pool holding a third of all postings never meets a skewed
+    # shuffle join here.
+    p = p.join(F.broadcast(stats), pool_col, "left")
     med = F.col("median_mid")
     sd = F.coalesce(F.when(F.col("std_mid") != 0, F.col("std_mid")), F.lit(1.0))
     z = (F.coalesce(F.col("_sal.mid_lpa"), med) - med) / sd

@@ -1076,3 +1076,41 @@ def cover_letter_lines(spark, sf_dir):
                              F.lit("Dear Hiring Manager,")), paras, F.array(F.lit("Sincerely,"), first_name))
     return c.select("candidate_id", F.size(lines).cast("long").alias("n_lines"), first_name.alias("first_name"),
                     F.get(lines, 8).alias("opening"))
+
+
+# -------------------------------------------------------- screening answers ----
+
+from ..operators import answers as ans  # noqa: E402
+
+
+@query("screening_answers")
+def screening_answers(spark, sf_dir):
+    """Landed answer responses (from events: fenced for clicks,
+    truncated for errors) parsed, blank-filled, overridden by each user's explicit
+    preferences (every third user states them) and rendered as labelled lines."""
+    ev = T.read(spark, sf_dir, "events")
+    body = F.to_json(F.struct(F.col("props").alias("why_this_role"),
+                              F.get_json_object("props", "$.k").alias("years_of_total_experience"),
+                              F.format_string("%.2f", F.col("value")).alias("current_ctc_lpa"),
+                              F.array(F.col("event_type")).alias("core_techniques")))
+    raw = (F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+           .when(F.col("event_type") == "error", F.substring(body, 1, 20)).otherwise(body))
+    prefs = F.when(F.col("user_id") % 3 == 0, F.struct(
+        F.lit(25.0).alias("current_ctc_lpa"), F.lit(30.0).alias("expected_ctc_lpa"),
+        F.lit(None).cast("double").alias("notice_period_days"), F.lit(True).alias("willing_to_relocate"),
+        F.lit("2024-03-01").alias("earliest_join_date"))).otherwise(F.struct(
+        F.lit(None).cast("double").alias("current_ctc_lpa"), F.lit(None).cast("double").alias("expected_ctc_lpa"),
+        F.lit(None).cast("double").alias("notice_period_days"), F.lit(None).cast("boolean").alias("willing_to_relocate"),
+        F.lit("").alias("earliest_join_date")))
+    d = ev.select("event_id", "user_id", raw.alias("_raw"), prefs.alias("_prefs"))
+    d = ans.parse_answers(d, "_raw", "_parsed")
+    d = d.withColumn("_a", ans.apply_preferences(F.col("_parsed"), F.col("_prefs")))
+    d = d.withColumn("_lines", ans.answer_lines(F.col("_a")))
+    a, lines = F.col("_a"), F.col("_lines")
+    return d.select("event_id", a.getField("years_of_total_experience").alias("years"),
+                    a.getField("current_ctc_lpa").alias("current_ctc"),
+                    a.getField("willing_to_relocate_to_job_location").alias("relocate"),
+                    a.getField("earliest_join_date").alias("join_date"),
+                    F.get(lines, 11).alias("techniques_line"), F.get(lines, 14).alias("why_line"),
+                    ans.first_name(F.lit(None).cast("string"), F.concat(F.lit("User "), F.col("user_id").cast("string")))
+                     .alias("first_name"))

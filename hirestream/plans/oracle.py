@@ -995,3 +995,15 @@ SELECT o.o_orderkey AS candidate_id, CAST(12 AS BIGINT) AS n_lines, c.c_mktsegme
        'I am applying for the ' || coalesce(f.p_name, 'open') || ' role at ' || coalesce(f.s_name, 'your company') || '.'
          AS opening
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN f ON f.l_orderkey = o.o_orderkey"""
+
+ORACLE["screening_answers"] = """
+WITH e AS (SELECT event_id, user_id, event_type, props, value, event_type <> 'error' AS ok FROM events)
+SELECT event_id,
+       CASE WHEN ok THEN coalesce(json_extract_string(props, '$.k'), '') ELSE '' END AS years,
+       CASE WHEN user_id % 3 = 0 THEN '25.0' WHEN ok THEN coalesce(printf('%.2f', value), '') ELSE '' END AS current_ctc,
+       CASE WHEN user_id % 3 = 0 THEN 'True' ELSE '' END AS relocate,
+       CASE WHEN user_id % 3 = 0 THEN '2024-03-01' ELSE '' END AS join_date,
+       '- **Core techniques**: ' || CASE WHEN ok THEN event_type ELSE '(none)' END AS techniques_line,
+       '- **Why this role**: ' || CASE WHEN ok AND coalesce(props, '') <> '' THEN props ELSE '(blank)' END AS why_line,
+       'User' AS first_name
+FROM e"""
