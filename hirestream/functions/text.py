@@ -183,14 +183,18 @@ def strip_bullet(line: Column) -> Column:
 
 
 def date_range(line: Column) -> Column:
-    """T-5: ``struct<start,end,prefix>``; prefix is the text before the range."""
+    """T-5: ``struct<has_range,start,end,prefix>``; prefix is the text before the range.
+
+    Three evaluations of one pattern (whole match, start group, end group); the
+    prefix is cut at the position of the whole match, which is its first
+    occurrence because the match is leftmost."""
     s = _ne(line)
-    has = s.rlike(DATE_RANGE_PATTERN)
+    whole = F.regexp_extract(s, DATE_RANGE_PATTERN, 0)
+    has = whole != ""
     start = F.regexp_extract(s, DATE_RANGE_PATTERN, 1)
     end = F.regexp_extract(s, DATE_RANGE_PATTERN, 3)
-    prefix = F.regexp_extract(s, "(?is)^(.*?)" + DATE_RANGE_PATTERN[len("(?i)"):], 1)
-    return F.struct(has.alias("has_range"), start.alias("start"), end.alias("end"),
-                    prefix.alias("prefix"))
+    prefix = F.when(has, F.substring(s, F.lit(1), F.position(whole, s) - 1)).otherwise(F.lit(""))
+    return F.struct(has.alias("has_range"), start.alias("start"), end.alias("end"), prefix.alias("prefix"))
 
 
 def role_header(prefix: Column) -> Column:

@@ -1114,3 +1114,16 @@ def screening_answers(spark, sf_dir):
                     F.get(lines, 11).alias("techniques_line"), F.get(lines, 14).alias("why_line"),
                     ans.first_name(F.lit(None).cast("string"), F.concat(F.lit("User "), F.col("user_id").cast("string")))
                      .alias("first_name"))
+
+
+@query("role_report")
+def role_report(spark, sf_dir):
+    """Role presets (regions, slug = lower name) left-joined to the per-pool
+    summaries (pool = region key); a preset without postings yields an error row."""
+    r = T.read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("pool"),
+                                               tx.slug(F.col("r_name")).alias("role_slug"))
+    s = role_summary(spark, sf_dir)
+    j = F.broadcast(r).join(s, "pool", "left")
+    return j.select("role_slug", "pool", F.coalesce("n_ranked", F.lit(0)).cast("long").alias("n_ranked"),
+                    "best_salary_lpa", "best_composite",
+                    F.when(F.col("n_ranked").isNull(), F.lit("no postings")).otherwise(F.lit("")).alias("error"))

@@ -1007,3 +1007,11 @@ SELECT event_id,
        '- **Why this role**: ' || CASE WHEN ok AND coalesce(props, '') <> '' THEN props ELSE '(blank)' END AS why_line,
        'User' AS first_name
 FROM e"""
+
+ORACLE["role_report"] = ORACLE["role_summary"].replace(
+    "SELECT pool, count(*) AS n_ranked", "rs AS (SELECT pool, count(*) AS n_ranked", 1).replace(
+    "FROM top GROUP BY pool", "FROM top GROUP BY pool)").replace("\nrs AS (SELECT pool", ",\nrs AS (SELECT pool", 1) + """
+SELECT lower(regexp_replace(regexp_replace(regexp_replace(r.r_name, '[^A-Za-z0-9]+', '_', 'g'), '^_+', ''), '_+$', '')) AS role_slug,
+       CAST(r.r_regionkey AS VARCHAR) AS pool, CAST(coalesce(rs.n_ranked, 0) AS BIGINT) AS n_ranked,
+       rs.best_salary_lpa, rs.best_composite, CASE WHEN rs.n_ranked IS NULL THEN 'no postings' ELSE '' END AS error
+FROM region r LEFT JOIN rs ON rs.pool = CAST(r.r_regionkey AS VARCHAR)"""
