@@ -40,7 +40,7 @@ def time_text(ts: Column) -> Column:
     return F.date_format(ts, TIME_FORMAT)
 
 
-def to_application_rows(ranked: DataFrame, *, as_of_text: str, default_source: str = "jsearch") -> DataFrame:
+def to_application_rows(ranked: DataFrame, *, as_of_text: str, default_source: str = "api") -> DataFrame:
     """ranked/fetched rows -> D12 rows, rounded per column, status ``queued``."""
     first = lambda *names: F.coalesce(*[F.when(~_blank(_c(ranked, n)), _c(ranked, n)) for n in names],
                                       F.lit(""))

@@ -42,10 +42,10 @@ def test_board_rows_epochs_and_defaults(spark):
              "2026-06-01T10:00:00+05:30", 1.0, None, None, None, None, "7", None, None)]
     from hirestream.schemas import BOARD_ROW_DDL
     df = spark.createDataFrame(rows, BOARD_ROW_DDL)
-    r = postings_src.normalise_board_rows(df, "linkedin", "Pune").first()
+    r = postings_src.normalise_board_rows(df, "boardx", "Pune").first()
     assert r.job_posted_at_timestamp == 1780288200 and r.job_salary_currency == "INR"
     assert r.job_salary_period == "yearly" and r._applicant_count == 7 and r.job_city == "Pune"
-    assert r.job_id.startswith("board:linkedin:") and len(r.job_id) == len("board:linkedin:") + 16
+    assert r.job_id.startswith("board:boardx:") and len(r.job_id) == len("board:boardx:") + 16
 
 
 def test_snapshot_versions(spark):
