@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 
 CHUNK_SIZE = 60
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
@@ -51,8 +52,25 @@ def parse_json_response(raw: Column, schema: str) -> Column:
     return F.when(v.isNotNull(), F.from_json(body, schema))
 
 
-def chunk_ids(df: DataFrame, group_col: str, order_col: str, size: int = CHUNK_SIZE) -> DataFrame:
+def chunk_ids(df: DataFrame, group_col: str, order_col: str, size: int = CHUNK_SIZE,
+              num_partitions: int | None = None) -> DataFrame:
     """F8: batch number of each row within its group (``size`` rows per batch) in
-    ``order_col`` order."""
-    w = Window.partitionBy(group_col).orderBy(order_col)
-    return df.withColumn("chunk_id", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    ``order_col`` order (keys assumed unique within a group).
+
+    The position is computed without putting a group in one task: rows are
+    range-partitioned by (group, key) (a hot group spans several partitions),
+    ranked inside each range partition, and shifted by the counts of the earlier
+    partitions of the same group (a table of partitions x groups rows). The range
+    partitioning is checkpointed so its sampled bounds are fixed for both uses."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, group_col, order_col)
+                         .withColumn("_pid", F.spark_partition_id()))
+    local = ranged.withColumn("_lrank", F.row_number().over(
+        Window.partitionBy("_pid", group_col).orderBy(order_col)))
+    counts = ranged.groupBy(group_col, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    pos = local.join(F.broadcast(offsets), [group_col, "_pid"]).withColumn("_pos", F.col("_off") + F.col("_lrank"))
+    return pos.withColumn("chunk_id", F.floor((F.col("_pos") - 1) / size).cast("long")).drop(
+        "_pid", "_lrank", "_off", "_pos")

@@ -74,7 +74,7 @@ def test_fill_template_single_pass_and_limits(spark):
 
 def test_chunk_ids(spark):
     df = spark.createDataFrame([("p", f"k{i:03d}") for i in range(125)], "pool string, kw string")
-    got = sorted((r.chunk_id, r.n) for r in requests.chunk_ids(df, "pool", "kw", 60)
+    got = sorted((r.chunk_id, r.n) for r in requests.chunk_ids(df, "pool", "kw", 60, num_partitions=4)
                  .groupBy("chunk_id").agg(F.count("*").alias("n")).collect())
     assert got == [(0, 60), (1, 60), (2, 5)]
 
