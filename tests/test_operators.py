@@ -276,3 +276,35 @@ def test_contacts_name_and_text_helpers(spark):
     assert s[0].s == "senior_qa_lead" and s[1].s.startswith("h")
     f = spark.createDataFrame([("x ```json\n{\"a\": 1}\n``` y",)], "t string").select(tx.strip_code_fences(F.col("t")).alias("f")).first().f
     assert f == '{"a": 1}'
+
+
+def test_rounding_helper_is_half_up_on_doubles(spark):
+    # Engine-neutral rounding (half-up on the binary value: 2.675 is 2.67499... as a double)
+    from hirestream.functions.numeric import round_half_up
+    df = spark.createDataFrame([(0.125,), (2.675,), (1.005,), (-0.5,)], "x double")
+    got = [r.r for r in df.select(round_half_up(F.col("x"), 2).alias("r")).collect()]
+    assert got == [0.13, 2.67, 1.0, -0.5]
+
+
+def test_whole_vs_fractional_days(spark):
+    # Ranking floors whole days, filtering keeps the fraction
+    from hirestream.functions.timefn import days_fractional, days_whole
+    t = as_of_epoch(AS_OF) - int(2.75 * DAY)
+    r = spark.range(1).select(days_whole(as_of_epoch(AS_OF), F.lit(t)).alias("w"),
+                              days_fractional(as_of_epoch(AS_OF), F.lit(t)).alias("f")).first()
+    assert (r.w, r.f) == (2, 2.75)
+
+
+def test_role_header_precedence(spark):
+    # Dash split wins, then the comma split overrides " at "
+    df = spark.createDataFrame([("QA Lead - Acme Corp",), ("Analyst at Beta, Pune",), ("Chemist at Gamma",)], "p string")
+    got = [(r.h.title, r.h.company) for r in df.select(tx.role_header(F.col("p")).alias("h")).collect()]
+    assert got == [("QA Lead", "Acme Corp"), ("Analyst at Beta", "Pune"), ("Chemist", "Gamma")]
+
+
+def test_role_summary_null_salary_is_zero(spark):
+    # A role whose top postings carry no salary reports 0, not NULL/NaN
+    top = spark.createDataFrame([("p", 1, None, 0.5, 0.7), ("p", 2, None, 0.4, 0.6)],
+                                "pool string, job_id long, salary_mid_lpa double, composite_score double, fit_score double")
+    r = rank.role_summary(top).first()
+    assert r.best_salary_lpa == 0.0 and r.best_job_id == 1 and r.n_ranked == 2
