@@ -28,11 +28,11 @@ def label_sections(line_df: DataFrame, heading: Column | None = None) -> DataFra
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     labelled = (line_df.withColumn("_head", h)
                 .withColumn("section", F.last("_head", ignorenulls=True).over(w)))
-    body = labelled.filter(F.col("_head").isNull() & F.col("section").isNotNull()
-                           & (tx.pytrim(F.col("line")) != ""))
+    # trim once per line; the filter, the bullet test and the text all use it
+    body = (labelled.filter(F.col("_head").isNull() & F.col("section").isNotNull())
+            .withColumn("_t", tx.pytrim(F.col("line"))).filter(F.col("_t") != ""))
     return body.select("doc_id", "line_no", "section",
-                       tx.is_bullet(F.col("line")).alias("is_bullet"),
-                       tx.pytrim(F.col("line")).alias("text"))
+                       tx.is_bullet(F.col("_t")).alias("is_bullet"), F.col("_t").alias("text"))
 
 
 def group_entries(section_lines: DataFrame) -> DataFrame:
