@@ -140,3 +140,23 @@ def test_stream_equals_batch(spark):
     b = sorted(tuple(r) for r in q["status_fold_stream"](spark, sf).collect())
     assert a == b and len(a) > 0
     assert isinstance(pd.__version__, str)
+
+
+def test_watch_processing_time_trigger(spark):
+    # The long-running watcher processes what has landed, then is stopped by its owner
+    from hirestream.streaming import status_stream
+    from hirestream.plans import catalog as C
+    sf = "/root/testdata/sf0.001"
+    appl = C._event_applications(spark, sf)
+    base = _tmp()
+    q = status_stream.watch(spark, sf, C.EVENT_SCHEMA, appl.select(F.col("job_id").alias("user_id"), "status"),
+                            key_col="user_id",
+                            label_col="event_type", id_col="event_id", time_col="ts", lookback="7 days",
+                            checkpoint=os.path.join(base, "ckpt"), sink=os.path.join(base, "out"),
+                            interval="1 second", glob="events.parquet")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    out = spark.read.parquet(os.path.join(base, "out"))
+    assert out.count() == appl.count()
