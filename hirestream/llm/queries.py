@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, exact_dedup, mixing, quality, sharding
+from . import bpe, chat, exact_dedup, jaccard_join, mixing, quality, sharding, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,13 @@ def op1_bpe(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op3_substring_dedup(spark, sf_dir):
+    """All documents without the passages that an earlier document has."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op4_chat(spark, sf_dir):
     """All conversations, and one that says the control strings, formatted and read back."""
@@ -43,6 +50,12 @@ def op4_chat(spark, sf_dir):
     return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
 
 
+@query
+def op6_jaccard_join(spark, sf_dir):
+    """Components of similar documents over all documents."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_quality(spark, sf_dir):
     """Verdict and base statistics of every document."""
