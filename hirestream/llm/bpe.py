@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, n_buckets, pack, pack_words, unpack, unpack_words
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 MAX_PIECES = 2_000_000
 MAX_TOKENIZER_BYTES = 64 << 20
 
