@@ -6,11 +6,14 @@ characters, so JVM expressions and Arrow tasks agree on it.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,6 +46,21 @@ def n_buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a Parquet table below ``spark.checkpoint.dir``: lineage ends there, also for
+    the optimizer (a checkpointed frame keeps its constraints, which pile up in a loop).
+    The table of ``instead_of``, an earlier result of this function, is removed."""
+    spark = df.sparkSession
+    path = f"{scratch_path(spark, 'written')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    if (old := getattr(instead_of, "_written_at", None)) is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(old)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def chunks(batches: Iterator, limit: int, text_at: int = 1) -> Iterator[list[tuple]]:
     """Rows of Arrow batches as tuples, in lists of about ``limit`` text bytes.
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
-from .common import chunks, free_name, n_buckets, pack, unpack
+from .common import chunks, free_name, n_buckets, pack, unpack, written
 from .components import components
 from .shingles import LANES, Block, mix
 
@@ -239,17 +239,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the node pairs ``a, b`` whose sets are similar."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-                 .mapInArrow(_similar(75), "a long, b long").checkpoint())
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+                        .mapInArrow(_similar(75), "a long, b long"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: components of labels, carried over to their nodes."""
     to = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     of = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    if links.isEmpty():
+        return labels
     found = components(links.join(to, "a").join(of, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     new = found.select(F.col("node").alias("label"), F.col("label").alias("better"))
-    return labels.join(new, "label", "left").select("node", F.coalesce("better", "label").alias("label")).checkpoint()
+    return written(labels.join(new, "label", "left").select("node", F.coalesce("better", "label").alias("label")), instead_of=labels)
 
 
 def _open_groups(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -264,19 +266,22 @@ def link_nodes(shared: DataFrame, sets: DataFrame) -> DataFrame:
     best = shared.groupBy("sig").agg(F.max(F.struct("score", "node")).alias("best")).select("sig", F.col("best.node").alias("pivot"))
     first = (shared.join(best, "sig").filter("node <> pivot")
                    .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    nodes = shared.select("node").distinct().withColumn("label", F.col("node"))
-    labels = _merged(nodes.checkpoint(), _verified(first, sets))
-    order = Window.partitionBy("sig").orderBy(F.col("score").desc(), F.col("node").desc())
-    ranked = _open_groups(shared, labels).drop("label").withColumn("rank", F.row_number().over(order)).checkpoint()
+    labels = written(shared.select("node").distinct().withColumn("label", F.col("node")))
+    labels = _merged(labels, _verified(first, sets))
+    group = Window.partitionBy("sig")
+    order = group.orderBy(F.col("score").desc(), F.col("node").desc())
+    rows = written(_open_groups(shared, labels).select("sig", "node", F.row_number().over(order).alias("rank"),
+                                                       F.count(F.lit(1)).over(group).alias("size")))
     low = 2  # rank 1 was the pivot above
     while True:
-        rows = _open_groups(ranked, labels).checkpoint()
-        if rows.filter(F.col("rank") > low).isEmpty():
+        rows = written(_open_groups(rows.filter(F.col("size") > low), labels).drop("label"), instead_of=rows)
+        if rows.isEmpty():
             return labels
-        pivots = rows.filter(F.col("rank").between(low, 2 * low - 1)).select(
+        labelled = rows.join(labels, "node")
+        pivots = labelled.filter(F.col("rank").between(low, 2 * low - 1)).select(
             "sig", F.col("node").alias("pivot"), F.col("rank").alias("at"), F.col("label").alias("of"))
-        pairs = (rows.join(pivots, "sig").filter("rank > at and label <> of")
-                     .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+        pairs = (labelled.join(pivots, "sig").filter("rank > at and label <> of")
+                         .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
         labels = _merged(labels, _verified(pairs, sets))
         low *= 2
 
@@ -288,23 +293,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = n_buckets(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     texts = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    slim = texts.mapInArrow(_slim, "doc_id long, n_shingles long, node long, digest binary").checkpoint()
+    slim = written(texts.mapInArrow(_slim, "doc_id long, n_shingles long, node long, digest binary"))
     nodes = (slim.filter("n_shingles > 0").groupBy("node")
                  .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.min("digest").alias("d0"), F.max("digest").alias("d1")))
     if not nodes.filter("d0 <> d1").isEmpty():
         raise ValueError("two different shingle sets have the same 64-bit node number")
     nodes = nodes.select("node", "rep", "size")
 
-    shared = (texts.mapInArrow(_send_signatures(buckets), _PACKED).groupBy("bucket")
-                   .applyInArrow(_shared, "sig long, node long, family int, need int").checkpoint())
-    scores = (shared.groupBy("node", "family").agg(F.count(F.lit(1)).alias("score"), F.max("need").alias("need"))
-                    .filter("score >= need").select("node", "family", "score").checkpoint())
+    shared = written(texts.mapInArrow(_send_signatures(buckets), _PACKED).groupBy("bucket")
+                          .applyInArrow(_shared, "sig long, node long, family int, need int"))
+    scores = written(shared.groupBy("node", "family").agg(F.count(F.lit(1)).alias("score"), F.max("need").alias("need"))
+                           .filter("score >= need").select("node", "family", "score"))
     asked = scores.select("node").distinct().join(nodes, "node")
-    sets = (asked.select("node", "rep").join(texts, F.col("rep") == F.col("key")).select("node", "text")
-                 .mapInArrow(_sets_of_nodes, "node long, elements binary").checkpoint())
+    sets = written(asked.select("node", "rep").join(texts, F.col("rep") == F.col("key")).select("node", "text")
+                        .mapInArrow(_sets_of_nodes, "node long, elements binary"))
     support = sets.mapInArrow(_send_sets(buckets), _PACKED).groupBy("bucket").applyInArrow(_support, "node long, n long")
     stay = (support.groupBy("node").agg(F.sum("n").alias("n")).join(asked, "node").filter("4 * n >= 3 * size").select("node"))
-    groups = shared.join(scores.join(stay, "node"), ["node", "family"]).select("sig", "node", "score").checkpoint()
+    groups = written(shared.join(scores.join(stay, "node"), ["node", "family"]).select("sig", "node", "score"), instead_of=shared)
     labels = link_nodes(groups, sets)
 
     labelled = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
