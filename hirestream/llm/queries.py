@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, exact_dedup, jaccard_join, mixing, quality, sharding, substring_dedup
+from . import bpe, chat, exact_dedup, jaccard_join, mixing, packing, quality, sharding, substring_dedup, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,14 @@ def op1_bpe(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op2_packing(spark, sf_dir):
+    """Byte ids of all documents in packed rows: segments, and digests of ids and positions."""
+    packed = packing.pack_rows(table(spark, sf_dir, "documents"))
+    return packed.select("pack_id", "n_tokens", "cu_seqlens", "doc_ids", "copies", "pieces",
+                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+
+
 @query
 def op3_substring_dedup(spark, sf_dir):
     """All documents without the passages that an earlier document has."""
@@ -50,6 +58,13 @@ def op4_chat(spark, sf_dir):
     return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
 
 
+@query
+def op5_toxicity(spark, sf_dir):
+    """Probabilities and flags of all documents, from a chain over the given labels."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                    {"junk": 1 - F.col("quality"), "toxic": F.col("toxic")})
+
+
 @query
 def op6_jaccard_join(spark, sf_dir):
     """Components of similar documents over all documents."""
