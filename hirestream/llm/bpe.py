@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, n_buckets, pack, pack_words, unpack, unpack_words
+from .common import chunks, n_buckets, pack, pack_words, small_batches, unpack, unpack_words
 
 BLOCK_BYTES = 4 << 20
 MAX_PIECES = 2_000_000
@@ -179,7 +179,7 @@ def _assemble(table: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
            block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, ids`` per row; ``ids`` are little-endian unsigned 32-bit integers."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     buckets = n_buckets(spark)
     tokenizer = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
@@ -199,7 +199,7 @@ def piece_table(spark: SparkSession, tokenizer_path: str) -> DataFrame:
 def decode(encoded: DataFrame, pieces: DataFrame, separator: str = " ") -> DataFrame:
     """``encoded`` with a column ``decoded``: its ids joined with ``pieces`` (``id, piece``,
     gathered and broadcast once it is known to be of bounded size) and set together."""
-    spark = encoded.sparkSession
+    spark = small_batches(encoded.sparkSession)
     n = pieces.count()
     if n > MAX_PIECES:
         raise ValueError(f"{n} pieces; at most {MAX_PIECES} are broadcast")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .template import Escaper, compile_template
 
 #: Control strings of the format below (fixed values of a public instruction format).
@@ -45,6 +46,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, controls: S
     with the code-point spans of each segment that the loss is taken on. ``messages`` has
     ``role``, ``text`` and ``turn``. Segments of a conversation are consecutive rows of one
     partition, in order."""
+    small_batches(turns.sparkSession)
     compile_template(template, controls)  # report mistakes on the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,19 @@ def free_name(taken: Sequence[str], base: str) -> str:
     return base
 
 
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Sends at most ``BATCH_ROWS`` texts at once to a Python task (Spark's own limit is
+    10,000 rows, a great deal for long texts). The session keeps the setting, as plans
+    read it when they run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def n_buckets(spark: SparkSession) -> int:
     """Hash buckets of an exchange: the session's shuffle partitions, which the user
     sizes to the data."""

@@ -18,10 +18,12 @@ parts also gives single shingles, of which it has enough, so no link is lost.
 too, and then only if three quarters of its shingles stand in other sets that went on:
 both follow from a link. Texts that merely share a passage end here.
 
-*Links.* Sets that share a signature are compared: in each signature group first all with
-the member that shares most, then, in groups whose members are not all connected yet, with
-the next two, four, ... members, and only members not yet connected to them. No pair
-inside a component is needed, and no pair of different components is left out.
+*Links.* In each signature group all members are compared with the one that shares most,
+which connects nearly all that links. What may still link different components is found by
+a positional prefix: a set's shingles are put in one order, rarest first, and two similar
+sets share a shingle early enough in both that the rest can still reach the overlap they
+need. Only members of different components that pass this are compared, so no pair inside a
+component is needed and no pair of different components is left out.
 
 Equal sets are one node from the start: copies are collapsed within a block and never
 expanded. Nodes are 64 bits of a set's digest; two sets with the same bits stop the job.
@@ -35,16 +37,16 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
-from .common import chunks, free_name, n_buckets, pack, unpack, written
+from .common import chunks, free_name, n_buckets, pack, small_batches, unpack, written
 from .components import components
 from .shingles import LANES, Block, mix
 
@@ -81,12 +83,13 @@ def _node(digest: bytes) -> int:
 
 
 def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``doc_id, text, row_key`` to their sets' size and digest."""
     for rows in chunks(batches, BLOCK_BYTES):
         h, n = shingle_sets([r[1] for r in rows])
         ends = np.cumsum(n)
         keys = [_digest(h[e - k:e]) for e, k in zip(ends.tolist(), n.tolist())]
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "n_shingles": pa.array(n, pa.int64()),
-                                          "node": pa.array([_node(k) for k in keys], pa.int64()), "digest": pa.array(keys, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "row_key": pa.array([r[2] for r in rows], pa.int64()),
+                                          "n_shingles": pa.array(n, pa.int64()), "node": pa.array([_node(k) for k in keys], pa.int64()), "digest": pa.array(keys, pa.binary())})
 
 
 # ------------------------------------------------------------------ signatures
@@ -124,8 +127,9 @@ _PACKED = "bucket int, nodes binary, family binary, need binary, n binary, items
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("nodes", "family", "need", "n", "items"))])
 
 
-def _send(segments: list[tuple[int, int, int, np.ndarray]], buckets: int) -> pa.RecordBatch | None:
-    """``(node, family, need, items)`` segments, dealt by item."""
+def _send(segments: list[tuple[int, int, int, np.ndarray]], buckets: int, drop_bits: int = 0) -> pa.RecordBatch | None:
+    """``(node, family, need, items)`` segments, dealt by item. Signatures go without their
+    low bits, which the bucket holds in part: that they meet by chance costs a comparison."""
     if not segments:
         return None
     items = np.concatenate([s[3] for s in segments])
@@ -141,7 +145,7 @@ def _send(segments: list[tuple[int, int, int, np.ndarray]], buckets: int) -> pa.
         if not len(own):
             continue
         which, n = np.unique(seg[own], return_counts=True)  # own is in the order of segments
-        for c, v in zip(out, (b, pack(node[which]), pack(family[which]), pack(need[which]), pack(n.astype(np.uint32)), pack(items[own] >> np.uint64(16)))):
+        for c, v in zip(out, (b, pack(node[which]), pack(family[which]), pack(need[which]), pack(n.astype(np.uint32)), pack(items[own] >> np.uint64(drop_bits)))):
             out[c].append(v)
     return pa.RecordBatch.from_pydict(out, schema=_PACKED_ARROW)
 
@@ -157,13 +161,14 @@ def _send_signatures(buckets: int):
                 if node not in seen:  # copies in a block count once
                     seen.add(node)
                     segments.extend((node, f, need, s) for f, need, s in signatures(own))
-            if (sent := _send(segments, buckets)) is not None:
+            if (sent := _send(segments, buckets, 16)) is not None:
                 yield sent
     return run
 
 
 def _read(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Items of a bucket that stand in two nodes or more: item, node, family, need per row."""
+    """Items of a bucket that stand in two nodes or more: item, node, family, need, and in
+    how many nodes the item stands."""
     rows = table.to_pylist()
     node, family, need, n, item = (np.concatenate([unpack(r[c], t) for r in rows]) for c, t in
                                    (("nodes", np.int64), ("family", np.uint8), ("need", np.uint32), ("n", np.uint32), ("items", np.uint64)))
@@ -176,20 +181,55 @@ def _read(table: pa.Table) -> tuple[np.ndarray, ...]:
     head = np.ones(len(item), bool)
     head[1:] = item[1:] != item[:-1]
     group = np.cumsum(head) - 1
-    several = np.bincount(group)[group] > 1 if len(item) else head
-    return item[several], node[several], family[several], need[several]
+    times = np.bincount(group)[group] if len(item) else group
+    several = times > 1
+    return item[several], node[several], family[several], need[several], times[several]
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    item, node, family, need = _read(table)
+    item, node, family, need, _ = _read(table)
     b = table.column("bucket")[0].as_py()
     sig = (item << np.uint64(16)) | np.uint64(b % 65536)
     return pa.table({"sig": sig.view(np.int64), "node": node, "family": family.astype(np.int32), "need": need.astype(np.int32)})
 
 
 def _support(table: pa.Table) -> pa.Table:
-    node, n = np.unique(_read(table)[1], return_counts=True)
-    return pa.table({"node": node, "n": n.astype(np.int64)})
+    """Per node its items that stand elsewhere too, and in how many nodes each stands."""
+    item, node, _, _, times = _read(table)
+    order = np.argsort(node, kind="stable")
+    item, node, times = item[order], node[order], times[order]
+    head = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
+    ends = np.append(head[1:], len(node))
+    return pa.table({"node": pa.array(node[head], pa.int64()), "n": pa.array(ends - head, pa.int64()),
+                     "items": pa.array([pack(item[a:b]) for a, b in zip(head, ends)], pa.binary()),
+                     "times": pa.array([pack(times[a:b].astype(np.uint32)) for a, b in zip(head, ends)], pa.binary())})
+
+
+def need_overlap(a: int, b: int) -> int:
+    """The least overlap of similar sets of these sizes."""
+    return -(-3 * (a + b) // 7)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``node, size, items, times`` sorted by node to ``node, size, element, place``:
+    a node's shared elements by rarity, as far as the first that it has in common with a
+    similar set can stand; what no other set has comes before them."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    out: list[list] = [[], [], [], []]
+    for node, parts in groupby(rows, key=lambda r: r[0]):
+        parts = list(parts)  # one set's
+        size = parts[0][1]
+        item, times = (np.concatenate([unpack(r[c], t) for r in parts]) for c, t in ((2, np.uint64), (3, np.uint32)))
+        item = item[np.lexsort((item, times))]
+        alone = size - len(item)
+        item = item[:max(0, size - need_overlap(-(-3 * size // 4), size) + 1 - alone)]
+        for column, v in zip(out, ([node] * len(item), [size] * len(item), item.view(np.int64).tolist(), range(alone, alone + len(item)))):
+            column.extend(v)
+        if len(out[0]) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["node", "size", "element", "place"])
+            out = [[], [], [], []]
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["node", "size", "element", "place"])
 
 
 def _send_sets(buckets: int):
@@ -254,46 +294,35 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(new, "label", "left").select("node", F.coalesce("better", "label").alias("label")), instead_of=labels)
 
 
-def _open_groups(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Signature groups whose members have different labels, with the labels."""
-    labelled = shared.join(labels, "node")
-    split = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
-    return labelled.join(split, "sig", "left_semi")
-
-
-def link_nodes(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node, label`` of the nodes that link, from signature groups (``sig, node, score``)."""
-    best = shared.groupBy("sig").agg(F.max(F.struct("score", "node")).alias("best")).select("sig", F.col("best.node").alias("pivot"))
-    first = (shared.join(best, "sig").filter("node <> pivot")
-                   .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    labels = written(shared.select("node").distinct().withColumn("label", F.col("node")))
-    labels = _merged(labels, _verified(first, sets))
-    group = Window.partitionBy("sig")
-    order = group.orderBy(F.col("score").desc(), F.col("node").desc())
-    rows = written(_open_groups(shared, labels).select("sig", "node", F.row_number().over(order).alias("rank"),
-                                                       F.count(F.lit(1)).over(group).alias("size")))
-    low = 2  # rank 1 was the pivot above
-    while True:
-        rows = written(_open_groups(rows.filter(F.col("size") > low), labels).drop("label"), instead_of=rows)
-        if rows.isEmpty():
-            return labels
-        labelled = rows.join(labels, "node")
-        pivots = labelled.filter(F.col("rank").between(low, 2 * low - 1)).select(
-            "sig", F.col("node").alias("pivot"), F.col("rank").alias("at"), F.col("label").alias("of"))
-        pairs = (labelled.join(pivots, "sig").filter("rank > at and label <> of")
-                         .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        labels = _merged(labels, _verified(pairs, sets))
-        low *= 2
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row."""
-    spark = docs.sparkSession
+def link_nodes(groups: DataFrame, prefixes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, label`` of nodes that may link. ``groups``: signature groups (``sig, node,
+    score, size, support``); ``prefixes``: ``node, size, element, place``."""
+    best = groups.groupBy("sig").agg(F.max(F.struct("score", "node", "size", "support")).alias("best"))
+    reach = F.expr("3 * (size + best.size) <= 7 * least(support, best.support)")
+    star = (groups.join(best, "sig").filter((F.col("node") != F.col("best.node")) & reach)
+                  .select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct())
+    labels = written(groups.select("node").distinct().withColumn("label", F.col("node")))
+    labels = _merged(labels, _verified(star, sets))
+
+    labelled = written(prefixes.join(labels, "node"))
+    split = labelled.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("element")
+    x = labelled.join(split, "element", "left_semi")
+    y = x.select("element", *[F.col(c).alias(f"{c}_y") for c in ("node", "size", "place", "label")])
+    fits = F.expr("label <> label_y and node < node_y and 7 * least(size - place, size_y - place_y) >= 3 * (size + size_y)")
+    pairs = x.join(y, "element").filter(fits).select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct()
+    return _merged(labels, _verified(pairs, sets))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, row_key, n_shingles, label, component_id`` per row; a null id is the
+    largest number, ``label`` is null for empty sets, and ``row_key`` hashes the text."""
+    spark = small_batches(docs.sparkSession)
     ensure_checkpoint_dir(spark)
     buckets = n_buckets(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     texts = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    slim = written(texts.mapInArrow(_slim, "doc_id long, n_shingles long, node long, digest binary"))
+    slim = written(texts.withColumn("row_key", F.xxhash64("text"))
+                        .mapInArrow(_slim, "doc_id long, row_key long, n_shingles long, node long, digest binary"))
     nodes = (slim.filter("n_shingles > 0").groupBy("node")
                  .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.min("digest").alias("d0"), F.max("digest").alias("d1")))
     if not nodes.filter("d0 <> d1").isEmpty():
@@ -307,23 +336,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = scores.select("node").distinct().join(nodes, "node")
     sets = written(asked.select("node", "rep").join(texts, F.col("rep") == F.col("key")).select("node", "text")
                         .mapInArrow(_sets_of_nodes, "node long, elements binary"))
-    support = sets.mapInArrow(_send_sets(buckets), _PACKED).groupBy("bucket").applyInArrow(_support, "node long, n long")
-    stay = (support.groupBy("node").agg(F.sum("n").alias("n")).join(asked, "node").filter("4 * n >= 3 * size").select("node"))
-    groups = written(shared.join(scores.join(stay, "node"), ["node", "family"]).select("sig", "node", "score"), instead_of=shared)
-    labels = link_nodes(groups, sets)
+    support = written(sets.mapInArrow(_send_sets(buckets), _PACKED).groupBy("bucket")
+                          .applyInArrow(_support, "node long, n long, items binary, times binary"))
+    stay = (support.groupBy("node").agg(F.sum("n").alias("support")).join(asked, "node")
+                   .filter("4 * support >= 3 * size").select("node", "size", "support"))
+    groups = written(shared.join(scores.join(stay, "node"), ["node", "family"])
+                           .select("sig", "node", "score", F.col("size").cast("long").alias("size"), "support"), instead_of=shared)
+    prefixes = (support.join(stay, "node").select("node", F.col("size").cast("long").alias("size"), "items", "times")
+                       .repartition("node").sortWithinPartitions("node")
+                       .mapInArrow(_prefixes, "node long, size long, element long, place long"))
+    labels = link_nodes(groups, prefixes, sets)
 
     labelled = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    member = labelled.join(least, "label").select("node", "component_id")
-    linked = slim.filter("n_shingles > 0").join(member, "node").select("doc_id", "n_shingles", "component_id")
-    alone = slim.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    member = labelled.join(least, "label").select("node", "label", "component_id")
+    columns = ["doc_id", "row_key", "n_shingles", "label", "component_id"]
+    alone = slim.filter("n_shingles = 0").withColumns({"label": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return slim.filter("n_shingles > 0").join(member, "node").select(columns).unionByName(alone.select(columns))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row."""
     known = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return linked.unionByName(alone).select(known("doc_id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"))
+    return _components(docs, id_col, text_col).select(known("doc_id").alias("doc_id"), "n_shingles",
+                                                      known("component_id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all columns."""
-    found = jaccard_components(docs, id_col, text_col)
-    gone = free_name(docs.columns, "dropped_id")
-    drop = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(drop, docs[id_col].cast("long").eqNullSafe(drop[gone]), "left_anti").select(*docs.columns)
+    """Of each component the row with the smallest id (of rows that share it, one), with
+    all columns; documents with an empty set stay."""
+    found = written(_components(docs, id_col, text_col).select("doc_id", "row_key", "label"))
+    best = (found.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "row_key")).alias("best"))
+                 .select(F.col("label").alias("of"), "best"))
+    i, k, gone_i, gone_k = (free_name(docs.columns, x) for x in ("row_id", "row_key", "gone_id", "gone_key"))
+    gone = (found.join(best, found["label"] == best["of"]).filter(F.struct("doc_id", "row_key") != F.col("best"))
+                 .select(F.col("doc_id").alias(gone_i), F.col("row_key").alias(gone_k)).distinct())
+    keyed = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), k: F.xxhash64(F.col(text_col).cast("string"))})
+    stay = keyed.join(gone, (keyed[i] == gone[gone_i]) & (keyed[k] == gone[gone_k]), "left_anti")
+    if not found.filter("label is not null").groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        stay = stay.dropDuplicates([i, k])  # rows that repeat an id and a text
+    return stay.select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 ROW_TOKENS = 2048
 BLOCK_BYTES = 8 << 20
@@ -126,6 +126,7 @@ def pack_rows(docs: DataFrame, capacity: int = ROW_TOKENS, to_ids: Callable[[str
     little-endian unsigned 32-bit integers), ``cu_seqlens``, and of each segment its
     ``doc_ids``, ``copies`` (number among rows of that id) and ``pieces`` (number in the
     document)."""
+    small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     size = docs.agg(F.sum(F.octet_length(text_or_empty(F.col(text_col))) + 64)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 
 SAMPLE_DOCS = 2000
 SYMBOLS = "#*$%&|<>"
@@ -178,6 +179,7 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule]
             sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``doc_id, rejected_by, kept`` per row. With ``stats`` all features are completed
     after the verdict and returned with ``base_failed``."""
+    small_batches(docs.sparkSession)
     order = list(order or plan_cascade(docs, rules, id_col, text_col, sample_docs))
     fields = "doc_id long, rejected_by string, base_failed boolean" + "".join(f", {s} long" for s in _STATS if stats)
     out = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -188,6 +190,7 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule]
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     order, at = plan_cascade(docs, rules, id_col, text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

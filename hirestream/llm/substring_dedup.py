@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import chunks, n_buckets, pack, text_or_empty, unpack
+from .common import chunks, n_buckets, pack, small_batches, text_or_empty, unpack
 from .shingles import LANES, Block, mix, sliding_min
 
 WINDOW = 50
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` per row: the text without repeated words,
     what is kept joined by single spaces."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     ensure_checkpoint_dir(spark)
     size = docs.agg(F.sum(F.octet_length(text_or_empty(F.col(text_col))) + 64)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))

@@ -161,19 +161,25 @@ class _Expr:
         return Op("not", (self.negated(),)) if self.eat("not") else self.compared()
 
     def compared(self):
-        left = self.summed()
+        left = self.joined()
         while True:
             if sign := self.eat("==", "!=", "<=", ">=", "<", ">", "in"):
-                left = Op(sign, (left, self.summed()))
+                left = Op(sign, (left, self.joined()))
             elif self.eat("not"):
                 self.need("in")
-                left = Op("not", (Op("in", (left, self.summed())),))
+                left = Op("not", (Op("in", (left, self.joined())),))
             else:
                 return left
 
+    def joined(self):
+        left = self.summed()
+        while self.eat("~"):
+            left = Op("~", (left, self.summed()))
+        return left
+
     def summed(self):
         left = self.product()
-        while sign := self.eat("+", "-", "~"):
+        while sign := self.eat("+", "-"):
             left = Op(sign, (left, self.product()))
         return left
 

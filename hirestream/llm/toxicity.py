@@ -28,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MAX_TRAIN = 12_000
 FOLDS = 3
 BITS = 18
 PREFIXES = (4, 5, 6)
-EPOCHS = 6
-RATE = 0.5
-L2 = 1e-6
+EPOCHS = 20
+RATE = 0.3
+L2 = 1e-4
+LEAST_CHI2 = 20.0
+LEAST_ROWS = 3
 _TOKEN = re.compile(r"[^\W\d_]+")
 _SIGNS = "!#*$%&|<>"
 
@@ -81,12 +85,29 @@ def _rows(at: np.ndarray, start: np.ndarray, keep: np.ndarray) -> tuple[np.ndarr
     return at[np.repeat(start[:-1][keep] - new[:-1], n) + np.arange(new[-1])], new
 
 
+def telling(at: np.ndarray, start: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Features whose presence goes with the label beyond chance: chi-squared of
+    ``LEAST_CHI2`` or more, in ``LEAST_ROWS`` rows or more. The others are not learned, so
+    that rare words do not stand for the rows that happen to hold them."""
+    n, pos = len(y), float(y.sum())
+    seen = np.bincount(at, minlength=1 << BITS).astype(np.float64)
+    hit = np.bincount(at, weights=np.repeat(y, np.diff(start)), minlength=1 << BITS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = n * (hit * n - seen * pos) ** 2 / (seen * (n - seen) * pos * (n - pos))
+    return (np.nan_to_num(chi2) >= LEAST_CHI2) & (seen >= LEAST_ROWS)
+
+
 def fit(at: np.ndarray, start: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Link:
-    """Logistic regression with per-weight step sizes; rows come in a fixed shuffle."""
+    """Logistic regression over the telling features, by gradient steps whose size is set
+    per weight; rows come in a fixed shuffle."""
     rate = float(y.mean()) if len(y) else 0.0
     if rate in (0.0, 1.0):
         p = min(max(rate, 1e-3), 1 - 1e-3)
         return Link(np.zeros(1 << BITS, np.float32), np.zeros(earlier.shape[1]), float(np.log(p / (1 - p))), 2.0)
+    keep = telling(at, start, y)
+    chosen = keep[at]
+    start = np.concatenate(([0], np.cumsum(chosen)))[start]
+    at = at[chosen]
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
     e, eg2 = np.zeros(earlier.shape[1]), np.full(earlier.shape[1], 1e-2)
     b, bg2 = float(np.log(rate / (1 - rate))), 1e-2
@@ -151,6 +172,7 @@ def _ragged(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text",
           max_train: int = MAX_TRAIN, folds: int = FOLDS) -> list[Link]:
     """Models in the order of ``categories`` (name to 0/1 expression over ``labels``)."""
+    small_batches(docs.sparkSession)
     names = list(categories)
     asked = (labels.select(F.col(id_col).cast("long").alias("label_id"), *[v.cast("int").alias(k) for k, v in categories.items()])
                    .dropna().dropDuplicates(["label_id"])
@@ -173,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
 
 def predict(docs: DataFrame, chain: Sequence[Link], names: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, and ``p_<category>`` and ``<category>`` (flag) for each category."""
+    small_batches(docs.sparkSession)
     # plain values: broadcasts are pickled by reference to their classes
     sent = docs.sparkSession.sparkContext.broadcast([(m.words, m.earlier, m.bias, m.threshold) for m in chain])
     out = ["doc_id", *[f"p_{n}" for n in names], *names]
