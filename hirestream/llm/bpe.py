@@ -145,10 +145,23 @@ def _encode_bucket(tokenizer_text):
     return run
 
 
-_IDS_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+def join_pieces(ids: np.ndarray, piece: dict[int, str], separator: str = " ") -> str:
+    return separator.join(map(piece.__getitem__, ids.tolist()))
 
 
-def _assemble(table: pa.Table) -> pa.Table:
+def _assemble(pieces):
+    """Documents of a block, from their positions and the answers of all buckets; decoded
+    too if there are ``pieces``."""
+    def run(table: pa.Table) -> pa.Table:
+        doc_ids, ids = _ids_of_block(table)
+        out = {"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())}
+        if pieces is not None:
+            out["decoded"] = pa.array([join_pieces(x, pieces.value) for x in ids], pa.string())
+        return pa.table(out)
+    return run
+
+
+def _ids_of_block(table: pa.Table) -> tuple[list, list[np.ndarray]]:
     rows = table.to_pylist()
     own = [r for r in rows if r["bucket"] < 0]
     answers = {r["bucket"]: r for r in rows if r["bucket"] >= 0}
@@ -172,13 +185,14 @@ def _assemble(table: pa.Table) -> pa.Table:
     by_rank_lens, by_rank_starts = np.zeros_like(lens), np.zeros_like(starts)
     by_rank_lens[order], by_rank_starts[order] = lens, starts
     ends = np.cumsum(per_doc, dtype=np.int64)
-    ids = [gather(flat, by_rank_lens, by_rank_starts, ranks[e - k:e]).astype("<u4").tobytes() for e, k in zip(ends.tolist(), per_doc.tolist())]
-    return pa.Table.from_pydict({"doc_id": doc["doc_ids"], "ids": ids}, schema=_IDS_ARROW)
+    return doc["doc_ids"], [gather(flat, by_rank_lens, by_rank_starts, ranks[e - k:e]).astype("<u4") for e, k in zip(ends.tolist(), per_doc.tolist())]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, ids`` per row; ``ids`` are little-endian unsigned 32-bit integers."""
+           block_bytes: int = BLOCK_BYTES, pieces: DataFrame | None = None) -> DataFrame:
+    """``doc_id, ids`` per row; ``ids`` are little-endian unsigned 32-bit integers. With
+    ``pieces`` (``id, piece``) there is a column ``decoded`` too, joined in the same task,
+    where :func:`decode` would keep a second Python process busy."""
     spark = small_batches(docs.sparkSession)
     buckets = n_buckets(spark)
     tokenizer = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
@@ -187,7 +201,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     words = slim.mapInArrow(_send_words(buckets, block_bytes), _WORDS)
     encoded = words.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer), _PARTS)
     positions = slim.mapInArrow(_send_positions(buckets, block_bytes), _PARTS)
-    return encoded.unionByName(positions).groupBy("block").applyInArrow(_assemble, "doc_id long, ids binary")
+    fields = "doc_id long, ids binary" + (", decoded string" if pieces is not None else "")
+    sent = None if pieces is None else _sent_pieces(pieces)
+    return encoded.unionByName(positions).groupBy("block").applyInArrow(_assemble(sent), fields)
 
 
 def piece_table(spark: SparkSession, tokenizer_path: str) -> DataFrame:
@@ -196,20 +212,24 @@ def piece_table(spark: SparkSession, tokenizer_path: str) -> DataFrame:
     return spark.createDataFrame(sorted((i, p) for p, i in vocab.items()), "id long, piece string")
 
 
-def decode(encoded: DataFrame, pieces: DataFrame, separator: str = " ") -> DataFrame:
-    """``encoded`` with a column ``decoded``: its ids joined with ``pieces`` (``id, piece``,
-    gathered and broadcast once it is known to be of bounded size) and set together."""
-    spark = small_batches(encoded.sparkSession)
+def _sent_pieces(pieces: DataFrame):
+    """The id-to-piece table, broadcast once it is known to be of bounded size."""
     n = pieces.count()
     if n > MAX_PIECES:
         raise ValueError(f"{n} pieces; at most {MAX_PIECES} are broadcast")
-    joined = spark.sparkContext.broadcast({r["id"]: r["piece"] for r in pieces.collect()})
+    return pieces.sparkSession.sparkContext.broadcast({r["id"]: r["piece"] for r in pieces.collect()})
+
+
+def decode(encoded: DataFrame, pieces: DataFrame, separator: str = " ") -> DataFrame:
+    """``encoded`` with a column ``decoded``: its ids joined with ``pieces`` (``id, piece``)
+    and set together."""
+    small_batches(encoded.sparkSession)
+    joined = _sent_pieces(pieces)
     columns, at = encoded.columns, encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = joined.value.__getitem__
         for batch in batches:
-            text = [separator.join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in batch.column(at).to_pylist()]
+            text = [join_pieces(np.frombuffer(x, "<u4"), joined.value, separator) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*columns, "decoded"])
 
     from pyspark.sql.types import StringType, StructField, StructType
@@ -218,7 +238,7 @@ def decode(encoded: DataFrame, pieces: DataFrame, separator: str = " ") -> DataF
 
 def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row's ids and decoded text."""
-    back = decode(encode(docs, tokenizer_path, id_col, text_col), piece_table(docs.sparkSession, tokenizer_path))
+    back = encode(docs, tokenizer_path, id_col, text_col, pieces=piece_table(docs.sparkSession, tokenizer_path))
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

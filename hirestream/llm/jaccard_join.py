@@ -37,7 +37,6 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -193,16 +192,30 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"sig": sig.view(np.int64), "node": node, "family": family.astype(np.int32), "need": need.astype(np.int32)})
 
 
-def _support(table: pa.Table) -> pa.Table:
-    """Per node its items that stand elsewhere too, and in how many nodes each stands."""
-    item, node, _, _, times = _read(table)
-    order = np.argsort(node, kind="stable")
-    item, node, times = item[order], node[order], times[order]
-    head = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
-    ends = np.append(head[1:], len(node))
-    return pa.table({"node": pa.array(node[head], pa.int64()), "n": pa.array(ends - head, pa.int64()),
-                     "items": pa.array([pack(item[a:b]) for a, b in zip(head, ends)], pa.binary()),
-                     "times": pa.array([pack(times[a:b].astype(np.uint32)) for a, b in zip(head, ends)], pa.binary())})
+_HOMES = "home int, nodes binary, size binary, n binary, items binary, times binary"
+_HOMES_ARROW = pa.schema([("home", pa.int32()), *((c, pa.binary()) for c in ("nodes", "size", "n", "items", "times"))])
+
+
+def _support(homes: int):
+    """A bucket's items that stand in several nodes, packed by home (a hash bucket of
+    nodes): per node its set size, how many such items it has, which, and in how many
+    nodes each stands."""
+    def run(table: pa.Table) -> pa.Table:
+        item, node, _, size, times = _read(table)
+        home = (node.view(np.uint64) % np.uint64(homes)).astype(np.int64)
+        order = np.lexsort((node, home))
+        item, node, size, times, home = (x[order] for x in (item, node, size, times, home))
+        out: dict[str, list] = {c: [] for c in _HOMES_ARROW.names}
+        cuts = np.searchsorted(home, np.arange(homes + 1))
+        for h in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[h], cuts[h + 1])
+            which, first, n = np.unique(node[own], return_index=True, return_counts=True)
+            back = np.argsort(first)  # nodes stand in signed order already
+            for c, v in zip(out, (h, pack(which[back]), pack(size[own][first[back]]), pack(n[back].astype(np.uint32)),
+                                  pack(item[own]), pack(times[own].astype(np.uint32)))):
+                out[c].append(v)
+        return pa.Table.from_pydict(out, schema=_HOMES_ARROW)
+    return run
 
 
 def need_overlap(a: int, b: int) -> int:
@@ -210,26 +223,32 @@ def need_overlap(a: int, b: int) -> int:
     return -(-3 * (a + b) // 7)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``node, size, items, times`` sorted by node to ``node, size, element, place``:
-    a node's shared elements by rarity, as far as the first that it has in common with a
-    similar set can stand; what no other set has comes before them."""
-    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-    out: list[list] = [[], [], [], []]
-    for node, parts in groupby(rows, key=lambda r: r[0]):
-        parts = list(parts)  # one set's
-        size = parts[0][1]
-        item, times = (np.concatenate([unpack(r[c], t) for r in parts]) for c, t in ((2, np.uint64), (3, np.uint32)))
-        item = item[np.lexsort((item, times))]
-        alone = size - len(item)
-        item = item[:max(0, size - need_overlap(-(-3 * size // 4), size) + 1 - alone)]
-        for column, v in zip(out, ([node] * len(item), [size] * len(item), item.view(np.int64).tolist(), range(alone, alone + len(item)))):
-            column.extend(v)
-        if len(out[0]) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["node", "size", "element", "place"])
-            out = [[], [], [], []]
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["node", "size", "element", "place"])
+_RARE = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("support", pa.int64()), ("first_place", pa.int64()),
+                   ("elements", pa.list_(pa.int64()))])
+
+
+def _rare(table: pa.Table) -> pa.Table:
+    """Nodes of a home that have enough shared shingles to link: ``node, size, support``,
+    and their shared ``elements`` by rarity, as far as the first that a node has in common
+    with a similar set can stand. What no other set has comes before them, so the first
+    has place ``first_place``."""
+    rows = table.to_pylist()
+    node, size, n, item, times = (np.concatenate([unpack(r[c], t) for r in rows]) for c, t in
+                                  (("nodes", np.int64), ("size", np.uint32), ("n", np.uint32), ("items", np.uint64), ("times", np.uint32)))
+    node, size = np.repeat(node, n), np.repeat(size, n)
+    order = np.lexsort((item, times, node))
+    node, size, item = node[order], size[order].astype(np.int64), item[order]
+    head = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
+    out: dict[str, list] = {c: [] for c in _RARE.names}
+    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(node)]):
+        whole, support = int(size[a]), b - a
+        if 4 * support < 3 * whole:
+            continue
+        alone = whole - support
+        reach = max(0, whole - need_overlap(-(-3 * whole // 4), whole) + 1 - alone)
+        for c, v in zip(out, (int(node[a]), whole, support, alone, item[a:a + reach].view(np.int64))):
+            out[c].append(v)
+    return pa.Table.from_pydict(out, schema=_RARE)
 
 
 def _send_sets(buckets: int):
@@ -238,7 +257,7 @@ def _send_sets(buckets: int):
             segments, held = [], 0
             for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 # another mix than the sort key, as items are dealt by their low bits
-                segments.append((node, 0, 0, mix(np.frombuffer(data, np.uint64))))
+                segments.append((node, 0, len(data) // 8, mix(np.frombuffer(data, np.uint64))))
                 held += len(data)
                 if held > BLOCK_BYTES:
                     yield _send(segments, buckets)
@@ -336,15 +355,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     asked = scores.select("node").distinct().join(nodes, "node")
     sets = written(asked.select("node", "rep").join(texts, F.col("rep") == F.col("key")).select("node", "text")
                         .mapInArrow(_sets_of_nodes, "node long, elements binary"))
-    support = written(sets.mapInArrow(_send_sets(buckets), _PACKED).groupBy("bucket")
-                          .applyInArrow(_support, "node long, n long, items binary, times binary"))
-    stay = (support.groupBy("node").agg(F.sum("n").alias("support")).join(asked, "node")
-                   .filter("4 * support >= 3 * size").select("node", "size", "support"))
-    groups = written(shared.join(scores.join(stay, "node"), ["node", "family"])
-                           .select("sig", "node", "score", F.col("size").cast("long").alias("size"), "support"), instead_of=shared)
-    prefixes = (support.join(stay, "node").select("node", F.col("size").cast("long").alias("size"), "items", "times")
-                       .repartition("node").sortWithinPartitions("node")
-                       .mapInArrow(_prefixes, "node long, size long, element long, place long"))
+    rare = written(sets.mapInArrow(_send_sets(buckets), _PACKED).groupBy("bucket").applyInArrow(_support(buckets), _HOMES)
+                       .groupBy("home").applyInArrow(_rare, "node long, size long, support long, first_place long, elements array<long>"))
+    groups = written(shared.join(scores.join(rare.select("node", "size", "support"), "node"), ["node", "family"])
+                           .select("sig", "node", "score", "size", "support"), instead_of=shared)
+    prefixes = (rare.select("node", "size", "first_place", F.posexplode("elements").alias("i", "element"))
+                    .select("node", "size", "element", (F.col("first_place") + F.col("i")).alias("place")))
     labels = link_nodes(groups, prefixes, sets)
 
     labelled = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))

@@ -2,7 +2,7 @@
 
 A document is rejected by the first rule that it breaks; later rules are not looked at
 and what only they need is never computed. On a bounded, documented sample
-(``SAMPLE_DOCS`` documents, the ones with the smallest id hash) every rule is run on
+(about ``SAMPLE_DOCS`` documents, chosen by id hash) every rule is run on
 every document: its time is its cost and the set of rules each document breaks gives
 selectivities *given* the rules before it. The order is then greedy: next comes the
 rule with the most rejections per second among what is left. The verdict does not
@@ -138,8 +138,9 @@ def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "
                  sample_docs: int = SAMPLE_DOCS) -> list[Rule]:
     """The rules in the order in which the cascade asks them. At most 2^rules counters per
     task reach the driver."""
-    spread = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("text"))
-    sample = spread.orderBy("h", "i").limit(sample_docs).select("text")
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    chosen = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = docs.filter(chosen).select(F.col(text_col).cast("string")).limit(2 * sample_docs)  # the limit is for repeated ids
     rows = sample.mapInArrow(_measure(rules), "mask long, n long, seconds array<double>").collect()
     broken, cost = Counter(), [0.0] * len(rules)
     for r in rows:
