@@ -27,7 +27,3 @@ def status_rank(status: Column) -> Column:
 def current_status(status: Column, default: str = "queued") -> Column:
     """Blank status reads as ``default`` (a blank sheet cell reads back as queued)."""
     return F.coalesce(F.when(F.trim(status) != "", F.lower(F.trim(status))), F.lit(default))
-
-
-def is_valid_status(status: Column) -> Column:
-    return status.isin(VALID_STATUSES)

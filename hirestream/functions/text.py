@@ -24,10 +24,11 @@ SECTION_ALIASES = {
     "awards": ["awards", "honors", "achievements", "accomplishments"],
 }
 # Headings the renderer writes; three of them must appear for the heading check.
-STANDARD_HEADINGS = ["Professional Summary", "Work Experience", "Skills", "Projects", "Education",
-                     "Certifications", "Publications", "Languages", "Awards & Achievements"]
-SECTION_ORDER = ["summary", "experience", "skills", "projects", "education", "certifications",
-                 "publications", "languages", "awards"]
+SECTION_HEADINGS = {"summary": "Professional Summary", "experience": "Work Experience", "skills": "Skills",
+                    "projects": "Projects", "education": "Education", "certifications": "Certifications",
+                    "publications": "Publications", "languages": "Languages", "awards": "Awards & Achievements"}
+STANDARD_HEADINGS = list(SECTION_HEADINGS.values())
+SECTION_ORDER = list(SECTION_HEADINGS)
 # Phrases never kept as keywords.
 STOP_PHRASES = ["good to have", "must have", "team player", "self motivated", "fast paced",
                 "results driven", "go getter", "minimum qualifications",
@@ -241,11 +242,13 @@ def normalise_month_year(c: Column) -> Column:
             .otherwise(s))
 
 
-def slug(c: Column) -> Column:
-    """Non-alphanumerics to ``_``, trimmed, lower-case, 40 chars; an empty slug
-    becomes a deterministic content hash (never a clock value)."""
+def slug(c: Column, max_chars: int | None = None) -> Column:
+    """Non-alphanumerics to ``_``, trimmed, lower-case; an empty slug becomes a
+    deterministic content hash (never a clock value). ``max_chars`` cuts the slug; two
+    names may then share one, so nothing is cut unless the caller asks."""
     s = F.lower(strip_chars(F.regexp_replace(_ne(c), r"[^A-Za-z0-9]+", "_"), "_"))
-    s = F.substring(s, 1, 40)
+    if max_chars is not None:
+        s = F.substring(s, 1, max_chars)
     return F.when(s == "", F.concat(F.lit("h"), F.substring(F.sha1(_ne(c)), 1, 12))).otherwise(s)
 
 

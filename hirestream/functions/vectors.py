@@ -13,8 +13,3 @@ def dot(a: Column, b: Column) -> Column:
 def fit_score(a: Column, b: Column) -> Column:
     """Cosine of unit vectors squashed from [-1, 1] to [0, 1]."""
     return (dot(a, b) + 1.0) / 2.0
-
-
-def l2_normalise(a: Column) -> Column:
-    norm = F.sqrt(F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(a, lambda x: x / norm)).otherwise(a)

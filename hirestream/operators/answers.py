@@ -34,6 +34,7 @@ ANSWER_LABELS = {
 LIST_KEYS = ["regulatory_audits_faced", "core_techniques", "instruments_handled", "screening_red_flags"]
 # -----------------------------------------------------------------------------
 
+STRUCT_FIELDS = ", ".join(f"`{k}`: {'array<string>' if k in LIST_KEYS else 'string'}" for k in ANSWER_LABELS)
 SCHEMA = ", ".join(f"`{k}` {'array<string>' if k in LIST_KEYS else 'string'}" for k in ANSWER_LABELS)
 
 

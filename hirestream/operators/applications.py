@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_half_up
 from ..functions.status import PROTECTED_COLUMNS, VALID_STATUSES, current_status
 from ..plans.strategy import top_n_per_group
 
@@ -18,7 +19,6 @@ APPLICATION_COLUMNS = ["job_id", "source", "company", "title", "location", "post
                        "salary_mid_lpa", "fit_score", "composite_score", "apply_link", "status",
                        "queued_at", "applied_at", "last_response_at", "last_response_summary",
                        "artifact_dir", "notes"]
-TEXT_LIMIT = 400
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # -----------------------------------------------------------------------------
 
@@ -50,10 +50,10 @@ def to_application_rows(ranked: DataFrame, *, as_of_text: str, default_source: s
         first("employer_name", "company").alias("company"),
         first("job_title", "title").alias("title"),
         first("job_city", "city", "_source_location").alias("location"),
-        F.round(_c(ranked, "posted_days_ago", "double"), 1).alias("posted_days_ago"),
-        F.round(_c(ranked, "salary_mid_lpa", "double"), 2).alias("salary_mid_lpa"),
-        F.round(_c(ranked, "fit_score", "double"), 4).alias("fit_score"),
-        F.round(_c(ranked, "composite_score", "double"), 4).alias("composite_score"),
+        round_half_up(_c(ranked, "posted_days_ago", "double"), 1).alias("posted_days_ago"),
+        round_half_up(_c(ranked, "salary_mid_lpa", "double"), 2).alias("salary_mid_lpa"),
+        round_half_up(_c(ranked, "fit_score", "double"), 4).alias("fit_score"),
+        round_half_up(_c(ranked, "composite_score", "double"), 4).alias("composite_score"),
         first("job_apply_link", "apply_link").alias("apply_link"),
         F.lit("queued").alias("status"), F.lit(as_of_text).alias("queued_at"),
         F.lit("").alias("applied_at"), F.lit("").alias("last_response_at"),
@@ -91,13 +91,17 @@ def upsert(snapshot: DataFrame, batch: DataFrame, *, as_of_text: str) -> DataFra
     return j.select(out)
 
 
-def set_status(snapshot: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def set_status(snapshot: DataFrame, updates: DataFrame, *, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply ``updates(job_id, status, at, response_summary?, notes?, seq)`` in
     ``(at, seq)`` order per job. Invalid statuses are returned as rejects.
 
     Status = last update; ``applied_at`` = time of the last ``applied`` update;
-    a response summary sets ``last_response_at`` and the summary (400 chars);
-    notes are kept when non-empty (400 chars). Unknown job ids change nothing."""
+    a response summary sets ``last_response_at`` and the summary; notes are kept when
+    non-empty. Both are whole unless the caller sets ``max_chars`` (a sheet cell's limit).
+    Unknown job ids change nothing."""
+    def cell(c: Column) -> Column:
+        return c if max_chars is None else F.substring(c, 1, max_chars)
+
     valid = updates.filter(F.col("status").isin(VALID_STATUSES))
     rejects = updates.filter(~F.col("status").isin(VALID_STATUSES) | F.col("status").isNull())
     key = F.struct(F.col("at"), _c(updates, "seq", "long"))
@@ -115,9 +119,8 @@ def set_status(snapshot: DataFrame, updates: DataFrame) -> tuple[DataFrame, Data
         "status": F.when(hit, F.col("u_status")).otherwise(F.col("status")),
         "applied_at": F.coalesce(time_text(F.col("u_applied_at")), F.col("applied_at")),
         "last_response_at": F.coalesce(time_text(F.col("u_resp_at")), F.col("last_response_at")),
-        "last_response_summary": F.coalesce(F.substring(F.col("u_resp"), 1, TEXT_LIMIT),
-                                            F.col("last_response_summary")),
-        "notes": F.coalesce(F.substring(F.col("u_notes"), 1, TEXT_LIMIT), F.col("notes")),
+        "last_response_summary": F.coalesce(cell(F.col("u_resp")), F.col("last_response_summary")),
+        "notes": F.coalesce(cell(F.col("u_notes")), F.col("notes")),
     }
     return j.select([repl.get(c, F.col(c)).alias(c) for c in snapshot.columns]), rejects
 
@@ -145,24 +148,29 @@ def status_counts(apps: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_applications"))
 
 
-def queue_decisions(apps: DataFrame, *, daily_cap: int = 12, only_with_artifacts: bool = True,
-                    auto_advance: bool = True) -> DataFrame:
+def queue_decisions(apps: DataFrame, *, daily_cap: int, only_with_artifacts: bool = True,
+                    auto_advance: bool = True, dropped: DataFrame | None = None) -> DataFrame:
     """Queued rows with an artifact folder are eligible; per queue
     day the first ``daily_cap`` in (queued_at, job_id) order are processed
     (``submitted`` when auto-advancing, else ``kept``); the rest are ``deferred``;
-    queued rows without artifacts are ``skipped_no_artifacts``.
+    queued rows without artifacts are ``skipped_no_artifacts``; those whose ``job_id`` is in
+    ``dropped`` (the user's decisions) are ``dropped`` and take no place under the cap.
 
     The cap is a WindowGroupLimit (per-task top ``daily_cap`` before the shuffle),
     so a busy day never sorts in one task; the capped set (cap x days rows) is
     joined back by key."""
     q = apps.filter(current_status(F.col("status")) == "queued").withColumn(
         "queue_day", F.substring(F.col("queued_at"), 1, 10))
+    gone = F.lit(False)
+    if dropped is not None:
+        d = dropped.select(F.col("job_id").alias("_gone")).distinct()
+        q, gone = q.join(d, F.col("job_id") == F.col("_gone"), "left"), F.col("_gone").isNotNull()
     has_art = ~_blank(F.col("artifact_dir"))
-    eligible = q.filter(has_art) if only_with_artifacts else q
+    eligible = q.filter(~gone & has_art) if only_with_artifacts else q.filter(~gone)
     capped = top_n_per_group(eligible, ["queue_day"], [F.col("queued_at"), F.col("job_id")], daily_cap)
     picked = capped.select("job_id", F.lit(True).alias("_picked"))
     j = q.join(picked, "job_id", "left")
-    action = (F.when(~has_art & F.lit(only_with_artifacts), "skipped_no_artifacts")
+    action = (F.when(gone, "dropped").when(~has_art & F.lit(only_with_artifacts), "skipped_no_artifacts")
               .when(F.col("_picked"), "submitted" if auto_advance else "kept").otherwise("deferred"))
     return j.select("job_id", "queue_day", action.alias("action"))
 

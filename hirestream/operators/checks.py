@@ -87,8 +87,3 @@ def grounding_violations(items: Column, candidate_text: Column) -> Column:
     """Q9: listed items that do not occur (case-insensitive) in the candidate text."""
     hay = F.lower(F.coalesce(candidate_text, F.lit("")))
     return F.filter(items, lambda x: ~F.contains(hay, F.lower(x)))
-
-
-def set_changes(before: Column, after: Column) -> Column:
-    """Q7: items removed from and added to a list (e.g. skills, employers)."""
-    return F.struct(F.array_except(before, after).alias("removed"), F.array_except(after, before).alias("added"))

@@ -71,15 +71,6 @@ def contacts_and_name(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                        F.coalesce(tx.name_guess(tx.split_lines(F.col(text_col))), F.lit("")).alias("name"))
 
 
-def layout_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """D17 layout for a plain-text document: paragraphs are lines; no tables,
-    images, header/footer text or explicit fonts."""
-    return docs.select(F.col(id_col).alias("doc_id"), tx.split_lines(F.col(text_col)).alias("paragraphs"),
-                       F.lit(0).alias("n_tables"), F.lit(0).alias("n_images"),
-                       F.lit("").alias("header_text"), F.lit("").alias("footer_text"),
-                       F.array().cast("array<string>").alias("fonts"))
-
-
 def layout_from_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """D17 layout derived from a web page: ``<p>`` blocks are paragraphs (tags
     stripped), ``<table>``/``<img>`` are counted, ``<header>``/``<footer>`` text is

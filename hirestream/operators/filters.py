@@ -75,54 +75,53 @@ def dedupe_freshest(df: DataFrame, order_col: str = "_ord", payload: Sequence[st
     return first_per_key(keyed, ["_dkey"], order, payload)
 
 
-def filter_postings(postings: DataFrame, *, as_of, order_col: str = "_ord", **params) -> DataFrame:
-    """P1 then U4: survivors, one per dedupe key."""
+def filter_postings(postings: DataFrame, *, as_of, order_col: str = "_ord", link_status: DataFrame | None = None,
+                    **params) -> DataFrame:
+    """P1, then U4 (one survivor per dedupe key), then, given landed probes, P2."""
     c = filter_cascade(postings, as_of=as_of, **params)
-    survivors = c.filter(F.col("drop_reason").isNull())
-    return dedupe_freshest(survivors, order_col=order_col)
+    kept = dedupe_freshest(c.filter(F.col("drop_reason").isNull()), order_col=order_col)
+    return kept if link_status is None else drop_dead_links(kept, link_status)
 
 
-def filter_stats(postings: DataFrame, *, as_of, order_col: str = "_ord", **params) -> DataFrame:
-    """A2: one row of counters computed with ``count_if`` in one pass, plus the
-    number of collapsed duplicates (survivors minus distinct keys)."""
+def filter_stats(postings: DataFrame, *, as_of, order_col: str = "_ord", link_status: DataFrame | None = None,
+                 **params) -> DataFrame:
+    """A2: one row of counters of the run that :func:`filter_postings` makes: rows per
+    drop reason, duplicates collapsed, links dropped, output. Counts of the cascade and of
+    the survivors are one row each and added up."""
     c = filter_cascade(postings, as_of=as_of, **params)
-    key = dedupe_key(c)
-    blank = F.regexp_replace(key, r"\|", "") == ""
-    kept = F.col("drop_reason").isNull()
-    c = c.withColumn("_dkey", F.when(kept, F.when(blank, F.concat(F.lit("_uniq_"),
-                                                                  F.col(order_col).cast("string")))
-                                       .otherwise(key)))
-    per_key = (c.groupBy("_dkey").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("drop_reason") == "blacklist").alias("b"),
-        F.count_if(F.col("drop_reason") == "stale").alias("s"),
-        F.count_if(F.col("drop_reason") == "crowded").alias("c"),
-        F.count_if(F.col("drop_reason") == "low_salary").alias("l"),
-        F.count_if(F.col("_is_third_party_recruiter")).alias("r")))
-    n_out = F.count_if(F.col("_dkey").isNotNull())
-    survivors = F.sum(F.when(F.col("_dkey").isNotNull(), F.col("n")).otherwise(0))
-    return per_key.agg(
-        F.sum("n").cast("long").alias("input"),
-        F.sum("s").cast("long").alias("dropped_stale"),
-        F.sum("c").cast("long").alias("dropped_crowded"),
-        F.lit(0).cast("long").alias("dropped_broken_link"),
-        F.sum("b").cast("long").alias("dropped_blacklist"),
-        F.sum("l").cast("long").alias("dropped_low_salary"),
-        (survivors - n_out).cast("long").alias("collapsed_duplicates"),
-        F.sum("r").cast("long").alias("flagged_recruiter"),
-        n_out.cast("long").alias("output"))
+    kept = dedupe_freshest(c.filter(F.col("drop_reason").isNull()), order_col=order_col)
+    dead = F.lit(False)
+    if link_status is not None:
+        kept, dead = link_health(kept, link_status), ~F.col("link_alive")
+    zero = F.lit(0).cast("long")
+    reason = lambda r: F.count_if(F.col("drop_reason") == r)
+    cascade = c.agg(
+        F.count(F.lit(1)).alias("input"), reason("stale").alias("dropped_stale"), reason("crowded").alias("dropped_crowded"),
+        reason("blacklist").alias("dropped_blacklist"), reason("low_salary").alias("dropped_low_salary"),
+        F.count_if(F.col("_is_third_party_recruiter")).alias("flagged_recruiter"),
+        F.count_if(F.col("drop_reason").isNull()).alias("survivors"), zero.alias("deduped"), zero.alias("dropped_broken_link"))
+    after = kept.agg(F.count(F.lit(1)).alias("deduped"), F.count_if(dead).alias("dropped_broken_link"))
+    after = after.select(*[F.col(n) if n in after.columns else zero.alias(n) for n in cascade.columns])
+    total = cascade.unionByName(after).agg(*[F.sum(n).cast("long").alias(n) for n in cascade.columns])
+    return total.select("input", "dropped_stale", "dropped_crowded", "dropped_broken_link", "dropped_blacklist",
+                        "dropped_low_salary", (F.col("survivors") - F.col("deduped")).alias("collapsed_duplicates"),
+                        "flagged_recruiter", (F.col("deduped") - F.col("dropped_broken_link")).alias("output"))
+
+
+def link_health(postings: DataFrame, link_status: DataFrame, url_col: str = "job_apply_link") -> DataFrame:
+    """P2's flag ``link_alive``: an empty link, or one whose landed probe is 2xx/3xx (a 405
+    on HEAD is decided by the GET probe). A link without a probe is dead; of several
+    probes of one URL any that answers counts."""
+    code = F.when(F.col("head_status") == 405, F.col("get_status")).otherwise(F.col("head_status"))
+    probes = (link_status.groupBy(F.col("url").alias("_url")).agg(F.max(F.coalesce(code.between(200, 399), F.lit(False))).alias("_ok")))
+    j = postings.join(probes, F.col(url_col) == F.col("_url"), "left")
+    blank = F.coalesce(F.col(url_col), F.lit("")) == ""
+    return j.withColumn("link_alive", blank | F.coalesce(F.col("_ok"), F.lit(False))).drop("_url", "_ok")
 
 
 def drop_dead_links(postings: DataFrame, link_status: DataFrame, url_col: str = "job_apply_link") -> DataFrame:
-    """Keep rows with an empty link, or whose landed probe is 2xx/3xx (a 405 on
-    HEAD is decided by the GET probe). A link with no landed probe is dropped."""
-    ls = link_status.select(F.col("url").alias("_url"), "head_status", "get_status")
-    j = postings.join(ls, F.col(url_col) == F.col("_url"), "left")
-    code = F.coalesce(F.when(F.col("head_status") == 405, F.col("get_status"))
-                      .otherwise(F.col("head_status")), F.lit(999))
-    link = F.coalesce(F.col(url_col), F.lit(""))
-    alive = (link == "") | code.between(200, 399)
-    return j.withColumn("link_alive", alive).drop("_url")
+    """The rows whose link is alive."""
+    return link_health(postings, link_status, url_col).filter("link_alive").drop("link_alive")
 
 
 def merge_sources(pools: Sequence[DataFrame], order_col: str = "_ord", payload: Sequence[str] | None = None) -> DataFrame:
@@ -147,3 +146,29 @@ def source_dedupe_key(df: DataFrame) -> Column:
                         F.coalesce(_col(df, "employer_name"), F.lit("")),
                         F.coalesce(_col(df, "job_city"), F.lit(""))))
     return F.when(jid != "", jid).when(link != "", link).otherwise(h)
+
+
+def dedupe_in_source(postings: DataFrame, order_col: str = "_ord", payload: Sequence[str] | None = None) -> DataFrame:
+    """Of rows that share :func:`source_dedupe_key` the first in ``order_col``."""
+    return first_per_key(postings.withColumn("_skey", source_dedupe_key(postings)), ["_skey"], [F.col(order_col)],
+                         list(payload or postings.columns))
+
+
+def board_key(df: DataFrame) -> Column:
+    """U3 key: lower-case employer | title | city."""
+    return F.concat_ws("|", *[F.lower(F.coalesce(_col(df, c), F.lit(""))) for c in ("employer_name", "job_title", "job_city")])
+
+
+def dedupe_boards(aliases: Sequence[DataFrame], order_col: str = "_ord", payload: Sequence[str] | None = None) -> DataFrame:
+    """Per role alias the first row of each board key, then, over the aliases in their
+    order, the first row of each ``job_id``. Two combined aggregations; no row is compared
+    with another."""
+    columns = list(payload or aliases[0].columns)
+    need = list(dict.fromkeys([*columns, "job_id", order_col]))
+    firsts = [first_per_key(a.withColumn("_bkey", board_key(a)), ["_bkey"], [F.col(order_col)], need)
+              .select(*need, F.lit(i).alias("_alias_ord")) for i, a in enumerate(aliases)]
+    pooled = firsts[0]
+    for f in firsts[1:]:
+        pooled = pooled.unionByName(f)
+    pooled = pooled.withColumn("_jkey", F.coalesce(F.col("job_id").cast("string"), F.lit("")))
+    return first_per_key(pooled, ["_jkey"], [F.col("_alias_ord"), F.col(order_col)], ["_alias_ord", *columns])

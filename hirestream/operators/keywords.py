@@ -17,13 +17,11 @@ from ..functions import stopwords
 from ..functions import text as tx
 from ..functions.numeric import round_half_up
 from ..plans.strategy import top_n_per_group
-from ..session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------
 TIER_THRESHOLDS = [("critical", 0.60), ("recommended", 0.30), ("nice_to_have", 0.10)]
 TIER_ORDER = ["critical", "recommended", "nice_to_have"]
 CATEGORY_ORDER = ["hard_skill", "tool", "certification", "domain_term", "soft_skill"]
-CATEGORIES = ["hard_skill", "tool", "certification", "soft_skill", "domain_term", "noise"]
 TOKEN_RE = "[a-z0-9]{2,}"
 # -----------------------------------------------------------------------------
 
@@ -71,17 +69,22 @@ def doc_tokens(docs: DataFrame, text_col: str = "text") -> Column:
 def phrase_counts(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "pool",
                   text_col: str = "text") -> DataFrame:
     """(pool, doc_id, n, phrase, tf): 1-grams and 2-grams (bigrams span removed stop
-    words, as a count vectoriser does). Counts combine map-side."""
-    toks = doc_tokens(docs, text_col)
-    base = docs.select(F.col(pool_col).alias("pool"), F.col(id_col).alias("doc_id"), toks.alias("toks"))
-    tail = F.slice(F.col("toks"), 2, F.greatest(F.size("toks"), F.lit(1)))
-    pairs = base.select("pool", "doc_id", F.explode(F.arrays_zip(F.col("toks").alias("a"), tail.alias("b"))).alias("p"))
-    grams = pairs.select("pool", "doc_id", F.inline(F.array(
-        F.struct(F.lit(1).alias("n"), F.col("p.a").alias("phrase")),
-        F.struct(F.lit(2).alias("n"), F.when(F.col("p.b").isNotNull(),
-                                             F.concat_ws(" ", F.col("p.a"), F.col("p.b"))).alias("phrase")))))
-    return (grams.filter(F.col("phrase").isNotNull())
-            .groupBy("pool", "doc_id", "n", "phrase").agg(F.count(F.lit(1)).alias("tf")))
+    words, as a count vectoriser does).
+
+    A document is one row, so its counts are taken inside the row: phrases are sorted and
+    each run of equal ones gives one (phrase, length) entry. Nothing is shuffled."""
+    base = docs.select(F.col(pool_col).alias("pool"), F.col(id_col).alias("doc_id"), doc_tokens(docs, text_col).alias("toks"))
+    pairs = F.zip_with("toks", F.slice("toks", 2, F.greatest(F.size("toks"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    sorted_ = base.select("pool", "doc_id", F.inline(F.array(
+        F.struct(F.lit(1).alias("n"), F.array_sort("toks").alias("s")),
+        F.struct(F.lit(2).alias("n"), F.array_sort(F.filter(pairs, lambda p: p.isNotNull())).alias("s")))))
+    # positions where a run starts, and one past the end
+    starts = F.filter(F.sequence(F.lit(1), F.size("s") + 1),
+                      lambda i: (i == 1) | (i > F.size("s")) | (F.get("s", i - 1) != F.get("s", i - 2)))
+    runs = sorted_.filter(F.size("s") > 0).select("pool", "doc_id", "n", "s", starts.alias("at"))
+    entry = F.transform(F.slice("at", 1, F.size("at") - 1),
+                        lambda p, k: F.struct(F.get("s", p - 1).alias("phrase"), (F.get("at", k + 1) - p).cast("long").alias("tf")))
+    return runs.select("pool", "doc_id", "n", F.inline(entry))
 
 
 def docs_per_pool(docs: DataFrame, pool_col: str = "pool") -> DataFrame:
@@ -93,52 +96,66 @@ def phrase_scores(counts: DataFrame, pool_sizes: DataFrame) -> DataFrame:
     """K3: tf * (ln((1 + N) / (1 + df)) + 1) with N and df taken within the pool;
     rounded to 9 places for stable ties.
 
-    The document-frequency table is vocabulary-sized (it grows with the data), so it
-    is joined back with a sort-merge join, never broadcast; a phrase present in a
-    large share of documents is a skewed key that AQE's skew join splits. Pool
-    sizes (one row per pool) are small and broadcast."""
-    df_ = counts.groupBy("pool", "phrase").agg(F.count(F.lit(1)).alias("df"))
-    j = counts.join(df_.hint("merge"), ["pool", "phrase"]).join(F.broadcast(pool_sizes), "pool")
+    The weight is computed on the document-frequency table, which is the only thing that
+    meets the pool sizes. It grows with the vocabulary, so it is joined back with a
+    sort-merge join, never broadcast; a phrase of many documents is a skewed key that
+    AQE's skew join splits."""
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0
-    return j.withColumn("score", F.round(F.col("tf") * idf, 9))
+    weights = (counts.groupBy("pool", "phrase").agg(F.count(F.lit(1)).alias("df")).join(pool_sizes, "pool")
+                     .select("pool", "phrase", idf.alias("idf")))
+    return (counts.join(weights.hint("merge"), ["pool", "phrase"])
+                  .withColumn("score", F.round(F.col("tf") * F.col("idf"), 9)).drop("idf"))
 
 
-def top_phrases(docs: DataFrame, *, top_per_doc: int = 30, id_col: str = "doc_id",
+def kept_phrase(phrase: Column) -> Column:
+    """2 to 50 characters and no stop phrase."""
+    return F.length(phrase).between(2, 50) & ~phrase.isin(tx.STOP_PHRASES)
+
+
+def phrases(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "pool", text_col: str = "text") -> DataFrame:
+    """K2+R17+U5: every phrase of every document, distinct per document; no shuffle."""
+    return (phrase_counts(docs, id_col=id_col, pool_col=pool_col, text_col=text_col)
+            .filter(kept_phrase(F.col("phrase"))).select("pool", "doc_id", "phrase"))
+
+
+def top_phrases(docs: DataFrame, *, top_per_doc: int, id_col: str = "doc_id",
                 pool_col: str = "pool", text_col: str = "text") -> DataFrame:
-    """K2+K3+F2+R17+U5: the best ``top_per_doc`` phrases per document and n-gram
-    length; phrases of 2..50 chars that are not stop phrases, distinct per doc."""
-    # The counts feed two consumers (document frequency and the scored rows).
-    # Spark does not reuse this shuffle across the two branches, so the counts are
-    # materialised once with a reliable checkpoint (shared checkpoint folder)
-    # instead of tokenising the corpus twice.
-    counts = cut_lineage(phrase_counts(docs, id_col=id_col, pool_col=pool_col, text_col=text_col))
+    """K2+K3+F2+R17+U5: the best ``top_per_doc`` phrases per document and n-gram length
+    (ranked before R17 removes any); distinct per document."""
+    counts = phrase_counts(docs, id_col=id_col, pool_col=pool_col, text_col=text_col)
     scored = phrase_scores(counts, docs_per_pool(docs, pool_col))
-    top = top_n_per_group(scored, ["doc_id", "n"], [F.col("score").desc(), F.col("phrase").asc()],
-                          top_per_doc)
-    stop_phrases = F.array(*[F.lit(p) for p in tx.STOP_PHRASES])
-    keep = (F.length("phrase") >= 2) & (F.length("phrase") <= 50) & ~F.array_contains(stop_phrases, F.col("phrase"))
-    return top.filter(keep).select("pool", "doc_id", "n", "phrase", "tf", "score", "rank")
+    top = top_n_per_group(scored, ["doc_id", "n"], [F.col("score").desc(), F.col("phrase").asc()], top_per_doc)
+    return top.filter(kept_phrase(F.col("phrase"))).select("pool", "doc_id", "n", "phrase", "tf", "score", "rank")
 
 
 def document_frequency(phrases: DataFrame) -> DataFrame:
-    """A3: number of documents per pool whose phrase set holds the phrase."""
-    return (phrases.select("pool", "doc_id", "phrase").distinct()
-            .groupBy("pool", "phrase").agg(F.count(F.lit(1)).alias("n_docs")))
-
-
-def classify(phrases: DataFrame, classification: DataFrame | None = None) -> DataFrame:
-    """Category and canonical per distinct phrase; unknown phrases default to
-    ``hard_skill`` with the naive canonical form (R3)."""
-    kws = phrases.select("pool", "phrase").distinct()
+    """A3: number of documents per pool whose phrase set holds the phrase (``phrases`` has a
+    phrase once per document)."""
+    return phrases.groupBy("pool", "phrase").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def landed_classification(responses: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """Landed model responses (a JSON list of ``keyword, category, canonical``
+    objects, fenced or bare) as one row per keyword, lower-cased and trimmed. What does
+    not parse gives no rows; of a keyword classified twice the smallest answer holds."""
+    item = "array<struct<keyword: string, category: string, canonical: string>>"
+    rows = responses.select(F.inline(F.from_json(tx.strip_code_fences(F.col(raw_col)), item)))
+    clean = {c: F.nullif(F.lower(F.trim(F.col(c))), F.lit("")) for c in ("keyword", "category", "canonical")}
+    return (rows.select(*[v.alias(k) for k, v in clean.items()]).filter("keyword is not null")
+                .groupBy("keyword").agg(F.min(F.struct("category", "canonical")).alias("c"))
+                .select("keyword", "c.category", "c.canonical"))
+
+
+def classify(held: DataFrame, classification: DataFrame | None = None) -> DataFrame:
+    """Category and canonical per (pool, doc_id, phrase); phrases that no answer
+    names are ``hard_skill`` with the naive canonical form (R3). ``classification`` has
+    one row per keyword (see :func:`landed_classification`)."""
     if classification is None:
-        return kws.select("pool", "phrase", F.lit("hard_skill").alias("category"),
-                          tx.naive_canonical(F.col("phrase")).alias("canonical"))
-    c = classification.select(F.lower(F.trim("keyword")).alias("phrase"),
-                              F.lower(F.trim("category")).alias("_cat"),
-                              F.lower(F.trim("canonical")).alias("_can"))
-    j = kws.join(c, "phrase", "left")
-    return j.select("pool", "phrase", F.coalesce(F.col("_cat"), F.lit("hard_skill")).alias("category"),
-                    F.coalesce(F.col("_can"), tx.naive_canonical(F.col("phrase"))).alias("canonical"))
+        return held.select("*", F.lit("hard_skill").alias("category"), tx.naive_canonical(F.col("phrase")).alias("canonical"))
+    c = classification.select(F.col("keyword").alias("phrase"), F.col("category").alias("_cat"), F.col("canonical").alias("_can"))
+    return held.join(c, "phrase", "left").select(
+        "pool", "doc_id", "phrase", F.coalesce(F.col("_cat"), F.lit("hard_skill")).alias("category"),
+        F.coalesce(F.col("_can"), tx.naive_canonical(F.col("phrase"))).alias("canonical"))
 
 
 def market_keywords(phrases: DataFrame, docs_per_pool: DataFrame,
@@ -156,17 +173,7 @@ def market_keywords(phrases: DataFrame, docs_per_pool: DataFrame,
     membership, and a single aggregation keyed by (pool, keyword) yields the
     record (from non-noise canonical rows) and the share (distinct documents over
     all rows). The phrase table is consumed once."""
-    held = phrases.select("pool", "doc_id", "phrase").distinct()
-    if classification is None:
-        cls = held.select("*", F.lit("hard_skill").alias("category"),
-                          tx.naive_canonical(F.col("phrase")).alias("canonical"))
-    else:
-        c = classification.select(F.lower(F.trim("keyword")).alias("phrase"),
-                                  F.lower(F.trim("category")).alias("_cat"),
-                                  F.lower(F.trim("canonical")).alias("_can"))
-        cls = held.join(c, "phrase", "left").select(
-            "pool", "doc_id", "phrase", F.coalesce(F.col("_cat"), F.lit("hard_skill")).alias("category"),
-            F.coalesce(F.col("_can"), tx.naive_canonical(F.col("phrase"))).alias("canonical"))
+    cls = classify(phrases.select("pool", "doc_id", "phrase"), classification)
     m = cls.select("pool", "doc_id", "phrase", "category", F.inline(F.array(
         F.struct(F.col("canonical").alias("kw"), F.lit(True).alias("is_canon")),
         F.struct(F.col("phrase").alias("kw"), F.lit(False).alias("is_canon")))))
@@ -179,8 +186,10 @@ def market_keywords(phrases: DataFrame, docs_per_pool: DataFrame,
         .filter(F.col("_live")))
     r = agg.join(docs_per_pool, "pool")
     freq = F.col("raw_count") / F.col("n_docs")
-    tier = (F.when(freq >= 0.60, "critical").when(freq >= 0.30, "recommended").otherwise("nice_to_have"))
-    return (r.filter(freq >= 0.10)
+    tier = F.lit(None).cast("string")
+    for name, least in reversed(TIER_THRESHOLDS):
+        tier = F.when(freq >= least, F.lit(name)).otherwise(tier)
+    return (r.filter(tier.isNotNull())
             .select("pool", F.col("kw").alias("keyword"), F.col("_disp").getField("phrase").alias("display"),
                     F.col("_first").getField("category").alias("category"),
                     round_half_up(freq, 3).alias("frequency"), F.col("raw_count").cast("long").alias("raw_count"),
@@ -195,12 +204,24 @@ def report_order() -> list[Column]:
     return [t, c, F.col("frequency").desc(), F.col("keyword")]
 
 
+def tier_lists(keywords: DataFrame, max_critical: int | None = None, max_recommended: int | None = None) -> DataFrame:
+    """(pool, critical, recommended): keyword displays in report order, joined by
+    commas; all of them unless the caller sets a limit."""
+    def listed(tier: str, n: int | None) -> Column:
+        order = report_order()
+        entry = F.struct(order[1].alias("c"), (-F.col("frequency")).alias("f"), F.col("keyword").alias("k"), F.col("display").alias("d"))
+        arr = F.array_sort(F.collect_list(F.when(F.col("tier") == tier, entry)))
+        return F.array_join(F.transform(arr if n is None else F.slice(arr, 1, n), lambda x: x.getField("d")), ", ")
+    return keywords.groupBy("pool").agg(listed("critical", max_critical).alias("critical"),
+                                        listed("recommended", max_recommended).alias("recommended"))
+
+
 def keyword_array(keywords: DataFrame) -> DataFrame:
     """(pool, kws): the bounded keyword list of each pool as one sorted array.
 
-    A pool holds at most ``10 x 2 x top_per_doc`` keywords (each needs a 10% share),
-    so this row has a proven size bound and the join that attaches it to
-    documents is a broadcast in practice."""
+    Each keyword needs a 10% share of the pool's documents, so the array has at most ten
+    times the phrases of one document. Its join is left to Spark, which broadcasts only
+    what it has measured to be small."""
     tier_rank = F.array_position(F.array(*[F.lit(x) for x in TIER_ORDER]), F.col("tier"))
     return keywords.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct(
         tier_rank.alias("tier_rank"), F.col("keyword"), F.col("display"), F.col("tier")))).alias("kws"))
@@ -210,7 +231,7 @@ def gap_analysis(candidate_tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     """Per candidate, each keyword is ``already_have`` when the keyword or its
     display form is inside any résumé token, else ``must_add`` (critical) or
     ``should_emphasize``. ``candidate_tokens`` = (pool, candidate_id, tokens)."""
-    j = candidate_tokens.join(F.broadcast(keyword_array(keywords)), "pool", "left").withColumn("kws", F.coalesce(
+    j = candidate_tokens.join(keyword_array(keywords), "pool", "left").withColumn("kws", F.coalesce(
         F.col("kws"), F.array().cast("array<struct<tier_rank:int,keyword:string,display:string,tier:string>>")))
 
     def present(k: Column) -> Column:

@@ -22,34 +22,32 @@ DEFAULT_RULES = [
     ("viewed", r"(?i)(application (has been )?received|reviewing your (profile|application))", 0.9),
     ("rejected", r"(?i)(not be moving forward|not moving forward|position has been filled|other candidates)", 0.9),
 ]
-EVIDENCE_LIMIT = 200
 # -----------------------------------------------------------------------------
 
 
-def _rules_array(rules: Sequence[tuple[str, str, float]]) -> Column:
-    prec = {label: i for i, label in enumerate(LABEL_PRECEDENCE)}
-    return F.array(*[F.struct(F.lit(prec[label]).alias("prec"), F.lit(label).alias("label"),
-                              F.lit(pat).alias("pattern"), F.lit(float(conf)).alias("confidence"))
-                     for label, pat, conf in rules])
-
-
 def label_messages(messages: DataFrame, *, rules: Sequence[tuple[str, str, float]] = DEFAULT_RULES,
-                   body_col: str = "body", company_col: str | None = None) -> DataFrame:
+                   body_col: str = "body", company_col: str | None = None,
+                   max_evidence: int | None = None) -> DataFrame:
     """Q4: the highest-precedence rule whose pattern occurs in the body decides the
-    label (offer > interviewing > screening > viewed > rejected); the evidence is
-    the verbatim matched text (200 chars). No rule, or no matched company when a
-    company column is given, means ``irrelevant``."""
+    label (offer > interviewing > screening > viewed > rejected); the evidence is the
+    verbatim matched text, cut only if the caller sets ``max_evidence``. No rule, or no
+    matched company when a company column is given, means ``irrelevant``. Patterns are
+    literals, compiled once per task."""
     body = F.coalesce(F.col(body_col), F.lit(""))
-    hits = F.filter(_rules_array(rules), lambda r: F.regexp_like(body, r.getField("pattern")))
-    best = F.array_min(hits)
-    no_company = (F.coalesce(F.col(company_col), F.lit("")) == "") if company_col else F.lit(False)
-    relevant = best.isNotNull() & ~no_company
-    return messages.select(
-        "*",
-        F.when(relevant, best.getField("label")).otherwise(F.lit("irrelevant")).alias("label"),
-        F.when(relevant, best.getField("confidence")).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(relevant, F.substring(F.regexp_substr(body, best.getField("pattern")), 1, EVIDENCE_LIMIT))
-        .otherwise(F.lit("")).alias("evidence_snippet"))
+    label, confidence, evidence = F.lit("irrelevant"), F.lit(0.0), F.lit("")
+    for name, pattern, conf in sorted(rules, key=lambda r: LABEL_PRECEDENCE.index(r[0]), reverse=True):
+        hit = body.rlike(pattern)
+        label = F.when(hit, F.lit(name)).otherwise(label)
+        confidence = F.when(hit, F.lit(float(conf))).otherwise(confidence)
+        evidence = F.when(hit, F.regexp_substr(body, F.lit(pattern))).otherwise(evidence)
+    if company_col:
+        known = F.coalesce(F.col(company_col), F.lit("")) != ""
+        label = F.when(known, label).otherwise(F.lit("irrelevant"))
+        confidence = F.when(known, confidence).otherwise(F.lit(0.0))
+        evidence = F.when(known, evidence).otherwise(F.lit(""))
+    if max_evidence is not None:
+        evidence = F.substring(evidence, 1, max_evidence)
+    return messages.select("*", label.alias("label"), confidence.alias("confidence"), evidence.alias("evidence_snippet"))
 
 
 def validate_verdicts(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_half_up
 from ..functions.salary import parse_salary
 from ..functions.timefn import as_of_epoch, days_whole, posted_epoch, recency_score
 from ..functions.vectors import fit_score
@@ -30,14 +31,35 @@ def with_salary(postings: DataFrame) -> DataFrame:
 def pool_salary_stats(postings_with_salary: DataFrame, pool_col: str = "pool") -> DataFrame:
     """A1: median and population std of salary midpoints per pool, NULLs ignored.
 
-    ``median`` keeps a value->count map as its partial buffer, so the map-side
-    combine is bounded by the number of distinct midpoints (rounded LPA values),
-    not by the pool size.
-    """
+    Rows are first counted per (pool, midpoint), which spreads a pool over all tasks; the
+    moments come from (value, count) rows, and the median is the value where the running
+    count of the pool's distinct values passes the half, found by two ordered passes over
+    those rows instead of one task's state holding the pool."""
     mid = F.col("_sal.mid_lpa")
-    return (postings_with_salary.groupBy(pool_col)
-            .agg(F.count(F.lit(1)).alias("n_postings"), F.count(mid).alias("n_known"),
-                 F.median(mid).alias("median_mid"), F.stddev_pop(mid).alias("std_mid")))
+    counts = postings_with_salary.groupBy(F.col(pool_col), mid.alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    known = F.col("v").isNotNull()
+    n_known = F.sum(F.when(known, F.col("k")))
+    mean = F.sum(F.when(known, F.col("v") * F.col("k"))) / n_known
+    totals = counts.groupBy(pool_col).agg(F.sum("k").alias("n_postings"), F.coalesce(n_known, F.lit(0)).cast("long").alias("n_known"),
+                                          mean.alias("mean_mid"))
+    centred = counts.filter(known).join(totals.select(F.col(pool_col).alias("_p"), "n_known", "mean_mid"), F.col(pool_col) == F.col("_p"))
+    spread = centred.groupBy(pool_col).agg(F.sqrt(F.sum(F.col("k") * F.pow(F.col("v") - F.col("mean_mid"), 2)) / F.first("n_known")).alias("std_mid"))
+    # values in buckets of the pool's order: a bucket's total is one row, so only the bucket
+    # that holds the middle is looked at value by value
+    bucket = F.floor("v")
+    per_bucket = centred.groupBy(pool_col, "n_known", bucket.alias("b")).agg(F.sum("k").alias("bk"))
+    w = Window.partitionBy(pool_col).orderBy("b")
+    per_bucket = per_bucket.withColumn("upto", F.sum("bk").over(w)).withColumn("before", F.col("upto") - F.col("bk"))
+    lo, hi = F.floor((F.col("n_known") - 1) / 2), F.floor(F.col("n_known") / 2)  # 0-based middle ranks
+    holds = per_bucket.filter(((F.col("before") <= lo) & (lo < F.col("upto"))) | ((F.col("before") <= hi) & (hi < F.col("upto"))))
+    inside = centred.select(F.col(pool_col), "v", "k", bucket.alias("b")).join(
+        holds.select(F.col(pool_col).alias("_p"), F.col("b").alias("_b"), "n_known", "before"),
+        (F.col(pool_col) == F.col("_p")) & (F.col("b") == F.col("_b")))
+    wv = Window.partitionBy(pool_col, "b").orderBy("v")
+    inside = inside.withColumn("end", F.col("before") + F.sum("k").over(wv)).withColumn("begin", F.col("end") - F.col("k"))
+    at = lambda rank_: F.max(F.when((F.col("begin") <= rank_) & (rank_ < F.col("end")), F.col("v")))
+    median = inside.groupBy(pool_col).agg(((at(lo) + at(hi)) / 2).alias("median_mid"))
+    return (totals.select(pool_col, "n_postings", "n_known").join(spread, pool_col, "left").join(median, pool_col, "left"))
 
 
 def score_postings(postings: DataFrame, *, as_of, pool_col: str = "pool") -> DataFrame:
@@ -45,10 +67,9 @@ def score_postings(postings: DataFrame, *, as_of, pool_col: str = "pool") -> Dat
     as_of_s = as_of_epoch(as_of)
     p = with_salary(postings)
     stats = pool_salary_stats(p, pool_col).select(pool_col, "n_known", "median_mid", "std_mid")
-    # One row per pool (role pools are a dimension), so the statistics are
-    # broadcast: a pool holding a third of all postings never meets a skewed
-    # shuffle join here.
-    p = p.join(F.broadcast(stats), pool_col, "left")
+    # One row per pool; Spark broadcasts it when it has measured it to be small, and splits
+    # a pool that holds a third of all postings otherwise.
+    p = p.join(stats, pool_col, "left")
     med = F.col("median_mid")
     sd = F.coalesce(F.when(F.col("std_mid") != 0, F.col("std_mid")), F.lit(1.0))
     z = (F.coalesce(F.col("_sal.mid_lpa"), med) - med) / sd
@@ -65,15 +86,19 @@ def score_postings(postings: DataFrame, *, as_of, pool_col: str = "pool") -> Dat
 def rank_postings(postings: DataFrame, candidates: DataFrame, *, as_of,
                   weights: Sequence[float] = DEFAULT_WEIGHTS, pool_col: str = "pool",
                   posting_vec: str = "embedding", candidate_vec: str = "cand_embedding",
-                  candidate_id: str = "candidate_id") -> DataFrame:
+                  candidate_id: str = "candidate_id", splits: int = 1) -> DataFrame:
     """Score every posting against every candidate of the same pool (an equi-join
     on the pool key: postings are blocked by role, never crossed with all
-    candidates). Returns the ranked projection P3 plus ``candidate_id``/``pool``."""
+    candidates). ``splits`` cuts each pool's postings into that many parts by job id and
+    sends its candidates to each, so that few large pools use many tasks. Returns the
+    ranked projection P3 plus ``candidate_id``/``pool``."""
     w_fit, w_sal, w_rec = weights
     w_total = w_fit + w_sal + w_rec
     s = score_postings(postings, as_of=as_of, pool_col=pool_col)
-    cands = candidates.select(pool_col, candidate_id, candidate_vec)
-    j = s.join(cands, pool_col, "inner")
+    part = F.pmod(F.xxhash64("job_id"), F.lit(splits)).cast("int")
+    cands = candidates.select(F.col(pool_col).alias("_cand_pool"), candidate_id, candidate_vec,
+                              F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_cand_part"))
+    j = s.withColumn("_part", part).join(cands, (F.col(pool_col) == F.col("_cand_pool")) & (F.col("_part") == F.col("_cand_part")), "inner")
     fit = fit_score(F.col(posting_vec), F.col(candidate_vec))
     composite = (w_fit * fit + w_sal * F.col("_salary_score") + w_rec * F.col("_recency_score")) / w_total
     return j.select(
@@ -115,13 +140,26 @@ def top_n_per_candidate(ranked: DataFrame, n: int = 15,
     return top_n_per_group(ranked, list(group_cols), rank_order(), n)
 
 
-def role_summary(top: DataFrame, group_col: str = "pool") -> DataFrame:
-    """A13 (ranking part): best salary (NULL -> 0, T23), median salary of the top
-    rows, best composite and its job, row count."""
-    return (top.groupBy(group_col)
-            .agg(F.count(F.lit(1)).alias("n_ranked"),
-                 F.coalesce(F.max("salary_mid_lpa"), F.lit(0.0)).alias("best_salary_lpa"),
-                 F.median("salary_mid_lpa").alias("median_top_salary_lpa"),
-                 F.max("composite_score").alias("best_composite"),
-                 F.max_by("job_id", F.struct(F.col("composite_score"), -F.col("job_id"))).alias("best_job_id"),
-                 F.round(F.avg("fit_score"), 4).alias("avg_fit")))
+def role_summary(top: DataFrame, group_col: str = "pool", keywords: DataFrame | None = None, gaps: DataFrame | None = None,
+                 reports: DataFrame | None = None) -> DataFrame:
+    """Best salary (NULL -> 0, T23), median salary of the top rows, best composite and
+    its job, row count; given ``keywords`` (pool, tier) the number of critical ones, given
+    ``gaps`` (pool, n_must_add) the mean number to add, and given ``reports`` (pool,
+    before_pct, after_pct) the mean scores and their difference. Top rows are few per
+    group, so their median is taken as it is."""
+    out = (top.groupBy(group_col)
+           .agg(F.count(F.lit(1)).alias("n_ranked"),
+                F.coalesce(F.max("salary_mid_lpa"), F.lit(0.0)).alias("best_salary_lpa"),
+                F.median("salary_mid_lpa").alias("median_top_salary_lpa"),
+                F.max("composite_score").alias("best_composite"),
+                F.max_by("job_id", F.struct(F.col("composite_score"), -F.col("job_id"))).alias("best_job_id"),
+                F.round(F.avg("fit_score"), 4).alias("avg_fit")))
+    if keywords is not None:
+        out = out.join(keywords.groupBy(F.col("pool").alias(group_col)).agg(F.count_if(F.col("tier") == "critical").alias("n_critical")), group_col, "left")
+    if gaps is not None:
+        out = out.join(gaps.groupBy(F.col("pool").alias(group_col)).agg(round_half_up(F.avg("n_must_add"), 2).alias("mean_must_add")), group_col, "left")
+    if reports is not None:
+        r = reports.groupBy(F.col("pool").alias(group_col)).agg(round_half_up(F.avg("before_pct"), 1).alias("before_pct"),
+                                                               round_half_up(F.avg("after_pct"), 1).alias("after_pct"))
+        out = out.join(r.withColumn("delta", round_half_up(F.col("after_pct") - F.col("before_pct"), 1)), group_col, "left")
+    return out

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.salary import floor_mid_lpa
@@ -51,6 +51,20 @@ def top_per_pool(spark, sf_dir):
     return rank.top_n_per_candidate(ranked, 3)
 
 
+CANDIDATE_EVERY, SPLITS = 25, 8
+
+
+@query("rank_many")
+def rank_many(spark, sf_dir):
+    """J1 with many candidates: every 25th vector is a candidate of its pool; the best 3
+    postings of each, with pools split over tasks."""
+    e = T.read(spark, sf_dir, "embeddings")
+    cands = e.filter(F.col("vec_id") % CANDIDATE_EVERY == 0).select(
+        F.col("label").cast("string").alias("pool"), F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("cand_embedding"))
+    ranked = rank.rank_postings(T.embedded_postings(spark, sf_dir), cands, as_of=T.AS_OF, splits=SPLITS)
+    return rank.top_n_per_candidate(ranked, 3)
+
+
 @query("fit_scores")
 def fit_scores(spark, sf_dir):
     """J1 + M1: every embedding scored against its pool's candidate (blocked by label)."""
@@ -71,7 +85,16 @@ def role_summary(spark, sf_dir):
 
 @query("salary_lpa")
 def salary_lpa(spark, sf_dir):
-    p = rank.with_salary(T.postings(spark, sf_dir))
+    """M5-M7: structured pay, or for pending orders what their description says: a range,
+    one value, or nothing."""
+    p = T.postings(spark, sf_dir)
+    pend, k = F.col("job_salary_period") == "hourly", F.col("job_id")
+    lo = (k % 30 + 5).cast("string")
+    said = (F.when(k % 4 == 0, F.concat(F.lit("Pay is "), lo, F.lit(" - "), (k % 30 + 9).cast("string"), F.lit(" LPA, reviewed yearly")))
+            .when(k % 4 == 1, F.concat(F.lit("up to "), lo, F.lit(".5 lakhs a year"))).when(k % 4 == 2, F.lit("pay by agreement")))
+    p = (p.withColumn("job_min_salary", F.when(~pend, F.col("job_min_salary"))).withColumn("job_max_salary", F.when(~pend, F.col("job_max_salary")))
+          .withColumn("job_description", F.when(pend, said)))
+    p = rank.with_salary(p)
     return p.select("job_id", F.col("_sal.min_lpa").alias("salary_min_lpa"),
                     F.col("_sal.max_lpa").alias("salary_max_lpa"),
                     F.col("_sal.mid_lpa").alias("salary_mid_lpa"),
@@ -120,14 +143,34 @@ def filter_cascade(spark, sf_dir):
 
 @query("filter_stats")
 def filter_stats(spark, sf_dir):
-    return filters.filter_stats(T.postings(spark, sf_dir), as_of=T.AS_OF, **FILTER_PARAMS)
+    return filters.filter_stats(T.postings(spark, sf_dir, with_description=True), as_of=T.AS_OF,
+                                link_status=posting_links(spark, sf_dir), **FILTER_PARAMS)
+
+
+def posting_links(spark, sf_dir):
+    """Landed probes of posting links: none for every eleventh order, two for every
+    fifth (the second one answers), statuses by order key."""
+    k = F.col("o_orderkey")
+    o = T.read(spark, sf_dir, "orders").filter(k % 11 != 0)
+    probe = F.struct(F.when(k % 7 == 0, 404).when(k % 7 == 1, 405).when(k % 7 == 2, 301).otherwise(200).alias("head_status"),
+                     F.when(k % 3 == 0, 200).otherwise(503).alias("get_status"))
+    again = F.struct(F.lit(200).alias("head_status"), F.lit(200).alias("get_status"))
+    return o.select(F.concat(F.lit(T.LINK_BASE), k.cast("string")).alias("url"),
+                    F.inline(F.when(k % 5 == 0, F.array(probe, again)).otherwise(F.array(probe))))
+
+
+@query("filter_run")
+def filter_run(spark, sf_dir):
+    """P1, U4 and P2 in one run: the postings that are left."""
+    kept = filters.filter_postings(T.postings(spark, sf_dir, with_description=True), as_of=T.AS_OF,
+                                   link_status=posting_links(spark, sf_dir), **FILTER_PARAMS)
+    return kept.select(filters.dedupe_key(kept).alias("dedupe_key"), "job_id", "job_apply_link")
 
 
 @query("dedupe_freshest")
 def dedupe_freshest(spark, sf_dir):
-    kept = filters.filter_postings(T.postings(spark, sf_dir), as_of=T.AS_OF, **FILTER_PARAMS)
-    return kept.select(F.col("_dkey").alias("dedupe_key"), "job_id") if "_dkey" in kept.columns \
-        else kept.select(filters.dedupe_key(kept).alias("dedupe_key"), "job_id")
+    kept = filters.filter_postings(T.postings(spark, sf_dir, with_description=True, whole_days=True), as_of=T.AS_OF, **FILTER_PARAMS)
+    return kept.select(filters.dedupe_key(kept).alias("dedupe_key"), "job_id")
 
 
 @query("floor_salary")
@@ -161,7 +204,7 @@ def link_status(spark, sf_dir):
 @query("dead_links")
 def dead_links(spark, sf_dir):
     pg = T.read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("job_apply_link"))
-    out = filters.drop_dead_links(pg, link_status(spark, sf_dir))
+    out = filters.link_health(pg, link_status(spark, sf_dir))
     return out.select("page_id", F.col("job_apply_link").alias("url"), "link_alive")
 
 
@@ -184,6 +227,30 @@ def merge_sources(spark, sf_dir):
                     "job_id", F.col("_ord").alias("part_key"))
 
 
+@query("source_dedupe")
+def source_dedupe(spark, sf_dir):
+    """Parts as one source's rows; ids blank for large sizes, links for some."""
+    k = F.col("p_partkey")
+    pt = T.read(spark, sf_dir, "part").select(
+        F.when(F.col("p_size") <= 20, (k % 500).cast("string")).alias("job_id"),
+        F.when(F.col("p_size") <= 35, F.concat(F.lit(T.LINK_BASE), (k % 300).cast("string"))).otherwise("").alias("job_apply_link"),
+        F.col("p_name").alias("job_title"), F.col("p_brand").alias("employer_name"), F.col("p_type").alias("job_city"), k.alias("_ord"))
+    return filters.dedupe_in_source(pt, payload=["_ord"]).select("_skey", F.col("_ord").alias("part_key")).withColumnRenamed("_skey", "source_key")
+
+
+@query("board_dedupe")
+def board_dedupe(spark, sf_dir):
+    """Parts found under two role aliases (overlapping sizes; upper-case titles under
+    the second), pooled again by job id."""
+    k = F.col("p_partkey")
+    pt = T.read(spark, sf_dir, "part").select((k % 700).cast("string").alias("job_id"), F.col("p_brand").alias("employer_name"),
+                                              F.col("p_name").alias("job_title"), F.col("p_type").alias("job_city"), k.alias("_ord"), "p_size")
+    a = pt.filter(F.col("p_size") <= 30).drop("p_size")
+    b = pt.filter(F.col("p_size") >= 20).drop("p_size").withColumn("job_title", F.upper("job_title"))
+    out = filters.dedupe_boards([a, b], payload=["job_title", "_ord"])
+    return out.select(F.col("_jkey").alias("job_id"), F.col("_alias_ord").alias("alias_ord"), "job_title", F.col("_ord").alias("part_key"))
+
+
 def _role_locations(spark, sf_dir):
     r = T.read(spark, sf_dir, "region")
     n = T.read(spark, sf_dir, "nation")
@@ -274,7 +341,8 @@ def entry_groups(spark, sf_dir):
 
 # --------------------------------------------------------------- keywords ----
 
-TOP_PER_DOC = 30
+TOP_PER_DOC = 30  # F2 is a top-n report
+LANGS = ["en", "fr", "de", "es"]
 
 
 def _docs_by_source(spark, sf_dir):
@@ -288,30 +356,60 @@ def phrase_topn(spark, sf_dir):
 
 @query("doc_frequency")
 def doc_frequency(spark, sf_dir):
-    return keywords.document_frequency(keywords.top_phrases(_docs_by_source(spark, sf_dir),
-                                                            top_per_doc=TOP_PER_DOC))
+    return keywords.document_frequency(keywords.phrases(_docs_by_source(spark, sf_dir)))
 
 
 @query("market_keywords")
 def market_keywords(spark, sf_dir):
     d = _docs_by_source(spark, sf_dir)
-    ph = keywords.top_phrases(d, top_per_doc=TOP_PER_DOC)
-    return keywords.market_keywords(ph, keywords.docs_per_pool(d))
+    return keywords.market_keywords(keywords.phrases(d), keywords.docs_per_pool(d))
+
+
+CLASSES = ["hard_skill", "tool", "certification", "domain_term", "soft_skill", "noise"]
+
+
+def landed_answers(held):
+    """Landed classification responses bound to the phrases: one fenced or bare JSON list
+    per phrase, its class by length (every seventh length has no answer), its canonical
+    form the first word of even-length phrases."""
+    n = F.length("phrase")
+    item = F.struct(F.col("phrase").alias("keyword"), F.element_at(F.array(*[F.lit(c) for c in CLASSES]), n % 7 + 1).alias("category"),
+                    F.when(n % 2 == 0, F.substring_index("phrase", " ", 1)).otherwise(F.col("phrase")).alias("canonical"))
+    body = F.to_json(F.array(item))
+    raw = F.when(n % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return held.select("phrase").distinct().filter(n % 7 < len(CLASSES)).select(raw.alias("raw"))
+
+
+@query("classified_keywords")
+def classified_keywords(spark, sf_dir):
+    """Keyword records under landed classifications, with noise dropped,
+    synonyms collapsed and the report order as a rank per pool."""
+    d = _docs_by_source(spark, sf_dir)
+    held = keywords.phrases(d)
+    mk = keywords.market_keywords(held, keywords.docs_per_pool(d), keywords.landed_classification(landed_answers(held)))
+    # a keyword needs a tenth of its pool's documents, so a pool's rank sorts few rows
+    return mk.withColumn("report_rank", F.row_number().over(Window.partitionBy("pool").orderBy(*keywords.report_order())).cast("long"))
 
 
-def benchmark_keywords(spark, sf_dir):
-    """Keyword records mined from the benchmark items (one pool)."""
-    b = T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"),
-                                                   F.lit("benchmark").alias("pool"), "text")
-    ph = keywords.top_phrases(b, top_per_doc=TOP_PER_DOC)
-    # bounded (each keyword needs a 10% share) and read by several consumers:
-    # materialise once.
-    return cut_lineage(keywords.market_keywords(ph, keywords.docs_per_pool(b)))
+def language_keywords(spark, sf_dir):
+    """Keyword records mined from the documents of each language (the pools)."""
+    d = T.read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("pool"), "text")
+    return keywords.market_keywords(keywords.phrases(d), keywords.docs_per_pool(d))
+
+
+def part_keywords(spark, sf_dir):
+    """Keyword records mined from parts as postings, two pools whose types are common
+    (critical), frequent (recommended) and, as names, rare (nice to have)."""
+    pt = T.read(spark, sf_dir, "part")
+    pool = (F.when((F.col("p_type") == "PROMO") | ((F.col("p_type") == "SMALL") & (F.col("p_size") < 25)), "0")
+            .when((F.col("p_type") == "LARGE") | ((F.col("p_type") == "MEDIUM") & (F.col("p_size") < 25)), "1"))
+    d = pt.select(F.col("p_partkey").alias("doc_id"), pool.alias("pool"), F.concat_ws(" ", "p_type", "p_name").alias("text")).filter("pool is not null")
+    return keywords.market_keywords(keywords.phrases(d), keywords.docs_per_pool(d))
 
 
 def _coverage(spark, sf_dir):
-    d = T.read(spark, sf_dir, "documents").withColumn("pool", F.lit("benchmark"))
-    return ats.keyword_coverage(d, benchmark_keywords(spark, sf_dir))
+    d = T.read(spark, sf_dir, "documents").withColumn("pool", F.col("lang"))
+    return ats.keyword_coverage(d, language_keywords(spark, sf_dir))
 
 
 @query("keyword_coverage")
@@ -337,13 +435,14 @@ def coverage_rollup(spark, sf_dir):
 
 @query("keyword_gap")
 def keyword_gap(spark, sf_dir):
-    """Each conversation's user turns as a résumé against benchmark keywords."""
-    cv = T.read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    """Each conversation's turns as a résumé against the keywords of a language."""
+    cv = T.read(spark, sf_dir, "conversations")
     blob = (cv.groupBy("conv_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s.getField("text")), " ").alias("blob")))
-    cands = blob.select(F.lit("benchmark").alias("pool"), F.col("conv_id").alias("candidate_id"),
+    lang = F.element_at(F.array(*[F.lit(x) for x in LANGS]), (F.col("conv_id") % len(LANGS) + 1).cast("int"))
+    cands = blob.select(lang.alias("pool"), F.col("conv_id").alias("candidate_id"),
                         tx.resume_tokens(F.col("blob")).alias("tokens"))
-    g = keywords.gap_analysis(cands, benchmark_keywords(spark, sf_dir))
+    g = keywords.gap_analysis(cands, language_keywords(spark, sf_dir))
 
     def n(b):
         return F.size(F.filter("gap", lambda x: x.getField("bucket") == b)).cast("long")
@@ -363,34 +462,27 @@ def format_checks(spark, sf_dir):
                     F.size("format_notes").cast("long").alias("n_notes"), F.round("format_score", 6).alias("format_score"))
 
 
-def _doc_reports(spark, sf_dir, text_expr=None):
-    d = T.read(spark, sf_dir, "documents").withColumn("pool", F.lit("benchmark"))
-    if text_expr is not None:
-        d = d.withColumn("text", text_expr(d))
-    return ats.score_documents(d, documents.layout_from_text(d), benchmark_keywords(spark, sf_dir))
+def _documents_with_keywords(spark, sf_dir):
+    d = T.read(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("pool"))
+    return ats.with_keywords(d, language_keywords(spark, sf_dir))
 
 
 @query("doc_overall")
 def doc_overall(spark, sf_dir):
-    r = _doc_reports(spark, sf_dir)
-    return r.select("doc_id", F.round("keyword_score", 6).alias("keyword_score"),
-                    F.round("format_score", 6).alias("format_score"), "overall")
+    r = F.col("report")
+    return ats.score_documents(_documents_with_keywords(spark, sf_dir)).select(
+        "doc_id", F.round(r.getField("keyword_score"), 6).alias("keyword_score"),
+        F.round(r.getField("format_score"), 6).alias("format_score"), r.getField("overall").alias("overall"))
 
 
 @query("before_after")
 def before_after(spark, sf_dir):
     """Each document before and after appending its missed keywords as a
     ``Skills:`` line."""
-    d = T.read(spark, sf_dir, "documents").withColumn("pool", F.lit("benchmark"))
-    cov = ats.keyword_coverage(d, benchmark_keywords(spark, sf_dir)).filter(F.col("tier") == "all")
-    add = cov.select("doc_id", F.array_join(F.array_sort("misses"), ", ").alias("_add"))
-    d2 = (d.join(add, "doc_id", "left")
-          .withColumn("text", F.concat(F.col("text"), F.lit("\nSkills: "), F.coalesce(F.col("_add"), F.lit(""))))
-          .drop("_add"))
-    kw = benchmark_keywords(spark, sf_dir)
-    b = ats.score_documents(d, documents.layout_from_text(d), kw)
-    a = ats.score_documents(d2, documents.layout_from_text(d2), kw)
-    return ats.before_after(b, a)
+    d = ats.score_documents(_documents_with_keywords(spark, sf_dir), name="before")
+    missed = F.element_at(F.col("before").getField("coverage"), -1).getField("misses")
+    d = d.withColumn("after_text", F.concat(F.col("text"), F.lit("\nSkills: "), F.array_join(F.array_sort(missed), ", ")))
+    return ats.before_after(ats.score_documents(d, F.col("after_text"), "after"))
 
 
 # ------------------------------------------------------------ applications ----
@@ -410,10 +502,12 @@ QUEUE_CAP = 2
 def _app_rows(spark, sf_dir, batch: bool):
     """Applications bound to orders: the snapshot holds orders before 1998, the new
     batch orders from 1997 (overlap = refreshed rows)."""
-    p = T.postings(spark, sf_dir)
+    # the raw column against a literal of its own type, so the scan skips row groups
+    day = F.col("o_orderdate")
+    bound = lambda d: F.lit(d).cast("timestamp_ntz")
+    o = T.read(spark, sf_dir, "orders").filter(day >= bound(BATCH_FROM) if batch else day < bound(SNAPSHOT_BEFORE))
+    p = T.postings(spark, sf_dir, orders=o)
     posted = F.timestamp_seconds(F.col("job_posted_at_timestamp"))
-    day = F.date_format(posted, "yyyy-MM-dd")
-    p = p.filter(day >= BATCH_FROM) if batch else p.filter(day < SNAPSHOT_BEFORE)
     jid = F.col("job_id")
     o_status = F.when(F.col("job_salary_period") == "monthly", "applied").when(
         F.col("job_salary_period") == "yearly", "queued").otherwise("")
@@ -469,6 +563,24 @@ def status_update(spark, sf_dir):
     return out.select("job_id", "status", "applied_at", "last_response_at", "last_response_summary", "notes")
 
 
+@query("application_rows")
+def application_rows(spark, sf_dir):
+    """Ranked postings as application rows, and those that are queued."""
+    ranked = rank.rank_postings(T.embedded_postings(spark, sf_dir), T.candidates_per_label(spark, sf_dir), as_of=T.AS_OF)
+    rows = apps.to_application_rows(ranked.withColumn("artifact_dir", F.concat(F.lit("artifacts/"), F.col("job_id"))), as_of_text=AS_OF_TEXT)
+    return apps.queued_view(rows).select("job_id", "source", "company", "title", "location", "posted_days_ago", "salary_mid_lpa",
+                                         "fit_score", "apply_link", "status", "queued_at", "artifact_dir")
+
+
+@query("queue_drops")
+def queue_drops(spark, sf_dir):
+    """A10 with decisions taken: nothing is advanced automatically, so what the cap lets
+    through is kept, and applications whose posting was filtered meanwhile are dropped."""
+    gone = filters.filter_cascade(T.postings(spark, sf_dir), as_of=T.AS_OF, **FILTER_PARAMS).filter("drop_reason is not null")
+    return apps.decision_counts(apps.queue_decisions(app_upsert(spark, sf_dir), daily_cap=QUEUE_CAP, auto_advance=False,
+                                                     dropped=gone.select(F.col("job_id").cast("string").alias("job_id"))))
+
+
 @query("apply_queue")
 def apply_queue(spark, sf_dir):
     return apps.queue_decisions(app_upsert(spark, sf_dir), daily_cap=QUEUE_CAP)
@@ -498,11 +610,23 @@ EVENT_LABELS = {"view": "viewed", "signup": "applied", "click": "screening",
 
 @query("mail_labels")
 def mail_labels(spark, sf_dir):
-    cv = T.read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    cv = T.read(spark, sf_dir, "conversations")
     m = mail.label_messages(cv.select("conv_id", "turn", F.col("text").alias("body")), rules=BINDING_RULES)
     return m.select("conv_id", "turn", "label", "confidence", "evidence_snippet")
 
 
+@query("verdict_check")
+def verdict_check(spark, sf_dir):
+    """Q5: event types as landed verdicts, some in capitals or with spaces: how many are
+    labels of the domain, and how many are rejected."""
+    ev = T.read(spark, sf_dir, "events")
+    label = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(" "), F.upper("event_type"))).when(
+        F.col("event_id") % 5 == 1, F.lit("Offer ")).when(F.col("event_id") % 5 == 2, F.lit(None)).otherwise(F.lit("viewed"))
+    ok, bad = mail.validate_verdicts(ev.select("event_id", label.alias("label")))
+    rows = ok.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
+    return rows.groupBy("label", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("company_match")
 def company_match(spark, sf_dir):
     """Every part's brand as a verdict company against the known brands, ordered
@@ -560,40 +684,45 @@ def status_fold(spark, sf_dir):
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-@query("status_fold_stream")
-def status_fold_stream(spark, sf_dir):
-    """The same fold as ``status_fold`` driven as a stream over the events file."""
-    src = status_stream.message_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
+def _message_rows(events):
+    """Messages of the events stream: ``job_id, label, msg_id`` and the time."""
     lab = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_LABELS.items() for x in kv]), F.col("event_type"))
-    msgs = src.select(F.col("user_id").alias("job_id"), lab.alias("label"), "ts", F.col("event_id").alias("msg_id"))
+    return events.select(F.col("user_id").alias("job_id"), lab.alias("label"), "ts", F.col("event_id").alias("msg_id"))
+
+
+def _watched(spark, sf_dir, max_files=None):
+    """W1-W6 over all landed events; returns the table that the watcher kept."""
+    import uuid
+    table = scratch_path(spark, f"streams/status/{uuid.uuid4().hex}")
+    sinks.save_snapshot(spark, status_stream.initial_state(_event_applications(spark, sf_dir)), table, 1)
+    msgs = _message_rows(status_stream.message_stream(spark, sf_dir, EVENT_SCHEMA, table="events", max_files_per_trigger=max_files))
     msgs = status_stream.dedupe_messages(msgs, id_col="msg_id", time_col="ts", lookback="7 days")
-    msgs = msgs.observe("poll", F.count(F.lit(1)).alias("checked"))
-    appl = _event_applications(spark, sf_dir)
-    agg = status_stream.fold_stream(msgs, appl, key_col="job_id", label_col="label", id_col="msg_id")
-    sink, _ = status_stream.run_available_now(agg, "status_fold", mode="complete")
-    res = spark.read.parquet(sink)
-    a = appl.select(F.col("job_id").alias("_k"), current_status(F.col("status"), "applied").alias("start_status"))
-    out = a.join(res, "_k", "left")
-    return out.select(
-        F.col("_k").alias("job_id"), "start_status",
-        F.coalesce(F.col("best.status"), F.col("start_status")).alias("status"),
-        F.coalesce(F.col("best.rank"), status_rank(F.col("start_status"))).alias("status_rank"),
-        F.unix_micros(F.col("best.ts")).alias("advanced_at_us"),
-        F.coalesce(F.col("n_messages"), F.lit(0)).cast("long").alias("n_messages"),
-        F.coalesce(F.col("n_candidates"), F.lit(0)).cast("long").alias("n_candidates"))
+    status_stream.start_watch(msgs, table, checkpoint=f"{table}/_stream").awaitTermination()
+    return table
+
+
+@query("status_fold_stream")
+def status_fold_stream(spark, sf_dir):
+    """The same fold as ``status_fold`` driven as a stream over the events."""
+    return status_stream.statuses(sinks.load_snapshot(spark, _watched(spark, sf_dir), status_stream.STATE_SCHEMA))
+
+
+@query("watch_counts")
+def watch_counts(spark, sf_dir):
+    """The three counters that the watcher kept, over all its batches."""
+    c = spark.read.schema("checked long, classified long, advanced long").parquet(f"{_watched(spark, sf_dir)}/counts/*")
+    return c.agg(*[F.sum(n).cast("long").alias(n) for n in ("checked", "classified", "advanced")])
 
 
 @query("msg_dedup_stream")
 def msg_dedup_stream(spark, sf_dir):
-    """The events file read by two sources (a replay) and de-duplicated on the
-    message id within the watermark; every message survives exactly once."""
-    a = status_stream.message_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
-    b = status_stream.message_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
-    u = a.unionByName(b)
-    d = status_stream.dedupe_messages(u, id_col="event_id", time_col="ts", lookback="7 days")
-    sink, _ = status_stream.run_available_now(d.select("event_id", "user_id", "event_type"), "msg_dedup",
-                                              mode="append")
-    return spark.read.parquet(sink)
+    """The events read by two sources (a replay) and de-duplicated on the message id
+    within the watermark; every message survives exactly once."""
+    import uuid
+    a, b = (status_stream.message_stream(spark, sf_dir, EVENT_SCHEMA, table="events") for _ in range(2))
+    d = status_stream.dedupe_messages(a.unionByName(b), id_col="event_id", time_col="ts", lookback="7 days")
+    base = scratch_path(spark, f"streams/dedup/{uuid.uuid4().hex}")
+    return status_stream.append_batches(d.select("event_id", "user_id", "event_type"), f"{base}/data", checkpoint=f"{base}/_stream")
 
 
 # ------------------------------------------------------- requests, checks ----
@@ -606,16 +735,14 @@ from ..session import cut_lineage, scratch_path  # noqa: E402
 # Our own request template (the reference's prompt texts are not reproduced).
 KEYWORD_REQUEST_TEMPLATE = ("Classify the key phrases of a {role} posting.\n"
                             "Return JSON {{\"keywords\": [...]}}.\n---\n{job_description}")
-DESCRIPTION_LIMIT = 6000
 
 
 @query("request_rows")
 def request_rows(spark, sf_dir):
-    """One model request per document, description cut to 6000 chars."""
+    """One model request per document, with its whole text."""
     d = T.read(spark, sf_dir, "documents")
     r = requests.request_rows(d, ["doc_id"], KEYWORD_REQUEST_TEMPLATE,
-                              {"role": F.col("source"), "job_description": F.col("text")},
-                              {"job_description": DESCRIPTION_LIMIT})
+                              {"role": F.col("source"), "job_description": F.col("text")})
     return r.select("doc_id", "request_key", F.length("prompt").cast("long").alias("prompt_chars"))
 
 
@@ -681,7 +808,7 @@ def grounding_checks(spark, sf_dir):
 def keyword_chunks(spark, sf_dir):
     """F8: classification batches of 60 keywords per pool, alphabetical."""
     d = _docs_by_source(spark, sf_dir)
-    kws = keywords.top_phrases(d, top_per_doc=TOP_PER_DOC).select("pool", "phrase").distinct()
+    kws = keywords.phrases(d).select("pool", "phrase").distinct()
     c = requests.chunk_ids(kws, "pool", "phrase")
     return c.groupBy("pool", "chunk_id").agg(F.count(F.lit(1)).alias("n_keywords"),
                                               F.min("phrase").alias("first_keyword"))
@@ -715,6 +842,30 @@ def _board_rows(spark, sf_dir):
         F.lit(None).cast("string").alias("listing_type"))
 
 
+@query("keywords_artifact")
+def keywords_artifact(spark, sf_dir):
+    """S6 then S9: keyword records written as JSON artifacts per pool and read back; fields
+    that the schema does not name are ignored."""
+    import uuid
+    path = scratch_path(spark, f"artifacts/keywords/{uuid.uuid4().hex}")
+    sinks.write_artifacts(classified_by_language(spark, sf_dir).withColumn("note", F.lit("x")), path, ["pool"])
+    return postings_src.read_keywords(spark, path, multi_line=False).select("keyword", "display", "category", "frequency", "raw_count", "tier")
+
+
+@query("answers_artifact")
+def answers_artifact(spark, sf_dir):
+    """Answers written as JSON artifacts and read back."""
+    import uuid
+    ev = T.read(spark, sf_dir, "events")
+    raw = F.to_json(F.struct(F.col("props").alias("why_this_role"), F.array("event_type").alias("core_techniques")))
+    a = ans.parse_answers(ev.select("event_id", "event_type", raw.alias("raw")), "raw")
+    path = scratch_path(spark, f"artifacts/answers/{uuid.uuid4().hex}")
+    sinks.write_artifacts(a.select("event_id", "event_type", "answers"), path, ["event_type"])
+    back = spark.read.schema(f"event_id long, answers struct<{ans.STRUCT_FIELDS}>").json(path)
+    return back.select("event_id", F.col("answers.why_this_role").alias("why"), F.array_join("answers.core_techniques", ",").alias("techniques"),
+                       F.col("answers.open_to_shift_work").alias("shift"))
+
+
 @query("board_rows")
 def board_rows(spark, sf_dir):
     """S2/T-1: board rows normalised to postings."""
@@ -759,14 +910,15 @@ def salary_display(spark, sf_dir):
 def phrase_mmr(spark, sf_dir):
     """K4: MMR re-ranking of every scored phrase of each document."""
     d = _docs_by_source(spark, sf_dir)
-    scored = keywords.phrase_scores(cut_lineage(keywords.phrase_counts(d)), keywords.docs_per_pool(d))
+    scored = keywords.phrase_scores(keywords.phrase_counts(d), keywords.docs_per_pool(d))
     return embeddings.mmr_rerank(scored, top_n=TOP_PER_DOC, diversity=0.3)
 
 
 @query("doc_vectors")
 def doc_vectors(spark, sf_dir):
-    """K1: TF-IDF document vectors (default producer)."""
-    return embeddings.doc_vectors(T.read(spark, sf_dir, "documents"))
+    """K1: TF-IDF document vectors (default producer), one row per entry."""
+    v = embeddings.doc_vectors(T.read(spark, sf_dir, "documents"))
+    return v.select("doc_id", F.inline("vector")).withColumn("weight", F.round("weight", 6))
 
 
 # ---------------------------------------------------------------- résumés ----
@@ -852,13 +1004,30 @@ def resume_roundtrip(spark, sf_dir):
         F.size(r.getField("certifications")).cast("long").alias("n_certs"))
 
 
+@query("resume_merge")
+def resume_merge(spark, sf_dir):
+    """Extracted résumés (without summary for every third candidate, without skills for
+    every fourth) over heuristic ones (other names)."""
+    c = candidates(spark, sf_dir)
+    r, k = F.col("resume"), F.col("candidate_id")
+    none = F.array().cast("array<string>")
+    extracted = (r.withField("summary", F.when(k % 3 == 0, F.lit("")).otherwise(r.getField("summary")))
+                  .withField("skills", F.when(k % 4 == 0, none).otherwise(r.getField("skills"))))
+    contact = r.getField("contact")
+    heuristic = (r.withField("summary", F.lit("heuristic")).withField("skills", F.array(F.lit("guess")))
+                  .withField("contact", contact.withField("linkedin", F.lit("in/x")).withField("name", F.lit("Other"))))
+    m = c.select("candidate_id", resume.merge_parsed(extracted, heuristic).alias("m"))
+    return m.select("candidate_id", F.col("m.contact.name").alias("name"), F.col("m.contact.linkedin").alias("linkedin"),
+                    F.col("m.summary").alias("summary"), F.array_join("m.skills", ", ").alias("skills"),
+                    F.size("m.experience").cast("long").alias("n_roles"))
+
+
 @query("candidate_facts")
 def candidate_facts(spark, sf_dir):
-    """Bounded fact sheets (cover-letter and screening variants) per candidate."""
+    """Fact sheets (cover-letter and screening variants) per candidate."""
     c = candidates(spark, sf_dir)
     cover = resume.candidate_facts(F.col("resume"))
-    screen = resume.candidate_facts(F.col("resume"), summary_chars=1500, max_skills=80, max_roles=None,
-                                    max_bullets=10, with_education=False)
+    screen = resume.candidate_facts(F.col("resume"), with_education=False)
 
     def n_bullets(f):
         return F.aggregate(f.getField("experience"), F.lit(0).cast("long"), lambda a, e: a + F.size(e.getField("bullets")))
@@ -880,13 +1049,13 @@ def resume_text(spark, sf_dir):
 
 @query("skill_order")
 def skill_order(spark, sf_dir):
-    """each candidate's skills reordered by the benchmark keyword tiers
+    """each candidate's skills reordered by the keyword tiers of its pool
     (critical first, then recommended, else original order)."""
-    kw = benchmark_keywords(spark, sf_dir)
+    kw = part_keywords(spark, sf_dir)
     lists = kw.groupBy("pool").agg(
         F.array_sort(F.collect_list(F.when(F.col("tier") == "critical", F.col("keyword")))).alias("crit"),
         F.array_sort(F.collect_list(F.when(F.col("tier") == "recommended", F.col("keyword")))).alias("rec"))
-    c = candidates(spark, sf_dir).withColumn("pool", F.lit("benchmark")).join(lists, "pool", "left")
+    c = candidates(spark, sf_dir).withColumn("pool", (F.col("candidate_id") % 2).cast("string")).join(lists, "pool", "left")
     empty = F.array().cast("array<string>")
     skills = F.transform(F.col("resume.skills"), lambda s: F.lower(s))
     order = resume.reorder_skills(skills, F.coalesce("crit", empty), F.coalesce("rec", empty))
@@ -895,11 +1064,18 @@ def skill_order(spark, sf_dir):
 
 @query("tailoring_check")
 def tailoring_check(spark, sf_dir):
-    """J10 + P14 + Q7: the first role's bullets overlaid with a rewrite, education
-    entries naming a class dropped; the check reports what changed."""
-    c = candidates(spark, sf_dir)
-    rewrites = F.create_map(F.lit(0), F.array(F.lit("Rewritten bullet"))).cast("map<int,array<string>>")
+    """J10 + P14 + Q7: a role's bullets (another one per candidate) overlaid with a rewrite,
+    education entries naming a class dropped, and for some candidates an employer renamed
+    and a skill lost; the check reports what changed."""
+    k = F.col("candidate_id")
+    school = F.array(F.struct(F.lit("Class XII").alias("degree"), F.lit("School").alias("institution"), F.lit("").alias("location"),
+                              F.lit("").alias("start_date"), F.lit("").alias("end_date"), F.lit("").alias("details")))
+    c = candidates(spark, sf_dir).withColumn("resume", F.when(k % 3 == 0, F.col("resume").withField(
+        "education", F.concat(F.col("resume.education"), school))).otherwise(F.col("resume")))
+    rewrites = F.create_map((k % 2).cast("int"), F.array(F.concat(F.lit("Rewritten bullet of "), k.cast("string")))).cast("map<int,array<string>>")
     after = resume.drop_class_education(resume.overlay_bullets(F.col("resume"), rewrites))
+    after = F.when(k % 5 == 0, after.withField("experience", F.transform(after.getField("experience"), lambda e: e.withField("company", F.lit("Renamed"))))
+                   .withField("skills", F.slice(after.getField("skills"), 2, F.size(after.getField("skills")) + 1))).otherwise(after)
     ch = resume.tailoring_changes(F.col("resume"), after)
     first = F.get(after.getField("experience"), 0)
     return c.select("candidate_id", F.size(ch.getField("employers_removed")).cast("long").alias("employers_removed"),
@@ -950,8 +1126,8 @@ def recent_messages(spark, sf_dir):
     rendered from epoch milliseconds."""
     ev = T.read(spark, sf_dir, "events")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    lo = F.unix_millis(F.to_timestamp(F.lit(EVENTS_AS_OF))) - LOOKBACK_DAYS * 86400 * 1000
-    return ev.filter(ms >= lo).select("event_id", "user_id", millis_to_utc_text(ms).alias("received_at"))
+    since = F.lit(EVENTS_AS_OF).cast("timestamp_ntz") - F.expr(f"INTERVAL {LOOKBACK_DAYS} DAYS")
+    return ev.filter(F.col("ts") >= since).select("event_id", "user_id", millis_to_utc_text(ms).alias("received_at"))
 
 
 def _fx(cur):
@@ -1000,30 +1176,25 @@ def app_export(spark, sf_dir):
 
 @query("tier_lists")
 def tier_lists(spark, sf_dir):
-    """Per pool the critical (first 25) and recommended (first 20) keyword
-    displays in report order."""
-    mk = market_keywords(spark, sf_dir)
+    """Per language the critical and recommended keyword displays in report order."""
+    return keywords.tier_lists(classified_by_language(spark, sf_dir))
+
 
-    def top(tier, n):
-        arr = F.array_sort(F.collect_list(F.when(F.col("tier") == tier, F.struct(
-            (-F.col("frequency")).alias("f"), F.col("keyword").alias("k"), F.col("display").alias("d")))))
-        return F.array_join(F.transform(F.slice(arr, 1, n), lambda x: x.getField("d")), ", ")
-    return mk.groupBy("pool").agg(top("critical", 25).alias("critical"), top("recommended", 20).alias("recommended"))
+def classified_by_language(spark, sf_dir):
+    d = T.read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("pool"), "text")
+    held = keywords.phrases(d)
+    return keywords.market_keywords(held, keywords.docs_per_pool(d), keywords.landed_classification(landed_answers(held)))
 
 
-TAILOR_TERMS, TAILOR_THRESHOLD = 25, 0.90
+TAILOR_THRESHOLD = 0.90
 
 
 @query("tailoring_gate")
 def tailoring_gate(spark, sf_dir):
-    """A document needs tailoring when it covers under 90% of the first 25
-    critical and recommended terms (report order)."""
-    kw = benchmark_keywords(spark, sf_dir).filter(F.col("tier").isin("critical", "recommended"))
-    first = keywords.report_order()
-    kw25 = top_n_per_group(kw, ["pool"], first, TAILOR_TERMS).drop("rank")
-    d = T.read(spark, sf_dir, "documents").withColumn("pool", F.lit("benchmark"))
-    cov = ats.keyword_coverage(d, kw25).filter(F.col("tier") == "all")
-    return cov.select("doc_id", "coverage", (F.col("coverage") < TAILOR_THRESHOLD).alias("needs_tailoring"))
+    """A document needs tailoring when it covers under 90% of its language's critical
+    and recommended terms."""
+    d = T.read(spark, sf_dir, "documents").withColumn("pool", F.col("lang"))
+    return ats.tailoring_gate(d, language_keywords(spark, sf_dir), threshold=TAILOR_THRESHOLD)
 
 
 @query("best_role")
@@ -1121,12 +1292,12 @@ def screening_answers(spark, sf_dir):
 
 @query("role_report")
 def role_report(spark, sf_dir):
-    """Role presets (regions, slug = lower name) left-joined to the per-pool
-    summaries (pool = region key); a preset without postings yields an error row."""
-    r = T.read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("pool"),
-                                               tx.slug(F.col("r_name")).alias("role_slug"))
-    s = role_summary(spark, sf_dir)
-    j = F.broadcast(r).join(s, "pool", "left")
-    return j.select("role_slug", "pool", F.coalesce("n_ranked", F.lit(0)).cast("long").alias("n_ranked"),
+    """Role presets (nations, pool = nation key) with their pool's summary; a preset
+    without postings yields an error row, a pool without a preset is kept under its key."""
+    r = T.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("pool"),
+                                               tx.slug(F.concat_ws(" ", F.col("n_name"), F.lit("& quality assurance, level"), F.col("n_regionkey")))
+                                               .alias("role_slug"))
+    j = r.join(role_summary(spark, sf_dir), "pool", "full_outer")
+    return j.select(F.coalesce("role_slug", F.concat(F.lit("pool_"), F.col("pool"))).alias("role_slug"), "pool", F.coalesce("n_ranked", F.lit(0)).cast("long").alias("n_ranked"),
                     "best_salary_lpa", "best_composite",
                     F.when(F.col("n_ranked").isNull(), F.lit("no postings")).otherwise(F.lit("")).alias("error"))

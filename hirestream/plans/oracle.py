@@ -6,6 +6,8 @@ DuckDB does not compute in DECIMAL.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 AS_OF_EPOCH = 996710400
 
 POSTINGS_CTE = """
@@ -118,7 +120,8 @@ fc0 AS (
   FROM fc
 )"""
 
-ORACLE: dict[str, str] = {}
+#: SQL text, or a function that builds it: one that fails loses its own query only.
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 ORACLE["rank_top"] = "WITH " + ",".join([
     POSTINGS_CTE, EMB_CTE,
@@ -138,6 +141,10 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, pool
                                             ORDER BY composite_score DESC, job_id) AS rank FROM final)
 WHERE rank <= 3"""
 
+ORACLE["rank_many"] = ORACLE["top_per_pool"].replace(
+    "SELECT label AS pool, min(vec_id) AS candidate_id, arg_min(emb, vec_id) AS cemb FROM emb GROUP BY label",
+    "SELECT label AS pool, vec_id AS candidate_id, emb AS cemb FROM emb WHERE vec_id % 25 = 0")
+
 ORACLE["role_summary"] = ORACLE["top_per_pool"].replace(
     "SELECT * FROM (SELECT *, row_number()", "top AS (SELECT * FROM (SELECT *, row_number()", 1).replace(
     "WHERE rank <= 3", "WHERE rank <= 3)")
@@ -155,7 +162,14 @@ SELECT e.vec_id, e.label AS pool, c.candidate_id,
 FROM emb e JOIN cand c ON e.label = c.label"""
 
 ORACLE["salary_lpa"] = "WITH " + POSTINGS_CTE + "," + SALARY_CTE.format(src="postings") + """
-SELECT job_id, salary_min_lpa, salary_max_lpa, salary_mid_lpa, salary_currency, salary_source FROM sal"""
+SELECT job_id, salary_min_lpa, salary_max_lpa, salary_mid_lpa, salary_currency, salary_source FROM sal
+WHERE job_salary_period IS DISTINCT FROM 'hourly'
+UNION ALL
+SELECT job_id, lo, hi, (lo + hi) / 2, CASE WHEN lo IS NULL THEN coalesce(job_salary_currency, '') ELSE 'INR' END,
+       CASE WHEN lo IS NULL THEN 'missing' ELSE 'regex' END
+FROM (SELECT *, CASE job_id % 4 WHEN 0 THEN job_id % 30 + 5.0::DOUBLE WHEN 1 THEN job_id % 30 + 5.5::DOUBLE END AS lo,
+             CASE job_id % 4 WHEN 0 THEN job_id % 30 + 9.0::DOUBLE WHEN 1 THEN job_id % 30 + 5.5::DOUBLE END AS hi
+      FROM postings WHERE job_salary_period = 'hourly')"""
 
 ORACLE["salary_pool_stats"] = "WITH " + POSTINGS_CTE + "," + SALARY_CTE.format(src="postings") + """
 SELECT pool, count(*) AS n_postings, count(salary_mid_lpa) AS n_known, round(median(salary_mid_lpa), 4) AS median_mid,
@@ -179,23 +193,48 @@ FROM orders"""
 ORACLE["filter_cascade"] = "WITH " + POSTINGS_CTE + "," + FILTER_CTE + """
 SELECT job_id, drop_reason, is_recruiter, round(age, 4) AS days_since_posted FROM fcr"""
 
-ORACLE["filter_stats"] = "WITH " + POSTINGS_CTE + "," + FILTER_CTE + """
+_FRESH = """row_number() OVER (PARTITION BY dkey ORDER BY age IS NULL, age, length(coalesce(d.text, '')) DESC, _ord) AS rn
+  FROM fcr LEFT JOIN documents d ON d.doc_id = fcr.job_id WHERE drop_reason IS NULL"""
+_LINKS = """,
+probes AS (SELECT 'https://jobs.example.org/' || CAST(o_orderkey AS VARCHAR) AS url,
+                  CASE WHEN o_orderkey % 5 = 0 THEN true WHEN o_orderkey % 7 = 0 THEN false
+                       WHEN o_orderkey % 7 = 1 THEN o_orderkey % 3 = 0 ELSE true END AS ok
+           FROM orders WHERE o_orderkey % 11 <> 0),
+run AS (SELECT s.dkey, s.job_id, s.job_apply_link, coalesce(p.ok, false) AS alive
+        FROM (SELECT dkey, job_id, job_apply_link, """ + _FRESH + """) s LEFT JOIN probes p ON p.url = s.job_apply_link WHERE s.rn = 1)"""
+
+ORACLE["filter_stats"] = "WITH " + POSTINGS_CTE + "," + FILTER_CTE + _LINKS + """
 SELECT count(*) AS input,
        count(*) FILTER (WHERE drop_reason = 'stale') AS dropped_stale,
        count(*) FILTER (WHERE drop_reason = 'crowded') AS dropped_crowded,
-       CAST(0 AS BIGINT) AS dropped_broken_link,
+       (SELECT count(*) FILTER (WHERE NOT alive) FROM run) AS dropped_broken_link,
        count(*) FILTER (WHERE drop_reason = 'blacklist') AS dropped_blacklist,
        count(*) FILTER (WHERE drop_reason = 'low_salary') AS dropped_low_salary,
        count(*) FILTER (WHERE drop_reason IS NULL) - count(DISTINCT dkey) FILTER (WHERE drop_reason IS NULL)
          AS collapsed_duplicates,
        count(*) FILTER (WHERE is_recruiter) AS flagged_recruiter,
-       count(DISTINCT dkey) FILTER (WHERE drop_reason IS NULL) AS output
+       (SELECT count(*) FILTER (WHERE alive) FROM run) AS output
 FROM fcr"""
 
-ORACLE["dedupe_freshest"] = "WITH " + POSTINGS_CTE + "," + FILTER_CTE + """
+ORACLE["filter_run"] = "WITH " + POSTINGS_CTE + "," + FILTER_CTE + _LINKS + """
+SELECT dkey AS dedupe_key, job_id, job_apply_link FROM run WHERE alive"""
+
+ORACLE["dedupe_freshest"] = ("WITH " + POSTINGS_CTE.replace("epoch(o.o_orderdate)", "epoch(date_trunc('quarter', o.o_orderdate))") + "," + FILTER_CTE + """
 SELECT dkey AS dedupe_key, job_id FROM (
-  SELECT dkey, job_id, row_number() OVER (PARTITION BY dkey ORDER BY age IS NULL, age, 0 DESC, _ord) AS rn
-  FROM fcr WHERE drop_reason IS NULL) WHERE rn = 1"""
+  SELECT dkey, job_id, """ + _FRESH + """) WHERE rn = 1""")
+
+ORACLE["source_dedupe"] = """
+WITH s AS (SELECT p_partkey, CASE WHEN p_size <= 20 THEN CAST(p_partkey % 500 AS VARCHAR)
+                  WHEN p_size <= 35 THEN 'https://jobs.example.org/' || CAST(p_partkey % 300 AS VARCHAR)
+                  ELSE sha1(p_name || p_brand || p_type) END AS source_key FROM part)
+SELECT source_key, min(p_partkey) AS part_key FROM s GROUP BY source_key"""
+
+ORACLE["board_dedupe"] = """
+WITH a AS (SELECT 0 AS alias_ord, p_name AS job_title, * FROM part WHERE p_size <= 30
+           UNION ALL SELECT 1, upper(p_name), * FROM part WHERE p_size >= 20),
+f AS (SELECT *, row_number() OVER (PARTITION BY alias_ord, lower(p_brand), lower(p_name), lower(p_type) ORDER BY p_partkey) AS rn FROM a),
+g AS (SELECT *, row_number() OVER (PARTITION BY p_partkey % 700 ORDER BY alias_ord, p_partkey) AS rk FROM f WHERE rn = 1)
+SELECT CAST(p_partkey % 700 AS VARCHAR) AS job_id, alias_ord, job_title, p_partkey AS part_key FROM g WHERE rk = 1"""
 
 ORACLE["floor_salary"] = "WITH " + POSTINGS_CTE + "," + FILTER_CTE + """
 SELECT job_id, floor_mid AS floor_mid_lpa FROM fc2"""
@@ -380,33 +419,52 @@ def _canon(e: str) -> str:
     return strip
 
 
-def keyword_ctes(src: str, top: int = 30) -> str:
-    """CTEs ``np`` (pool sizes), ``top`` (phrases) and ``mk`` (keyword records) over
-    a source relation ``src(doc_id, pool, text)``."""
-    stop = _list(_sw.load("english"))
+CLASSES = ["hard_skill", "tool", "certification", "domain_term", "soft_skill", "noise"]
+
+
+def gram_ctes(src: str) -> str:
+    """CTEs ``np`` (pool sizes) and ``grams`` over a relation ``src(doc_id, pool, text)``."""
     return f"""
 np AS (SELECT pool, count(*) AS n_docs FROM {src} GROUP BY pool),
 tk AS (SELECT doc_id, pool, list_filter(regexp_extract_all(lower({_clean('text')}), '[a-z0-9]{{2,}}'),
-                                   lambda t: NOT list_contains({stop}, t)) AS toks FROM {src}),
+                                   lambda t: NOT list_contains({_list(_sw.ENGLISH)}, t)) AS toks FROM {src}),
 grams AS (SELECT pool, doc_id, 1 AS n, unnest(toks) AS phrase FROM tk
           UNION ALL
           SELECT pool, doc_id, 2 AS n, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))
-          FROM tk),
+          FROM tk)"""
+
+
+_KEPT = f"length(phrase) BETWEEN 2 AND 50 AND NOT list_contains({_list(_tx.STOP_PHRASES)}, phrase)"
+
+
+def score_ctes(src: str) -> str:
+    """``sc``: every phrase of every document with its count and TF-IDF score."""
+    return gram_ctes(src) + """,
 cnt AS (SELECT pool, doc_id, n, phrase, count(*) AS tf FROM grams GROUP BY pool, doc_id, n, phrase),
 dfq AS (SELECT pool, phrase, count(*) AS df FROM cnt GROUP BY pool, phrase),
 sc AS (SELECT c.*, round(c.tf * (ln((1.0::DOUBLE + np.n_docs) / (1.0::DOUBLE + dfq.df)) + 1.0::DOUBLE), 9) AS score
-       FROM cnt c JOIN dfq USING (pool, phrase) JOIN np USING (pool)),
-top AS (SELECT pool, doc_id, n, phrase, tf, score, rank FROM (
-          SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY score DESC, phrase) AS rank FROM sc)
-        WHERE rank <= {top} AND length(phrase) BETWEEN 2 AND 50 AND NOT list_contains({_list(_tx.STOP_PHRASES)}, phrase)),
-cls0 AS (SELECT DISTINCT pool, phrase FROM top),
+       FROM cnt c JOIN dfq USING (pool, phrase) JOIN np USING (pool))"""
+
+
+def keyword_ctes(src: str, classified: bool = False) -> str:
+    """``held`` (phrases of documents with class and canonical form) and ``mk`` (keyword
+    records); ``classified``: under the landed answers of the binding."""
+    canonical = "array_to_string(list_filter(st, lambda x, i: i = 1 OR x <> st[i - 1]), ' ')"
+    if classified:
+        category = f"coalesce(({_list(CLASSES)})[CAST(length(phrase) % 7 AS INTEGER) + 1], 'hard_skill')"
+        canonical = (f"CASE WHEN length(phrase) % 7 >= {len(CLASSES)} THEN {canonical} "
+                     "WHEN length(phrase) % 2 = 0 THEN split_part(phrase, ' ', 1) ELSE phrase END")
+    else:
+        category = "'hard_skill'"
+    return gram_ctes(src) + f""",
+allp AS (SELECT DISTINCT pool, doc_id, phrase FROM grams WHERE {_KEPT}),
+cls0 AS (SELECT DISTINCT pool, phrase FROM allp),
 cls1 AS (SELECT pool, phrase, {_canon('phrase')} AS st FROM cls0),
-cls AS (SELECT pool, phrase, 'hard_skill' AS category,
-               array_to_string(list_filter(st, lambda x, i: i = 1 OR x <> st[i - 1]), ' ') AS canonical FROM cls1),
+cls AS (SELECT pool, phrase, {category} AS category, {canonical} AS canonical FROM cls1),
 recs AS (SELECT pool, canonical, first(category ORDER BY phrase) AS category,
                 first(phrase ORDER BY length(phrase) DESC, phrase) AS display
          FROM cls WHERE category <> 'noise' GROUP BY pool, canonical),
-held AS (SELECT DISTINCT t.pool, t.doc_id, t.phrase, c.canonical FROM top t JOIN cls c USING (pool, phrase)),
+held AS (SELECT t.pool, t.doc_id, t.phrase, c.canonical FROM allp t JOIN cls c USING (pool, phrase)),
 mem AS (SELECT pool, doc_id, canonical AS kw FROM held UNION SELECT pool, doc_id, phrase AS kw FROM held),
 share AS (SELECT m.pool, m.kw, count(DISTINCT m.doc_id) AS raw_count FROM mem m
           SEMI JOIN recs r ON m.pool = r.pool AND m.kw = r.canonical GROUP BY m.pool, m.kw),
@@ -418,23 +476,38 @@ mk AS (SELECT r.pool, r.canonical AS keyword, r.display, r.category,
        WHERE s.raw_count / np.n_docs >= 0.1::DOUBLE)"""
 
 
+_REPORT_ORDER = """CASE tier WHEN 'critical' THEN 1 WHEN 'recommended' THEN 2 ELSE 3 END,
+          CASE category WHEN 'hard_skill' THEN 1 WHEN 'tool' THEN 2 WHEN 'certification' THEN 3 WHEN 'domain_term' THEN 4
+                        WHEN 'soft_skill' THEN 5 ELSE 99 END, frequency DESC, keyword"""
 _DOCS_SRC = "src AS (SELECT doc_id, source AS pool, text FROM documents),"
-_BENCH_SRC = "src AS (SELECT item_id AS doc_id, 'benchmark' AS pool, text FROM benchmark),"
-
-ORACLE["phrase_topn"] = "WITH " + _DOCS_SRC + keyword_ctes("src") + "\nSELECT * FROM top"
-ORACLE["doc_frequency"] = ("WITH " + _DOCS_SRC + keyword_ctes("src")
-                           + "\nSELECT pool, phrase, count(DISTINCT doc_id) AS n_docs FROM top GROUP BY pool, phrase")
-ORACLE["market_keywords"] = "WITH " + _DOCS_SRC + keyword_ctes("src") + "\nSELECT * FROM mk"
+_LANG_SRC = "src AS (SELECT doc_id, lang AS pool, text FROM documents),"
+_PART_SRC = """src AS (SELECT * FROM (SELECT p_partkey AS doc_id,
+         CASE WHEN p_type = 'PROMO' OR (p_type = 'SMALL' AND p_size < 25) THEN '0'
+              WHEN p_type = 'LARGE' OR (p_type = 'MEDIUM' AND p_size < 25) THEN '1' END AS pool,
+         p_type || ' ' || p_name AS text FROM part) WHERE pool IS NOT NULL),"""
+
+ORACLE["phrase_topn"] = lambda: "WITH " + _DOCS_SRC + score_ctes("src") + f"""
+SELECT pool, doc_id, n, phrase, tf, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY score DESC, phrase) AS rank FROM sc)
+WHERE rank <= 30 AND {_KEPT}"""
+ORACLE["doc_frequency"] = lambda: "WITH " + _DOCS_SRC + gram_ctes("src") + f"""
+SELECT pool, phrase, count(DISTINCT doc_id) AS n_docs FROM grams WHERE {_KEPT} GROUP BY pool, phrase"""
+ORACLE["market_keywords"] = lambda: "WITH " + _DOCS_SRC + keyword_ctes("src") + "\nSELECT * FROM mk"
+ORACLE["classified_keywords"] = lambda: ("WITH " + _DOCS_SRC + keyword_ctes("src", classified=True) + f"""
+SELECT *, row_number() OVER (PARTITION BY pool ORDER BY {_REPORT_ORDER}) AS report_rank FROM mk""")
+ORACLE["doc_vectors"] = lambda: "WITH src AS (SELECT doc_id, 'all' AS pool, text FROM documents)," + score_ctes("src") + """
+SELECT doc_id, phrase AS term, round(score / sqrt(sum(score * score) OVER (PARTITION BY doc_id)), 6) AS weight
+FROM sc WHERE n = 1"""
 
 
 def _coverage_ctes(text_expr: str = "text") -> str:
-    return ("\ncd AS (SELECT doc_id, source, " + text_expr + " AS text FROM documents),"
+    return ("\ncd AS (SELECT doc_id, source, lang, " + text_expr + " AS text FROM documents),"
             """
 cm AS (SELECT cd.doc_id, k.tier, k.display,
               (coalesce(k.keyword, '') <> '' AND contains(regexp_replace(lower(coalesce(cd.text, '')), '\\s+', ' ', 'g'), lower(k.keyword)))
               OR (coalesce(k.display, '') <> '' AND contains(regexp_replace(lower(coalesce(cd.text, '')), '\\s+', ' ', 'g'), lower(k.display)))
                 AS hit
-       FROM cd, mk k),
+       FROM cd JOIN mk k ON k.pool = cd.lang),
 tiers AS (SELECT unnest(['critical', 'recommended', 'nice_to_have', 'all']) AS tier),
 cper AS (SELECT d.doc_id, t.tier, count(cm.display) AS n_terms, count(*) FILTER (WHERE cm.hit) AS n_hits,
                 coalesce(array_to_string(list_sort(list(cm.display) FILTER (WHERE cm.hit)), '|'), '') AS hits,
@@ -446,10 +519,10 @@ cov AS (SELECT *, CASE WHEN n_terms = 0 THEN 1.0::DOUBLE ELSE """ + _rhu("n_hits
         FROM cper)""")
 
 
-ORACLE["keyword_coverage"] = ("WITH " + _BENCH_SRC + keyword_ctes("src") + "," + _coverage_ctes()
+ORACLE["keyword_coverage"] = lambda: ("WITH " + _LANG_SRC + keyword_ctes("src") + "," + _coverage_ctes()
                               + "\nSELECT doc_id, tier, n_terms, n_hits, coverage, hits FROM cov")
 
-ORACLE["coverage_rollup"] = ("WITH " + _BENCH_SRC + keyword_ctes("src") + "," + _coverage_ctes() + """
+ORACLE["coverage_rollup"] = lambda: ("WITH " + _LANG_SRC + keyword_ctes("src") + "," + _coverage_ctes() + """
 SELECT d.source, c.tier, CAST(GROUPING(d.source, c.tier) AS INTEGER) AS level, count(DISTINCT c.doc_id) AS n_docs,
        sum(c.n_hits) AS n_hits, sum(c.n_terms) AS n_terms,
        round(sum(c.n_hits) / nullif(sum(c.n_terms), 0), 6) AS hit_rate
@@ -457,8 +530,8 @@ FROM cov c JOIN documents d ON c.doc_id = d.doc_id
 WHERE c.tier <> 'all'
 GROUP BY ROLLUP (d.source, c.tier)""")
 
-ORACLE["keyword_gap"] = "WITH " + _BENCH_SRC + keyword_ctes("src") + """,
-cv AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS blob FROM conversations WHERE role = 'user'
+ORACLE["keyword_gap"] = lambda: "WITH " + _LANG_SRC + keyword_ctes("src") + """,
+cv AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS blob FROM conversations
        GROUP BY conv_id),
 ct AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(coalesce(blob, '')), """ + _q(_tx.TOKEN_PATTERN) + """)) AS tokens
        FROM cv),
@@ -466,7 +539,7 @@ g AS (SELECT ct.conv_id, k.keyword,
              CASE WHEN k.keyword IS NULL THEN NULL
                   WHEN len(list_filter(ct.tokens, lambda t: contains(t, k.keyword) OR contains(t, lower(k.display)))) > 0
                   THEN 'already_have' WHEN k.tier = 'critical' THEN 'must_add' ELSE 'should_emphasize' END AS bucket
-      FROM ct LEFT JOIN mk k ON true)
+      FROM ct LEFT JOIN mk k ON k.pool = (['en', 'fr', 'de', 'es'])[CAST(ct.conv_id % 4 AS INTEGER) + 1])
 SELECT conv_id, count(*) FILTER (WHERE bucket = 'already_have') AS n_already_have,
        count(*) FILTER (WHERE bucket = 'must_add') AS n_must_add,
        count(*) FILTER (WHERE bucket = 'should_emphasize') AS n_should_emphasize,
@@ -523,7 +596,7 @@ def _doc_report_ctes(text_expr: str, sfx: str) -> str:
     fc = _format_sql("paras", "0", "0", "''", "''", "0")
     fscore = "(" + " + ".join(f"CASE WHEN {v} THEN 1 ELSE 0 END" for v in fc.values()) + ") / 8.0::DOUBLE"
     cov = _coverage_ctes(text_expr).replace(" cd ", f" cd{sfx} ").replace("cd AS", f"cd{sfx} AS").replace(
-        "FROM cd,", f"FROM cd{sfx},").replace("FROM cd)", f"FROM cd{sfx})").replace("cd.", f"cd{sfx}.").replace(
+        "FROM cd JOIN", f"FROM cd{sfx} JOIN").replace("FROM cd)", f"FROM cd{sfx})").replace("cd.", f"cd{sfx}.").replace(
         "cm AS", f"cm{sfx} AS").replace("cm.", f"cm{sfx}.").replace("JOIN cm ", f"JOIN cm{sfx} ").replace(
         "tiers AS", f"tiers{sfx} AS").replace("JOIN tiers ", f"JOIN tiers{sfx} ").replace(
         "cper AS", f"cper{sfx} AS").replace("FROM cper", f"FROM cper{sfx}").replace("cov AS", f"cov{sfx} AS")
@@ -540,13 +613,13 @@ rep{sfx} AS (SELECT k.doc_id, k.keyword_score, f.format_score,
         FROM ks{sfx} k JOIN fm{sfx} f ON k.doc_id = f.doc_id)"""
 
 
-ORACLE["doc_overall"] = ("WITH " + _BENCH_SRC + keyword_ctes("src") + "," + _doc_report_ctes("text", "")
+ORACLE["doc_overall"] = lambda: ("WITH " + _LANG_SRC + keyword_ctes("src") + "," + _doc_report_ctes("text", "")
                          + "\nSELECT doc_id, round(keyword_score, 6) AS keyword_score, round(format_score, 6) AS format_score,"
                          + " overall FROM rep")
 
 _AFTER_TEXT = ("(text || chr(10) || 'Skills: ' || coalesce((SELECT misses FROM cov WHERE cov.doc_id = documents.doc_id"
                " AND cov.tier = 'all'), ''))")
-ORACLE["before_after"] = ("WITH " + _BENCH_SRC + keyword_ctes("src") + "," + _doc_report_ctes("text", "") + ","
+ORACLE["before_after"] = lambda: ("WITH " + _LANG_SRC + keyword_ctes("src") + "," + _doc_report_ctes("text", "") + ","
                           + _doc_report_ctes(_AFTER_TEXT, "a") + """,
 mb AS (SELECT r.doc_id, 'Coverage: ' || c.tier AS metric, """ + _rhu("c.coverage * 100.0::DOUBLE", 1) + """ AS v
        FROM rep r JOIN cov c ON r.doc_id = c.doc_id
@@ -634,8 +707,8 @@ agg AS (SELECT job_id, arg_max(status, {'a': at_ts, 's': seq}) AS u_status,
 SELECT u.job_id, CASE WHEN a.u_status IS NOT NULL THEN a.u_status ELSE u.status END AS status,
        coalesce(strftime(a.u_applied_at, """ + _FMT + """), u.applied_at) AS applied_at,
        coalesce(strftime(a.u_resp_at, """ + _FMT + """), u.last_response_at) AS last_response_at,
-       coalesce(substr(a.u_resp, 1, 400), u.last_response_summary) AS last_response_summary,
-       coalesce(substr(a.u_notes, 1, 400), u.notes) AS notes
+       coalesce(a.u_resp, u.last_response_summary) AS last_response_summary,
+       coalesce(a.u_notes, u.notes) AS notes
 FROM ups u LEFT JOIN agg a ON u.job_id = a.job_id"""
 
 _QUEUE = _UPSERT_CTE + """,
@@ -654,7 +727,7 @@ ORACLE["apply_queue_counts"] = _QUEUE + "\nSELECT action, count(*) AS n FROM dec
 def _mail_rules_sql(rules, body: str):
     lab = " ".join(f"WHEN regexp_matches({body}, {_q(p)}) THEN {_q(l)}" for l, p, _ in rules)
     conf = " ".join(f"WHEN regexp_matches({body}, {_q(p)}) THEN {float(c)}::DOUBLE" for l, p, c in rules)
-    ev = " ".join(f"WHEN regexp_matches({body}, {_q(p)}) THEN substr(regexp_extract({body}, {_q(p)}, 0), 1, 200)"
+    ev = " ".join(f"WHEN regexp_matches({body}, {_q(p)}) THEN regexp_extract({body}, {_q(p)}, 0)"
                   for l, p, _ in rules)
     return (f"CASE {lab} ELSE 'irrelevant' END", f"CASE {conf} ELSE 0.0::DOUBLE END", f"CASE {ev} ELSE '' END")
 
@@ -668,7 +741,7 @@ _lab, _conf, _ev = _mail_rules_sql(
     [("offer", "that", 0.9), ("interviewing", "from", 0.8), ("screening", "with", 0.7),
      ("viewed", "this", 0.6), ("rejected", "tion", 0.5)], "coalesce(text, '')")
 ORACLE["mail_labels"] = (f"SELECT conv_id, turn, {_lab} AS label, {_conf} AS confidence, {_ev} AS evidence_snippet"
-                         " FROM conversations WHERE role = 'user'")
+                         " FROM conversations")
 
 ORACLE["company_match"] = """
 WITH v AS (SELECT DISTINCT lower(trim(p_brand)) AS verdict FROM part WHERE lower(trim(p_brand)) <> ''),
@@ -706,6 +779,7 @@ SELECT ap.job_id, ap.start_status, coalesce(agg.best.st, ap.start_status) AS sta
 FROM ap LEFT JOIN agg ON ap.job_id = agg.job_id"""
 ORACLE["status_fold"] = _FOLD
 ORACLE["status_fold_stream"] = _FOLD
+ORACLE["watch_counts"] = lambda: ORACLE["poll_counts"]
 ORACLE["msg_dedup_stream"] = "SELECT event_id, user_id, event_type FROM events"
 
 
@@ -732,7 +806,7 @@ def _forbidden(e: str, phrases) -> str:
 
 ORACLE["request_rows"] = """
 WITH r AS (SELECT doc_id, 'Classify the key phrases of a ' || coalesce(source, '') || ' posting.' || chr(10)
-                  || 'Return JSON {"keywords": [...]}.' || chr(10) || '---' || chr(10) || substr(coalesce(text, ''), 1, 6000)
+                  || 'Return JSON {"keywords": [...]}.' || chr(10) || '---' || chr(10) || coalesce(text, '')
                   AS prompt FROM documents)
 SELECT doc_id, substr(sha1(prompt), 1, 16) AS request_key, CAST(length(prompt) AS BIGINT) AS prompt_chars FROM r"""
 
@@ -775,8 +849,8 @@ SELECT conv_id, turn, CAST(len(caps) AS BIGINT) AS n_items,
        contains(lower(coalesce(rewrite, '')), lower(coalesce(ow[2], ''))) AS names_company
 FROM g"""
 
-ORACLE["keyword_chunks"] = "WITH " + _DOCS_SRC + keyword_ctes("src") + """,
-kd AS (SELECT DISTINCT pool, phrase FROM top),
+ORACLE["keyword_chunks"] = lambda: "WITH " + _DOCS_SRC + gram_ctes("src") + """,
+kd AS (SELECT DISTINCT pool, phrase FROM grams WHERE """ + _KEPT + """),
 kc AS (SELECT pool, phrase, (row_number() OVER (PARTITION BY pool ORDER BY phrase) - 1) // 60 AS chunk_id FROM kd)
 SELECT pool, CAST(chunk_id AS BIGINT) AS chunk_id, count(*) AS n_keywords, min(phrase) AS first_keyword
 FROM kc GROUP BY pool, chunk_id"""
@@ -859,11 +933,11 @@ li AS (SELECT l.*, p.p_name, p.p_type, s.s_name,
 
 ORACLE["candidate_facts"] = "WITH " + _LI_RANKED + """,
 rb AS (SELECT l_orderkey, role_rank, 1 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS nb FROM li),
-agg AS (SELECT l_orderkey, count(*) AS n_roles, sum(nb) AS n_b, sum(CASE WHEN role_rank <= 6 THEN least(nb, 8) ELSE 0 END) AS cover_b
+agg AS (SELECT l_orderkey, count(*) AS n_roles, sum(nb) AS n_b, sum(nb) AS cover_b
         FROM rb GROUP BY l_orderkey),
 sk AS (SELECT l_orderkey, count(DISTINCT p_type) AS n_sk FROM li GROUP BY l_orderkey)
-SELECT o.o_orderkey AS candidate_id, CAST(least(coalesce(a.n_roles, 0), 6) AS BIGINT) AS cover_roles,
-       CAST(coalesce(a.cover_b, 0) AS BIGINT) AS cover_bullets, CAST(least(coalesce(sk.n_sk, 0), 60) AS BIGINT) AS cover_skills,
+SELECT o.o_orderkey AS candidate_id, CAST(coalesce(a.n_roles, 0) AS BIGINT) AS cover_roles,
+       CAST(coalesce(a.cover_b, 0) AS BIGINT) AS cover_bullets, CAST(coalesce(sk.n_sk, 0) AS BIGINT) AS cover_skills,
        'B.Sc. ' || r.r_name || ' ' || n.n_name || ' University' AS cover_education,
        CAST(coalesce(a.n_roles, 0) AS BIGINT) AS screen_roles, CAST(coalesce(a.n_b, 0) AS BIGINT) AS screen_bullets,
        CAST(length('Order ' || o.o_orderpriority || ' placed with status ' || o.o_orderstatus || '.') AS BIGINT) AS summary_chars
@@ -885,9 +959,9 @@ parts AS (
 t AS (SELECT cid, string_agg(part, chr(10) ORDER BY sec, k1, k2, k3) AS txt FROM parts WHERE part <> '' GROUP BY cid)
 SELECT cid AS candidate_id, CAST(length(txt) AS BIGINT) AS n_chars, substr(sha1(txt), 1, 16) AS text_hash FROM t"""
 
-ORACLE["skill_order"] = "WITH " + _BENCH_SRC + keyword_ctes("src") + """,
-kl AS (SELECT coalesce(list_sort(list(keyword) FILTER (WHERE tier = 'critical')), []) AS crit,
-              coalesce(list_sort(list(keyword) FILTER (WHERE tier = 'recommended')), []) AS rec FROM mk),
+ORACLE["skill_order"] = lambda: "WITH " + _PART_SRC + keyword_ctes("src") + """,
+kl AS (SELECT pool, coalesce(list_sort(list(keyword) FILTER (WHERE tier = 'critical')), []) AS crit,
+              coalesce(list_sort(list(keyword) FILTER (WHERE tier = 'recommended')), []) AS rec FROM mk GROUP BY pool),
 sk AS (SELECT l.l_orderkey, list_sort(list(DISTINCT lower(p.p_type))) AS skills
        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey),
 cs AS (SELECT o.o_orderkey AS candidate_id, coalesce(sk.skills, []) AS skills FROM orders o
@@ -896,17 +970,27 @@ SELECT candidate_id, array_to_string(list_transform(list_sort(list_transform(ski
          'b': CASE WHEN len(list_filter(kl.crit, lambda k: contains(s, k) OR contains(k, s))) > 0 THEN 0
                    WHEN len(list_filter(kl.rec, lambda k: contains(s, k) OR contains(k, s))) > 0 THEN 1 ELSE 2 END,
          'i': i, 's': s})), lambda x: x.s), ', ') AS skills_ordered
-FROM cs, kl"""
-
-ORACLE["tailoring_check"] = """
-WITH n AS (SELECT l_orderkey, count(*) AS n_roles FROM lineitem JOIN part ON l_partkey = p_partkey
-           JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey)
-SELECT o.o_orderkey AS candidate_id, CAST(0 AS BIGINT) AS employers_removed,
-       CAST(CASE WHEN contains(lower('B.Sc. ' || r.r_name), 'class') THEN 1 ELSE 0 END AS BIGINT) AS education_removed,
-       CAST(0 AS BIGINT) AS skills_removed,
-       CASE WHEN coalesce(n.n_roles, 0) > 0 THEN 'Rewritten bullet' ELSE '' END AS first_bullets
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation na ON c.c_nationkey = na.n_nationkey
-JOIN region r ON na.n_regionkey = r.r_regionkey LEFT JOIN n ON n.l_orderkey = o.o_orderkey"""
+FROM cs JOIN kl ON kl.pool = CAST(cs.candidate_id % 2 AS VARCHAR)"""
+
+ORACLE["tailoring_check"] = "WITH " + _LI_RANKED + """,
+n AS (SELECT l_orderkey, count(*) AS n_roles, count(DISTINCT s_name) AS n_firms, count(DISTINCT p_type) AS n_skills FROM li GROUP BY l_orderkey),
+f AS (SELECT *, printf('Shipped %d units at %d%% discount', CAST(l_quantity AS INTEGER), CAST(round(l_discount * 100) AS INTEGER))
+             || CASE WHEN l_returnflag = 'R' THEN '|Handled a return' ELSE '' END AS bullets FROM li WHERE role_rank = 1)
+SELECT o_orderkey AS candidate_id, CAST(CASE WHEN o_orderkey % 5 = 0 THEN coalesce(n.n_firms, 0) ELSE 0 END AS BIGINT) AS employers_removed,
+       CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS education_removed,
+       CAST(CASE WHEN o_orderkey % 5 = 0 AND coalesce(n.n_skills, 0) > 0 THEN 1 ELSE 0 END AS BIGINT) AS skills_removed,
+       CASE WHEN n.n_roles IS NULL THEN '' WHEN o_orderkey % 2 = 0 THEN 'Rewritten bullet of ' || CAST(o_orderkey AS VARCHAR)
+            ELSE f.bullets END AS first_bullets
+FROM orders LEFT JOIN n ON n.l_orderkey = o_orderkey LEFT JOIN f ON f.l_orderkey = o_orderkey"""
+
+ORACLE["resume_merge"] = "WITH " + _LI_RANKED + """,
+sk AS (SELECT l_orderkey, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS skills, count(DISTINCT role_rank) AS n_roles FROM li GROUP BY l_orderkey)
+SELECT o.o_orderkey AS candidate_id, c.c_mktsegment || ' ' || n.n_name AS name, 'in/x' AS linkedin,
+       CASE WHEN o.o_orderkey % 3 = 0 THEN 'heuristic' ELSE 'Order ' || o.o_orderpriority || ' placed with status ' || o.o_orderstatus || '.' END AS summary,
+       CASE WHEN o.o_orderkey % 4 = 0 OR sk.skills IS NULL THEN 'guess' ELSE sk.skills END AS skills,
+       CAST(coalesce(sk.n_roles, 0) AS BIGINT) AS n_roles
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN sk ON sk.l_orderkey = o.o_orderkey"""
 
 ORACLE["top_jobs_table"] = ORACLE["top_per_pool"].replace("WHERE rank <= 3", "WHERE rank <= 8").replace(
     "SELECT * FROM (SELECT *, row_number()", "tp AS (SELECT * FROM (SELECT *, row_number()", 1) + """)
@@ -954,26 +1038,18 @@ ORACLE["app_export"] = (_UPSERT_CTE + ",\nw AS (SELECT *, status IN ('applied',
                         + ", ".join(_cell(c, "string") for c in _APP_COLS) + ", " + _cell("watched", "boolean")
                         + " FROM w")
 
-ORACLE["tier_lists"] = "WITH " + _DOCS_SRC + keyword_ctes("src") + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY pool, tier ORDER BY frequency DESC, keyword) AS rn FROM mk)
+ORACLE["tier_lists"] = lambda: "WITH " + _LANG_SRC + keyword_ctes("src", classified=True) + f"""
 SELECT pool,
-       coalesce(string_agg(display, ', ' ORDER BY frequency DESC, keyword) FILTER (WHERE tier = 'critical' AND rn <= 25), '')
-         AS critical,
-       coalesce(string_agg(display, ', ' ORDER BY frequency DESC, keyword) FILTER (WHERE tier = 'recommended' AND rn <= 20), '')
-         AS recommended
-FROM r GROUP BY pool"""
-
-ORACLE["tailoring_gate"] = "WITH " + _BENCH_SRC + keyword_ctes("src") + """,
-t25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY
-          CASE tier WHEN 'critical' THEN 1 WHEN 'recommended' THEN 2 ELSE 3 END,
-          CASE category WHEN 'hard_skill' THEN 1 WHEN 'tool' THEN 2 WHEN 'certification' THEN 3 WHEN 'domain_term' THEN 4
-                        WHEN 'soft_skill' THEN 5 ELSE 99 END, frequency DESC, keyword) AS rn
-        FROM mk WHERE tier IN ('critical', 'recommended')) WHERE rn <= 25),
-d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') AS hay FROM documents),
+       coalesce(string_agg(display, ', ' ORDER BY {_REPORT_ORDER}) FILTER (WHERE tier = 'critical'), '') AS critical,
+       coalesce(string_agg(display, ', ' ORDER BY {_REPORT_ORDER}) FILTER (WHERE tier = 'recommended'), '') AS recommended
+FROM mk GROUP BY pool"""
+
+ORACLE["tailoring_gate"] = lambda: "WITH " + _LANG_SRC + keyword_ctes("src") + """,
+d AS (SELECT doc_id, lang, regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') AS hay FROM documents),
 h AS (SELECT d.doc_id, count(t.keyword) AS n,
              count(*) FILTER (WHERE (coalesce(t.keyword, '') <> '' AND contains(d.hay, lower(t.keyword)))
                                  OR (coalesce(t.display, '') <> '' AND contains(d.hay, lower(t.display)))) AS hits
-      FROM d LEFT JOIN t25 t ON true GROUP BY d.doc_id)
+      FROM d LEFT JOIN mk t ON t.pool = d.lang AND t.tier IN ('critical', 'recommended') GROUP BY d.doc_id)
 SELECT doc_id, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE """ + _rhu("hits / n", 4) + """ END AS coverage,
        CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE """ + _rhu("hits / n", 4) + """ END < 0.9::DOUBLE AS needs_tailoring
 FROM h"""
@@ -1011,7 +1087,33 @@ FROM e"""
 ORACLE["role_report"] = ORACLE["role_summary"].replace(
     "SELECT pool, count(*) AS n_ranked", "rs AS (SELECT pool, count(*) AS n_ranked", 1).replace(
     "FROM top GROUP BY pool", "FROM top GROUP BY pool)").replace("\nrs AS (SELECT pool", ",\nrs AS (SELECT pool", 1) + """
-SELECT lower(regexp_replace(regexp_replace(regexp_replace(r.r_name, '[^A-Za-z0-9]+', '_', 'g'), '^_+', ''), '_+$', '')) AS role_slug,
-       CAST(r.r_regionkey AS VARCHAR) AS pool, CAST(coalesce(rs.n_ranked, 0) AS BIGINT) AS n_ranked,
+SELECT coalesce(lower(regexp_replace(n.n_name, '[^A-Za-z0-9]+', '_', 'g')) || '_quality_assurance_level_' || CAST(n.n_regionkey AS VARCHAR),
+                'pool_' || rs.pool) AS role_slug,
+       coalesce(CAST(n.n_nationkey AS VARCHAR), rs.pool) AS pool, CAST(coalesce(rs.n_ranked, 0) AS BIGINT) AS n_ranked,
        rs.best_salary_lpa, rs.best_composite, CASE WHEN rs.n_ranked IS NULL THEN 'no postings' ELSE '' END AS error
-FROM region r LEFT JOIN rs ON rs.pool = CAST(r.r_regionkey AS VARCHAR)"""
+FROM nation n FULL OUTER JOIN rs ON rs.pool = CAST(n.n_nationkey AS VARCHAR)"""
+
+ORACLE["verdict_check"] = """
+WITH v AS (SELECT CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN 'offer' WHEN 2 THEN NULL ELSE 'viewed' END AS label FROM events)
+SELECT label, coalesce(label IN ('viewed', 'screening', 'interviewing', 'offer', 'rejected', 'irrelevant'), false) AS valid, count(*) AS n
+FROM v GROUP BY ALL"""
+
+ORACLE["application_rows"] = ORACLE["top_per_pool"][:ORACLE["top_per_pool"].index("\nSELECT * FROM (SELECT *, row_number()")] + """
+SELECT CAST(job_id AS VARCHAR) AS job_id, 'api' AS source, company, title, city AS location,
+       CAST(posted_days_ago AS DOUBLE) AS posted_days_ago, """ + _rhu("salary_mid_lpa", 2) + """ AS salary_mid_lpa, fit_score,
+       apply_link, 'queued' AS status, '2001-08-02 00:00:00' AS queued_at, 'artifacts/' || CAST(job_id AS VARCHAR) AS artifact_dir
+FROM final"""
+
+ORACLE["queue_drops"] = _UPSERT_CTE + "," + FILTER_CTE + """,
+q AS (SELECT *, substr(queued_at, 1, 10) AS queue_day, job_id IN (SELECT CAST(f.job_id AS VARCHAR) FROM fc f WHERE f.drop_reason IS NOT NULL) AS gone
+      FROM ups WHERE """ + _CUR + """ = 'queued'),
+cap AS (SELECT job_id FROM (SELECT job_id, row_number() OVER (PARTITION BY queue_day ORDER BY queued_at, job_id) AS rn FROM q
+                            WHERE NOT gone AND coalesce(artifact_dir, '') <> '') WHERE rn <= 2)
+SELECT CASE WHEN gone THEN 'dropped' WHEN coalesce(artifact_dir, '') = '' THEN 'skipped_no_artifacts'
+            WHEN job_id IN (SELECT job_id FROM cap) THEN 'kept' ELSE 'deferred' END AS action, count(*) AS n
+FROM q GROUP BY 1"""
+
+ORACLE["keywords_artifact"] = lambda: "WITH " + _LANG_SRC + keyword_ctes("src", classified=True) + """
+SELECT keyword, display, category, frequency, raw_count, tier FROM mk"""
+
+ORACLE["answers_artifact"] = "SELECT event_id, coalesce(props, '') AS why, event_type AS techniques, '' AS shift FROM events"

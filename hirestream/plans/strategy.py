@@ -28,9 +28,9 @@ def first_per_key(df: DataFrame, key_cols: Sequence[str], order: Sequence[Column
                   payload: Sequence[str]) -> DataFrame:
     """Keep, per key, the row that is smallest under ``order``.
 
-    Implemented as ``min(struct(order..., payload...))`` in a hash aggregate, which
-    combines map-side: a key holding a third of all rows costs one partial
-    aggregate per task instead of one task sorting the whole group.
+    ``min(struct(order..., payload...))``, combined before the shuffle: a key holding a
+    third of all rows sends one partial row per task instead of filling one task. With
+    string fields Spark plans a SortAggregate (each task sorts its own rows by key).
     """
     sort_fields = [o.alias(f"_o{i}") for i, o in enumerate(order)]
     best = F.min(F.struct(*sort_fields, *[F.col(c) for c in payload])).alias("_best")
@@ -38,26 +38,6 @@ def first_per_key(df: DataFrame, key_cols: Sequence[str], order: Sequence[Column
     return out.select(*key_cols, *[F.col("_best").getField(c).alias(c) for c in payload])
 
 
-def literal_table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A small dimension table from constants; safe to broadcast (size fixed)."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
-
-
 def null_last(c: Column) -> Column:
     """Sort helper: ``(is_null, value)`` as a struct field pair for ``min(struct)``."""
     return F.struct(c.isNull().alias("n"), c.alias("v"))
-
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a CPU-heavy input over at least ``min_partitions`` tasks (default: the
-    session's default parallelism).
-
-    Large inputs already arrive as many file splits, so this is a no-op at
-    scale; it only fires when a table is stored in fewer splits than there are
-    cores (a single small file or row group), where per-row text work would
-    otherwise run in one task. Counting partitions is a planning step, not a job.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)

@@ -24,28 +24,19 @@ LINK_BASE = "https://jobs.example.org/"
 # ------------------------------------------------------------------------------
 
 
-# Tables whose rows carry long text: per-row work on them is CPU-bound, so they
-# are spread when they arrive in fewer splits than there are cores. (Measured:
-# doing the same for the narrow fact tables costs more in shuffles than it gains.)
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if name in TEXT_TABLES:
-        from ..plans.strategy import ensure_parallelism
-        df = ensure_parallelism(df)
-    return df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def postings(spark: SparkSession, sf_dir: str, with_description: bool = False,
-             orders: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+             orders: DataFrame | None = None, keep: tuple[str, ...] = (), whole_days: bool = False) -> DataFrame:
     """Standard postings view (D1 columns): one posting per order.
 
     job_id=o_orderkey, employer=c_mktsegment, title=o_orderpriority, city=nation name,
     posted=o_orderdate, salary min=o_totalprice, max=o_totalprice+c_acctbal when the
     balance is positive, currency by o_orderkey % 5, period by o_orderstatus,
-    applicants=o_orderkey % 400, pool = lower(segment).
+    applicants=o_orderkey % 400, pool = lower(segment). ``whole_days`` dates postings by
+    the quarter, so that postings of equal age meet.
     """
     o = read(spark, sf_dir, "orders") if orders is None else orders
     c = read(spark, sf_dir, "customer")
@@ -64,7 +55,8 @@ def postings(spark: SparkSession, sf_dir: str, with_description: bool = False,
         F.col("n_name").alias("job_city"),
         F.lit(None).cast("string").alias("job_state"),
         (F.col("o_orderpriority") == "1-URGENT").alias("job_is_remote"),
-        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("job_posted_at_timestamp"),
+        F.unix_seconds((F.date_trunc("quarter", F.col("o_orderdate").cast("timestamp")) if whole_days
+                        else F.col("o_orderdate").cast("timestamp"))).alias("job_posted_at_timestamp"),
         F.col("o_totalprice").alias("job_min_salary"),
         F.when(F.col("c_acctbal") > 0, F.col("o_totalprice") + F.col("c_acctbal")).alias("job_max_salary"),
         cur.alias("job_salary_currency"),

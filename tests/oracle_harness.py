@@ -74,7 +74,7 @@ def main(argv):
     import __spark_entry__ as E
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     names = argv[1:] or list(E.queries())
-    spark = get_session("local[8]", shuffle_partitions=8)
+    spark = get_session(f"local[{os.environ.get('CPUS', '8')}]", shuffle_partitions=8)
     con = duck(sf_dir)
     qs, oracle = E.queries(), E.oracle_sql()
     bad = 0

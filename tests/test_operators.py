@@ -128,7 +128,7 @@ def test_blacklist_precedes_stale_and_recruiter_flag(spark):
 def test_dead_links(spark):
     p = spark.createDataFrame([("a", "u1"), ("b", ""), ("c", "u3"), ("d", "u4"), ("e", "u5")], "job_id string, job_apply_link string")
     ls = spark.createDataFrame([("u1", 200, None), ("u3", 405, 200), ("u4", 405, 500)], "url string, head_status int, get_status int")
-    got = {r.job_id: r.link_alive for r in filters.drop_dead_links(p, ls).collect()}
+    got = {r.job_id: r.link_alive for r in filters.link_health(p, ls).collect()}
     assert got == {"a": True, "b": True, "c": True, "d": False, "e": False}
 
 
@@ -160,7 +160,8 @@ def test_coverage_empty_tier_and_overall(spark):
     cov = {r.tier: r for r in ats.keyword_coverage(docs, kw).collect()}
     assert cov["critical"].coverage == 0.5 and cov["recommended"].coverage == 1.0
     assert cov["nice_to_have"].n_hits == 0 and cov["all"].coverage == round(1 / 3, 4)
-    ks = ats.keyword_score(ats.keyword_coverage(docs, kw)).first().keyword_score
+    marked = ats.with_coverage(ats.with_keywords(docs, kw), F.col("text"))
+    ks = marked.select(ats.keyword_score(F.col("coverage")).alias("s")).first().s
     assert math.isclose(ks, (0.6 * 0.5 + 0.1 * 0.0) / 0.7)
 
 
@@ -234,7 +235,7 @@ def test_set_status_validation_and_truncation(spark):
                                 ("1", "bogus", "2026-01-03 10:00:00", None, "", 3)],
                                "job_id string, status string, at string, response_summary string, notes string, seq long") \
         .withColumn("at", F.to_timestamp("at"))
-    out, rej = apps.set_status(snap, up)
+    out, rej = apps.set_status(snap, up, max_chars=400)
     r = out.first()
     assert (r.status, r.applied_at, r.last_response_at) == ("viewed", "2026-01-01 10:00:00", "2026-01-02 10:00:00")
     assert len(r.last_response_summary) == 400 and len(r.notes) == 400 and rej.count() == 1

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from hirestream.operators import embeddings, requests, resume
@@ -142,21 +143,74 @@ def test_stream_equals_batch(spark):
     assert isinstance(pd.__version__, str)
 
 
+def _message_folder(spark, files):
+    """Events cut into several files of one folder, as messages are landed."""
+    base = _tmp()
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    ev.repartition(files).write.parquet(f"{base}/events.parquet")
+    return base
+
+
+def test_watch_over_several_batches_and_a_replay(spark):
+    # Many micro-batches give what one batch gives; replaying them changes nothing
+    from hirestream.plans import catalog as C
+    from hirestream.sources import sinks
+    from hirestream.streaming import status_stream
+    sf = _message_folder(spark, 5)
+    want = sorted(tuple(r) for r in C.status_fold(spark, "/root/testdata/sf0.001").collect())
+    table = C._watched(spark, sf, max_files=1)
+    assert sinks.current_version(spark, table) == 6
+    read = lambda: sorted(tuple(r) for r in status_stream.statuses(sinks.load_snapshot(spark, table, status_stream.STATE_SCHEMA)).collect())
+    assert read() == want
+    msgs = status_stream.dedupe_messages(C._message_rows(status_stream.message_stream(spark, sf, C.EVENT_SCHEMA, table="events")),
+                                         id_col="msg_id", time_col="ts")
+    status_stream.start_watch(msgs, table, checkpoint=_tmp() + "/again").awaitTermination()  # a lost checkpoint replays batch 0
+    assert read() == want and sinks.current_version(spark, table) == 6
+
+
 def test_watch_processing_time_trigger(spark):
     # The long-running watcher processes what has landed, then is stopped by its owner
-    from hirestream.streaming import status_stream
     from hirestream.plans import catalog as C
-    sf = "/root/testdata/sf0.001"
+    from hirestream.sources import sinks
+    from hirestream.streaming import status_stream
+    sf, table = "/root/testdata/sf0.001", _tmp() + "/table"
     appl = C._event_applications(spark, sf)
-    base = _tmp()
-    q = status_stream.watch(spark, sf, C.EVENT_SCHEMA, appl.select(F.col("job_id").alias("user_id"), "status"),
-                            key_col="user_id",
-                            label_col="event_type", id_col="event_id", time_col="ts", lookback="7 days",
-                            checkpoint=os.path.join(base, "ckpt"), sink=os.path.join(base, "out"),
-                            interval="1 second", glob="events.parquet")
+    sinks.save_snapshot(spark, status_stream.initial_state(appl), table, 1)
+    msgs = status_stream.dedupe_messages(C._message_rows(status_stream.message_stream(spark, sf, C.EVENT_SCHEMA, table="events")),
+                                         id_col="msg_id", time_col="ts")
+    q = status_stream.start_watch(msgs, table, checkpoint=_tmp() + "/stream", interval="1 second")
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    out = spark.read.parquet(os.path.join(base, "out"))
-    assert out.count() == appl.count()
+    out = status_stream.statuses(sinks.load_snapshot(spark, table, status_stream.STATE_SCHEMA))
+    assert out.count() == appl.count() and out.agg(F.sum("n_messages")).first()[0] > 0
+
+
+def test_empty_stream_gives_an_empty_table(spark):
+    from hirestream.plans import catalog as C
+    from hirestream.streaming import status_stream
+    base = _tmp()
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(f"{base}/events.parquet")
+    s = status_stream.message_stream(spark, base, C.EVENT_SCHEMA, table="events").select("event_id")
+    assert status_stream.append_batches(s, _tmp() + "/out", checkpoint=_tmp() + "/stream").collect() == []
+
+
+def test_a_failing_read_is_not_an_empty_table(spark):
+    from hirestream.sources import sinks
+    base = _tmp()
+    assert sinks.load_snapshot(spark, base + "/none", "a long").collect() == []
+    spark.range(1).selectExpr("'x' as version").write.parquet(base + "/t/committed/1")
+    with pytest.raises(Exception):
+        sinks.load_snapshot(spark, base + "/t", "a long")
+
+
+def test_snapshots_grow_columns(spark):
+    # Columns that an older snapshot lacks are null, new ones are kept
+    from hirestream.sources import sinks
+    path = _tmp() + "/t"
+    sinks.save_snapshot(spark, spark.createDataFrame([("1", 5)], "job_id string, extra long"), path)
+    r = sinks.load_snapshot(spark, path, "job_id string, status string").first()
+    assert (r.job_id, r.status, r.extra) == ("1", None, 5)
+    assert sinks.save_snapshot(spark, spark.createDataFrame([("9", 9)], "job_id string, extra long"), path, version=1) == 1
+    assert sinks.load_snapshot(spark, path, "job_id string").first().job_id == "1"
