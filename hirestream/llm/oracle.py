@@ -41,4 +41,31 @@ SELECT conv_id, count(*) AS n_turns,
            + length(t) + len(regexp_extract_all(t, '{_CONTROLS}')))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id"""
 
-ORACLE: dict[str, str] = {"op4_chat": OP4, "op7_quality": OP7, "op9_exact_dedup": OP9}
+OP3 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+early AS (SELECT g, min(doc_id) AS first_id FROM win GROUP BY g),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN early ON win.g = early.g WHERE early.first_id < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hit)),
+cut AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(cut.n, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN cut.n IS NULL THEN array_to_string(w, ' ')
+                   ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(cut.ps, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM inter JOIN size s ON s.doc_id = x JOIN size t ON t.doc_id = y WHERE 100 * k >= 75 * (s.n + t.n - k)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.c AS component_id
+FROM d LEFT JOIN size s ON s.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id"""
+
+ORACLE: dict[str, str] = {"op3_substring_dedup": OP3, "op4_chat": OP4, "op6_jaccard_join": OP6, "op7_quality": OP7,
+                          "op9_exact_dedup": OP9}
