@@ -30,14 +30,18 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(c == "", None).otherwise(c)
 
 
+def fx_rate(currency: Column) -> Column:
+    """INR per unit of a currency; 1.0 if it is unknown."""
+    return F.coalesce(F.try_element_at(_fx_map(), F.upper(currency)), F.lit(1.0))
+
+
 def to_lpa(value: Column, currency: Column, period: Column) -> Column:
     """Annualise (exact ``monthly``/``hourly`` words only), convert, round to 2."""
-    fx = F.coalesce(F.try_element_at(_fx_map(), F.upper(currency)), F.lit(1.0))
     p = F.lower(period)
     annual = (F.when(p == "monthly", value * MONTHS_PER_YEAR)
               .when(p == "hourly", value * HOURS_PER_YEAR)
               .otherwise(value))
-    return F.round(annual * fx / RUPEES_PER_LAKH, 2)
+    return F.round(annual * fx_rate(currency) / RUPEES_PER_LAKH, 2)
 
 
 def midpoint(lo: Column, hi: Column) -> Column:

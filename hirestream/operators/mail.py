@@ -78,8 +78,10 @@ def match_companies(verdicts: DataFrame, known: DataFrame, *, verdict_col: str =
          .groupBy("company").agg(F.min("ord").alias("ord")))
     a = (v.select("verdict", F.explode(F.array_distinct(_substrings(F.col("verdict")))).alias("company"))
          .join(k, "company"))
+    # of all known names that hold a substring only the first can win: one row per substring
     b = (k.select("company", "ord", F.explode(F.array_distinct(_substrings(F.col("company")))).alias("verdict"))
-         .join(v, "verdict"))
+         .groupBy("verdict").agg(F.min(F.struct("ord", "company")).alias("f"))
+         .select("verdict", F.col("f.company").alias("company"), F.col("f.ord").alias("ord")).join(v, "verdict"))
     cands = a.select("verdict", "company", "ord").unionByName(b.select("verdict", "company", "ord"))
     best = cands.groupBy("verdict").agg(F.min(F.struct("ord", "company")).alias("m"))
     return best.select("verdict", F.col("m.company").alias("company"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.salary import floor_mid_lpa
 from ..functions.timefn import days_fractional, days_whole, recency_score
 from ..functions.vectors import fit_score
-from ..operators import filters, rank
+from ..operators import filters, rank, reports
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -896,12 +896,7 @@ def postings_roundtrip(spark, sf_dir):
 def salary_display(spark, sf_dir):
     """``₹lo-hiL`` / single value / dash, per posting."""
     p = rank.with_salary(T.postings(spark, sf_dir))
-    from ..functions.numeric import round_half_up
-    lo, hi = round_half_up(F.col("_sal.min_lpa"), 1), round_half_up(F.col("_sal.max_lpa"), 1)
-    txt = (F.when(lo.isNotNull() & hi.isNotNull() & (lo != hi), F.format_string("₹%.1f-%.1fL", lo, hi))
-           .when(F.coalesce(lo, hi).isNotNull(), F.format_string("₹%.1fL", F.coalesce(lo, hi)))
-           .otherwise(F.lit("—")))
-    return p.select("job_id", txt.alias("salary_text"))
+    return p.select("job_id", reports.salary_text(F.col("_sal.min_lpa"), F.col("_sal.max_lpa")).alias("salary_text"))
 
 
 # ---------------------------------------------------------- rows-only ops ----
@@ -1088,20 +1083,12 @@ def tailoring_check(spark, sf_dir):
 @query("top_jobs_table")
 def top_jobs_table(spark, sf_dir):
     """The 8 best postings per pool as a 7-column report table."""
-    from ..functions.numeric import round_half_up
     ranked = rank.rank_postings(T.embedded_postings(spark, sf_dir), T.candidates_per_label(spark, sf_dir), as_of=T.AS_OF)
-    top = rank.top_n_per_candidate(ranked, 8)
-    lo, hi = round_half_up(F.col("salary_min_lpa"), 1), round_half_up(F.col("salary_max_lpa"), 1)
-    sal = (F.when(lo.isNotNull() & hi.isNotNull() & (lo != hi), F.format_string("₹%.1f-%.1fL", lo, hi))
-           .when(F.coalesce(lo, hi).isNotNull(), F.format_string("₹%.1fL", F.coalesce(lo, hi))).otherwise(F.lit("—")))
-    return top.select("pool", "rank", "title", "company", "city", sal.alias("salary"),
-                      F.format_string("%.4f", F.col("composite_score")).alias("score"),
-                      F.when(F.col("remote"), "remote").otherwise("onsite").alias("mode"))
+    return reports.top_jobs_table(rank.top_n_per_candidate(ranked, 8))
 
 
 # ------------------------------------------------------------ more reports ----
 
-from ..functions.salary import FX_TO_INR  # noqa: E402
 from ..functions.timefn import millis_to_utc_text  # noqa: E402
 from ..sources import documents as docs_src  # noqa: E402
 from ..functions.numeric import round_half_up  # noqa: E402
@@ -1130,11 +1117,6 @@ def recent_messages(spark, sf_dir):
     return ev.filter(F.col("ts") >= since).select("event_id", "user_id", millis_to_utc_text(ms).alias("received_at"))
 
 
-def _fx(cur):
-    m = F.create_map(*[x for k, v in FX_TO_INR.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(m, F.upper(cur)), F.lit(1.0))
-
-
 @query("salary_overlay")
 def salary_overlay(spark, sf_dir):
     """Postings without structured pay (pending orders here) take landed
@@ -1144,34 +1126,18 @@ def salary_overlay(spark, sf_dir):
     pend = F.col("job_salary_period") == "hourly"
     p = (p.withColumn("job_min_salary", F.when(pend, None).otherwise(F.col("job_min_salary")))
           .withColumn("job_max_salary", F.when(pend, None).otherwise(F.col("job_max_salary"))))
-    s = rank.with_salary(p).select("job_id", "_sal")
     o = T.read(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 == 0)
     ext = o.select(F.col("o_orderkey").alias("job_id"),
                    round_half_up(F.col("o_totalprice") / 100000, 2).alias("x_min"), F.lit(None).cast("double").alias("x_max"),
                    F.when(F.col("o_orderkey") % 2 == 0, "INR").otherwise("USD").alias("x_cur"))
-    j = s.join(ext, "job_id", "left")
-    use = (F.col("_sal.source") == "missing") & F.col("x_min").isNotNull()
-    lo = F.when(use, F.round(F.col("x_min") * _fx(F.col("x_cur")), 2)).otherwise(F.col("_sal.min_lpa"))
-    hi = F.when(use, F.round(F.col("x_max") * _fx(F.col("x_cur")), 2)).otherwise(F.col("_sal.max_lpa"))
-    src = F.when(use, F.lit("llm")).otherwise(F.col("_sal.source"))
-    return j.select("job_id", lo.alias("salary_min_lpa"), hi.alias("salary_max_lpa"),
-                    F.coalesce((lo + hi) / 2, lo, hi).alias("salary_mid_lpa"), src.alias("salary_source"))
-
-
-def render_cell(c, dtype: str):
-    """P5: NULL -> '', list -> ', '-joined, bool -> TRUE/FALSE, else text."""
-    if dtype.startswith("array"):
-        return F.coalesce(F.array_join(c, ", "), F.lit(""))
-    if dtype == "boolean":
-        return F.when(c.isNull(), F.lit("")).when(c, F.lit("TRUE")).otherwise(F.lit("FALSE"))
-    return F.coalesce(c.cast("string"), F.lit(""))
+    return reports.salary_overlay(p, ext)
 
 
 @query("app_export")
 def app_export(spark, sf_dir):
     """P5: the applications table as sheet cells."""
     a = app_upsert(spark, sf_dir).withColumn("watched", F.col("status").isin("applied", "screening"))
-    return a.select(*[render_cell(F.col(n), t).alias(n) for n, t in a.dtypes])
+    return reports.as_cells(a)
 
 
 @query("tier_lists")
@@ -1200,20 +1166,21 @@ def tailoring_gate(spark, sf_dir):
 @query("best_role")
 def best_role(spark, sf_dir):
     """the role pool with the best baseline composite (ties: lowest pool id)."""
-    s = role_summary(spark, sf_dir)
-    return s.orderBy(F.col("best_composite").desc(), F.col("pool")).limit(1).select("pool", "best_composite")
+    return reports.best_role(role_summary(spark, sf_dir))
+
+
+DOCUMENTS_PER_FILE = 50  # a file is read as one value, so its size must be bounded
 
 
 @query("document_files")
 def document_files(spark, sf_dir):
-    """S6 + S5: documents written as text files partitioned by source, each file read
-    back whole; characters per source."""
+    """S6 + S5: documents written as text files of a few documents, partitioned by source,
+    each file read back whole; characters per source."""
     import uuid
     d = T.read(spark, sf_dir, "documents").select("source", "text")
     path = scratch_path(spark, f"artifacts/documents/{uuid.uuid4().hex[:12]}")
-    d.write.partitionBy("source").text(path)
+    d.write.partitionBy("source").option("maxRecordsPerFile", DOCUMENTS_PER_FILE).text(path)
     ok, _ = docs_src.read_documents(spark, path)
-    # each writer task leaves its own file per source; sum the files per source
     return (ok.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("source"),
                       F.length("text").alias("n"))
             .groupBy("source").agg(F.sum("n").cast("long").alias("n_chars")))
@@ -1244,12 +1211,9 @@ def cover_letter_lines(spark, sf_dir):
     body = F.concat(F.lit("I am applying for the "), F.coalesce(role.getField("title"), F.lit("open")),
                     F.lit(" role at "), F.coalesce(role.getField("company"), F.lit("your company")), F.lit(".\n\n"),
                     r.getField("summary"))
-    paras = F.filter(F.transform(F.split(body, "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
-    lines = F.concat(F.array(name, r.getField("contact").getField("email"), F.lit("02 August 2001"), F.lit(""),
-                             F.lit("Hiring Manager"), F.coalesce(role.getField("company"), F.lit("")), F.lit(""),
-                             F.lit("Dear Hiring Manager,")), paras, F.array(F.lit("Sincerely,"), first_name))
+    lines = reports.letter_lines(r, body, role.getField("company"), first_name, F.lit(AS_OF_TEXT).cast("timestamp"))
     return c.select("candidate_id", F.size(lines).cast("long").alias("n_lines"), first_name.alias("first_name"),
-                    F.get(lines, 8).alias("opening"))
+                    F.get(lines, 2).alias("dated"), F.array_join(lines, "\n").alias("letter"))
 
 
 # -------------------------------------------------------- screening answers ----
@@ -1297,7 +1261,4 @@ def role_report(spark, sf_dir):
     r = T.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("pool"),
                                                tx.slug(F.concat_ws(" ", F.col("n_name"), F.lit("& quality assurance, level"), F.col("n_regionkey")))
                                                .alias("role_slug"))
-    j = r.join(role_summary(spark, sf_dir), "pool", "full_outer")
-    return j.select(F.coalesce("role_slug", F.concat(F.lit("pool_"), F.col("pool"))).alias("role_slug"), "pool", F.coalesce("n_ranked", F.lit(0)).cast("long").alias("n_ranked"),
-                    "best_salary_lpa", "best_composite",
-                    F.when(F.col("n_ranked").isNull(), F.lit("no postings")).otherwise(F.lit("")).alias("error"))
+    return reports.attach_summaries(r, role_summary(spark, sf_dir))

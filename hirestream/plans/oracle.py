@@ -1067,10 +1067,12 @@ ORACLE["app_snapshot"] = ORACLE["status_update"]
 
 ORACLE["cover_letter_lines"] = "WITH " + _LI_RANKED + """,
 f AS (SELECT l_orderkey, p_name, s_name FROM li WHERE role_rank = 1)
-SELECT o.o_orderkey AS candidate_id, CAST(12 AS BIGINT) AS n_lines, c.c_mktsegment AS first_name,
-       'I am applying for the ' || coalesce(f.p_name, 'open') || ' role at ' || coalesce(f.s_name, 'your company') || '.'
-         AS opening
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN f ON f.l_orderkey = o.o_orderkey"""
+SELECT o.o_orderkey AS candidate_id, CAST(12 AS BIGINT) AS n_lines, c.c_mktsegment AS first_name, '02 August 2001' AS dated,
+       array_to_string([c.c_mktsegment || ' ' || n.n_name, 'cand' || CAST(o.o_orderkey AS VARCHAR) || '@example.org', '02 August 2001', '',
+         'Hiring Manager', coalesce(f.s_name, ''), '', 'Dear Hiring Manager,',
+         'I am applying for the ' || coalesce(f.p_name, 'open') || ' role at ' || coalesce(f.s_name, 'your company') || '.',
+         'Order ' || o.o_orderpriority || ' placed with status ' || o.o_orderstatus || '.', 'Sincerely,', c.c_mktsegment], chr(10)) AS letter
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN f ON f.l_orderkey = o.o_orderkey"""
 
 ORACLE["screening_answers"] = """
 WITH e AS (SELECT event_id, user_id, event_type, props, value, event_type <> 'error' AS ok FROM events)
