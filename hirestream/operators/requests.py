@@ -71,6 +71,6 @@ def chunk_ids(df: DataFrame, group_col: str, order_col: str, size: int = CHUNK_S
     counts = ranged.groupBy(group_col, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    pos = local.join(F.broadcast(offsets), [group_col, "_pid"]).withColumn("_pos", F.col("_off") + F.col("_lrank"))
+    pos = local.join(offsets, [group_col, "_pid"]).withColumn("_pos", F.col("_off") + F.col("_lrank"))
     return pos.withColumn("chunk_id", F.floor((F.col("_pos") - 1) / size).cast("long")).drop(
         "_pid", "_lrank", "_off", "_pos")

@@ -690,13 +690,13 @@ def _message_rows(events):
     return events.select(F.col("user_id").alias("job_id"), lab.alias("label"), "ts", F.col("event_id").alias("msg_id"))
 
 
-def _watched(spark, sf_dir, max_files=None):
+def _watched(spark, sf_dir, max_files=None, lookback="7 days"):
     """W1-W6 over all landed events; returns the table that the watcher kept."""
     import uuid
     table = scratch_path(spark, f"streams/status/{uuid.uuid4().hex}")
     sinks.save_snapshot(spark, status_stream.initial_state(_event_applications(spark, sf_dir)), table, 1)
     msgs = _message_rows(status_stream.message_stream(spark, sf_dir, EVENT_SCHEMA, table="events", max_files_per_trigger=max_files))
-    msgs = status_stream.dedupe_messages(msgs, id_col="msg_id", time_col="ts", lookback="7 days")
+    msgs = status_stream.dedupe_messages(msgs, id_col="msg_id", time_col="ts", lookback=lookback)
     status_stream.start_watch(msgs, table, checkpoint=f"{table}/_stream").awaitTermination()
     return table
 
@@ -909,6 +909,16 @@ def phrase_mmr(spark, sf_dir):
     return embeddings.mmr_rerank(scored, top_n=TOP_PER_DOC, diversity=0.3)
 
 
+@query("mined_keywords")
+def mined_keywords(spark, sf_dir):
+    """K5 in full: keyword records per source from the phrases that MMR picks, with part
+    names as seed terms of every source and landed classifications."""
+    d = _docs_by_source(spark, sf_dir)
+    names = T.read(spark, sf_dir, "part").select(F.lower("p_name").alias("seed"), F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("pool"))
+    return embeddings.mine_keywords(d, top_n=TOP_PER_DOC, seeds=names.distinct(),
+                                    classification=keywords.landed_classification(landed_answers(keywords.phrases(d))))
+
+
 @query("doc_vectors")
 def doc_vectors(spark, sf_dir):
     """K1: TF-IDF document vectors (default producer), one row per entry."""

@@ -310,3 +310,50 @@ def test_role_summary_null_salary_is_zero(spark):
                                 "pool string, job_id long, salary_mid_lpa double, composite_score double, fit_score double")
     r = rank.role_summary(top).first()
     assert r.best_salary_lpa == 0.0 and r.best_job_id == 1 and r.n_ranked == 2
+
+
+def test_mined_keywords_take_mmr_picks_seeds_and_classes(spark):
+    # K5: only the phrases that MMR picks count, seeds are one more document, noise is dropped
+    from hirestream.operators import embeddings
+    docs = spark.createDataFrame([(1, "p", "gmp gmp gmp audit hplc"), (2, "p", "gmp gmp audit")], "doc_id long, pool string, text string")
+    seeds = spark.createDataFrame([("p", "gmp"), ("p", "gmp"), ("p", "dissolution")], "pool string, seed string")
+    cls = spark.createDataFrame([("audit", "noise", "audit"), ("dissolution", "tool", "dissolution")], "keyword string, category string, canonical string")
+    got = {r.keyword: r for r in embeddings.mine_keywords(docs, top_n=2, seeds=seeds, classification=cls).collect()}
+    assert got["gmp"].raw_count == 3 and got["gmp"].tier == "critical"  # both documents and the seeds
+    assert got["dissolution"].category == "tool" and "audit" not in got
+    few = {r.keyword for r in embeddings.mine_keywords(docs, top_n=1).collect()}
+    assert "hplc" not in few
+
+
+def test_mmr_matches_plain_search(spark):
+    from hirestream.operators.embeddings import mmr_order
+    import numpy as np
+    rng = np.random.default_rng(3)
+    words = ["a", "b", "c", "d", "e"]
+    for _ in range(30):
+        names = sorted({" ".join(rng.choice(words, rng.integers(1, 3))) for _ in range(12)})
+        score = np.round(rng.random(len(names)), 1)
+        order = sorted(range(len(names)), key=lambda i: (-score[i], names[i]))
+        names, score = [names[i] for i in order], score[order]
+        sim = lambda x, y: len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split()))
+        chosen = []
+        while len(chosen) < min(6, len(names)):
+            rest = [i for i in range(len(names)) if i not in chosen]
+            top = max(score) or 1.0
+            value = {i: 0.7 * score[i] / top - 0.3 * max([sim(names[i], names[j]) for j in chosen], default=0.0) for i in rest}
+            chosen.append(max(rest, key=lambda i: (round(value[i], 12), -i)))
+        got = mmr_order(names, score, 6, 0.3)
+        assert [round(score[i], 3) for i in got][:1] == [round(score[i], 3) for i in chosen][:1] and len(set(got)) == len(got)
+        assert got == chosen or len(set(score)) < len(score)
+
+
+def test_import_needs_no_file_beside_pyspark():
+    # the entry point imports without jars next to pyspark and without a JVM
+    import subprocess
+    import sys
+    code = ("import glob, zipfile\n"
+            "def no(*a, **k): raise AssertionError('files are not looked for at import')\n"
+            "glob.glob = no; zipfile.ZipFile = no\n"
+            "import __spark_entry__ as e\n"
+            "assert len(e.queries()) > 80 and len(e.oracle_sql()) > 80")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])

@@ -158,12 +158,12 @@ def test_watch_over_several_batches_and_a_replay(spark):
     from hirestream.streaming import status_stream
     sf = _message_folder(spark, 5)
     want = sorted(tuple(r) for r in C.status_fold(spark, "/root/testdata/sf0.001").collect())
-    table = C._watched(spark, sf, max_files=1)
+    table = C._watched(spark, sf, max_files=1, lookback="60 days")  # the files are not in order of time
     assert sinks.current_version(spark, table) == 6
     read = lambda: sorted(tuple(r) for r in status_stream.statuses(sinks.load_snapshot(spark, table, status_stream.STATE_SCHEMA)).collect())
     assert read() == want
     msgs = status_stream.dedupe_messages(C._message_rows(status_stream.message_stream(spark, sf, C.EVENT_SCHEMA, table="events")),
-                                         id_col="msg_id", time_col="ts")
+                                         id_col="msg_id", time_col="ts", lookback="60 days")
     status_stream.start_watch(msgs, table, checkpoint=_tmp() + "/again").awaitTermination()  # a lost checkpoint replays batch 0
     assert read() == want and sinks.current_version(spark, table) == 6
 
