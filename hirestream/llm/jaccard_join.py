@@ -50,7 +50,7 @@ from .components import components
 from .shingles import LANES, Block, mix
 
 SHINGLE = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 _LAST = (1 << 63) - 1
 _SINGLE = 64  # families from here on hold single shingles of a band
 

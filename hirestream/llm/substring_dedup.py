@@ -39,7 +39,8 @@ WINDOW = 50
 ANCHOR = 8
 DEPTH = 2
 WIDTH_BITS = 40
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -58,7 +59,7 @@ def _send_anchors(window: int, anchor: int):
     schema = pa.schema([("block", pa.int32()), ("anchors", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in chunks(batches, BLOCK_BYTES):
+        for rows in chunks(batches, CHUNK_BYTES):
             home = np.array([r[0] for r in rows], np.int64)
             b = Block([r[1] for r in rows])
             _, doc, h = _anchors(b, window, anchor)
