@@ -469,10 +469,9 @@ def _documents_with_keywords(spark, sf_dir):
 
 @query("doc_overall")
 def doc_overall(spark, sf_dir):
-    r = F.col("report")
     return ats.score_documents(_documents_with_keywords(spark, sf_dir)).select(
-        "doc_id", F.round(r.getField("keyword_score"), 6).alias("keyword_score"),
-        F.round(r.getField("format_score"), 6).alias("format_score"), r.getField("overall").alias("overall"))
+        "doc_id", F.round("report_keyword_score", 6).alias("keyword_score"),
+        F.round("report_format_score", 6).alias("format_score"), F.col("report_overall").alias("overall"))
 
 
 @query("before_after")
@@ -480,8 +479,8 @@ def before_after(spark, sf_dir):
     """Each document before and after appending its missed keywords as a
     ``Skills:`` line."""
     d = ats.score_documents(_documents_with_keywords(spark, sf_dir), name="before")
-    missed = F.element_at(F.col("before").getField("coverage"), -1).getField("misses")
-    d = d.withColumn("after_text", F.concat(F.col("text"), F.lit("\nSkills: "), F.array_join(F.array_sort(missed), ", ")))
+    missed = F.get(ats.tier_values("before_coverage", "misses"), len(ats.TIERS) - 1)
+    d = ats.once(d, "after_text", F.concat(F.col("text"), F.lit("\nSkills: "), F.array_join(F.array_sort(missed), ", ")))
     return ats.before_after(ats.score_documents(d, F.col("after_text"), "after"))
 
 

@@ -501,11 +501,12 @@ FROM sc WHERE n = 1"""
 
 
 def _coverage_ctes(text_expr: str = "text") -> str:
-    return ("\ncd AS (SELECT doc_id, source, lang, " + text_expr + " AS text FROM documents),"
+    return ("\ncd AS MATERIALIZED (SELECT doc_id, source, lang, regexp_replace(lower(coalesce(" + text_expr
+            + ", '')), '\\s+', ' ', 'g') AS hay FROM documents),"
             """
 cm AS (SELECT cd.doc_id, k.tier, k.display,
-              (coalesce(k.keyword, '') <> '' AND contains(regexp_replace(lower(coalesce(cd.text, '')), '\\s+', ' ', 'g'), lower(k.keyword)))
-              OR (coalesce(k.display, '') <> '' AND contains(regexp_replace(lower(coalesce(cd.text, '')), '\\s+', ' ', 'g'), lower(k.display)))
+              (coalesce(k.keyword, '') <> '' AND contains(cd.hay, lower(k.keyword)))
+              OR (coalesce(k.display, '') <> '' AND contains(cd.hay, lower(k.display)))
                 AS hit
        FROM cd JOIN mk k ON k.pool = cd.lang),
 tiers AS (SELECT unnest(['critical', 'recommended', 'nice_to_have', 'all']) AS tier),
