@@ -31,38 +31,44 @@ def hash128(c: Column) -> Column:
     return F.unhex(F.md5(c.cast("binary")))
 
 
+def _keyed(rows: DataFrame, h: str, norm: str, collided: DataFrame | None) -> DataFrame:
+    """``rows`` with the key of their group in ``h``: the content hash, followed by the text
+    itself where different texts share the hash."""
+    if collided is None:
+        return rows
+    hit = free_name(rows.columns, "collided")
+    found = rows.join(collided.select(F.col("h").alias(hit)), F.col(h) == F.col(hit), "left")
+    return found.withColumn(h, F.concat(F.col(h), F.when(F.col(hit).isNotNull(), F.col(norm).cast("binary")).otherwise(F.lit(b"")))).drop(hit)
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str,
-            content_hash: Callable[[Column], Column] = hash128) -> tuple[DataFrame, DataFrame]:
-    """``(members, groups)``: one row per (hash, id) with its number of rows, and one
-    per group of equal texts (hash, digest, smallest id, size), checkpointed."""
+            content_hash: Callable[[Column], Column] = hash128) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``(members, groups, collided)``: one row per (key, id) with its number of rows, one
+    per group of equal texts (key, digest, smallest id, size), checkpointed, and the
+    hashes that different texts share, if there are any."""
     ensure_checkpoint_dir(docs.sparkSession)
     keyed = (docs.select(F.col(id_col).cast("long").alias("doc_id"), normalise(F.col(text_col)).alias("norm"))
                  .withColumn("h", content_hash(F.col("norm"))))
-    groups = (keyed.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-                   .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-                   .checkpoint())
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+                    .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
+                    .checkpoint())
+
+    groups = grouped(keyed)
     collided = groups.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     if collided.isEmpty():
-        members = keyed.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "h", "n")
-        return members, groups
-    # Different texts share a hash: rows of those hashes, and only those, are told
-    # apart by their texts; a digest that separates them joins the hash as the key.
-    tag = F.when(F.col("c.h").isNotNull(), F.col("k.norm").cast("binary")).otherwise(F.lit(b""))
-    members = (keyed.alias("k").join(collided.alias("c"), F.col("k.h") == F.col("c.h"), "left")
-                    .select("k.doc_id", F.concat(F.col("k.h"), tag).alias("h"))
-                    .groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "h", "n"))
-    regrouped = (keyed.alias("k").join(collided.alias("c"), F.col("k.h") == F.col("c.h"), "left")
-                      .select("k.doc_id", F.concat(F.col("k.h"), tag).alias("h"), "k.norm")
-                      .groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-                      .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-                      .checkpoint())
-    return members, regrouped
+        collided = None
+    else:  # rows of those hashes, and only those, are told apart by their texts
+        keyed = _keyed(keyed, "h", "norm", collided)
+        groups = grouped(keyed)
+    return keyed.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "h", "n"), groups, collided
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 content_hash: Callable[[Column], Column] = hash128) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    members, groups = classes(docs, id_col, text_col, content_hash)
+    members, groups, _ = classes(docs, id_col, text_col, content_hash)
     joined = members.join(groups, "h")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
     return (joined.select("doc_id", "keep_id", "group_size", "text_sha256", copy.alias("copy"))
@@ -71,12 +77,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           "text_sha256"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               content_hash: Callable[[Column], Column] = hash128) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    members, groups = classes(docs, id_col, text_col)
-    h, i = free_name(docs.columns, "content_hash"), free_name(docs.columns, "kept_id")
+    members, groups, collided = classes(docs, id_col, text_col, content_hash)
+    h, i, norm = (free_name(docs.columns, x) for x in ("content_hash", "kept_id", "norm"))
     stay = (members.join(groups, "h").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
                    .select(F.col("h").alias(h), F.col("doc_id").alias(i)))
-    hashed = docs.withColumn(h, hash128(normalise(F.col(text_col))))
+    hashed = docs.withColumn(norm, normalise(F.col(text_col))).withColumn(h, content_hash(F.col(norm)))
+    hashed = _keyed(hashed, h, norm, collided).drop(norm)
     same = (hashed[h] == stay[h]) & hashed[id_col].cast("long").eqNullSafe(stay[i])
     return hashed.join(stay, same, "left_semi").dropDuplicates([id_col, h]).select(*docs.columns)

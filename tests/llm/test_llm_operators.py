@@ -89,6 +89,14 @@ def test_exact_dedup_keeps_one_whole_row_per_group(odd, none):
     assert exact_dedup.exact_dedup(none).collect() == [] and exact_dedup.keep_first(none).collect() == []
 
 
+def test_kept_rows_of_colliding_hashes(odd):
+    want = sorted(((k, s) for _, k, _, stays, s in expected_groups(odd_rows()) if stays), key=str)
+    weak = lambda c: F.unhex(F.md5((F.length(c) % 3).cast("string").cast("binary")))
+    kept = exact_dedup.keep_first(odd, content_hash=weak)
+    assert kept.columns == odd.columns
+    assert sorted(((r.doc_id, hashlib.sha256(norm(r.text)).hexdigest()) for r in kept.collect()), key=str) == want
+
+
 # ---------------------------------------------------------------- sharding
 @pytest.mark.parametrize("ranges", [1, 5])
 def test_shards_are_contiguous_balanced_and_gapless(odd, ranges):
