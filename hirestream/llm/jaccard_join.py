@@ -22,8 +22,8 @@ both follow from a link. Texts that merely share a passage end here.
 which connects nearly all that links. What may still link different components is found by
 a positional prefix: a set's shingles are put in one order, rarest first, and two similar
 sets share a shingle early enough in both that the rest can still reach the overlap they
-need. Only members of different components that pass this are compared, so no pair inside a
-component is needed and no pair of different components is left out.
+need. Holders of a shingle meet only across components (see ``crossing``), so no pair inside
+a component is built and no pair of different components is left out.
 
 Equal sets are one node from the start: copies are collapsed within a block and never
 expanded. Nodes are 64 bits of a set's digest; two sets with the same bits stop the job.
@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -313,6 +313,28 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(new, "label", "left").select("node", F.coalesce("better", "label").alias("label")), instead_of=labels)
 
 
+def crossing(labelled: DataFrame) -> DataFrame:
+    """Pairs of rows of ``labelled`` (``node, size, element, place, label``) that share an
+    element and have different labels, each once; the second row's columns end in ``_y``.
+
+    The labels of an element are numbered. Two numbers differ in a highest bit: there, and
+    only there, rows without the bit meet rows with it that are equal in the bits above. Rows
+    of one label never meet."""
+    split = labelled.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("element")
+    x = labelled.join(split, "element", "left_semi")
+    labels = x.select("element", "label").distinct()
+    count = labels.groupBy("element").agg(F.count(F.lit(1)).alias("labels"))
+    rank = F.row_number().over(Window.partitionBy("element").orderBy("label")) - 1
+    ranks = (labels.withColumn("rank", rank).join(count, "element")
+                   .withColumn("level", F.expr("explode(sequence(0, length(bin(labels - 1)) - 1))"))
+                   .select("element", "label", "level", F.expr("shiftright(rank, level + 1)").alias("above"),
+                           F.expr("shiftright(rank, level) & 1").alias("side")))
+    sides = x.join(ranks, ["element", "label"])
+    columns, meet = ("node", "size", "place", "label"), ["element", "level", "above"]
+    y = sides.filter("side = 1").select(*meet, *[F.col(c).alias(f"{c}_y") for c in columns])
+    return sides.filter("side = 0").select(*meet, *columns).join(y, meet).drop("level", "above")
+
+
 def link_nodes(groups: DataFrame, prefixes: DataFrame, sets: DataFrame) -> DataFrame:
     """``node, label`` of nodes that may link. ``groups``: signature groups (``sig, node,
     score, size, support``); ``prefixes``: ``node, size, element, place``."""
@@ -324,11 +346,9 @@ def link_nodes(groups: DataFrame, prefixes: DataFrame, sets: DataFrame) -> DataF
     labels = _merged(labels, _verified(star, sets))
 
     labelled = written(prefixes.join(labels, "node"))
-    split = labelled.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("element")
-    x = labelled.join(split, "element", "left_semi")
-    y = x.select("element", *[F.col(c).alias(f"{c}_y") for c in ("node", "size", "place", "label")])
-    fits = F.expr("label <> label_y and node < node_y and 7 * least(size - place, size_y - place_y) >= 3 * (size + size_y)")
-    pairs = x.join(y, "element").filter(fits).select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct()
+    fits = F.expr("7 * least(size - place, size_y - place_y) >= 3 * (size + size_y)")
+    pairs = (crossing(labelled).filter(fits)
+             .select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct())
     return _merged(labels, _verified(pairs, sets))
 
 

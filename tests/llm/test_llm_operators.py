@@ -413,6 +413,14 @@ def test_jaccard_components_match_brute_force(spark, seed):
     assert sorted(map(tuple, got), key=str) == brute_components(rows)
 
 
+def test_holders_of_a_shingle_meet_across_labels_only(spark):
+    rng = random.Random(4)
+    rows = [(n, 9, e, 0, n % k) for e, k in ((1, 1), (2, 2), (3, 3), (4, 7), (5, 8), (6, 40)) for n in range(40) if rng.random() < 0.8]
+    made = jaccard_join.crossing(spark.createDataFrame(rows, "node long, size long, element long, place long, label long")).collect()
+    got = sorted((r.element, min(r.node, r.node_y), max(r.node, r.node_y)) for r in made)
+    assert got == sorted((x[2], x[0], y[0]) for x in rows for y in rows if x[2] == y[2] and x[0] < y[0] and x[4] != y[4])
+
+
 def test_representatives_stay(spark, odd, none):
     kept = jaccard_join.keep_representatives(odd)
     assert kept.columns == odd.columns
