@@ -294,6 +294,12 @@ def _similar(percent: int):
 
 
 # ------------------------------------------------------------------ the join
+def _texts_of_nodes(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, text`` of the documents that ``asked`` (``node, rep, rep_key``) names, copies once."""
+    own = (F.col("rep") == F.col("key")) & (F.col("rep_key") == F.col("row_key"))
+    return asked.join(texts, own).select("rep", "rep_key", "node", "text").distinct().select("node", "text")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the node pairs ``a, b`` whose sets are similar."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
@@ -360,21 +366,20 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     buckets = n_buckets(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     texts = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    slim = written(texts.withColumn("row_key", F.xxhash64("text"))
-                        .mapInArrow(_slim, "doc_id long, row_key long, n_shingles long, node long, digest binary"))
+    keyed = texts.withColumn("row_key", F.xxhash64("text"))
+    slim = written(keyed.mapInArrow(_slim, "doc_id long, row_key long, n_shingles long, node long, digest binary"))
     nodes = (slim.filter("n_shingles > 0").groupBy("node")
-                 .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.min("digest").alias("d0"), F.max("digest").alias("d1")))
+                 .agg(F.min(F.struct("doc_id", "row_key")).alias("rep"), F.min("n_shingles").alias("size"), F.min("digest").alias("d0"), F.max("digest").alias("d1")))
     if not nodes.filter("d0 <> d1").isEmpty():
         raise ValueError("two different shingle sets have the same 64-bit node number")
-    nodes = nodes.select("node", "rep", "size")
+    nodes = nodes.select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.row_key").alias("rep_key"), "size")
 
     shared = written(texts.mapInArrow(_send_signatures(buckets), _PACKED).groupBy("bucket")
                           .applyInArrow(_shared, "sig long, node long, family int, need int"))
     scores = written(shared.groupBy("node", "family").agg(F.count(F.lit(1)).alias("score"), F.max("need").alias("need"))
                            .filter("score >= need").select("node", "family", "score"))
     asked = scores.select("node").distinct().join(nodes, "node")
-    sets = written(asked.select("node", "rep").join(texts, F.col("rep") == F.col("key")).select("node", "text")
-                        .mapInArrow(_sets_of_nodes, "node long, elements binary"))
+    sets = written(_texts_of_nodes(asked.select("node", "rep", "rep_key"), keyed).mapInArrow(_sets_of_nodes, "node long, elements binary"))
     rare = written(sets.mapInArrow(_send_sets(buckets), _PACKED).groupBy("bucket").applyInArrow(_support(buckets), _HOMES)
                        .groupBy("home").applyInArrow(_rare, "node long, size long, support long, first_place long, elements array<long>"))
     groups = written(shared.join(scores.join(rare.select("node", "size", "support"), "node"), ["node", "family"])

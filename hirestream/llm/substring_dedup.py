@@ -212,6 +212,14 @@ def _remove(window: int):
     return run
 
 
+def dealt(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
+    """``doc_id, key, text, block``: a block is a function of id and text, so that rows of
+    one id (such as null) do not all meet in one task."""
+    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), text.alias("text"),
+                       F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("block"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                    anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` per row: the text without repeated words,
@@ -220,9 +228,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ensure_checkpoint_dir(spark)
     size = docs.agg(F.sum(F.octet_length(text_or_empty(F.col(text_col))) + 64)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).cast("string").alias("text"),
-                       F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    slim = dealt(docs, id_col, text_col, blocks)
     flagged = estimated_repeats(slim, window, min(anchor, window))
     sent = (slim.groupBy("block").cogroup(flagged.groupBy("block"))
                 .applyInArrow(_send_windows(window, min(anchor, window), n_buckets(spark)),

@@ -354,6 +354,15 @@ def test_substring_dedup_matches_brute_force(spark, window, anchor, vocabulary):
     assert sorted(map(tuple, got.collect()), key=str) == brute_removed(rows, window)
 
 
+def test_rows_without_an_id_are_dealt_over_blocks(spark):
+    passage = prose(77, 12)
+    rows = [(None, prose(i, 20) + " " + passage, "s") for i in range(60)] + [(5, passage, "s")]
+    docs = frame(spark, rows).repartition(3)
+    assert substring_dedup.dealt(docs, "doc_id", "text", 8).filter("doc_id is null").select("block").distinct().count() == 8
+    got = substring_dedup.remove_repeats(docs, window=9, block_bytes=1000)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_removed(rows, 9)
+
+
 def test_substring_dedup_of_nothing(none):
     assert substring_dedup.remove_repeats(none).collect() == []
 
@@ -421,6 +430,17 @@ def test_holders_of_a_shingle_meet_across_labels_only(spark):
     assert got == sorted((x[2], x[0], y[0]) for x in rows for y in rows if x[2] == y[2] and x[0] < y[0] and x[4] != y[4])
 
 
+def test_nodes_without_an_id_read_their_own_text_once(spark):
+    last = (1 << 63) - 1
+    texts = spark.createDataFrame([(last, f"text {i % 30}") for i in range(90)], "key long, text string").withColumn("row_key", F.xxhash64("text"))
+    asked = texts.distinct().select(F.col("row_key").alias("node"), F.col("key").alias("rep"), F.col("row_key").alias("rep_key"))
+    got = jaccard_join._texts_of_nodes(asked, texts)
+    assert got.count() == 30 and got.filter(F.col("node") != F.xxhash64("text")).isEmpty()
+    rows = [(None, t, s) for _, t, s in near_rows(3, 60)] + [(None, t, s) for _, t, s in near_rows(3, 60)]
+    found = jaccard_join.jaccard_components(frame(spark, rows).repartition(3)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(rows)
+
+
 def test_representatives_stay(spark, odd, none):
     kept = jaccard_join.keep_representatives(odd)
     assert kept.columns == odd.columns
