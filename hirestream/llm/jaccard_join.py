@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import chunks, free_name, n_buckets, pack, small_batches, unpack, written
+from .common import chunks, free_name, n_buckets, n_words, pack, small_batches, unpack, written
 from .components import components
 from .shingles import LANES, Block, mix
 
@@ -415,5 +415,6 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), k: F.xxhash64(F.col(text_col).cast("string"))})
     stay = keyed.join(gone, (keyed[i] == gone[gone_i]) & (keyed[k] == gone[gone_k]), "left_anti")
     if not found.filter("label is not null").groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
-        stay = stay.dropDuplicates([i, k])  # rows that repeat an id and a text
+        worded = n_words(F.col(text_col)) > 0
+        stay = stay.filter(worded).dropDuplicates([i, k]).union(stay.filter(~worded))  # rows that repeat an id and a text
     return stay.select(*docs.columns)

@@ -441,6 +441,14 @@ def test_nodes_without_an_id_read_their_own_text_once(spark):
     assert sorted(map(tuple, found), key=str) == brute_components(rows)
 
 
+def test_rows_without_words_stay_whatever_else_repeats(spark):
+    empty = [(None, None, "s"), (None, None, "s"), (4, " ", "s"), (4, " ", "s")]
+    for rows in (empty, empty + [(9, "one two three", "s")] * 2):
+        kept = jaccard_join.keep_representatives(frame(spark, rows)).collect()
+        want = [r[:2] for r in empty] + list({r[:2] for r in rows[4:]})
+        assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+
+
 def test_representatives_stay(spark, odd, none):
     kept = jaccard_join.keep_representatives(odd)
     assert kept.columns == odd.columns
