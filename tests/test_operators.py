@@ -312,6 +312,22 @@ def test_role_summary_null_salary_is_zero(spark):
     assert r.best_salary_lpa == 0.0 and r.best_job_id == 1 and r.n_ranked == 2
 
 
+def test_tailoring_changes_name_what_was_added_or_lost(spark):
+    # Q7: a changed figure, a lost proper noun, an added degree and an added certificate
+    from hirestream.operators import resume
+    from hirestream.schemas import RESUME_DDL
+    def cv(bullet, degrees, certs):
+        job = {"title": "Analyst", "company": "Acme", "start_date": "2019", "end_date": "2021", "bullets": [bullet]}
+        return {"summary": "Analyst", "experience": [job], "skills": ["hplc"], "education": [{"degree": d} for d in degrees],
+                "certifications": [{"name": c} for c in certs]}
+    rows = [(1, cv("Cut losses by 40% at Pfizer", ["BSc"], []), cv("Cut losses by 45% at a client", ["BSc", "PhD"], ["Six Sigma"])),
+            (2, cv("Cut 12.5 kg", ["BSc"], ["GMP"]), cv("Cut 12.5 kg", ["BSc"], ["GMP"]))]
+    df = spark.createDataFrame(rows, f"id int, a struct<{RESUME_DDL}>, b struct<{RESUME_DDL}>".replace("struct<contact struct", "struct<contact: struct"))
+    one, two = (r.c for r in df.orderBy("id").select(resume.tailoring_changes(F.col("a"), F.col("b")).alias("c")).collect())
+    assert (one.numbers_lost, one.names_lost, one.education_added, one.certs_added) == (["40%"], ["Pfizer"], ["PhD"], ["Six Sigma"])
+    assert not any(two)
+
+
 def test_mined_keywords_take_mmr_picks_seeds_and_classes(spark):
     # K5: only the phrases that MMR picks count, seeds are one more document, noise is dropped
     from hirestream.operators import embeddings
