@@ -312,6 +312,18 @@ def test_role_summary_null_salary_is_zero(spark):
     assert r.best_salary_lpa == 0.0 and r.best_job_id == 1 and r.n_ranked == 2
 
 
+def test_role_summary_counts_keywords_gaps_and_reports(spark):
+    # #critical, #must_add and before/after/delta, for a pool that has none too
+    top = spark.createDataFrame([("p", 1, 9.0, 0.5, 0.7), ("q", 2, 8.0, 0.4, 0.6)],
+                                "pool string, job_id long, salary_mid_lpa double, composite_score double, fit_score double")
+    keywords = spark.createDataFrame([("p", "critical"), ("p", "critical"), ("p", "optional")], "pool string, tier string")
+    gaps = spark.createDataFrame([("p", 2), ("p", 5)], "pool string, n_must_add int")
+    reports = spark.createDataFrame([("p", 40.0, 60.0), ("p", 50.0, 75.5)], "pool string, before_pct double, after_pct double")
+    p, q = rank.role_summary(top, keywords=keywords, gaps=gaps, reports=reports).orderBy("pool").collect()
+    assert (p.n_critical, p.mean_must_add, p.before_pct, p.after_pct, p.delta) == (2, 3.5, 45.0, 67.8, 22.8)
+    assert (q.n_critical, q.mean_must_add, q.before_pct, q.after_pct, q.delta) == (None,) * 5
+
+
 def test_tailoring_changes_name_what_was_added_or_lost(spark):
     # Q7: a changed figure, a lost proper noun, an added degree and an added certificate
     from hirestream.operators import resume
