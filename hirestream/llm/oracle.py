@@ -67,5 +67,45 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y F
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.c AS component_id
 FROM d LEFT JOIN size s ON s.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id"""
 
+_CRC = ("xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)), "
+        "lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), "
+        "lambda b, y: xor(b >> 1, 3988292384 * (b & 1)))), 4294967295)")
+OP11 = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k,
+                  md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+                  len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS w FROM conversations),
+s AS (SELECT conv_id, list(id ORDER BY k) AS ids, list(w ORDER BY k) AS ws, {_CRC} % 4 AS h FROM t GROUP BY conv_id),
+r AS (SELECT s.conv_id, coalesce(b.ids[1:s.h], []) || s.ids[s.h + 1:] AS ids, coalesce(b.ws[1:s.h], []) || s.ws[s.h + 1:] AS ws
+      FROM s LEFT JOIN s b ON b.conv_id = s.conv_id - s.conv_id % 20),
+p AS (SELECT conv_id, d, len(ids) AS n, array_to_string(ids[1:d], '') AS node, array_to_string(ids[1:d - 1], '') AS up,
+             CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w
+      FROM (SELECT conv_id, ids, ws, unnest(range(0, len(ids) + 1)) AS d FROM r)),
+node AS (SELECT node, d, any_value(up) AS up, min(conv_id) AS c, count(*) AS n, any_value(w) AS w,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = p.n), '')) AS ends
+         FROM p GROUP BY node, d),
+kids AS (SELECT up AS node, count(*) AS n FROM node WHERE d > 0 GROUP BY up),
+below AS (SELECT p.node, sum((u.n - 1) * u.w)::BIGINT AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+          FROM node u LEFT JOIN kids ON kids.node = u.node JOIN p ON p.conv_id = u.c AND p.d <= u.d GROUP BY p.node)
+SELECT node.c AS conv_id, node.d::BIGINT AS depth, CASE WHEN node.d > 0 THEN parent.c END AS parent_conv_id, node.n AS n_convs,
+       coalesce(kids.n, 0)::BIGINT AS n_children, below.leaves AS n_leaves, below.saved AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN below ON below.node = node.node LEFT JOIN kids ON kids.node = node.node LEFT JOIN node parent ON parent.node = node.up"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = f"""
+WITH d AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '{TERM}') AS w FROM documents) WHERE len(w) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{TERM}')) AS term FROM benchmark),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d)
+       WHERE term IN (SELECT term FROM item) GROUP BY doc_id, n, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+part AS (SELECT doc_id, tf.term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT
+                * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS s
+         FROM tf JOIN df ON df.term = tf.term, total),
+score AS (SELECT item_id, doc_id, sum(s)::BIGINT AS score FROM part JOIN item ON item.term = part.term GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM score WHERE score > 0)
+WHERE rank <= 50"""
+
 ORACLE: dict[str, str] = {"op3_substring_dedup": OP3, "op4_chat": OP4, "op6_jaccard_join": OP6, "op7_quality": OP7,
-                          "op9_exact_dedup": OP9}
+                          "op9_exact_dedup": OP9, "op11_prefix_trie": OP11,
+                          "op13_lexical_search": OP13}

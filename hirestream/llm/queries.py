@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, exact_dedup, jaccard_join, mixing, packing, quality, sharding, substring_dedup, toxicity
+from . import (bpe, chat, exact_dedup, jaccard_join, lexical_search, mixing, packing, prefix_trie, quality, sharding,
+               substring_dedup, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,16 @@ def op10_mixing(spark, sf_dir):
     """All documents mixed to source weights 5, 2, 1."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    """Prefix trie of all conversations, with openings shared in families of twenty."""
+    seqs = prefix_trie.share_openings(prefix_trie.sequences(table(spark, sf_dir, "conversations")))
+    return prefix_trie.build_trie(seqs).drop("turn_id")
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    """The fifty best of all documents for every benchmark item."""
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
