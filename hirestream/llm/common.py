@@ -6,9 +6,12 @@ characters, so JVM expressions and Arrow tasks agree on it.
 """
 from __future__ import annotations
 
+import ctypes
+import inspect
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +96,41 @@ def chunks(batches: Iterator, limit: int, text_at: int = 1) -> Iterator[list[tup
         yield rows
 
 
+def give_back() -> None:
+    """Memory that is free in this process goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which keeps what it has
+
+
+def trimmed(run: Callable) -> Callable:
+    """The task function ``run``, after which its Python worker keeps no free memory. Spark
+    keeps workers for later tasks, so several would sit on their peaks side by side."""
+    if inspect.isgeneratorfunction(run):
+        def stream(batches):
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+        return stream
+    if len(inspect.signature(run).parameters) == 2:
+        def pair(left, right):
+            try:
+                return run(left, right)
+            finally:
+                give_back()
+        return pair
+
+    def single(group):
+        try:
+            return run(group)
+        finally:
+            give_back()
+    return single
+
+
 # ------------------------------------------------------------------ packed columns
 # Large exchanges of numbers or words travel as one binary value per (block, bucket)
 # instead of one row per item: Spark still partitions, shuffles and retries them.

@@ -90,6 +90,23 @@ SELECT node.c AS conv_id, node.d::BIGINT AS depth, CASE WHEN node.d > 0 THEN par
        coalesce(kids.n, 0)::BIGINT AS n_children, below.leaves AS n_leaves, below.saved AS saved_tokens, node.ends AS ends_sha256
 FROM node JOIN below ON below.node = node.node LEFT JOIN kids ON kids.node = node.node LEFT JOIN node parent ON parent.node = node.up"""
 
+OP12 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 100)) AS g
+        FROM (SELECT doc_id, x, unnest(range(1, len(x) // 2 - 48)) AS i FROM d WHERE len(x) >= 100)),
+early AS (SELECT g, min(doc_id) AS first_id FROM win GROUP BY g),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN early ON win.g = early.g WHERE early.first_id < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hit)),
+cut AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before IS NULL OR before < p - 1) AS spans
+        FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY p) AS x
+         FROM (SELECT d.doc_id, unnest(range(1, len(x) // 2 + 1)) AS p, unnest(regexp_extract_all(x, '..')) AS b
+               FROM d SEMI JOIN cut ON d.doc_id = cut.doc_id) a
+         ANTI JOIN gone ON a.doc_id = gone.doc_id AND a.p = gone.p GROUP BY doc_id)
+SELECT d.doc_id, (len(d.x) // 2)::BIGINT AS n_bytes, coalesce(cut.n, 0)::BIGINT AS n_removed, coalesce(cut.spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN cut.n IS NULL THEN d.x ELSE coalesce(kept.x, '') END)) AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OP13 = f"""
 WITH d AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '{TERM}') AS w FROM documents) WHERE len(w) > 0),
@@ -108,4 +125,4 @@ WHERE rank <= 50"""
 
 ORACLE: dict[str, str] = {"op3_substring_dedup": OP3, "op4_chat": OP4, "op6_jaccard_join": OP6, "op7_quality": OP7,
                           "op9_exact_dedup": OP9, "op11_prefix_trie": OP11,
-                          "op13_lexical_search": OP13}
+                          "op12_suffix_dedup": OP12, "op13_lexical_search": OP13}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import (bpe, chat, exact_dedup, jaccard_join, lexical_search, mixing, packing, prefix_trie, quality, sharding,
+from . import (bpe, bwt_dedup, chat, exact_dedup, jaccard_join, lexical_search, mixing, packing, prefix_trie, quality, sharding,
                substring_dedup, toxicity)
 from .common import table
 
@@ -107,6 +107,13 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.build_trie(seqs).drop("turn_id")
 
 
+@query
+def op12_suffix_dedup(spark, sf_dir):
+    """All documents without the 50-byte strings that an earlier document has."""
+    out = bwt_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op13_lexical_search(spark, sf_dir):
     """The fifty best of all documents for every benchmark item."""
