@@ -87,19 +87,10 @@ def naive_canonical(phrase: Column) -> Column:
     """Per-word suffix strip (``ing`` for words over 4 chars, else ``ies``/``es``/``s``
     for words over 3 chars when at least 2 chars remain), then collapse adjacent
     duplicate words."""
-    words = F.filter(F.split(F.trim(F.lower(_ne(phrase))), r"\s+"), lambda w: w != "")
-
-    def strip(w: Column) -> Column:
-        n = F.length(w)
-        plural = (F.when(w.endswith("ies") & (n > 4), F.left(w, n - 3))
-                  .when(w.endswith("es") & (n > 3), F.left(w, n - 2))
-                  .when(w.endswith("s") & (n > 2), F.left(w, n - 1))
-                  .otherwise(w))
-        return F.when((n > 4) & w.endswith("ing"), F.left(w, n - 3)).when(n > 3, plural).otherwise(w)
-
-    stripped = F.transform(words, strip)
-    kept = F.filter(stripped, lambda x, i: (i == 0) | (x != F.get(stripped, i - 1)))
-    return F.array_join(kept, " ")
+    words = F.regexp_replace(F.regexp_replace(F.lower(_ne(phrase)), r"^\s+|\s+$", ""), r"\s+", " ")
+    # a word is a run between spaces; the stem keeps the least that the rule asks for
+    stripped = F.regexp_replace(words, r"(?<=^| )(?:([^ ]{2,})ing|([^ ]{2,}?)(?:ies|es)|([^ ]{3,})s)(?= |$)", "$1$2$3")
+    return F.regexp_replace(stripped, r"(?<=^| )([^ ]+)(?: \1)+(?= |$)", "$1")
 
 
 def pytrim(c: Column) -> Column:

@@ -17,6 +17,8 @@ from ..functions import stopwords
 from ..functions import text as tx
 from ..functions.numeric import round_half_up
 from ..plans.strategy import top_n_per_group
+from ..session import spooled
+from . import frequent
 
 # --- fixed values ------------------------------------------------------------
 TIER_THRESHOLDS = [("critical", 0.60), ("recommended", 0.30), ("nice_to_have", 0.10)]
@@ -71,10 +73,10 @@ def phrase_counts(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "p
     """(pool, doc_id, n, phrase, tf): 1-grams and 2-grams (bigrams span removed stop
     words, as a count vectoriser does).
 
-    Counts combine before the shuffle: a document's phrases are rows of one task, so each
-    distinct phrase of a document moves once. (Counting inside the row by array functions
-    needs no shuffle but was many times slower.)"""
-    base = docs.select(F.col(pool_col).alias("pool"), F.col(id_col).alias("doc_id"), doc_tokens(docs, text_col).alias("toks"))
+    Documents are dealt by id before they are cut up: what is shuffled is the texts, and a
+    document's phrases, many times its size, are counted where they are made."""
+    dealt = docs.select(F.col(pool_col).alias("pool"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    base = dealt.select("pool", "doc_id", doc_tokens(dealt).alias("toks"))
     tail = F.slice(F.col("toks"), 2, F.greatest(F.size("toks"), F.lit(1)))
     pairs = base.select("pool", "doc_id", F.explode(F.arrays_zip(F.col("toks").alias("a"), tail.alias("b"))).alias("p"))
     grams = pairs.select("pool", "doc_id", F.inline(F.array(
@@ -84,6 +86,14 @@ def phrase_counts(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "p
             .groupBy("pool", "doc_id", "n", "phrase").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def phrase_sets(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "pool", text_col: str = "text") -> DataFrame:
+    """(pool, doc_id, phrases): the distinct 1-grams and 2-grams of each document in its row."""
+    base = docs.select(F.col(pool_col).alias("pool"), F.col(id_col).alias("doc_id"), doc_tokens(docs, text_col).alias("toks"))
+    n = F.greatest(F.size("toks") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("toks", F.lit(1), n), F.slice("toks", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return base.select("pool", "doc_id", F.array_distinct(F.concat("toks", pairs)).alias("phrases"))
+
+
 def docs_per_pool(docs: DataFrame, pool_col: str = "pool") -> DataFrame:
     """(pool, n_docs): every document of the pool, with or without phrases."""
     return docs.groupBy(F.col(pool_col).alias("pool")).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -110,9 +120,14 @@ def kept_phrase(phrase: Column) -> Column:
 
 
 def phrases(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "pool", text_col: str = "text") -> DataFrame:
-    """K2+R17+U5: every phrase of every document, distinct per document."""
-    return (phrase_counts(docs, id_col=id_col, pool_col=pool_col, text_col=text_col)
-            .filter(kept_phrase(F.col("phrase"))).select("pool", "doc_id", "phrase"))
+    """K2+R17+U5: every phrase of every document, distinct per document. Nothing is
+    shuffled, and a document's rows lie side by side."""
+    return held_phrases(phrase_sets(docs, id_col=id_col, pool_col=pool_col, text_col=text_col))
+
+
+def held_phrases(sets: DataFrame) -> DataFrame:
+    """(pool, doc_id, phrase) of ``sets`` (see :func:`phrase_sets`) after R17."""
+    return sets.select("pool", "doc_id", F.explode("phrases").alias("phrase")).filter(kept_phrase(F.col("phrase")))
 
 
 def top_phrases(docs: DataFrame, *, top_per_doc: int, id_col: str = "doc_id",
@@ -159,38 +174,39 @@ def market_keywords(phrases: DataFrame, docs_per_pool: DataFrame,
                     classification: DataFrame | None = None) -> DataFrame:
     """A4+A5+F3: canonical keyword records per pool with share and tier.
 
-    ``docs_per_pool`` is ``(pool, n_docs)`` counting every document of the pool,
-    including those that yielded no phrase. Share counts a document when it holds
-    any phrase whose canonical is the keyword (noise-labelled phrases included,
-    T13) or the literal keyword itself; ties on display length go to the
-    alphabetically first phrase; category comes from the alphabetically first
-    synonym.
-
-    One pass: every held phrase emits a canonical membership and a literal
-    membership, and a single aggregation keyed by (pool, keyword) yields the
-    record (from non-noise canonical rows) and the share (distinct documents over
-    all rows). The phrase table is consumed once."""
-    cls = classify(phrases.select("pool", "doc_id", "phrase"), classification)
-    m = cls.select("pool", "doc_id", "phrase", "category", F.inline(F.array(
-        F.struct(F.col("canonical").alias("kw"), F.lit(True).alias("is_canon")),
-        F.struct(F.col("phrase").alias("kw"), F.lit(False).alias("is_canon")))))
-    rec = F.col("is_canon") & (F.col("category") != "noise")
-    agg = (m.groupBy("pool", "kw").agg(
-        F.max(rec).alias("_live"),
-        F.min(F.when(rec, F.struct(F.col("phrase"), F.col("category")))).alias("_first"),
-        F.min(F.when(rec, F.struct(-F.length("phrase"), F.col("phrase")))).alias("_disp"),
-        F.countDistinct("doc_id").alias("raw_count"))
-        .filter(F.col("_live")))
-    r = agg.join(docs_per_pool, "pool")
-    freq = F.col("raw_count") / F.col("n_docs")
+    ``phrases`` is (pool, doc_id, phrase), or (pool, doc_id, phrases) with a document's set
+    in its row (:func:`phrase_sets`), which saves a shuffle. ``docs_per_pool`` is
+    ``(pool, n_docs)`` counting every document of the pool, including those that yielded no
+    phrase. Share counts a document when it holds any phrase whose canonical is the keyword
+    (noise-labelled phrases included, T13) or the literal keyword itself; ties on display
+    length go to the alphabetically first phrase; category comes from the alphabetically
+    first synonym.
+
+    A keyword needs the lowest tier's share of its pool, so the keys that can have it are
+    found first (:mod:`frequent`): every held phrase stands for its canonical form and for
+    itself, and summaries of these keys are kept per task. Only rows of the keys found are
+    counted, exactly."""
+    sets = "phrases" in phrases.columns
+    held = (held_phrases(phrases) if sets else phrases.select("pool", "doc_id", "phrase")).filter(F.col("pool").isNotNull())
+    cls = classify(held, classification)
+    if classification is not None:
+        cls = spooled(cls)  # joined with the answers once, read twice
+    keyed = cls.select("pool", "doc_id", "phrase", "category", "canonical",
+                       F.explode(F.array_distinct(F.array("canonical", "phrase"))).alias("key"))
+    adjacent = sets and classification is None
+    found = spooled(frequent.candidates(keyed, docs_per_pool, TIER_THRESHOLDS[-1][1], adjacent))
+    live = F.col("canonical") == F.col("key")
+    rows = keyed.select("pool", "doc_id", "key", (live & (F.col("category") != "noise")).alias("own"), "phrase", "category")
+    agg = frequent.records(frequent.only(rows, found), adjacent)
+    r = agg.filter("first is not null").join(docs_per_pool.withColumnRenamed("n_docs", "_all"), "pool")
+    freq = F.col("n_docs") / F.col("_all")
     tier = F.lit(None).cast("string")
     for name, least in reversed(TIER_THRESHOLDS):
         tier = F.when(freq >= least, F.lit(name)).otherwise(tier)
     return (r.filter(tier.isNotNull())
-            .select("pool", F.col("kw").alias("keyword"), F.col("_disp").getField("phrase").alias("display"),
-                    F.col("_first").getField("category").alias("category"),
-                    round_half_up(freq, 3).alias("frequency"), F.col("raw_count").cast("long").alias("raw_count"),
-                    tier.alias("tier")))
+            .select("pool", F.col("key").alias("keyword"), F.col("longest.d").alias("display"),
+                    F.col("first.category").alias("category"), round_half_up(freq, 3).alias("frequency"),
+                    F.col("n_docs").cast("long").alias("raw_count"), tier.alias("tier")))
 
 
 def report_order() -> list[Column]:

@@ -11,6 +11,7 @@ from ..functions.salary import parse_salary
 from ..functions.timefn import as_of_epoch, days_whole, posted_epoch, recency_score
 from ..functions.vectors import fit_score
 from ..plans.strategy import top_n_per_group
+from ..session import spooled
 
 DEFAULT_WEIGHTS = (0.45, 0.35, 0.20)
 
@@ -92,15 +93,28 @@ def rank_postings(postings: DataFrame, candidates: DataFrame, *, as_of,
     candidates). ``splits`` cuts each pool's postings into that many parts by job id and
     sends its candidates to each, so that few large pools use many tasks. Returns the
     ranked projection P3 plus ``candidate_id``/``pool``."""
-    w_fit, w_sal, w_rec = weights
-    w_total = w_fit + w_sal + w_rec
     s = score_postings(postings, as_of=as_of, pool_col=pool_col)
-    part = F.pmod(F.xxhash64("job_id"), F.lit(splits)).cast("int")
+    part = _part(splits)
     cands = candidates.select(F.col(pool_col).alias("_cand_pool"), candidate_id, candidate_vec,
                               F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_cand_part"))
     j = s.withColumn("_part", part).join(cands, (F.col(pool_col) == F.col("_cand_pool")) & (F.col("_part") == F.col("_cand_part")), "inner")
     fit = fit_score(F.col(posting_vec), F.col(candidate_vec))
-    composite = (w_fit * fit + w_sal * F.col("_salary_score") + w_rec * F.col("_recency_score")) / w_total
+    return _projection(j, fit, weights, pool_col, candidate_id)
+
+
+def _part(splits: int) -> Column:
+    return F.pmod(F.xxhash64("job_id"), F.lit(splits)).cast("int")
+
+
+def _composite(fit: Column, weights: Sequence[float]) -> Column:
+    """M4."""
+    w_fit, w_sal, w_rec = weights
+    return (w_fit * fit + w_sal * F.col("_salary_score") + w_rec * F.col("_recency_score")) / (w_fit + w_sal + w_rec)
+
+
+def _projection(j: DataFrame, fit: Column, weights: Sequence[float], pool_col: str, candidate_id: str) -> DataFrame:
+    """P3 of scored postings joined with their candidates."""
+    composite = _composite(fit, weights)
     return j.select(
         F.col(candidate_id), F.col(pool_col).alias("pool"),
         F.col("job_id"),
@@ -124,6 +138,75 @@ def rank_postings(postings: DataFrame, candidates: DataFrame, *, as_of,
     )
 
 
+LEVELS = 64  # of what salary and recency can add to a composite
+HEAD_ROWS = 256  # postings of a pool that every candidate is scored against
+
+
+def levelled(postings: DataFrame, weights: Sequence[float], posting_vec: str, pool_col: str = "pool") -> DataFrame:
+    """``job_id, pool, vec, _salary_score, _recency_score, level`` of scored postings: level 0
+    has the best salary and recency; a posting's composite is at most :func:`_most`."""
+    _, w_sal, w_rec = weights
+    known = (w_sal * F.col("_salary_score") + w_rec * F.col("_recency_score")) / F.lit(float((w_sal + w_rec) or 1))
+    level = F.least(F.greatest(F.floor((1 - known) * LEVELS), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+    return postings.select("job_id", F.col(pool_col).alias("pool"), F.col(posting_vec).alias("vec"), "_salary_score", "_recency_score", level.alias("level"))
+
+
+def _most(level: Column, weights: Sequence[float]) -> Column:
+    """The best composite of a level, with a perfect fit; rounding may add half a place."""
+    w_fit, w_sal, w_rec = weights
+    return (w_fit + (w_sal + w_rec) * (1 - level / LEVELS)) / (w_fit + w_sal + w_rec) + 1e-4
+
+
+def head_levels(rows: DataFrame, head_rows: int) -> DataFrame:
+    """``pool, level, n, head`` per level of a pool: the best levels that together have
+    ``head_rows`` postings are its head. A pool has at most ``LEVELS`` rows here."""
+    counts = rows.groupBy("pool", "level").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pool").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("head", before < head_rows)
+
+
+def open_levels(best: DataFrame, candidates: DataFrame, levels: DataFrame, weights: Sequence[float], n: int) -> DataFrame:
+    """``candidate_id, pool, level``: levels behind the head in which a posting could still
+    be among a candidate's ``n`` best, given its ``best`` of the head."""
+    last = best.filter(F.col("rank") == n).select("candidate_id", "pool", F.col("composite_score").alias("least"))
+    rest = candidates.select("candidate_id", "pool").join(levels.filter(~F.col("head")).select("pool", "level"), "pool")
+    return (rest.join(last, ["candidate_id", "pool"], "left")
+                .filter(F.col("least").isNull() | (_most(F.col("level"), weights) >= F.col("least"))).select("candidate_id", "pool", "level"))
+
+
+def best_per_candidate(postings: DataFrame, candidates: DataFrame, *, as_of, n: int, weights: Sequence[float] = DEFAULT_WEIGHTS,
+                       pool_col: str = "pool", posting_vec: str = "embedding", candidate_vec: str = "cand_embedding",
+                       candidate_id: str = "candidate_id", splits: int = 1, head_rows: int = HEAD_ROWS) -> DataFrame:
+    """J1/F1 without all pairs: the ``n`` best postings of every candidate, as
+    ``top_n_per_candidate(rank_postings(...))`` gives them.
+
+    Salary and recency are known before any pair is made, and a fit is at most 1, so
+    postings fall into levels by the best composite they can have. Candidates are scored
+    against the head of their pool, then against those levels alone that can still reach
+    their n-th score. Attributes are joined to the winners only."""
+    scored = score_postings(postings, as_of=as_of, pool_col=pool_col)
+    rows = spooled(levelled(scored, weights, posting_vec, pool_col))
+    cands = spooled(candidates.select(F.col(candidate_id).alias("candidate_id"), F.col(pool_col).alias("pool"), F.col(candidate_vec).alias("cand_vec")))
+    levels = spooled(head_levels(rows, head_rows))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("part")
+    dealt = rows.withColumn("part", _part(splits))
+
+    def scores(j: DataFrame) -> DataFrame:
+        fit = fit_score(F.col("vec"), F.col("cand_vec"))
+        return j.select("candidate_id", "pool", "job_id", fit.alias("fit"), F.round(_composite(fit, weights), 4).alias("composite_score"))
+
+    group = ["candidate_id", "pool"]
+    head = dealt.join(levels.filter("head").select("pool", "level"), ["pool", "level"])
+    best = spooled(top_n_per_group(scores(head.join(cands.select("*", parts), ["pool", "part"])), group, rank_order(), n))
+    more = open_levels(best, cands, levels, weights, n).join(cands, group).select("*", parts)
+    rest = scores(dealt.join(more, ["pool", "level", "part"]))
+    top = top_n_per_group(best.drop("rank").unionByName(rest), group, rank_order(), n, "_rank").withColumnRenamed("job_id", "_job").withColumnRenamed("pool", "_pool")
+    won = scored.join(top.withColumnRenamed("candidate_id", "_cand"), (F.col("job_id") == F.col("_job")) & (F.col(pool_col) == F.col("_pool")))
+    out = _projection(won.withColumn(candidate_id, F.col("_cand")), F.col("fit"), weights, pool_col, candidate_id)
+    w = Window.partitionBy(candidate_id, "pool").orderBy(*rank_order())
+    return out.withColumn("rank", F.row_number().over(w))
+
+
 def rank_order() -> list[Column]:
     """Composite (already rounded) descending, then job id: a total order."""
     return [F.col("composite_score").desc(), F.col("job_id").asc()]

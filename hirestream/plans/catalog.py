@@ -14,6 +14,7 @@ from ..functions.salary import floor_mid_lpa
 from ..functions.timefn import days_fractional, days_whole, recency_score
 from ..functions.vectors import fit_score
 from ..operators import filters, rank, reports
+from ..session import cut_lineage, scratch_path, spooled
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,13 +57,12 @@ CANDIDATE_EVERY, SPLITS = 25, 8
 
 @query("rank_many")
 def rank_many(spark, sf_dir):
-    """J1 with many candidates: every 25th vector is a candidate of its pool; the best 3
-    postings of each, with pools split over tasks."""
+    """J1/F1 with many candidates: every 25th vector is a candidate of its pool; the best 3
+    postings of each, scored level by level as far as a posting can still be among them."""
     e = T.read(spark, sf_dir, "embeddings")
     cands = e.filter(F.col("vec_id") % CANDIDATE_EVERY == 0).select(
         F.col("label").cast("string").alias("pool"), F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("cand_embedding"))
-    ranked = rank.rank_postings(T.embedded_postings(spark, sf_dir), cands, as_of=T.AS_OF, splits=SPLITS)
-    return rank.top_n_per_candidate(ranked, 3)
+    return rank.best_per_candidate(T.embedded_postings(spark, sf_dir), cands, as_of=T.AS_OF, n=3, splits=SPLITS)
 
 
 @query("fit_scores")
@@ -362,7 +362,7 @@ def doc_frequency(spark, sf_dir):
 @query("market_keywords")
 def market_keywords(spark, sf_dir):
     d = _docs_by_source(spark, sf_dir)
-    return keywords.market_keywords(keywords.phrases(d), keywords.docs_per_pool(d))
+    return keywords.market_keywords(keywords.phrase_sets(d), keywords.docs_per_pool(d))
 
 
 CLASSES = ["hard_skill", "tool", "certification", "domain_term", "soft_skill", "noise"]
@@ -385,8 +385,9 @@ def classified_keywords(spark, sf_dir):
     """Keyword records under landed classifications, with noise dropped,
     synonyms collapsed and the report order as a rank per pool."""
     d = _docs_by_source(spark, sf_dir)
-    held = keywords.phrases(d)
-    mk = keywords.market_keywords(held, keywords.docs_per_pool(d), keywords.landed_classification(landed_answers(held)))
+    sets = spooled(keywords.phrase_sets(d))
+    answers = keywords.landed_classification(landed_answers(keywords.held_phrases(sets)))
+    mk = keywords.market_keywords(sets, keywords.docs_per_pool(d), answers)
     # a keyword needs a tenth of its pool's documents, so a pool's rank sorts few rows
     return mk.withColumn("report_rank", F.row_number().over(Window.partitionBy("pool").orderBy(*keywords.report_order())).cast("long"))
 
@@ -394,7 +395,7 @@ def classified_keywords(spark, sf_dir):
 def language_keywords(spark, sf_dir):
     """Keyword records mined from the documents of each language (the pools)."""
     d = T.read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("pool"), "text")
-    return keywords.market_keywords(keywords.phrases(d), keywords.docs_per_pool(d))
+    return keywords.market_keywords(keywords.phrase_sets(d), keywords.docs_per_pool(d))
 
 
 def part_keywords(spark, sf_dir):
@@ -404,7 +405,7 @@ def part_keywords(spark, sf_dir):
     pool = (F.when((F.col("p_type") == "PROMO") | ((F.col("p_type") == "SMALL") & (F.col("p_size") < 25)), "0")
             .when((F.col("p_type") == "LARGE") | ((F.col("p_type") == "MEDIUM") & (F.col("p_size") < 25)), "1"))
     d = pt.select(F.col("p_partkey").alias("doc_id"), pool.alias("pool"), F.concat_ws(" ", "p_type", "p_name").alias("text")).filter("pool is not null")
-    return keywords.market_keywords(keywords.phrases(d), keywords.docs_per_pool(d))
+    return keywords.market_keywords(keywords.phrase_sets(d), keywords.docs_per_pool(d))
 
 
 def _coverage(spark, sf_dir):
@@ -464,12 +465,14 @@ def format_checks(spark, sf_dir):
 
 def _documents_with_keywords(spark, sf_dir):
     d = T.read(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("pool"))
-    return ats.with_keywords(d, language_keywords(spark, sf_dir))
+    terms = ats.Terms(language_keywords(spark, sf_dir))
+    return ats.with_keywords(d, terms), terms
 
 
 @query("doc_overall")
 def doc_overall(spark, sf_dir):
-    return ats.score_documents(_documents_with_keywords(spark, sf_dir)).select(
+    d, terms = _documents_with_keywords(spark, sf_dir)
+    return ats.score_documents(d, terms=terms).select(
         "doc_id", F.round("report_keyword_score", 6).alias("keyword_score"),
         F.round("report_format_score", 6).alias("format_score"), F.col("report_overall").alias("overall"))
 
@@ -478,10 +481,11 @@ def doc_overall(spark, sf_dir):
 def before_after(spark, sf_dir):
     """Each document before and after appending its missed keywords as a
     ``Skills:`` line."""
-    d = ats.score_documents(_documents_with_keywords(spark, sf_dir), name="before")
+    d, terms = _documents_with_keywords(spark, sf_dir)
+    d = ats.score_documents(d, name="before", terms=terms)
     missed = F.get(ats.tier_values("before_coverage", "misses"), len(ats.TIERS) - 1)
     d = ats.once(d, "after_text", F.concat(F.col("text"), F.lit("\nSkills: "), F.array_join(F.array_sort(missed), ", ")))
-    return ats.before_after(ats.score_documents(d, F.col("after_text"), "after"))
+    return ats.before_after(ats.score_documents(d, F.col("after_text"), "after", terms))
 
 
 # ------------------------------------------------------------ applications ----
@@ -729,7 +733,6 @@ def msg_dedup_stream(spark, sf_dir):
 from ..operators import checks, embeddings, requests  # noqa: E402
 from ..sources import postings as postings_src  # noqa: E402
 from ..sources import sinks  # noqa: E402
-from ..session import cut_lineage, scratch_path  # noqa: E402
 
 # Our own request template (the reference's prompt texts are not reproduced).
 KEYWORD_REQUEST_TEMPLATE = ("Classify the key phrases of a {role} posting.\n"
@@ -1157,8 +1160,8 @@ def tier_lists(spark, sf_dir):
 
 def classified_by_language(spark, sf_dir):
     d = T.read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("pool"), "text")
-    held = keywords.phrases(d)
-    return keywords.market_keywords(held, keywords.docs_per_pool(d), keywords.landed_classification(landed_answers(held)))
+    sets = spooled(keywords.phrase_sets(d))
+    return keywords.market_keywords(sets, keywords.docs_per_pool(d), keywords.landed_classification(landed_answers(keywords.held_phrases(sets))))
 
 
 TAILOR_THRESHOLD = 0.90

@@ -6,6 +6,7 @@ time zone to UTC so epoch arithmetic and timestamp rendering are stable.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +71,10 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spooled(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder, for what reads it several times."""
+    path = scratch_path(df.sparkSession, f"spooled/{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
