@@ -13,9 +13,11 @@ vocabulary bounds it.
 Decoding joins ids with the id-to-piece table (bounded by the vocabulary, checked) and
 sets the pieces together as the tokenizer's file says (no decoder: one space between).
 
-Blocks are made twice from the input, once for words and once for positions; a digest
-tells if the input gave other rows the second time, and the job then fails with advice
-instead of returning wrong ids. Files and checkpoints never do.
+Blocks are made twice from the input, once for words and once for positions, from rows that
+are sorted within their partition, so the order in which a shuffle delivers them does not
+matter. A digest tells if a partition gave other rows the second time (a random filter, say),
+and the job then fails with advice instead of returning wrong ids. With ``spool`` blocks are
+made once and written, which takes disk instead of time and works with any input.
 
 Defined results: null and empty text give no ids and an empty decoded text; repeated
 rows each give a row; an empty table gives an empty result; other columns are ignored;
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, n_buckets, pack, pack_words, small_batches, unpack, unpack_words
+from .common import chunks, n_buckets, pack, pack_words, small_batches, text_bytes, trimmed, unpack, unpack_words, written
 
 BLOCK_BYTES = 4 << 20
 MAX_PIECES = 2_000_000
@@ -111,6 +113,22 @@ def _send_positions(buckets: int, block_bytes: int):
     return run
 
 
+def _send_both(buckets: int, block_bytes: int):
+    schema = pa.schema([*_PARTS_ARROW, ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, rows in enumerate(chunks(batches, block_bytes)):
+            words, bucket, ranks, per_doc, digest = _index(rows, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            block = _block_of(rows, n)
+            out = [(block, b, digest, None, None, None, None, pack_words([words[i] for i in order[cuts[b]:cuts[b + 1]]]))
+                   for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            out.append((block, -1, digest, [r[0] for r in rows], pack(per_doc), pack(ranks), pack(bucket), None))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+    return run
+
+
 def gather(flat: np.ndarray, lens: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
     """``flat[starts[w]:starts[w] + lens[w]]`` for each w of ``which``, end to end."""
     n = lens[which]
@@ -189,21 +207,32 @@ def _ids_of_block(table: pa.Table) -> tuple[list, list[np.ndarray]]:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           block_bytes: int = BLOCK_BYTES, pieces: DataFrame | None = None) -> DataFrame:
+           block_bytes: int = BLOCK_BYTES, pieces: DataFrame | None = None, spool: bool = False) -> DataFrame:
     """``doc_id, ids`` per row; ``ids`` are little-endian unsigned 32-bit integers. With
     ``pieces`` (``id, piece``) there is a column ``decoded`` too, joined in the same task,
     where :func:`decode` would keep a second Python process busy."""
     spark = small_batches(docs.sparkSession)
-    buckets = n_buckets(spark)
+    buckets = n_buckets(spark, text_bytes(docs, text_col))
     tokenizer = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.spark_partition_id().alias("part"))
-    words = slim.mapInArrow(_send_words(buckets, block_bytes), _WORDS)
-    encoded = words.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer), _PARTS)
-    positions = slim.mapInArrow(_send_positions(buckets, block_bytes), _PARTS)
+    if spool:
+        sent = written(slim.mapInArrow(trimmed(_send_both(buckets, block_bytes)), f"{_PARTS}, words binary"))
+        words, positions = sent.filter("bucket >= 0").select("bucket", "block", "digest", "words"), sent.filter("bucket < 0").drop("words")
+    else:
+        slim = slim.sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
+        words = slim.mapInArrow(trimmed(_send_words(buckets, block_bytes)), _WORDS)
+        positions = slim.mapInArrow(trimmed(_send_positions(buckets, block_bytes)), _PARTS)
+    encoded = words.groupBy("bucket").applyInArrow(trimmed(_encode_bucket(tokenizer)), _PARTS)
     fields = "doc_id long, ids binary" + (", decoded string" if pieces is not None else "")
     sent = None if pieces is None else _sent_pieces(pieces)
-    return encoded.unionByName(positions).groupBy("block").applyInArrow(_assemble(sent), fields)
+    return encoded.unionByName(positions).groupBy("block").applyInArrow(trimmed(_assemble(sent)), fields)
+
+
+def end_id(tokenizer_path: str) -> int:
+    """The id of the tokenizer's end-of-text mark, or the first that it does not use."""
+    vocab = open_tokenizer(read_tokenizer(tokenizer_path)).get_vocab(with_added_tokens=True)
+    return vocab.get("<|endoftext|>", max(vocab.values()) + 1)
 
 
 def piece_table(spark: SparkSession, tokenizer_path: str) -> DataFrame:

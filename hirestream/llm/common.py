@@ -56,10 +56,18 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def n_buckets(spark: SparkSession) -> int:
-    """Hash buckets of an exchange: the session's shuffle partitions, which the user
-    sizes to the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+BUCKET_BYTES = 16 << 20
+
+
+def n_buckets(spark: SparkSession, size: int = 0) -> int:
+    """Hash buckets of an exchange: the session's shuffle partitions, and as many more as
+    ``size`` bytes of text need for ``BUCKET_BYTES`` in each."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET_BYTES))
+
+
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """Bytes of all texts, with some for each row."""
+    return int(docs.agg(F.sum(F.octet_length(text_or_empty(F.col(text_col))) + 64)).first()[0] or 0)
 
 
 def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:

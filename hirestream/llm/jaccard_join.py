@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import chunks, free_name, n_buckets, n_words, pack, small_batches, unpack, written
+from .common import chunks, free_name, n_buckets, n_words, pack, small_batches, text_bytes, trimmed, unpack, written
 from .components import components
 from .shingles import LANES, Block, mix
 
@@ -305,7 +305,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-                        .mapInArrow(_similar(75), "a long, b long"))
+                        .mapInArrow(trimmed(_similar(75)), "a long, b long"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -363,25 +363,25 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     largest number, ``label`` is null for empty sets, and ``row_key`` hashes the text."""
     spark = small_batches(docs.sparkSession)
     ensure_checkpoint_dir(spark)
-    buckets = n_buckets(spark)
+    buckets = n_buckets(spark, text_bytes(docs, text_col))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     texts = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
     keyed = texts.withColumn("row_key", F.xxhash64("text"))
-    slim = written(keyed.mapInArrow(_slim, "doc_id long, row_key long, n_shingles long, node long, digest binary"))
+    slim = written(keyed.mapInArrow(trimmed(_slim), "doc_id long, row_key long, n_shingles long, node long, digest binary"))
     nodes = (slim.filter("n_shingles > 0").groupBy("node")
                  .agg(F.min(F.struct("doc_id", "row_key")).alias("rep"), F.min("n_shingles").alias("size"), F.min("digest").alias("d0"), F.max("digest").alias("d1")))
     if not nodes.filter("d0 <> d1").isEmpty():
         raise ValueError("two different shingle sets have the same 64-bit node number")
     nodes = nodes.select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.row_key").alias("rep_key"), "size")
 
-    shared = written(texts.mapInArrow(_send_signatures(buckets), _PACKED).groupBy("bucket")
-                          .applyInArrow(_shared, "sig long, node long, family int, need int"))
+    shared = written(texts.mapInArrow(trimmed(_send_signatures(buckets)), _PACKED).groupBy("bucket")
+                          .applyInArrow(trimmed(_shared), "sig long, node long, family int, need int"))
     scores = written(shared.groupBy("node", "family").agg(F.count(F.lit(1)).alias("score"), F.max("need").alias("need"))
                            .filter("score >= need").select("node", "family", "score"))
     asked = scores.select("node").distinct().join(nodes, "node")
-    sets = written(_texts_of_nodes(asked.select("node", "rep", "rep_key"), keyed).mapInArrow(_sets_of_nodes, "node long, elements binary"))
-    rare = written(sets.mapInArrow(_send_sets(buckets), _PACKED).groupBy("bucket").applyInArrow(_support(buckets), _HOMES)
-                       .groupBy("home").applyInArrow(_rare, "node long, size long, support long, first_place long, elements array<long>"))
+    sets = written(_texts_of_nodes(asked.select("node", "rep", "rep_key"), keyed).mapInArrow(trimmed(_sets_of_nodes), "node long, elements binary"))
+    rare = written(sets.mapInArrow(trimmed(_send_sets(buckets)), _PACKED).groupBy("bucket").applyInArrow(trimmed(_support(buckets)), _HOMES)
+                       .groupBy("home").applyInArrow(trimmed(_rare), "node long, size long, support long, first_place long, elements array<long>"))
     groups = written(shared.join(scores.join(rare.select("node", "size", "support"), "node"), ["node", "family"])
                            .select("sig", "node", "score", "size", "support"), instead_of=shared)
     prefixes = (rare.select("node", "size", "first_place", F.posexplode("elements").alias("i", "element"))

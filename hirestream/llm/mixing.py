@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import free_name, n_words
+from .common import free_name, n_words, trimmed
 
 FAN_IN = 64
 PER_BUCKET = 8192
@@ -136,7 +136,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_ratio: float
     rows = level0
     while True:
         last = buckets == 1
-        rounded = rows.groupBy("source", "bucket").applyInPandas(_rounder(seed, level, last), _FIELDS).checkpoint()
+        rounded = rows.groupBy("source", "bucket").applyInPandas(trimmed(_rounder(seed, level, last)), _FIELDS).checkpoint()
         done.append(rounded.filter(~F.col("open")))
         if last:
             break

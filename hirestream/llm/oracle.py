@@ -123,6 +123,17 @@ SELECT item_id, rank, doc_id, score
 FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM score WHERE score > 0)
 WHERE rank <= 50"""
 
+OP8 = """
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                   lambda b, y: xor(b >> 1, 3988292384 * (b & 1)))) AS t),
+d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 8 AS size,
+             xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+                             lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM documents, tab),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS prefix,
+             row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) AS row, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, ((2 * prefix + size) * 24 // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row - min(row) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM s"""
+
 ORACLE: dict[str, str] = {"op3_substring_dedup": OP3, "op4_chat": OP4, "op6_jaccard_join": OP6, "op7_quality": OP7,
-                          "op9_exact_dedup": OP9, "op11_prefix_trie": OP11,
+                          "op8_sharding": OP8, "op9_exact_dedup": OP9, "op11_prefix_trie": OP11,
                           "op12_suffix_dedup": OP12, "op13_lexical_search": OP13}

@@ -7,7 +7,9 @@ segment tree over free-space values finds that row in logarithmic time. Every pa
 has its id matrix line, cumulative segment lengths, and positions that start again at
 each segment. Only the last rows of a block are not full, a thousandth of them.
 
-Ids are any function of a text; ``byte_ids`` are UTF-8 bytes (plus three) and an end mark.
+Ids come from an encoded table (:func:`pack_ids`; ``bpe.encode`` makes one) and get an end
+mark, or are any function of a text (:func:`pack_rows`; ``byte_ids`` are UTF-8 bytes, plus
+three, and an end mark).
 
 Defined results: null text counts as empty and gives the end mark alone; repeated rows
 are packed each, told apart by ``copies``; a null id stays null; an empty table gives no
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import small_batches, text_or_empty, trimmed, written
 
 ROW_TOKENS = 2048
 BLOCK_BYTES = 8 << 20
@@ -95,11 +97,11 @@ _FIELDS = [("pack_id", pa.int64(), "long"), ("n_tokens", pa.int32(), "int"), ("i
 _ARROW = pa.schema([(n, t) for n, t, _ in _FIELDS])
 
 
-def _packer(to_ids: Callable[[str | None], np.ndarray], capacity: int):
+def _packer(to_ids: Callable[[str | bytes | None], np.ndarray], capacity: int, column: str = "text"):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        docs = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()),
-                      key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        docs = sorted(zip(table.column("doc_id").to_pylist(), table.column(column).to_pylist()),
+                      key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1]))
         pieces, seen = [], {}
         for doc_id, text in docs:
             ids = to_ids(text)
@@ -136,6 +138,21 @@ def pack_rows(docs: DataFrame, capacity: int = ROW_TOKENS, to_ids: Callable[[str
     return slim.groupBy("block").applyInArrow(_packer(to_ids, capacity), ", ".join(f"{n} {t}" for n, _, t in _FIELDS))
 
 
+def pack_ids(encoded: DataFrame, end_id: int, capacity: int = ROW_TOKENS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """:func:`pack_rows` of ``doc_id, ids`` (little-endian unsigned 32-bit integers; null
+    counts as none), with ``end_id`` after each document's ids. Rows are dealt by their place
+    in the table, which is written first, so rows that are alike need not share a block."""
+    small_batches(encoded.sparkSession)
+    held = written(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.lit(b"")).alias("ids")))
+    size = held.agg(F.sum(F.octet_length("ids") + 64)).first()[0] or 0
+    blocks = max(1, -(-int(size) // block_bytes))
+    slim = held.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+
+    def ended(ids: bytes) -> np.ndarray:
+        return np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+    return slim.groupBy("block").applyInArrow(trimmed(_packer(ended, capacity, "ids")), ", ".join(f"{n} {t}" for n, _, t in _FIELDS))
+
+
 def unpack_rows(packed: DataFrame) -> DataFrame:
     """``doc_id, block, copy, ids`` (binary) back from packed lines: pieces in order."""
     segment = F.posexplode(F.arrays_zip("doc_ids", "copies", "pieces"))

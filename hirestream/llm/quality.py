@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trimmed
 
 SAMPLE_DOCS = 2000
 SYMBOLS = "#*$%&|<>"
@@ -184,7 +184,7 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule]
     order = list(order or plan_cascade(docs, rules, id_col, text_col, sample_docs))
     fields = "doc_id long, rejected_by string, base_failed boolean" + "".join(f", {s} long" for s in _STATS if stats)
     out = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-               .mapInArrow(_judge(order, base, stats), fields))
+               .mapInArrow(trimmed(_judge(order, base, stats)), fields))
     out = out.withColumn("kept", F.col("rejected_by").isNull())
     return out if stats else out.drop("base_failed")
 
@@ -199,4 +199,4 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc
             good = [not any(r.breaks(doc) for r in order) for doc in map(Features, batch.column(at).to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

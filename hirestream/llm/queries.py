@@ -36,10 +36,10 @@ def op1_bpe(spark, sf_dir):
 
 @query
 def op2_packing(spark, sf_dir):
-    """Byte ids of all documents in packed rows: segments, and digests of ids and positions."""
-    packed = packing.pack_rows(table(spark, sf_dir, "documents"))
-    return packed.select("pack_id", "n_tokens", "cu_seqlens", "doc_ids", "copies", "pieces",
-                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+    """Token ids of all documents in packed rows: id matrix lines, positions and segments."""
+    path = tokenizer_path()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, spool=True)
+    return packing.pack_ids(encoded, bpe.end_id(path))
 
 
 @query

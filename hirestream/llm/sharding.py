@@ -30,8 +30,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     body = text_or_empty(F.col(text_col))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        (F.octet_length(body) + F.lit(HEADER_BYTES)).cast("long").alias("size"),
-                       F.crc32(body.cast("binary")).alias("text_crc32")).checkpoint()
-    order = ["doc_id", "size", "text_crc32"]
+                       F.crc32(body.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("copy")).checkpoint()
+    order = ["doc_id", "size", "text_crc32", "copy"]  # rows that are alike in all else need not share a range
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = slim.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()).checkpoint()
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))

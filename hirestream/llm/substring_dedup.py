@@ -231,7 +231,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slim = dealt(docs, id_col, text_col, blocks)
     flagged = estimated_repeats(slim, window, min(anchor, window))
     sent = (slim.groupBy("block").cogroup(flagged.groupBy("block"))
-                .applyInArrow(_send_windows(window, min(anchor, window), n_buckets(spark)),
+                .applyInArrow(_send_windows(window, min(anchor, window), n_buckets(spark, size)),
                               "bucket int, block int, hi binary, lo binary, least binary, more binary"))
     answers = sent.groupBy("bucket").applyInArrow(_group_windows, "block int, hi binary, lo binary, least binary")
     return (slim.groupBy("block").cogroup(answers.groupBy("block"))

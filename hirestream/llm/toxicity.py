@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     small_batches(docs.sparkSession)
     names = list(categories)
     asked = (labels.select(F.col(id_col).cast("long").alias("label_id"), *[v.cast("int").alias(k) for k, v in categories.items()])
-                   .dropna().dropDuplicates(["label_id"])
+                   .dropna().groupBy("label_id").agg(*[F.max(k).alias(k) for k in names])
                    .orderBy(F.xxhash64("label_id"), "label_id").limit(max_train))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], names=["found", "label_id", *names])
 
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
-    rows = (texts.join(F.broadcast(asked), "label_id")  # at most max_train rows
-                 .select("text", "label_id", *names)
+    # at most max_train ids; of rows that share an id one is taken, by a hash of the text
+    one = (texts.join(F.broadcast(asked), "label_id").groupBy("label_id", *names)
+                .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")))
+    rows = (one.select("t.text", "label_id", *names)
                  .mapInArrow(run, "found binary, label_id long" + "".join(f", `{n}` int" for n in names)).toPandas())
-    rows = rows.drop_duplicates("label_id").sort_values("label_id")
+    rows = rows.sort_values("label_id")
     at, start = _ragged([np.frombuffer(x, np.int32) for x in rows["found"]])
     fold = np.array([zlib.crc32(str(i).encode()) % folds for i in rows["label_id"]], np.int64)
     return fit_chain(at, start, rows[names].to_numpy(np.int64).reshape(len(rows), len(names)), fold)[0]

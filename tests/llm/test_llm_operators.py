@@ -526,5 +526,5 @@ def test_query_runs_whole(spark, name):
     df = QUERIES[name](spark, SF)
     n = df.count()
     assert n > 0
-    if "doc_id" in df.columns:
+    if "doc_id" in df.columns and "item_id" not in df.columns:  # a search has the best documents per item
         assert n == spark.read.parquet(f"{SF}/documents.parquet").count()
