@@ -57,32 +57,58 @@ def validate_verdicts(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return v.filter(ok), v.filter(~ok | F.col("label").isNull())
 
 
-def _substrings(s: Column) -> Column:
-    """All substrings of ``s`` (O(len^2); company names are short strings)."""
-    n = F.length(s)
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(
-        F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda ln: F.substring(s, i, ln))))
+GRAM = 3
+
+
+def _pieces(s: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of ``s``."""
+    last = F.length(s) - (n - 1)
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(s, i, n)))) \
+            .otherwise(F.array().cast("array<string>"))
+
+
+def _rarest(needles: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``needle, gram``: of each needle the run of ``GRAM`` characters that the fewest known
+    names have; needles with a run that none has are in no known name and are left out by
+    the caller's join."""
+    g = needles.select("needle", F.explode(_pieces(F.col("needle"), GRAM)).alias("gram")).join(frequency, "gram", "left")
+    return g.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("needle", "g.gram")
 
 
 def match_companies(verdicts: DataFrame, known: DataFrame, *, verdict_col: str = "matched_company",
                     known_col: str = "company", order_col: str = "company_order") -> DataFrame:
     """A verdict company matches a known company when either contains the other
-    (both lower-cased and trimmed); the first known company in ``order_col`` order
-    wins. Expressed as two equi-joins on enumerated substrings, never a cross
-    product: known names found among the verdict's substrings, and verdict names
-    found among each known name's substrings. Returns ``(verdict, company)``."""
+    (both lower-cased and trimmed); the first known company in ``order_col`` order wins.
+    Returns ``(verdict, company)``.
+
+    A substring index of runs of ``GRAM`` characters: a name can only be inside another that
+    has the rarest of its runs, so it is looked up by that run and then verified. Every text
+    gives as many rows as it has characters, however long a verdict is. Names shorter than a
+    run are looked up whole among the other side's short runs, of which only the first known
+    company is kept."""
     v = (verdicts.select(F.lower(F.trim(F.col(verdict_col))).alias("verdict")).distinct()
          .filter(F.col("verdict") != ""))
     k = (known.select(F.lower(F.trim(F.col(known_col))).alias("company"), F.col(order_col).alias("ord"))
          .filter(F.col("company") != "")
          .groupBy("company").agg(F.min("ord").alias("ord")))
-    a = (v.select("verdict", F.explode(F.array_distinct(_substrings(F.col("verdict")))).alias("company"))
-         .join(k, "company"))
-    # of all known names that hold a substring only the first can win: one row per substring
-    b = (k.select("company", "ord", F.explode(F.array_distinct(_substrings(F.col("company")))).alias("verdict"))
-         .groupBy("verdict").agg(F.min(F.struct("ord", "company")).alias("f"))
-         .select("verdict", F.col("f.company").alias("company"), F.col("f.ord").alias("ord")).join(v, "verdict"))
-    cands = a.select("verdict", "company", "ord").unionByName(b.select("verdict", "company", "ord"))
+    k_grams = k.select("company", "ord", F.explode(_pieces(F.col("company"), GRAM)).alias("gram"))
+    frequency = k_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # known names inside a verdict
+    k_by = _rarest(k.filter(F.length("company") >= GRAM).select(F.col("company").alias("needle")), frequency).withColumnRenamed("needle", "company")
+    v_grams = v.select("verdict", F.explode(_pieces(F.col("verdict"), GRAM)).alias("gram"))
+    inside = v_grams.join(k_by, "gram").filter(F.contains("verdict", "company")).select("verdict", "company").join(k, "company")
+    # verdicts inside a known name
+    v_by = _rarest(v.filter(F.length("verdict") >= GRAM).select(F.col("verdict").alias("needle")), frequency).withColumnRenamed("needle", "verdict")
+    around = v_by.join(k_grams, "gram").filter(F.contains("company", "verdict"))
+    # names shorter than a run, on either side
+    def short(name: str) -> Column:
+        return F.explode(F.flatten(F.array(*[_pieces(F.col(name), n) for n in range(1, GRAM)])))
+
+    v_short = v.select("verdict", short("verdict").alias("company")).join(k, "company")
+    first = (k.select("company", "ord", short("company").alias("verdict"))
+              .groupBy("verdict").agg(F.min(F.struct("ord", "company")).alias("f")).select("verdict", "f.company", "f.ord").join(v, "verdict"))
+    columns = ["verdict", "company", "ord"]
+    cands = inside.select(columns).unionByName(around.select(columns)).unionByName(v_short.select(columns)).unionByName(first.select(columns))
     best = cands.groupBy("verdict").agg(F.min(F.struct("ord", "company")).alias("m"))
     return best.select("verdict", F.col("m.company").alias("company"))
 

@@ -63,6 +63,28 @@ def pool_salary_stats(postings_with_salary: DataFrame, pool_col: str = "pool") -
     return (totals.select(pool_col, "n_postings", "n_known").join(spread, pool_col, "left").join(median, pool_col, "left"))
 
 
+SKETCH_K = 400  # of the KLL sketch: its rank error stays below SKETCH_ERROR with high probability
+SKETCH_ERROR = 0.02
+
+
+def salary_sketches(postings_with_salary: DataFrame, by: Sequence[str] = ("pool",)) -> DataFrame:
+    """A1 for very large pools: ``by…, n_known, sketch``, a mergeable quantile sketch (KLL) of
+    the known salary midpoints. Its size does not depend on the pool's; sketches of parts
+    (days, sources) can be kept and merged by :func:`merged_sketches`."""
+    known = postings_with_salary.filter(F.col("_sal.mid_lpa").isNotNull())
+    return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n_known"), F.kll_sketch_agg_double(F.col("_sal.mid_lpa"), SKETCH_K).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str] = ("pool",)) -> DataFrame:
+    """Sketches of parts as one per ``by``."""
+    return sketches.groupBy(*by).agg(F.sum("n_known").alias("n_known"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_quantile(sketch: Column, rank: float = 0.5) -> Column:
+    """A value whose rank is within ``SKETCH_ERROR`` of ``rank``."""
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(rank))
+
+
 def score_postings(postings: DataFrame, *, as_of, pool_col: str = "pool") -> DataFrame:
     """Candidate-independent scores: salary (M2) and recency (M3), per posting."""
     as_of_s = as_of_epoch(as_of)
@@ -87,19 +109,20 @@ def score_postings(postings: DataFrame, *, as_of, pool_col: str = "pool") -> Dat
 def rank_postings(postings: DataFrame, candidates: DataFrame, *, as_of,
                   weights: Sequence[float] = DEFAULT_WEIGHTS, pool_col: str = "pool",
                   posting_vec: str = "embedding", candidate_vec: str = "cand_embedding",
-                  candidate_id: str = "candidate_id", splits: int = 1) -> DataFrame:
+                  candidate_id: str = "candidate_id", splits: int = 1, recruiter_penalty: float = 0.0) -> DataFrame:
     """Score every posting against every candidate of the same pool (an equi-join
     on the pool key: postings are blocked by role, never crossed with all
     candidates). ``splits`` cuts each pool's postings into that many parts by job id and
-    sends its candidates to each, so that few large pools use many tasks. Returns the
-    ranked projection P3 plus ``candidate_id``/``pool``."""
+    sends its candidates to each, so that few large pools use many tasks. Postings flagged
+    as a recruiter's (P1e, ``_is_third_party_recruiter``) lose ``recruiter_penalty`` of their
+    composite. Returns the ranked projection P3 plus ``candidate_id``/``pool``."""
     s = score_postings(postings, as_of=as_of, pool_col=pool_col)
     part = _part(splits)
     cands = candidates.select(F.col(pool_col).alias("_cand_pool"), candidate_id, candidate_vec,
                               F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_cand_part"))
     j = s.withColumn("_part", part).join(cands, (F.col(pool_col) == F.col("_cand_pool")) & (F.col("_part") == F.col("_cand_part")), "inner")
     fit = fit_score(F.col(posting_vec), F.col(candidate_vec))
-    return _projection(j, fit, weights, pool_col, candidate_id)
+    return _projection(j, fit, weights, pool_col, candidate_id, recruiter_penalty)
 
 
 def _part(splits: int) -> Column:
@@ -112,9 +135,11 @@ def _composite(fit: Column, weights: Sequence[float]) -> Column:
     return (w_fit * fit + w_sal * F.col("_salary_score") + w_rec * F.col("_recency_score")) / (w_fit + w_sal + w_rec)
 
 
-def _projection(j: DataFrame, fit: Column, weights: Sequence[float], pool_col: str, candidate_id: str) -> DataFrame:
+def _projection(j: DataFrame, fit: Column, weights: Sequence[float], pool_col: str, candidate_id: str, recruiter_penalty: float = 0.0) -> DataFrame:
     """P3 of scored postings joined with their candidates."""
     composite = _composite(fit, weights)
+    if recruiter_penalty:
+        composite = composite - F.when(F.coalesce(_col(j, "_is_third_party_recruiter", "boolean"), F.lit(False)), recruiter_penalty).otherwise(0.0)
     return j.select(
         F.col(candidate_id), F.col(pool_col).alias("pool"),
         F.col("job_id"),

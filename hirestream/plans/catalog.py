@@ -75,6 +75,18 @@ def fit_scores(spark, sf_dir):
                     F.round(fit_score(F.col("embedding"), F.col("cand_embedding")), 6).alias("fit"))
 
 
+RECRUITER_PENALTY = 0.15
+
+
+@query("rank_penalised")
+def rank_penalised(spark, sf_dir):
+    """P1e/J1: the top 3 per pool when postings that the filter flags as a recruiter's lose
+    some of their composite."""
+    flagged = filters.filter_cascade(T.embedded_postings(spark, sf_dir), as_of=T.AS_OF, **FILTER_PARAMS)
+    ranked = rank.rank_postings(flagged, T.candidates_per_label(spark, sf_dir), as_of=T.AS_OF, recruiter_penalty=RECRUITER_PENALTY)
+    return rank.top_n_per_candidate(ranked, 3)
+
+
 @query("role_summary")
 def role_summary(spark, sf_dir):
     """A13 over the per-pool top 3."""
@@ -110,6 +122,26 @@ def salary_pool_stats(spark, sf_dir):
                     .alias("std_mid"))
 
 
+QUANTILES = (0.1, 0.5, 0.9)
+
+
+@query("salary_sketch")
+def salary_sketch(spark, sf_dir):
+    """A1 by sketches: quantiles of each pool's salary midpoints from quarterly sketches that
+    are merged, and whether each one's true rank is within the stated error."""
+    p = spooled(rank.with_salary(T.postings(spark, sf_dir)).select("pool", "job_posted_at_timestamp", "_sal"))
+    quarter = F.date_trunc("quarter", F.timestamp_seconds("job_posted_at_timestamp")).alias("quarter")
+    parts = rank.salary_sketches(p.select("pool", quarter, "_sal"), ("pool", "quarter"))
+    s = rank.merged_sketches(parts)
+    asked = s.select("pool", "n_known", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), rank.sketched_quantile(F.col("sketch"), q).alias("v"))
+                                                            for q in QUANTILES])).alias("a")).select("pool", "n_known", "a.*")
+    counted = (p.filter("_sal.mid_lpa is not null").join(F.broadcast(asked), "pool")  # a few rows per pool
+                .groupBy("pool", "n_known", "q").agg(F.count_if(F.col("_sal.mid_lpa") < F.col("v")).alias("less"),
+                                                     F.count_if(F.col("_sal.mid_lpa") <= F.col("v")).alias("upto")))
+    near = ((F.col("less") / F.col("n_known") <= F.col("q") + rank.SKETCH_ERROR) & (F.col("upto") / F.col("n_known") >= F.col("q") - rank.SKETCH_ERROR))
+    return counted.select("pool", "n_known", F.col("q").alias("quantile"), near.alias("within_error"))
+
+
 @query("salary_distribution")
 def salary_distribution(spark, sf_dir):
     """Histogram of salary midpoints, 10 equal-width buckets over 0-500 LPA
@@ -399,12 +431,12 @@ def language_keywords(spark, sf_dir):
 
 
 def part_keywords(spark, sf_dir):
-    """Keyword records mined from parts as postings, two pools whose types are common
-    (critical), frequent (recommended) and, as names, rare (nice to have)."""
+    """Keyword records mined from all parts as postings: two pools whose types are common
+    (critical), frequent (recommended) and, as names, rare (nice to have), and the rest."""
     pt = T.read(spark, sf_dir, "part")
     pool = (F.when((F.col("p_type") == "PROMO") | ((F.col("p_type") == "SMALL") & (F.col("p_size") < 25)), "0")
-            .when((F.col("p_type") == "LARGE") | ((F.col("p_type") == "MEDIUM") & (F.col("p_size") < 25)), "1"))
-    d = pt.select(F.col("p_partkey").alias("doc_id"), pool.alias("pool"), F.concat_ws(" ", "p_type", "p_name").alias("text")).filter("pool is not null")
+            .when((F.col("p_type") == "LARGE") | ((F.col("p_type") == "MEDIUM") & (F.col("p_size") < 25)), "1").otherwise("2"))
+    d = pt.select(F.col("p_partkey").alias("doc_id"), pool.alias("pool"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
     return keywords.market_keywords(keywords.phrase_sets(d), keywords.docs_per_pool(d))
 
 
@@ -438,13 +470,25 @@ def coverage_rollup(spark, sf_dir):
 def keyword_gap(spark, sf_dir):
     """Each conversation's turns as a résumé against the keywords of a language."""
     cv = T.read(spark, sf_dir, "conversations")
-    blob = (cv.groupBy("conv_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s.getField("text")), " ").alias("blob")))
+    said = cv.select("conv_id", F.explode_outer(tx.resume_tokens(F.col("text"))).alias("token"))  # no token spans two turns
+    sets = said.groupBy("conv_id").agg(F.collect_set("token").alias("tokens"))
+    lang = F.element_at(F.array(*[F.lit(x) for x in LANGS]), (F.col("conv_id") % len(LANGS) + 1).cast("int"))
+    cands = sets.select(lang.alias("pool"), F.col("conv_id").alias("candidate_id"), "tokens")
+    return _gap_counts(keywords.gap_analysis(cands, language_keywords(spark, sf_dir)))
+
+
+@query("keyword_gap_text")
+def keyword_gap_text(spark, sf_dir):
+    """Each turn of a conversation as a text against the keywords of a language, by
+    containment in the whole text."""
+    cv = T.read(spark, sf_dir, "conversations")
     lang = F.element_at(F.array(*[F.lit(x) for x in LANGS]), (F.col("conv_id") % len(LANGS) + 1).cast("int"))
-    cands = blob.select(lang.alias("pool"), F.col("conv_id").alias("candidate_id"),
-                        tx.resume_tokens(F.col("blob")).alias("tokens"))
-    g = keywords.gap_analysis(cands, language_keywords(spark, sf_dir))
+    cands = cv.select(lang.alias("pool"), (F.col("conv_id") * 1000 + F.col("turn")).alias("candidate_id"), "text")
+    return _gap_counts(ats.text_gap(cands, language_keywords(spark, sf_dir)))
+
 
+def _gap_counts(g):
+    """Buckets of a gap analysis counted, and the keywords that must be added."""
     def n(b):
         return F.size(F.filter("gap", lambda x: x.getField("bucket") == b)).cast("long")
     must = F.transform(F.filter("gap", lambda x: x.getField("bucket") == "must_add"), lambda x: x.getField("keyword"))
@@ -481,8 +525,12 @@ def doc_overall(spark, sf_dir):
 def before_after(spark, sf_dir):
     """Each document before and after appending its missed keywords as a
     ``Skills:`` line."""
-    d, terms = _documents_with_keywords(spark, sf_dir)
-    d = ats.score_documents(d, name="before", terms=terms)
+    d = T.read(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("pool"))
+    return _before_after(d, ats.Terms(language_keywords(spark, sf_dir)))
+
+
+def _before_after(d, terms):
+    d = ats.score_documents(ats.with_keywords(d, terms), name="before", terms=terms)
     missed = F.get(ats.tier_values("before_coverage", "misses"), len(ats.TIERS) - 1)
     d = ats.once(d, "after_text", F.concat(F.col("text"), F.lit("\nSkills: "), F.array_join(F.array_sort(missed), ", ")))
     return ats.before_after(ats.score_documents(d, F.col("after_text"), "after", terms))
@@ -584,6 +632,12 @@ def queue_drops(spark, sf_dir):
                                                      dropped=gone.select(F.col("job_id").cast("string").alias("job_id"))))
 
 
+@query("applied_rows")
+def applied_rows(spark, sf_dir):
+    """Applications that have been sent, and nothing else."""
+    return apps.applied_view(app_upsert(spark, sf_dir)).select("job_id", "company", "status")
+
+
 @query("apply_queue")
 def apply_queue(spark, sf_dir):
     return apps.queue_decisions(app_upsert(spark, sf_dir), daily_cap=QUEUE_CAP)
@@ -697,7 +751,7 @@ def _watched(spark, sf_dir, max_files=None, lookback="7 days"):
     """W1-W6 over all landed events; returns the table that the watcher kept."""
     import uuid
     table = scratch_path(spark, f"streams/status/{uuid.uuid4().hex}")
-    sinks.save_snapshot(spark, status_stream.initial_state(_event_applications(spark, sf_dir)), table, 1)
+    sinks.save_snapshot(spark, status_stream.initial_state(_event_applications(spark, sf_dir)), table, 1, key="job_id")
     msgs = _message_rows(status_stream.message_stream(spark, sf_dir, EVENT_SCHEMA, table="events", max_files_per_trigger=max_files))
     msgs = status_stream.dedupe_messages(msgs, id_col="msg_id", time_col="ts", lookback=lookback)
     status_stream.start_watch(msgs, table, checkpoint=f"{table}/_stream").awaitTermination()
@@ -745,7 +799,7 @@ def request_rows(spark, sf_dir):
     d = T.read(spark, sf_dir, "documents")
     r = requests.request_rows(d, ["doc_id"], KEYWORD_REQUEST_TEMPLATE,
                               {"role": F.col("source"), "job_description": F.col("text")})
-    return r.select("doc_id", "request_key", F.length("prompt").cast("long").alias("prompt_chars"))
+    return r.select("doc_id", "request_key", F.length("prompt").cast("long").alias("prompt_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 def _responses(spark, sf_dir):
@@ -903,6 +957,33 @@ def salary_display(spark, sf_dir):
 
 # ---------------------------------------------------------- rows-only ops ----
 
+VECTOR_WIDTH = 64
+
+
+@query("hashed_vectors")
+def hashed_vectors(spark, sf_dir):
+    """K1 by a producer: unit vectors of hashed TF-IDF for all documents, as rows of the
+    slots that are not zero."""
+    d = T.read(spark, sf_dir, "documents")
+    d = spooled(d.select("doc_id", F.array_join(keywords.doc_tokens(d), " ").alias("text")))
+    v = embeddings.embed(d, embeddings.HashedTfIdf.fit(d, VECTOR_WIDTH))
+    return v.select("doc_id", F.posexplode("vector").alias("slot", "w")).filter("w <> 0").select("doc_id", F.col("slot").cast("long").alias("slot"), F.round(F.col("w").cast("double"), 4).alias("weight"))
+
+
+@query("phrase_cosine")
+def phrase_cosine(spark, sf_dir):
+    """K3 by vectors: the best phrases of each document that has a vector, scored by the
+    cosine of the phrase's vector with the document's; the embeddings are both tables (a
+    phrase has the vector that its MD5 names)."""
+    e = T.read(spark, sf_dir, "embeddings")
+    docs = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    top = spooled(keywords.top_phrases(_docs_by_source(spark, sf_dir), top_per_doc=TOP_PER_DOC).select("doc_id", "pool", "n", "phrase"))
+    n = e.count()
+    vecs = (top.select("phrase").distinct().withColumn("of", embeddings.term_slot(F.col("phrase"), n))
+               .join(docs, F.col("of") == F.col("doc_id")).select("phrase", "vector"))
+    return embeddings.cosine_scores(top, docs, vecs).select("doc_id", "pool", "n", "phrase", F.round("score", 6).alias("score"))
+
+
 @query("phrase_mmr")
 def phrase_mmr(spark, sf_dir):
     """K4: MMR re-ranking of every scored phrase of each document."""
@@ -1062,7 +1143,7 @@ def skill_order(spark, sf_dir):
     lists = kw.groupBy("pool").agg(
         F.array_sort(F.collect_list(F.when(F.col("tier") == "critical", F.col("keyword")))).alias("crit"),
         F.array_sort(F.collect_list(F.when(F.col("tier") == "recommended", F.col("keyword")))).alias("rec"))
-    c = candidates(spark, sf_dir).withColumn("pool", (F.col("candidate_id") % 2).cast("string")).join(lists, "pool", "left")
+    c = candidates(spark, sf_dir).withColumn("pool", (F.col("candidate_id") % 3).cast("string")).join(lists, "pool", "left")
     empty = F.array().cast("array<string>")
     skills = F.transform(F.col("resume.skills"), lambda s: F.lower(s))
     order = resume.reorder_skills(skills, F.coalesce("crit", empty), F.coalesce("rec", empty))
@@ -1072,8 +1153,8 @@ def skill_order(spark, sf_dir):
 @query("tailoring_check")
 def tailoring_check(spark, sf_dir):
     """J10 + P14 + Q7: a role's bullets (another one per candidate) overlaid with a rewrite,
-    education entries naming a class dropped, and for some candidates an employer renamed
-    and a skill lost; the check reports what changed."""
+    education entries naming a class dropped, and for some candidates employers renamed, a
+    skill lost, a certificate exchanged and a degree added; the check reports what changed."""
     k = F.col("candidate_id")
     school = F.array(F.struct(F.lit("Class XII").alias("degree"), F.lit("School").alias("institution"), F.lit("").alias("location"),
                               F.lit("").alias("start_date"), F.lit("").alias("end_date"), F.lit("").alias("details")))
@@ -1083,11 +1164,18 @@ def tailoring_check(spark, sf_dir):
     after = resume.drop_class_education(resume.overlay_bullets(F.col("resume"), rewrites))
     after = F.when(k % 5 == 0, after.withField("experience", F.transform(after.getField("experience"), lambda e: e.withField("company", F.lit("Renamed"))))
                    .withField("skills", F.slice(after.getField("skills"), 2, F.size(after.getField("skills")) + 1))).otherwise(after)
-    ch = resume.tailoring_changes(F.col("resume"), after)
-    first = F.get(after.getField("experience"), 0)
-    return c.select("candidate_id", F.size(ch.getField("employers_removed")).cast("long").alias("employers_removed"),
-                    F.size(ch.getField("education_removed")).cast("long").alias("education_removed"),
-                    F.size(ch.getField("skills_removed")).cast("long").alias("skills_removed"),
+    cert = F.array(F.struct(F.lit("Forklift licence").alias("name"), F.lit("").alias("issuer"), F.lit("").alias("date")))
+    degree = F.array(F.struct(F.lit("M.Sc. Logistics").alias("degree"), *[F.lit("").alias(x) for x in ("institution", "location", "start_date", "end_date", "details")]))
+    after = F.when(k % 7 == 0, after.withField("certifications", cert)).otherwise(after)
+    after = F.when(k % 11 == 0, after.withField("education", F.concat(after.getField("education"), degree))).otherwise(after)
+    c = c.select("candidate_id", "resume", F.inline(F.array(F.struct(after.alias("after")))))
+    ch, first = resume.tailoring_changes(F.col("resume"), F.col("after")), F.get(F.col("after.experience"), 0)
+    c = c.select("candidate_id", first.alias("first"), F.inline(F.array(F.struct(ch.alias("ch")))))
+    counted = ("employers_removed", "education_removed", "skills_removed")
+    listed = ("employers_added", "education_added", "certs_removed", "certs_added", "numbers_lost", "names_lost")
+    ch, first = F.col("ch"), F.col("first")
+    return c.select("candidate_id", *[F.size(ch.getField(f)).cast("long").alias(f) for f in counted],
+                    *[F.array_join(F.array_sort(ch.getField(f)), "|").alias(f) for f in listed],
                     F.array_join(F.coalesce(first.getField("bullets"), F.array().cast("array<string>")), "|")
                     .alias("first_bullets"))
 
@@ -1175,6 +1263,24 @@ def tailoring_gate(spark, sf_dir):
     return ats.tailoring_gate(d, language_keywords(spark, sf_dir), threshold=TAILOR_THRESHOLD)
 
 
+@query("role_dashboard")
+def role_dashboard(spark, sf_dir):
+    """A13 in full, languages as roles: the best postings per role (a posting's role is the
+    language of its text), the role's critical keywords, what its documents as résumés must
+    add on average, and their scores before and after their missed keywords are appended."""
+    d = T.read(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("pool"))
+    role = d.select(F.col("doc_id").alias("of"), "pool")
+    p = T.embedded_postings(spark, sf_dir).drop("pool").join(role, F.col("job_id") == F.col("of")).drop("of")
+    e = T.read(spark, sf_dir, "embeddings").join(role, F.col("vec_id") == F.col("of"))
+    cands = e.groupBy("pool").agg(F.min("vec_id").alias("candidate_id"), F.min_by("embedding", "vec_id").alias("cand_embedding"))
+    top = rank.top_n_per_candidate(rank.rank_postings(p, cands, as_of=T.AS_OF), 3)
+    kw = spooled(language_keywords(spark, sf_dir))
+    gaps = keywords.gap_analysis(d.select("pool", F.col("doc_id").alias("candidate_id"), tx.resume_tokens(F.col("text")).alias("tokens")), kw)
+    must = gaps.select("pool", F.size(F.filter("gap", lambda x: x.getField("bucket") == "must_add")).alias("n_must_add"))
+    reports = _before_after(d, ats.Terms(kw)).filter("metric = 'Overall ATS score'").join(role, F.col("doc_id") == F.col("of"))
+    return rank.role_summary(top, keywords=kw, gaps=must, reports=reports)
+
+
 @query("best_role")
 def best_role(spark, sf_dir):
     """the role pool with the best baseline composite (ties: lowest pool id)."""
@@ -1200,13 +1306,13 @@ def document_files(spark, sf_dir):
 
 @query("app_snapshot")
 def app_snapshot(spark, sf_dir):
-    """The upserted table saved as version 1, the status changes as version 2;
-    readers see the current version."""
+    """The upserted table saved as version 1, bucketed by application; the status
+    changes as version 2, in the buckets that they touch; readers see the current version."""
     import uuid
     path = scratch_path(spark, f"tables/applications/{uuid.uuid4().hex[:12]}")
-    sinks.save_snapshot(spark, app_upsert(spark, sf_dir), path)
-    out, _ = apps.set_status(sinks.load_snapshot(spark, path, apps.SCHEMA), _status_updates(spark, sf_dir))
-    sinks.save_snapshot(spark, out, path)
+    sinks.save_snapshot(spark, app_upsert(spark, sf_dir), path, key="job_id")
+    updates = spooled(_status_updates(spark, sf_dir))
+    sinks.save_changes(spark, path, apps.SCHEMA, lambda rows: apps.set_status(rows, updates)[0], updates, key="job_id")
     cur = sinks.load_snapshot(spark, path, apps.SCHEMA)
     return cur.select("job_id", "status", "applied_at", "last_response_at", "last_response_summary", "notes")
 

@@ -176,6 +176,10 @@ SELECT pool, count(*) AS n_postings, count(salary_mid_lpa) AS n_known, round(med
        round(coalesce(nullif(stddev_pop(salary_mid_lpa), 0), 1.0::DOUBLE), 4) AS std_mid
 FROM sal GROUP BY pool"""
 
+ORACLE["salary_sketch"] = "WITH " + POSTINGS_CTE + "," + SALARY_CTE.format(src="postings") + """
+SELECT pool, count(*) AS n_known, q AS quantile, true AS within_error FROM sal, (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS q)
+WHERE salary_mid_lpa IS NOT NULL GROUP BY pool, q"""
+
 ORACLE["salary_distribution"] = "WITH " + POSTINGS_CTE + "," + SALARY_CTE.format(src="postings") + """
 SELECT CAST(CASE WHEN salary_mid_lpa < 0 THEN 0 WHEN salary_mid_lpa >= 500 THEN 11
                  ELSE floor(salary_mid_lpa / 50.0::DOUBLE) + 1 END AS BIGINT) AS bucket,
@@ -481,10 +485,10 @@ _REPORT_ORDER = """CASE tier WHEN 'critical' THEN 1 WHEN 'recommended' THEN 2 EL
                         WHEN 'soft_skill' THEN 5 ELSE 99 END, frequency DESC, keyword"""
 _DOCS_SRC = "src AS (SELECT doc_id, source AS pool, text FROM documents),"
 _LANG_SRC = "src AS (SELECT doc_id, lang AS pool, text FROM documents),"
-_PART_SRC = """src AS (SELECT * FROM (SELECT p_partkey AS doc_id,
+_PART_SRC = """src AS (SELECT p_partkey AS doc_id,
          CASE WHEN p_type = 'PROMO' OR (p_type = 'SMALL' AND p_size < 25) THEN '0'
-              WHEN p_type = 'LARGE' OR (p_type = 'MEDIUM' AND p_size < 25) THEN '1' END AS pool,
-         p_type || ' ' || p_name AS text FROM part) WHERE pool IS NOT NULL),"""
+              WHEN p_type = 'LARGE' OR (p_type = 'MEDIUM' AND p_size < 25) THEN '1' ELSE '2' END AS pool,
+         p_type || ' ' || p_name AS text FROM part),"""
 
 ORACLE["phrase_topn"] = lambda: "WITH " + _DOCS_SRC + score_ctes("src") + f"""
 SELECT pool, doc_id, n, phrase, tf, score, rank FROM (
@@ -500,6 +504,19 @@ SELECT doc_id, phrase AS term, round(score / sqrt(sum(score * score) OVER (PARTI
 FROM sc WHERE n = 1"""
 
 
+ORACLE["hashed_vectors"] = lambda: "WITH src AS (SELECT doc_id, 'all' AS pool, text FROM documents)," + gram_ctes("src") + """,
+sl AS (SELECT doc_id, ('0x' || substr(md5(phrase), 1, 8))::BIGINT % 64 AS slot, count(*) AS tf FROM grams WHERE n = 1 GROUP BY 1, 2),
+idf AS (SELECT slot, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM sl GROUP BY slot),
+w AS (SELECT doc_id, sl.slot, tf * idf AS w FROM sl JOIN idf ON idf.slot = sl.slot)
+SELECT doc_id, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 4) AS weight FROM w"""
+
+ORACLE["phrase_cosine"] = lambda: "WITH " + _DOCS_SRC + score_ctes("src") + f""",
+top AS (SELECT pool, doc_id, n, phrase FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY score DESC, phrase) AS rank FROM sc) WHERE rank <= 30 AND {_KEPT})
+SELECT top.doc_id, top.pool, top.n, top.phrase, round(list_cosine_similarity(d.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score
+FROM top JOIN embeddings d ON d.vec_id = top.doc_id
+JOIN embeddings p ON p.vec_id = ('0x' || substr(md5(top.phrase), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)"""
+
 def _coverage_ctes(text_expr: str = "text") -> str:
     return ("\ncd AS MATERIALIZED (SELECT doc_id, source, lang, regexp_replace(lower(coalesce(" + text_expr
             + ", '')), '\\s+', ' ', 'g') AS hay FROM documents),"
@@ -809,7 +826,7 @@ ORACLE["request_rows"] = """
 WITH r AS (SELECT doc_id, 'Classify the key phrases of a ' || coalesce(source, '') || ' posting.' || chr(10)
                   || 'Return JSON {"keywords": [...]}.' || chr(10) || '---' || chr(10) || coalesce(text, '')
                   AS prompt FROM documents)
-SELECT doc_id, substr(sha1(prompt), 1, 16) AS request_key, CAST(length(prompt) AS BIGINT) AS prompt_chars FROM r"""
+SELECT doc_id, substr(sha1(prompt), 1, 16) AS request_key, CAST(length(prompt) AS BIGINT) AS prompt_chars, sha256(prompt) AS prompt_sha256 FROM r"""
 
 _FENCE = "(?i)```(?:json)?\\s*([\\s\\S]*?)```"
 ORACLE["response_rows"] = """
@@ -971,9 +988,30 @@ SELECT candidate_id, array_to_string(list_transform(list_sort(list_transform(ski
          'b': CASE WHEN len(list_filter(kl.crit, lambda k: contains(s, k) OR contains(k, s))) > 0 THEN 0
                    WHEN len(list_filter(kl.rec, lambda k: contains(s, k) OR contains(k, s))) > 0 THEN 1 ELSE 2 END,
          'i': i, 's': s})), lambda x: x.s), ', ') AS skills_ordered
-FROM cs JOIN kl ON kl.pool = CAST(cs.candidate_id % 2 AS VARCHAR)"""
+FROM cs JOIN kl ON kl.pool = CAST(cs.candidate_id % 3 AS VARCHAR)"""
 
 ORACLE["tailoring_check"] = "WITH " + _LI_RANKED + """,
+bl AS (SELECT l_orderkey, role_rank, printf('Shipped %d units at %d%% discount', CAST(l_quantity AS INTEGER), CAST(round(l_discount * 100) AS INTEGER)) AS b FROM li
+       UNION ALL SELECT l_orderkey, role_rank, 'Handled a return' FROM li WHERE l_returnflag = 'R'),
+piece AS (
+  SELECT o_orderkey AS cid, 'Order ' || o_orderpriority || ' placed with status ' || o_orderstatus || '.' AS s, true AS old, true AS new FROM orders
+  UNION ALL SELECT l_orderkey, p_name, true, true FROM li
+  UNION ALL SELECT l_orderkey, s_name, true, l_orderkey % 5 <> 0 FROM li
+  UNION ALL SELECT l_orderkey, 'Renamed', false, true FROM li WHERE l_orderkey % 5 = 0
+  UNION ALL SELECT l_orderkey, strftime(l_shipdate, '%b %Y'), true, true FROM li
+  UNION ALL SELECT l_orderkey, CASE WHEN l_linestatus = 'O' THEN 'Present' ELSE strftime(l_shipdate + INTERVAL 30 DAY, '%b %Y') END, true, true FROM li
+  UNION ALL SELECT l_orderkey, b, true, role_rank - 1 <> l_orderkey % 2 FROM bl
+  UNION ALL SELECT l_orderkey, 'Rewritten bullet of ' || CAST(l_orderkey AS VARCHAR), false, true FROM li WHERE role_rank - 1 = l_orderkey % 2
+  UNION ALL SELECT o_orderkey, unnest(['B.Sc. ' || r_name, n_name || ' University', CAST(year(o_orderdate) - 4 AS VARCHAR), CAST(year(o_orderdate) AS VARCHAR)]), true, true
+            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT o_orderkey, unnest(['Class XII', 'School']), true, false FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, 'M.Sc. Logistics', false, true FROM orders WHERE o_orderkey % 11 = 0
+  UNION ALL SELECT o_orderkey, 'Priority ' || o_orderpriority, true, o_orderkey % 7 <> 0 FROM orders
+  UNION ALL SELECT o_orderkey, 'Forklift licence', false, true FROM orders WHERE o_orderkey % 7 = 0),
+token AS (SELECT cid, old, new, 'number' AS kind, unnest(regexp_extract_all(s, '\\p{Sc}?\\p{N}+(?:[.,:/-]\\p{N}+)*[%\\p{L}]*')) AS t FROM piece
+          UNION ALL SELECT cid, old, new, 'name', unnest(regexp_extract_all(s, '(?:^|[^\\p{L}\\p{N}])(\\p{Lu}[\\p{L}\\p{N}&''’-]*)', 1)) FROM piece),
+lost AS (SELECT cid, kind, string_agg(t, '|' ORDER BY t) AS lost
+         FROM (SELECT cid, kind, t FROM token GROUP BY cid, kind, t HAVING bool_or(old) AND NOT bool_or(new)) GROUP BY cid, kind),
 n AS (SELECT l_orderkey, count(*) AS n_roles, count(DISTINCT s_name) AS n_firms, count(DISTINCT p_type) AS n_skills FROM li GROUP BY l_orderkey),
 f AS (SELECT *, printf('Shipped %d units at %d%% discount', CAST(l_quantity AS INTEGER), CAST(round(l_discount * 100) AS INTEGER))
              || CASE WHEN l_returnflag = 'R' THEN '|Handled a return' ELSE '' END AS bullets FROM li WHERE role_rank = 1)
@@ -981,8 +1019,14 @@ SELECT o_orderkey AS candidate_id, CAST(CASE WHEN o_orderkey % 5 = 0 THEN coales
        CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS education_removed,
        CAST(CASE WHEN o_orderkey % 5 = 0 AND coalesce(n.n_skills, 0) > 0 THEN 1 ELSE 0 END AS BIGINT) AS skills_removed,
        CASE WHEN n.n_roles IS NULL THEN '' WHEN o_orderkey % 2 = 0 THEN 'Rewritten bullet of ' || CAST(o_orderkey AS VARCHAR)
-            ELSE f.bullets END AS first_bullets
-FROM orders LEFT JOIN n ON n.l_orderkey = o_orderkey LEFT JOIN f ON f.l_orderkey = o_orderkey"""
+            ELSE f.bullets END AS first_bullets,
+       CASE WHEN o_orderkey % 5 = 0 AND n.n_roles IS NOT NULL THEN 'Renamed' ELSE '' END AS employers_added,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'M.Sc. Logistics' ELSE '' END AS education_added,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'Priority ' || o_orderpriority ELSE '' END AS certs_removed,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'Forklift licence' ELSE '' END AS certs_added,
+       coalesce(nums.lost, '') AS numbers_lost, coalesce(names.lost, '') AS names_lost
+FROM orders LEFT JOIN n ON n.l_orderkey = o_orderkey LEFT JOIN f ON f.l_orderkey = o_orderkey
+LEFT JOIN lost nums ON nums.cid = o_orderkey AND nums.kind = 'number' LEFT JOIN lost names ON names.cid = o_orderkey AND names.kind = 'name'"""
 
 ORACLE["resume_merge"] = "WITH " + _LI_RANKED + """,
 sk AS (SELECT l_orderkey, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS skills, count(DISTINCT role_rank) AS n_roles FROM li GROUP BY l_orderkey)
@@ -1107,6 +1151,55 @@ SELECT CAST(job_id AS VARCHAR) AS job_id, 'api' AS source, company, title, city
        apply_link, 'queued' AS status, '2001-08-02 00:00:00' AS queued_at, 'artifacts/' || CAST(job_id AS VARCHAR) AS artifact_dir
 FROM final"""
 
+ORACLE["applied_rows"] = _UPSERT_CTE + "\nSELECT job_id, company, status FROM ups WHERE status = 'applied'"
+
+ORACLE["rank_penalised"] = "WITH " + ",".join([
+    POSTINGS_CTE, EMB_CTE, FILTER_CTE,
+    "\np0 AS (SELECT p.* EXCLUDE (pool), e.label AS pool, e.emb, f.is_recruiter FROM postings p JOIN emb e ON e.vec_id = p.job_id"
+    " JOIN fcr f ON f.job_id = p.job_id)",
+    SALARY_CTE.format(src="p0"), STATS_CTE,
+    "\ncand AS (SELECT label AS pool, min(vec_id) AS candidate_id, arg_min(emb, vec_id) AS cemb FROM emb GROUP BY label)",
+    RANKED_SELECT.replace("sc.job_apply_link AS apply_link", "sc.job_apply_link AS apply_link, sc.is_recruiter")
+                 .replace("/ 1.0::DOUBLE, 4) AS composite_score", "/ 1.0::DOUBLE - CASE WHEN is_recruiter THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END, 4) AS composite_score")]) + """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, pool ORDER BY composite_score DESC, job_id) AS rank FROM final)
+WHERE rank <= 3"""
+
+ORACLE["keyword_gap_text"] = lambda: "WITH " + _LANG_SRC + keyword_ctes("src") + """,
+ct AS (SELECT conv_id * 1000 + turn AS conv_id, (['en', 'fr', 'de', 'es'])[CAST(conv_id % 4 AS INTEGER) + 1] AS pool,
+              regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') AS hay FROM conversations),
+g AS (SELECT ct.conv_id, k.keyword,
+             CASE WHEN k.keyword IS NULL THEN NULL
+                  WHEN (k.keyword <> '' AND contains(ct.hay, lower(k.keyword))) OR (k.display <> '' AND contains(ct.hay, lower(k.display)))
+                  THEN 'already_have' WHEN k.tier = 'critical' THEN 'must_add' ELSE 'should_emphasize' END AS bucket
+      FROM ct LEFT JOIN mk k ON k.pool = ct.pool)
+SELECT conv_id, count(*) FILTER (WHERE bucket = 'already_have') AS n_already_have,
+       count(*) FILTER (WHERE bucket = 'must_add') AS n_must_add,
+       count(*) FILTER (WHERE bucket = 'should_emphasize') AS n_should_emphasize,
+       coalesce(array_to_string(list_sort(list(keyword) FILTER (WHERE bucket = 'must_add')), '|'), '') AS must_add
+FROM g GROUP BY conv_id"""
+
+ORACLE["role_dashboard"] = lambda: ("WITH " + ",".join([
+    POSTINGS_CTE, EMB_CTE,
+    "\np0 AS (SELECT p.* EXCLUDE (pool), d.lang AS pool, e.emb FROM postings p JOIN emb e ON e.vec_id = p.job_id JOIN documents d ON d.doc_id = p.job_id)",
+    SALARY_CTE.format(src="p0"), STATS_CTE,
+    "\ncand AS (SELECT d.lang AS pool, min(vec_id) AS candidate_id, arg_min(emb, vec_id) AS cemb FROM emb JOIN documents d ON d.doc_id = vec_id GROUP BY d.lang)",
+    RANKED_SELECT, """
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, pool ORDER BY composite_score DESC, job_id) AS rank FROM final) WHERE rank <= 3)""",
+    _LANG_SRC.rstrip(",") + "," + keyword_ctes("src"), _doc_report_ctes("text", ""), _doc_report_ctes(_AFTER_TEXT, "a"), """
+rtk AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(coalesce(text, '')), """ + _q(_tx.TOKEN_PATTERN) + """)) AS tokens FROM documents),
+must AS (SELECT rtk.doc_id, rtk.lang, count(*) FILTER (k.tier = 'critical' AND len(list_filter(rtk.tokens, lambda t: contains(t, k.keyword)
+                OR contains(t, lower(k.display)))) = 0) AS n FROM rtk LEFT JOIN mk k ON k.pool = rtk.lang GROUP BY rtk.doc_id, rtk.lang),
+ga AS (SELECT lang AS pool, """ + _rhu("avg(n)", 2) + """ AS mean_must_add FROM must GROUP BY lang),
+rp AS (SELECT d.lang AS pool, """ + _rhu("avg(b.overall)", 1) + " AS before_pct, " + _rhu("avg(a.overall)", 1) + """ AS after_pct
+       FROM rep b JOIN repa a ON a.doc_id = b.doc_id JOIN documents d ON d.doc_id = b.doc_id GROUP BY d.lang),
+cr AS (SELECT pool, count(*) FILTER (tier = 'critical') AS n_critical FROM mk GROUP BY pool)
+SELECT top.pool, count(*) AS n_ranked, coalesce(max(salary_mid_lpa), 0.0::DOUBLE) AS best_salary_lpa,
+       median(salary_mid_lpa) AS median_top_salary_lpa, max(composite_score) AS best_composite,
+       arg_max(job_id, (composite_score, -job_id)) AS best_job_id, round(avg(fit_score), 4) AS avg_fit,
+       any_value(cr.n_critical) AS n_critical, any_value(ga.mean_must_add) AS mean_must_add, any_value(rp.before_pct) AS before_pct,
+       any_value(rp.after_pct) AS after_pct, any_value(""" + _rhu("rp.after_pct - rp.before_pct", 1) + """) AS delta
+FROM top LEFT JOIN cr ON cr.pool = top.pool LEFT JOIN ga ON ga.pool = top.pool LEFT JOIN rp ON rp.pool = top.pool GROUP BY top.pool"""]))
+
 ORACLE["queue_drops"] = _UPSERT_CTE + "," + FILTER_CTE + """,
 q AS (SELECT *, substr(queued_at, 1, 10) AS queue_day, job_id IN (SELECT CAST(f.job_id AS VARCHAR) FROM fc f WHERE f.drop_reason IS NOT NULL) AS gone
       FROM ups WHERE """ + _CUR + """ = 'queued'),

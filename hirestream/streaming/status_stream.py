@@ -4,7 +4,9 @@
 the lateness bound) -> ``dropDuplicatesWithinWatermark`` on the message id (processed
 once, state bounded by the watermark) -> ``foreachBatch``: each micro-batch joins the
 current snapshot of the applications (so a change made elsewhere is seen), folds its
-messages into it and commits the next snapshot version.
+messages into it and commits the next snapshot version. The snapshot is bucketed by
+application: a batch reads and writes the buckets of its messages and no others, and its
+counters are observed on the rows as they are written (W6).
 
 A version belongs to a batch id. A batch that is replayed after a failure finds its
 version committed and changes nothing, or writes the same version again; the streaming
@@ -13,7 +15,7 @@ counters live under the shared folder named by ``spark.checkpoint.dir``.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.status import current_status, status_rank
@@ -50,19 +52,25 @@ def initial_state(applications: DataFrame, default_status: str = "applied") -> D
         F.lit(None).cast(_BEST).alias("best"), F.lit(0).cast("long").alias("n_messages"), F.lit(0).cast("long").alias("n_candidates"))
 
 
-def fold_batch(state: DataFrame, messages: DataFrame) -> DataFrame:
+def fold_batch(state: DataFrame, messages: DataFrame, observed: Observation | None = None) -> DataFrame:
     """``state`` after a batch of ``messages`` (``job_id, label, msg_id,
     _event_time``): the same arithmetic as the batch fold, so any cut into batches gives
     what one batch gives. The join is left to Spark; an application with very many
-    messages is combined before the shuffle."""
+    messages is combined before the shuffle. ``observed`` gets the counters of
+    :func:`poll_counts` when the result is computed."""
     r = status_rank(F.col("label"))
     cand = F.when(r > status_rank(F.col("start_status")), F.struct(
         r.alias("rank"), (-F.unix_micros("_event_time")).alias("nts"), (-F.col("msg_id")).alias("nid"),
         F.col("label").alias("status"), F.col("_event_time").alias("ts")))
     new = (messages.join(state.select("job_id", "start_status"), "job_id").groupBy("job_id")
                    .agg(F.max(cand).alias("new_best"), F.count(F.lit(1)).alias("new_messages"), F.count(cand).alias("new_candidates")))
-    return state.join(new, "job_id", "left").select(
-        "job_id", "start_status", F.greatest("best", F.col("new_best").cast(_BEST)).alias("best"),
+    j = state.join(new, "job_id", "left").withColumn("_best", F.greatest("best", F.col("new_best").cast(_BEST)))
+    if observed is not None:
+        moved = F.coalesce("_best.status", "start_status") != F.coalesce("best.status", "start_status")
+        j = j.observe(observed, F.coalesce(F.sum("new_messages"), F.lit(0)).cast("long").alias("checked"),
+                      F.coalesce(F.sum("new_candidates"), F.lit(0)).cast("long").alias("classified"), F.count_if(moved).cast("long").alias("advanced"))
+    return j.select(
+        "job_id", "start_status", F.col("_best").alias("best"),
         (F.col("n_messages") + F.coalesce("new_messages", F.lit(0))).alias("n_messages"),
         (F.col("n_candidates") + F.coalesce("new_candidates", F.lit(0))).alias("n_candidates"))
 
@@ -84,21 +92,27 @@ def poll_counts(before: DataFrame, after: DataFrame) -> DataFrame:
                  F.count_if(F.col("status") != F.col("status_b")).cast("long").alias("advanced"))
 
 
-def start_watch(messages: DataFrame, table: str, *, checkpoint: str, interval: str | None = None):
+def start_watch(messages: DataFrame, table: str, *, checkpoint: str, interval: str | None = None, buckets: int = 64):
     """Start the watcher on ``messages`` (:func:`dedupe_messages` of ``job_id, label,
     msg_id``), writing the applications' state to the versioned table ``table``, whose
     version 1 must hold the initial state. ``interval`` is the polling interval of a
     long-running watcher; without it all that has landed is processed and the query ends.
-    Counters of batch n are ``<table>/counts/batch=n``."""
+    Counters of batch n are ``<table>/counts/batch=n``. A table that is not bucketed yet
+    becomes so with the first batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, version = batch.sparkSession, batch_id + 2
         now = sinks.current_version(spark, table)
         if now is not None and now >= version:
             batch.write.format("noop").mode("overwrite").save()  # the stream's own state still has to be made
             return
-        before = sinks.load_snapshot(spark, table, STATE_SCHEMA)
-        sinks.save_snapshot(spark, fold_batch(before, batch), table, version)
-        poll_counts(before, sinks.load_snapshot(spark, table, STATE_SCHEMA)).write.mode("overwrite").parquet(f"{table}/counts/batch={batch_id}")
+        batch.persist()
+        try:
+            observed = Observation(f"batch {batch_id}")
+            sinks.save_changes(spark, table, STATE_SCHEMA, lambda before: fold_batch(before, batch, observed), batch, key="job_id", buckets=buckets, version=version)
+            counts = spark.createDataFrame([tuple(observed.get[n] for n in ("checked", "classified", "advanced"))], "checked long, classified long, advanced long")
+            counts.coalesce(1).write.mode("overwrite").parquet(f"{table}/counts/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()

@@ -153,3 +153,139 @@ def test_levels_that_cannot_reach_the_best_are_not_scored(spark):
     head = cands.join(levels.filter("head"), "pool").agg(F.sum("n")).first()[0]
     every = cands.join(posts, "pool").count()
     assert head + pairs < every / 2
+
+
+# ------------------------------------------------------ S7/J7 bucketed snapshots
+def _buckets_of(path, version):
+    import os
+    at = f"{path}/snapshot={version}"
+    return sorted(d for d in os.listdir(at) if d.startswith("bucket=")) if os.path.isdir(at) else []
+
+
+def test_a_change_of_one_key_writes_one_bucket(spark, tmp_path):
+    from hirestream.sources import sinks
+    path, schema = str(tmp_path / "t"), "job_id string, status string"
+    rows = spark.createDataFrame([(str(i), "queued") for i in range(300)], schema)
+    assert sinks.save_snapshot(spark, rows, path, key="job_id", buckets=16) == 1 and len(_buckets_of(path, 1)) == 16
+    keys = spark.createDataFrame([("7",)], "job_id string")
+    change = lambda d: d.withColumn("status", F.when(F.col("job_id") == "7", "applied").otherwise(F.col("status")))
+    assert sinks.save_changes(spark, path, schema, change, keys, key="job_id") == 2 and len(_buckets_of(path, 2)) == 1
+    now = {r.job_id: r.status for r in sinks.load_snapshot(spark, path, schema).collect()}
+    assert now == {str(i): "applied" if i == 7 else "queued" for i in range(300)}
+    # the same version again changes nothing; no keys write no bucket; a new column is null elsewhere
+    assert sinks.save_changes(spark, path, schema, change, keys, key="job_id", version=2) == 2
+    assert sinks.save_changes(spark, path, schema, lambda d: d, keys.limit(0), key="job_id") == 3 and _buckets_of(path, 3) == []
+    sinks.save_changes(spark, path, schema, lambda d: d.withColumn("extra", F.lit(1)), keys, key="job_id")
+    got = sinks.load_snapshot(spark, path, schema)
+    assert got.count() == 300 and got.filter("extra = 1 and job_id = '7'").count() == 1 and got.filter("extra is null").count() > 200
+    # all rows of a bucket may go, and rows may come
+    sinks.save_changes(spark, path, schema, lambda d: d.filter("false"), keys, key="job_id")
+    left = sinks.load_snapshot(spark, path, schema)
+    assert left.filter("job_id = '7'").isEmpty() and 200 < left.count() < 300
+    with pytest.raises(ValueError):
+        sinks.save_snapshot(spark, rows, path, key="job_id", buckets=8, touched=[1])
+
+
+def test_a_plain_table_becomes_bucketed(spark, tmp_path):
+    from hirestream.sources import sinks
+    path, schema = str(tmp_path / "t"), "job_id long, n long"
+    sinks.save_snapshot(spark, spark.range(50).selectExpr("id as job_id", "0L as n"), path)
+    sinks.save_changes(spark, path, schema, lambda d: d.withColumn("n", F.lit(5).cast("long")), spark.range(1).selectExpr("id as job_id"), key="job_id", buckets=4)
+    assert sinks.manifest(spark, path)[2] == 4 and sinks.load_snapshot(spark, path, schema).filter("n = 5").count() == 50
+
+
+def test_watcher_writes_the_buckets_of_its_messages_and_observes_its_counters(spark, tmp_path):
+    """Small batches touch few buckets; counters observed on the way equal those that
+    two snapshots compared would give."""
+    from hirestream.sources import sinks
+    from hirestream.streaming import status_stream as ss
+    table, schema = str(tmp_path / "table"), "job_id long, label string, msg_id long, _event_time timestamp"
+    apps = spark.range(400).selectExpr("id as job_id", "'applied' as status")
+    sinks.save_snapshot(spark, ss.initial_state(apps), table, 1, key="job_id", buckets=32)
+    labels = ["interview", "screening", "rejected", "applied", "viewed", None]
+    rng, msg = random.Random(3), 0
+    for batch in range(3):
+        rows = []
+        for _ in range(4):
+            msg += 1
+            rows.append((rng.randrange(400), rng.choice(labels), msg, f"2024-01-0{batch + 1} 00:00:0{msg % 10}"))
+        spark.createDataFrame(rows, "job_id long, label string, msg_id long, at string").selectExpr(
+            "job_id", "label", "msg_id", "cast(at as timestamp) as _event_time").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ss.start_watch(stream, table, checkpoint=str(tmp_path / "cp")).awaitTermination()
+    assert sinks.current_version(spark, table) == 4
+    assert all(0 < len(_buckets_of(table, v)) <= 4 for v in (2, 3, 4))
+    final = sinks.load_snapshot(spark, table, ss.STATE_SCHEMA)
+    whole = ss.fold_batch(ss.initial_state(apps), spark.read.parquet(str(tmp_path / "in")))
+    assert sorted(map(str, ss.statuses(final).collect())) == sorted(map(str, ss.statuses(whole).collect()))
+    counts = spark.read.parquet(f"{table}/counts/*").agg(F.sum("checked"), F.sum("classified")).first()
+    once = ss.poll_counts(ss.initial_state(apps), whole).first()
+    assert tuple(counts) == (once.checked, once.classified) and once.checked == 12
+
+
+# ------------------------------------------------------------- J6 substring index
+def _match(verdicts, known):
+    out = {}
+    for v in {x.strip(" ").lower() for x in verdicts if x is not None} - {""}:
+        hits = [(o, c.strip(" ").lower()) for c, o in known if c is not None and c.strip(" ") and (v in c.strip(" ").lower() or c.strip(" ").lower() in v)]
+        if hits:
+            out[v] = min(hits)[1]
+    return out
+
+
+def test_companies_match_as_by_all_pairs(spark):
+    from hirestream.operators import mail
+    rng = random.Random(11)
+    names = ["".join(rng.choices("abc ", k=rng.randrange(1, 9))) for _ in range(150)] + ["", None, "  ", "Acme", "acme corp", "a"]
+    verdicts = ["".join(rng.choices("abc ", k=rng.randrange(1, 12))) for _ in range(150)] + ["", None, "ACME Corporation", "zzz", "zz", "z", "ab" * 3000]
+    known = [(n, i) for i, n in enumerate(names)]
+    got = mail.match_companies(spark.createDataFrame([(v,) for v in verdicts], "matched_company string"),
+                               spark.createDataFrame(known, "company string, company_order int"))
+    assert {r.verdict: r.company for r in got.collect()} == _match(verdicts, known)
+
+
+# ------------------------------------------------------ K1 producers, K3 by vectors
+class Lengths:
+    """A toy producer: a text's length and how often its task has opened it."""
+    width = 2
+
+    def open(self):
+        import numpy as np
+        opened = []
+        opened.append(1)
+        return lambda texts: np.array([[len(t), len(opened)] for t in texts], float)
+
+
+class Wrong(Lengths):
+    width = 3
+
+
+def test_a_producer_embeds_texts(spark):
+    from pyspark import cloudpickle
+    import sys
+    from hirestream.operators import embeddings
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    docs = spark.createDataFrame([(1, "abc"), (2, None), (3, ""), (None, "äö")], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.vector for r in embeddings.embed(docs, Lengths()).collect()}
+    assert got == {1: [3, 1], 2: [0, 0], 3: [0, 1], None: [2, 1]}
+    assert embeddings.embed(docs.limit(0), Lengths()).collect() == []
+    with pytest.raises(Exception, match="the producer gave"):
+        embeddings.embed(docs, Wrong()).collect()
+
+
+def test_phrase_cosines(spark):
+    import numpy as np
+    from hirestream.operators import embeddings
+    rng = np.random.default_rng(1)
+    dv = {i: rng.normal(size=5).tolist() for i in range(4)}
+    pv = {p: rng.normal(size=5).tolist() for p in "abc"} | {"zero": [0.0] * 5}
+    rows = [(i, p, n) for i in range(5) for n, p in enumerate(["a", "c", "zero", "unknown"])]
+    got = embeddings.cosine_scores(spark.createDataFrame(rows, "doc_id long, phrase string, n long"),
+                                   spark.createDataFrame(list(dv.items()), "doc_id long, vector array<double>"),
+                                   spark.createDataFrame(list(pv.items()), "phrase string, vector array<double>"))
+    want = {}
+    for i, p, n in rows:
+        if i in dv and p in pv:
+            a, b = np.array(dv[i]), np.array(pv[p])
+            want[i, p, n] = float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) if p != "zero" else 0.0
+    assert {(r.doc_id, r.phrase, r.n): pytest.approx(r.score) for r in got.collect()} == want
