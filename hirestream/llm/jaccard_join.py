@@ -26,7 +26,7 @@ need. Holders of a shingle meet only across components (see ``crossing``), so no
 a component is built and no pair of different components is left out.
 
 Equal sets are one node from the start: copies are collapsed within a block and never
-expanded. Nodes are 64 bits of a set's digest; two sets with the same bits stop the job.
+expanded. Nodes are 64 bits of a set's digest, or the other 64 where several sets share these.
 Signatures travel packed by (block, bucket); nothing but plain rows per node is joined.
 
 Defined results: null and empty text, and text without words, give an empty set linked
@@ -52,6 +52,7 @@ from .shingles import LANES, Block, mix
 SHINGLE = 5
 BLOCK_BYTES = 2 << 20
 _LAST = (1 << 63) - 1
+MAX_SHARED = 100_000
 _SINGLE = 64  # families from here on hold single shingles of a band
 
 
@@ -77,8 +78,10 @@ def _digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def _node(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+def _node(digest: bytes, taken: frozenset[int] = frozenset()) -> int:
+    """The first 64 bits of a digest, or the other 64 if several sets have these (``taken``)."""
+    first = int.from_bytes(digest[:8], "little", signed=True)
+    return first if first not in taken else int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +152,14 @@ def _send(segments: list[tuple[int, int, int, np.ndarray]], buckets: int, drop_b
     return pa.RecordBatch.from_pydict(out, schema=_PACKED_ARROW)
 
 
-def _send_signatures(buckets: int):
+def _send_signatures(buckets: int, taken: frozenset[int] = frozenset()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunks(batches, BLOCK_BYTES):
             h, n = shingle_sets([r[1] for r in rows])
             ends, seen, segments = np.cumsum(n), set(), []
             for e, k in zip(ends.tolist(), n.tolist()):
                 own = h[e - k:e]
-                node = _node(_digest(own))
+                node = _node(_digest(own), taken)
                 if node not in seen:  # copies in a block count once
                     seen.add(node)
                     segments.extend((node, f, need, s) for f, need, s in signatures(own))
@@ -267,14 +270,17 @@ def _send_sets(buckets: int):
     return run
 
 
-def _sets_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets_of_nodes(taken: frozenset[int]):
     """Sets of documents whose set is the node that their row names."""
-    for rows in chunks(batches, BLOCK_BYTES):
-        h, n = shingle_sets([r[1] for r in rows])
-        ends = np.cumsum(n)
-        out = [(r[0], h[e - k:e].tobytes()) for r, e, k in zip(rows, ends.tolist(), n.tolist()) if _node(_digest(h[e - k:e])) == r[0]]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "elements"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in chunks(batches, BLOCK_BYTES):
+            h, n = shingle_sets([r[1] for r in rows])
+            ends = np.cumsum(n)
+            out = [(r[0], h[e - k:e].tobytes()) for r, e, k in zip(rows, ends.tolist(), n.tolist()) if _node(_digest(h[e - k:e]), taken) == r[0]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())],
+                                                 names=["node", "elements"])
+    return run
 
 
 def _similar(percent: int):
@@ -358,6 +364,34 @@ def link_nodes(groups: DataFrame, prefixes: DataFrame, sets: DataFrame) -> DataF
     return _merged(labels, _verified(pairs, sets))
 
 
+def _numbered(slim: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """``slim`` with one number per set, its nodes, and the 64-bit numbers that several sets
+    share: their sets are numbered by the other half of the digest. About n^2 / 2^65 of n sets
+    share one (24 of 3e10), so the list is short, which is checked."""
+    def grouped(rows: DataFrame) -> DataFrame:
+        return (rows.filter("n_shingles > 0").groupBy("node").agg(
+            F.min(F.struct("doc_id", "row_key")).alias("rep"), F.min("n_shingles").alias("size"), F.min("digest").alias("d0"), F.max("digest").alias("d1")))
+
+    nodes = grouped(slim)
+    taken = frozenset(r["node"] for r in nodes.filter("d0 <> d1").select("node").limit(MAX_SHARED + 1).collect())
+    if not taken:
+        return slim, nodes, taken
+    if len(taken) > MAX_SHARED:
+        raise ValueError(f"more than {MAX_SHARED} node numbers stand for several shingle sets")
+
+    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("node")
+            new = pa.array([_node(d, taken) for d in batch.column("digest").to_pylist()], pa.int64())
+            yield batch.set_column(at, "node", new)
+
+    slim = written(slim.mapInArrow(renumber, slim.schema), instead_of=slim)
+    nodes = grouped(slim)
+    if not nodes.filter("d0 <> d1").isEmpty():
+        raise ValueError("two different shingle sets agree in both halves of their numbers")
+    return slim, nodes, taken
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, row_key, n_shingles, label, component_id`` per row; a null id is the
     largest number, ``label`` is null for empty sets, and ``row_key`` hashes the text."""
@@ -368,18 +402,15 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
     keyed = texts.withColumn("row_key", F.xxhash64("text"))
     slim = written(keyed.mapInArrow(trimmed(_slim), "doc_id long, row_key long, n_shingles long, node long, digest binary"))
-    nodes = (slim.filter("n_shingles > 0").groupBy("node")
-                 .agg(F.min(F.struct("doc_id", "row_key")).alias("rep"), F.min("n_shingles").alias("size"), F.min("digest").alias("d0"), F.max("digest").alias("d1")))
-    if not nodes.filter("d0 <> d1").isEmpty():
-        raise ValueError("two different shingle sets have the same 64-bit node number")
+    slim, nodes, taken = _numbered(slim)
     nodes = nodes.select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.row_key").alias("rep_key"), "size")
 
-    shared = written(texts.mapInArrow(trimmed(_send_signatures(buckets)), _PACKED).groupBy("bucket")
+    shared = written(texts.mapInArrow(trimmed(_send_signatures(buckets, taken)), _PACKED).groupBy("bucket")
                           .applyInArrow(trimmed(_shared), "sig long, node long, family int, need int"))
     scores = written(shared.groupBy("node", "family").agg(F.count(F.lit(1)).alias("score"), F.max("need").alias("need"))
                            .filter("score >= need").select("node", "family", "score"))
     asked = scores.select("node").distinct().join(nodes, "node")
-    sets = written(_texts_of_nodes(asked.select("node", "rep", "rep_key"), keyed).mapInArrow(trimmed(_sets_of_nodes), "node long, elements binary"))
+    sets = written(_texts_of_nodes(asked.select("node", "rep", "rep_key"), keyed).mapInArrow(trimmed(_sets_of_nodes(taken)), "node long, elements binary"))
     rare = written(sets.mapInArrow(trimmed(_send_sets(buckets)), _PACKED).groupBy("bucket").applyInArrow(trimmed(_support(buckets)), _HOMES)
                        .groupBy("home").applyInArrow(trimmed(_rare), "node long, size long, support long, first_place long, elements array<long>"))
     groups = written(shared.join(scores.join(rare.select("node", "size", "support"), "node"), ["node", "family"])
