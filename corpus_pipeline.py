@@ -3,6 +3,13 @@
 ``run`` applies the stages to ``documents``; each stage's rows are written as Parquet
 below ``spark.checkpoint.dir`` and read again as the next stage's documents, so a lost
 executor repeats one stage's tasks and no earlier stage.
+
+Defined results: a null text counts as empty, and a text without words is rejected by the
+quality rules, as are very short ones; a null id counts as larger than any id, so its row goes
+before a copy with an id; rows that repeat an id and a text count as one from the near copies
+on; of equal or similar texts the smallest id stays; a very long text is worked on whole; a
+null source is a source of its own; an empty table gives empty stages; further columns pass
+through all stages but the last, whatever their names.
 """
 from __future__ import annotations
 

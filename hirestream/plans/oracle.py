@@ -517,6 +517,40 @@ SELECT top.doc_id, top.pool, top.n, top.phrase, round(list_cosine_similarity(d.e
 FROM top JOIN embeddings d ON d.vec_id = top.doc_id
 JOIN embeddings p ON p.vec_id = ('0x' || substr(md5(top.phrase), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)"""
 
+def mmr_ctes(by: str, top_n: int) -> str:
+    """``c`` (candidates of ``sc`` per ``by``) and ``m``: one MMR pick (diversity 0.3) per step and
+    group, every candidate left carrying its largest similarity to what was picked before."""
+    order = "PARTITION BY {by} ORDER BY 0.7::DOUBLE * rel - 0.3::DOUBLE * red DESC, score DESC, phrase".format(by=by)
+    keep = f"{by}, phrase, score, rel, ws, red, first_value(phrase) OVER w AS pick, first_value(ws) OVER w AS pws"
+    return f""",
+c AS (SELECT {by}, phrase, score, score / max(score) OVER (PARTITION BY {by}) AS rel, list_distinct(string_split(phrase, ' ')) AS ws,
+             0.0::DOUBLE AS red FROM sc),
+m AS (SELECT 1 AS k, {keep} FROM c WINDOW w AS ({order})
+      UNION ALL
+      SELECT k + 1, {keep}
+      FROM (SELECT k, {by}, phrase, score, rel, ws, greatest(red, both / (len(ws) + len(pws) - both)) AS red
+            FROM (SELECT *, len(list_intersect(ws, pws)) AS both FROM m WHERE phrase <> pick AND k < {top_n}))
+      WINDOW w AS ({order}))"""
+
+
+ORACLE["phrase_mmr"] = lambda: "WITH RECURSIVE " + _DOCS_SRC + score_ctes("src") + mmr_ctes("doc_id", 30) + """
+SELECT doc_id, phrase, score, k AS mmr_rank FROM m WHERE phrase = pick"""
+
+#: Landed answers are for the documents' phrases; phrases of the seeds alone have none.
+ORACLE["mined_keywords"] = lambda: ("WITH RECURSIVE " + """
+src AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS doc_id, source AS pool, text FROM documents
+        UNION ALL SELECT 'seeds', pool, string_agg(DISTINCT seed, chr(10) ORDER BY seed)
+        FROM (SELECT lower(p_name) AS seed, 'src' || CAST(p_partkey % 20 AS VARCHAR) AS pool FROM part) GROUP BY pool),"""
+    + score_ctes("src") + mmr_ctes("pool, doc_id, n", 30) + f""",
+mp AS (SELECT pool, doc_id, phrase FROM m WHERE phrase = pick),
+answered AS (SELECT DISTINCT phrase FROM grams WHERE doc_id <> 'seeds' AND {_KEPT}),"""
+    + keyword_ctes("src", classified=True)[len(gram_ctes("src")) + 1:]
+        .replace("FROM grams WHERE", "FROM mp WHERE")
+        .replace("CASE WHEN length(phrase) % 7 >=", "CASE WHEN phrase NOT IN (SELECT phrase FROM answered) OR length(phrase) % 7 >=")
+        .replace("coalesce((['hard_skill'", "coalesce(CASE WHEN phrase IN (SELECT phrase FROM answered) THEN (['hard_skill'")
+        .replace("[CAST(length(phrase) % 7 AS INTEGER) + 1], 'hard_skill')", "[CAST(length(phrase) % 7 AS INTEGER) + 1] END, 'hard_skill')")
+    + "\nSELECT * FROM mk")
+
 def _coverage_ctes(text_expr: str = "text") -> str:
     return ("\ncd AS MATERIALIZED (SELECT doc_id, source, lang, regexp_replace(lower(coalesce(" + text_expr
             + ", '')), '\\s+', ' ', 'g') AS hay FROM documents),"
