@@ -528,8 +528,8 @@ c AS (SELECT {by}, phrase, score, score / max(score) OVER (PARTITION BY {by}) AS
 m AS (SELECT 1 AS k, {keep} FROM c WINDOW w AS ({order})
       UNION ALL
       SELECT k + 1, {keep}
-      FROM (SELECT k, {by}, phrase, score, rel, ws, greatest(red, both / (len(ws) + len(pws) - both)) AS red
-            FROM (SELECT *, len(list_intersect(ws, pws)) AS both FROM m WHERE phrase <> pick AND k < {top_n}))
+      FROM (SELECT k, {by}, phrase, score, rel, ws, greatest(red, shared / (len(ws) + len(pws) - shared)) AS red
+            FROM (SELECT *, len(list_intersect(ws, pws)) AS shared FROM m WHERE phrase <> pick AND k < {top_n}))
       WINDOW w AS ({order}))"""
 
 
