@@ -17,7 +17,7 @@ from ..functions import stopwords
 from ..functions import text as tx
 from ..functions.numeric import round_half_up
 from ..plans.strategy import top_n_per_group
-from ..session import spooled
+from ..session import spooled, spread
 from . import frequent
 
 # --- fixed values ------------------------------------------------------------
@@ -68,6 +68,12 @@ def doc_tokens(docs: DataFrame, text_col: str = "text") -> Column:
     return F.regexp_extract_all(F.regexp_replace(low, stopword_pattern(), " "), F.lit(TOKEN_RE), 0)
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(pool, doc_id, toks) of (pool, doc_id, text). Tokens go through a generator, or Spark
+    would merge projections and run the patterns again wherever tokens are used."""
+    return docs.select("pool", "doc_id", F.inline(F.array(F.struct(doc_tokens(docs).alias("toks")))))
+
+
 def phrase_counts(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "pool",
                   text_col: str = "text") -> DataFrame:
     """(pool, doc_id, n, phrase, tf): 1-grams and 2-grams (bigrams span removed stop
@@ -76,7 +82,7 @@ def phrase_counts(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "p
     Documents are dealt by id before they are cut up: what is shuffled is the texts, and a
     document's phrases, many times its size, are counted where they are made."""
     dealt = docs.select(F.col(pool_col).alias("pool"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
-    base = dealt.select("pool", "doc_id", doc_tokens(dealt).alias("toks"))
+    base = tokenised(dealt)
     tail = F.slice(F.col("toks"), 2, F.greatest(F.size("toks"), F.lit(1)))
     pairs = base.select("pool", "doc_id", F.explode(F.arrays_zip(F.col("toks").alias("a"), tail.alias("b"))).alias("p"))
     grams = pairs.select("pool", "doc_id", F.inline(F.array(
@@ -88,7 +94,7 @@ def phrase_counts(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "p
 
 def phrase_sets(docs: DataFrame, *, id_col: str = "doc_id", pool_col: str = "pool", text_col: str = "text") -> DataFrame:
     """(pool, doc_id, phrases): the distinct 1-grams and 2-grams of each document in its row."""
-    base = docs.select(F.col(pool_col).alias("pool"), F.col(id_col).alias("doc_id"), doc_tokens(docs, text_col).alias("toks"))
+    base = tokenised(spread(docs.select(F.col(pool_col).alias("pool"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
     n = F.greatest(F.size("toks") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("toks", F.lit(1), n), F.slice("toks", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
     return base.select("pool", "doc_id", F.array_distinct(F.concat("toks", pairs)).alias("phrases"))

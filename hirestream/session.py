@@ -78,3 +78,10 @@ def spooled(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, f"spooled/{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as it is, or dealt over all cores if it is read by fewer tasks than there are
+    cores (a table of one small file), for work that costs far more than a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

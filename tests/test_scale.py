@@ -86,10 +86,13 @@ def test_summary_errors_bound_its_counters():
     assert len(counters) <= 8 and all(true[k] - off <= counters.get(k, 0) <= true[k] for k in true)
 
 
-def test_phrases_are_not_shuffled(spark):
-    docs = spark.createDataFrame(_posts(1, 20), "doc_id long, pool string, text string")
-    plan = keywords.phrases(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+def test_phrases_are_not_shuffled(spark, tmp_path):
+    """A table with a task for each core stays where it is; one small file is dealt out first."""
+    docs = spark.createDataFrame(_posts(1, 200), "doc_id long, pool string, text string")
+    for files, dealt in ((16, False), (1, True)):
+        docs.repartition(files).write.parquet(f"{tmp_path}/{files}")
+        plan = keywords.phrases(spark.read.parquet(f"{tmp_path}/{files}"))._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange" in plan) == dealt
 
 
 @pytest.mark.parametrize("phrase,want", [("building buses", "build bus"), ("ties", "ti"), ("cities city", "cit city"), ("class", "clas"),
