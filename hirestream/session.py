@@ -82,6 +82,7 @@ def spooled(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` as it is, or dealt over all cores if it is read by fewer tasks than there are
-    cores (a table of one small file), for work that costs far more than a shuffle."""
+    cores (a table of one small file), for work that costs far more than a shuffle. For a
+    table as it is read: a plan with shuffles would run them to learn its number of tasks."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
