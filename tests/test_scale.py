@@ -362,3 +362,10 @@ def test_phrases_without_a_document_vector_meet_no_phrase_vectors(spark):
     scored = embeddings.cosine_scores(phrases, docs, of)
     assert "LeftSemi" in scored._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in scored.collect()] == [(1, "a", 1.0)]
+
+
+def test_a_null_phrase_vector_shifts_no_score(spark):
+    phrases = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a")], "doc_id long, phrase string")
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "doc_id long, vector array<float>")
+    of = spark.createDataFrame([("a", None), ("b", [1.0, 0.0]), ("c", [0.0, 1.0])], "phrase string, vector array<float>")
+    assert {tuple(r) for r in embeddings.cosine_scores(phrases, docs, of).collect()} == {(1, "a", None), (1, "b", 1.0), (1, "c", 0.0), (2, "a", None)}
