@@ -19,6 +19,11 @@ matter. A digest tells if a partition gave other rows the second time (a random
 and the job then fails with advice instead of returning wrong ids. With ``spool`` blocks are
 made once and written, which takes disk instead of time and works with any input.
 
+Without ``shuffle`` nothing leaves its task: a task cuts its texts into a dictionary and
+codes, encodes the words that its Python worker has not met, and keeps them (a bounded
+number, in the worker's copy of a broadcast value) for its later tasks. It reads the input
+once and takes no disk, but a word is encoded once per worker instead of once in all.
+
 Defined results: null and empty text give no ids and an empty decoded text; repeated
 rows each give a row; an empty table gives an empty result; other columns are ignored;
 a very long text is one block.
@@ -30,12 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, n_buckets, pack, pack_words, small_batches, text_bytes, trimmed, unpack, unpack_words, written
 
 BLOCK_BYTES = 4 << 20
+KEPT_WORDS = 1 << 20
 MAX_PIECES = 2_000_000
 MAX_TOKENIZER_BYTES = 64 << 20
 
@@ -163,6 +170,69 @@ def _encode_bucket(tokenizer_text):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Rows of Arrow batches as tables of about ``limit`` text bytes; a row is never split."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < len(ends):
+            done = int(ends[at - 1]) if at else 0
+            to = min(int(np.searchsorted(ends, done + limit - size)) + 1, len(ends))
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1]) - done
+            at = to
+            if size >= limit:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+def _encode_here(sent, block_bytes: int, kept_words: int):
+    """``sent`` is a broadcast dict with the tokenizer's ``text``; a worker's copy holds the
+    open tokenizer too, the first ``kept_words`` words that it met, their ids and lengths."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        if "open" not in own:
+            own |= {"open": open_tokenizer(own["text"]), "words": pa.array([], pa.binary()),
+                    "ids": np.zeros(0, np.uint32), "lens": np.zeros(0, np.int64)}
+        for rows in _runs(batches, block_bytes):
+            cut = pc.ascii_split_whitespace(pc.fill_null(_one(rows.column(1)), ""))
+            coded = cut.flatten().cast(pa.binary())
+            full = pc.greater(pc.binary_length(coded), 0)  # a text without words may be cut into empty ones
+            if len(coded) and not pc.all(full).as_py():
+                per_doc = np.add.reduceat(np.append(full.to_numpy(zero_copy_only=False).astype(np.int64), 0), cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py())
+                per_doc[pc.list_value_length(cut).to_numpy() == 0] = 0
+                coded = coded.filter(full)
+            else:
+                per_doc = pc.list_value_length(cut).to_numpy().astype(np.int64)
+            coded = coded.dictionary_encode()
+            place = pc.index_in(coded.dictionary, value_set=own["words"])
+            new = coded.dictionary.filter(place.is_null())
+            ids, lens, words = [own["ids"]], [own["lens"]], own["words"]
+            for at in range(0, len(new), 1 << 16):
+                got = encode_words(own["open"], new.slice(at, 1 << 16).to_pylist())
+                ids.append(got[0])
+                lens.append(got[1])
+            ids, lens = np.concatenate(ids), np.concatenate(lens)
+            which = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            which[place.is_null().to_numpy(zero_copy_only=False)] = len(words) + np.arange(len(new))
+            which = which[coded.indices.to_numpy()]
+            flat = gather(ids, lens, np.cumsum(lens) - lens, which).astype("<u4")
+            ends = np.concatenate([[0], np.cumsum(lens[which])])[np.cumsum(per_doc)]
+            if len(words) < kept_words:
+                n = min(len(lens), kept_words)
+                own |= {"words": pa.concat_arrays([words, new.slice(0, n - len(words))]), "ids": ids[:lens[:n].sum()].copy(), "lens": lens[:n].copy()}
+            out = [flat[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            yield pa.RecordBatch.from_arrays([_one(rows.column(0)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+    return run
+
+
 def join_pieces(ids: np.ndarray, piece: dict[int, str], separator: str = " ") -> str:
     return separator.join(map(piece.__getitem__, ids.tolist()))
 
@@ -207,11 +277,19 @@ def _ids_of_block(table: pa.Table) -> tuple[list, list[np.ndarray]]:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           block_bytes: int = BLOCK_BYTES, pieces: DataFrame | None = None, spool: bool = False) -> DataFrame:
+           block_bytes: int = BLOCK_BYTES, pieces: DataFrame | None = None, spool: bool = False, shuffle: bool = True,
+           kept_words: int = KEPT_WORDS) -> DataFrame:
     """``doc_id, ids`` per row; ``ids`` are little-endian unsigned 32-bit integers. With
     ``pieces`` (``id, piece``) there is a column ``decoded`` too, joined in the same task,
-    where :func:`decode` would keep a second Python process busy."""
+    where :func:`decode` would keep a second Python process busy. Without ``shuffle`` rows stay
+    in their partitions, and a worker keeps up to ``kept_words`` words."""
     spark = small_batches(docs.sparkSession)
+    if not shuffle:
+        if spool or pieces is not None:
+            raise ValueError("spool and pieces need the shuffle; decode() adds the pieces to any ids")
+        sent = spark.sparkContext.broadcast({"text": read_tokenizer(tokenizer_path)})
+        slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        return slim.mapInArrow(trimmed(_encode_here(sent, block_bytes, kept_words)), "doc_id long, ids binary")
     buckets = n_buckets(spark, text_bytes(docs, text_col))
     tokenizer = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),

@@ -1,7 +1,7 @@
 """Packing token ids into fixed-length rows, best fit decreasing.
 
-Documents are dealt into hash blocks of bounded text size; a block's task turns texts
-into ids, cuts documents longer than a row into pieces (losing none) and packs the pieces:
+Documents are dealt into blocks of bounded size (of texts by hash, of ids by their place in
+the table); a block's task turns texts into ids, cuts documents longer than a row into pieces (losing none) and packs the pieces:
 longest first, each into the row whose free space is the smallest that still holds it. A
 segment tree over free-space values finds that row in logarithmic time. Every packed row
 has its id matrix line, cumulative segment lengths, and positions that start again at
@@ -17,14 +17,14 @@ rows; other columns are ignored; a very long text is cut into full rows.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty, trimmed, written
+from .common import chunks, small_batches, text_or_empty, trimmed
 
 ROW_TOKENS = 2048
 BLOCK_BYTES = 8 << 20
@@ -97,28 +97,31 @@ _FIELDS = [("pack_id", pa.int64(), "long"), ("n_tokens", pa.int32(), "int"), ("i
 _ARROW = pa.schema([(n, t) for n, t, _ in _FIELDS])
 
 
-def _packer(to_ids: Callable[[str | bytes | None], np.ndarray], capacity: int, column: str = "text"):
+def _lines(block: int, docs: list[tuple], to_ids: Callable[[str | bytes | None], np.ndarray], capacity: int) -> pa.Table:
+    """The packed lines of a block's documents (id, and text or ids)."""
+    pieces, seen = [], {}
+    for doc_id, text in sorted(docs, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1])):
+        ids = to_ids(text)
+        copy = seen[doc_id] = seen.get(doc_id, -1) + 1
+        pieces.extend((doc_id, copy, n, ids[at:at + capacity]) for n, at in enumerate(range(0, len(ids), capacity)))
+    out: dict[str, list] = {n: [] for n in _ARROW.names}
+    for number, row in enumerate(best_fit_decreasing([len(p[3]) for p in pieces], capacity)):
+        parts = [pieces[i] for i in row]
+        ends = np.cumsum([len(p[3]) for p in parts])
+        line, place = np.full(capacity, PAD, "<u4"), np.zeros(capacity, "<u4")
+        for p, e in zip(parts, ends.tolist()):
+            line[e - len(p[3]):e] = p[3]
+            place[e - len(p[3]):e] = np.arange(len(p[3]))
+        for n, v in zip(out, (block << 32 | number, int(ends[-1]), line.tobytes(), place.tobytes(), [0, *ends.tolist()],
+                              [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts])):
+            out[n].append(v)
+    return pa.Table.from_pydict(out, schema=_ARROW)
+
+
+def _packer(to_ids: Callable[[str | None], np.ndarray], capacity: int):
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        docs = sorted(zip(table.column("doc_id").to_pylist(), table.column(column).to_pylist()),
-                      key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1]))
-        pieces, seen = [], {}
-        for doc_id, text in docs:
-            ids = to_ids(text)
-            copy = seen[doc_id] = seen.get(doc_id, -1) + 1
-            pieces.extend((doc_id, copy, n, ids[at:at + capacity]) for n, at in enumerate(range(0, len(ids), capacity)))
-        out: dict[str, list] = {n: [] for n in _ARROW.names}
-        for number, row in enumerate(best_fit_decreasing([len(p[3]) for p in pieces], capacity)):
-            parts = [pieces[i] for i in row]
-            ends = np.cumsum([len(p[3]) for p in parts])
-            line, place = np.full(capacity, PAD, "<u4"), np.zeros(capacity, "<u4")
-            for p, e in zip(parts, ends.tolist()):
-                line[e - len(p[3]):e] = p[3]
-                place[e - len(p[3]):e] = np.arange(len(p[3]))
-            for n, v in zip(out, (block << 32 | number, int(ends[-1]), line.tobytes(), place.tobytes(), [0, *ends.tolist()],
-                                  [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts])):
-                out[n].append(v)
-        return pa.Table.from_pydict(out, schema=_ARROW)
+        docs = list(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()))
+        return _lines(table.column("block")[0].as_py(), docs, to_ids, capacity)
     return run
 
 
@@ -138,19 +141,28 @@ def pack_rows(docs: DataFrame, capacity: int = ROW_TOKENS, to_ids: Callable[[str
     return slim.groupBy("block").applyInArrow(_packer(to_ids, capacity), ", ".join(f"{n} {t}" for n, _, t in _FIELDS))
 
 
+BLOCKS_BITS = 12  # of a block's number within its partition; 19 are left for the partition's
+
+
 def pack_ids(encoded: DataFrame, end_id: int, capacity: int = ROW_TOKENS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """:func:`pack_rows` of ``doc_id, ids`` (little-endian unsigned 32-bit integers; null
-    counts as none), with ``end_id`` after each document's ids. Rows are dealt by their place
-    in the table, which is written first, so rows that are alike need not share a block."""
+    counts as none), with ``end_id`` after each document's ids. A block is a run of rows of one
+    partition, so ids are neither shuffled nor written, and rows that are alike need not
+    share a block."""
     small_batches(encoded.sparkSession)
-    held = written(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.lit(b"")).alias("ids")))
-    size = held.agg(F.sum(F.octet_length("ids") + 64)).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_bytes))
-    slim = held.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    slim = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.lit(b"")).alias("ids"),
+                          F.spark_partition_id().alias("part"))
 
     def ended(ids: bytes) -> np.ndarray:
         return np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-    return slim.groupBy("block").applyInArrow(trimmed(_packer(ended, capacity, "ids")), ", ".join(f"{n} {t}" for n, _, t in _FIELDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, rows in enumerate(chunks(batches, block_bytes)):
+            part = rows[0][2]
+            if n >> BLOCKS_BITS or part >> (31 - BLOCKS_BITS):
+                raise ValueError(f"block {n} of partition {part} has no number; repartition the ids before packing")
+            yield from _lines(part << BLOCKS_BITS | n, [r[:2] for r in rows], ended, capacity).to_batches()
+    return slim.mapInArrow(trimmed(run), ", ".join(f"{n} {t}" for n, _, t in _FIELDS))
 
 
 def unpack_rows(packed: DataFrame) -> DataFrame:

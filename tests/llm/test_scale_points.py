@@ -1,4 +1,5 @@
 """Inputs that a cluster brings: rows in any order, repeated rows, hot rows, odd columns."""
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hirestream.llm import bpe, chat, common, jaccard_join, mixing, packing, sharding, toxicity
-from hirestream.llm.queries import tokenizer_path
+from hirestream.llm.queries import QUERIES, tokenizer_path
+from hirestream.session import ensure_checkpoint_dir
 from test_llm_operators import frame, odd_rows, prose
 
 
@@ -40,6 +42,31 @@ def test_token_ids_are_packed_with_end_marks(spark, library):
     assert back == sorted(((i, np.array([*library(t), end], "<u4").tobytes()) for i, t, _ in rows), key=str)
 
 
+def test_packing_neither_shuffles_nor_writes_ids(spark, library, tmp_path):
+    """Ids once went through a written table and two shuffles, for more disk than the query has."""
+    rows = odd_rows() + [(77, "the same row", "s")] * 40 + [(500 + i, prose(i, 30 + i % 7), "s") for i in range(300)]
+    frame(spark, rows).repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    held = os.path.join(ensure_checkpoint_dir(spark), "written")
+    before = set(os.listdir(held)) if os.path.isdir(held) else set()
+    packed = QUERIES["op2_packing"](spark, str(tmp_path))
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning" not in plan and "FlatMapGroups" not in plan
+    end = bpe.end_id(tokenizer_path())
+    back = sorted(((r.doc_id, bytes(r.ids)) for r in packing.unpack_rows(packed).collect()), key=str)
+    assert back == sorted(((i, np.array([*library(t), end], "<u4").tobytes()) for i, t, _ in rows), key=str)
+    assert (set(os.listdir(held)) if os.path.isdir(held) else set()) == before
+
+
+@pytest.mark.parametrize("size, kept", [(1 << 20, 1 << 20), (3000, 1 << 20), (3000, 50), (1, 0)])
+def test_bpe_without_a_shuffle(spark, library, size, kept):
+    """Runs of rows, words kept from earlier ones, and no room for words."""
+    rows = odd_rows() + [(1000 + i, prose(i, 30 + i % 7), "s") for i in range(100)]
+    rows += [(2000, " \t\n\x0b\x0c\r", "s"), (2001, "\x1fa\x85b\u00a0c\u2003d\x1c", "s"), (2002, "e\u0301 \u0301 E", "s"), (None, "no id", "s")]
+    got = bpe.encode(frame(spark, rows).repartition(3), tokenizer_path(), block_bytes=size, shuffle=False, kept_words=kept).collect()
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in got), key=str) == sorted(((i, np.array(library(t), "<u4").tobytes()) for i, t, _ in rows), key=str)
+    assert bpe.encode(frame(spark, []), tokenizer_path(), shuffle=False).collect() == []
+
+
 def test_toxicity_models_do_not_depend_on_row_order(spark):
     """An id with several texts, and labels that disagree, have one defined reading."""
     rng = random.Random(1)
