@@ -1014,11 +1014,13 @@ from ..operators import resume  # noqa: E402
 from .strategy import top_n_per_group  # noqa: E402
 
 
-def candidates(spark, sf_dir):
-    """One structured résumé (D4) per order: roles are its line items (part name,
-    supplier, ship month; open lines are current), skills its part types, a
+def candidate_fields(spark, sf_dir):
+    """The fields of one structured résumé (D4) per order as columns: roles are its line
+    items (part name, supplier, ship month; open lines are current), skills its part types, a
     degree from its customer's region and nation, a certificate from its
-    priority. Each list is bounded by the line items of one order."""
+    priority. Each list is bounded by the line items of one order. ``first_role`` is the
+    title and company of the first experience. Spark drops from the plan what a query does
+    not select, which it does not do for the fields of one struct."""
     o = T.read(spark, sf_dir, "orders")
     c = T.read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     n = F.broadcast(T.read(spark, sf_dir, "nation"))
@@ -1026,10 +1028,12 @@ def candidates(spark, sf_dir):
     li = T.read(spark, sf_dir, "lineitem")
     pt = T.read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     su = T.read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    order = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     roles = (li.join(pt, li.l_partkey == pt.p_partkey).join(su, li.l_suppkey == su.s_suppkey)
              .groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+                 F.min(F.struct(*order, F.col("p_name").alias("title"), F.col("s_name").alias("company"))).alias("_first"),
                  F.sort_array(F.collect_list(F.struct(
-                     "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                     *order,
                      F.struct(F.col("p_name").alias("title"), F.col("s_name").alias("company"),
                               F.lit("").alias("location"),
                               F.date_format("l_shipdate", "MMM yyyy").alias("start_date"),
@@ -1046,7 +1050,7 @@ def candidates(spark, sf_dir):
     base = (o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
             .join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(roles, "o_orderkey", "left"))
     year = F.year("o_orderdate")
-    res = F.struct(
+    fields = [
         F.struct(F.concat_ws(" ", "c_mktsegment", "n_name").alias("name"),
                  F.concat(F.lit("cand"), F.col("o_orderkey").cast("string"), F.lit("@example.org")).alias("email"),
                  F.concat(F.lit("+91 98"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("phone"),
@@ -1064,8 +1068,14 @@ def candidates(spark, sf_dir):
                          F.lit("").alias("issuer"), F.lit("").alias("date"))).alias("certifications"),
         F.array().cast("array<struct<name:string,description:string,bullets:array<string>>>").alias("projects"),
         F.array().cast("array<string>").alias("publications"), F.array().cast("array<string>").alias("languages"),
-        F.array().cast("array<string>").alias("awards"))
-    return base.select(F.col("o_orderkey").alias("candidate_id"), res.alias("resume"))
+        F.array().cast("array<string>").alias("awards")]
+    return base.select(F.col("o_orderkey").alias("candidate_id"), *fields, F.struct("_first.title", "_first.company").alias("first_role"))
+
+
+def candidates(spark, sf_dir):
+    """:func:`candidate_fields` as one structured résumé (D4) per order."""
+    c = candidate_fields(spark, sf_dir).drop("first_role")
+    return c.select("candidate_id", F.struct(*c.columns[1:]).alias("resume"))
 
 
 @query("resume_roundtrip")
@@ -1322,17 +1332,18 @@ def app_snapshot(spark, sf_dir):
 def cover_letter_lines(spark, sf_dir):
     """A dated letter per candidate (header, recipient, salutation, body,
     sign-off with the first name) as ordered lines."""
-    c = candidates(spark, sf_dir)
-    r = F.col("resume")
+    c = candidate_fields(spark, sf_dir)
+    r = F.struct("contact", "summary")
     name = r.getField("contact").getField("name")
     first_name = F.coalesce(F.try_element_at(F.split(F.trim(name), " "), F.lit(1)), F.lit(""))
-    role = F.get(r.getField("experience"), 0)
+    role = F.col("first_role")
     body = F.concat(F.lit("I am applying for the "), F.coalesce(role.getField("title"), F.lit("open")),
                     F.lit(" role at "), F.coalesce(role.getField("company"), F.lit("your company")), F.lit(".\n\n"),
                     r.getField("summary"))
     lines = reports.letter_lines(r, body, role.getField("company"), first_name, F.lit(AS_OF_TEXT).cast("timestamp"))
-    return c.select("candidate_id", F.size(lines).cast("long").alias("n_lines"), first_name.alias("first_name"),
-                    F.get(lines, 2).alias("dated"), F.array_join(lines, "\n").alias("letter"))
+    c = c.select("candidate_id", first_name.alias("first_name"), lines.alias("lines"))
+    return c.select("candidate_id", F.size("lines").cast("long").alias("n_lines"), "first_name",
+                    F.get("lines", 2).alias("dated"), F.array_join("lines", "\n").alias("letter"))
 
 
 # -------------------------------------------------------- screening answers ----
