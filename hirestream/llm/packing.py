@@ -1,10 +1,10 @@
 """Packing token ids into fixed-length rows, best fit decreasing.
 
 Documents are dealt into blocks of bounded size (of texts by hash, of ids by their place in
-the table); a block's task turns texts into ids, cuts documents longer than a row into pieces (losing none) and packs the pieces:
-longest first, each into the row whose free space is the smallest that still holds it. A
-segment tree over free-space values finds that row in logarithmic time. Every packed row
-has its id matrix line, cumulative segment lengths, and positions that start again at
+the table); a block's task turns texts into ids, cuts documents longer than a row into
+pieces (losing none) and packs the pieces: longest first, each into the row whose free
+space is the smallest that still holds it. A segment tree over free-space values finds
+that row in logarithmic time. Every packed row has its id matrix line, cumulative segment lengths, and positions that start again at
 each segment. Only the last rows of a block are not full, a thousandth of them.
 
 Ids come from an encoded table (:func:`pack_ids`; ``bpe.encode`` makes one) and get an end
